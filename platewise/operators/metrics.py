@@ -1,0 +1,69 @@
+"""Scores of predictions against truth, per condition, over long rows (condition_id, gene_symbol, predicted, y)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from platewise.functions import scalars as S
+
+
+def set_metrics(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per condition over its DE genes: n_de_genes, de_pearson (needs two genes), de_mse, sign_accuracy (0 agrees only with 0)."""
+    de = pairs.join(sets.select("condition_id", "gene_symbol"), ["condition_id", "gene_symbol"])
+    p, y = F.col("predicted").cast("double"), F.col("y").cast("double")
+    return de.groupBy("condition_id").agg(
+        F.count(F.lit(1)).alias("n_de_genes"),
+        F.when(F.count(F.lit(1)) > 1, S.pearson(p, y)).alias("de_pearson"),
+        F.avg((p - y) * (p - y)).alias("de_mse"),
+        F.avg((F.signum(p) == F.signum(y)).cast("double")).alias("sign_accuracy"),
+    )
+
+
+def all_gene_pearson(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("condition_id").agg(S.pearson(F.col("predicted").cast("double"), F.col("y").cast("double")).alias("all_gene_pearson"))
+
+
+def topk_overlap(pairs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Jaccard of the first m = min(k, n_de) DE genes by rank and the m genes with the largest predicted size (ties: gene order); 0 for a constant prediction."""
+    sizes = sets.groupBy("condition_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("m"))
+    true = sets.join(sizes, "condition_id").withColumn("nth", F.row_number().over(Window.partitionBy("condition_id").orderBy("rank", "gene_symbol"))).filter("nth <= m").select("condition_id", "gene_symbol", F.lit(1).alias("t"))
+    size = F.abs("predicted")
+    ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("condition_id").orderBy(size.desc(), "gene_symbol"))).filter(F.col("nth") <= k)
+    picked = ranked.join(sizes, "condition_id").filter("nth <= m").select("condition_id", "gene_symbol", F.lit(1).alias("p"))
+    spread = pairs.groupBy("condition_id").agg((F.max(size) - F.min(size)).alias("spread"))
+    joined = true.join(picked, ["condition_id", "gene_symbol"], "full_outer").groupBy("condition_id").agg(F.count_if(F.col("t").isNotNull() & F.col("p").isNotNull()).alias("both"), F.count(F.lit(1)).alias("any"))
+    return joined.join(spread, "condition_id").select("condition_id", F.when(F.col("spread") > 0, F.col("both") / F.col("any")).otherwise(F.lit(0.0)).alias(f"topk_overlap_{k}"))
+
+
+def standardised(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``z``: the value centred per condition and scaled to unit length (0 where constant)."""
+    w = Window.partitionBy("condition_id")
+    centred = rows.withColumn("c", F.col(value) - F.avg(value).over(w)).withColumn("norm", F.sqrt(F.sum(F.col("c") * F.col("c")).over(w)))
+    return centred.withColumn("z", F.when(F.col("norm") > 0, F.col("c") / F.col("norm")).otherwise(F.lit(0.0))).drop("c", "norm")
+
+
+def discrimination(pairs: DataFrame, group: str, places: int = 9) -> DataFrame:
+    """(condition_id, disc_rank, disc_top1): normalised rank of a condition's own truth among the truths of its ``group`` by correlation distance; ties count half.
+
+    A condition alone in its group has no rank. Correlations are rounded to ``places`` so that equal ones tie. Candidates are the conditions of one group
+    (a cell line's test conditions), never of the whole table; products meet by (group, gene)."""
+    z = standardised(pairs, "predicted").withColumnRenamed("z", "zp")
+    t = standardised(pairs, "y").withColumnRenamed("z", "zt")
+    left = z.select(group, "gene_symbol", F.col("condition_id").alias("q"), "zp").filter("zp <> 0")
+    right = t.select(group, "gene_symbol", F.col("condition_id").alias("o"), "zt").filter("zt <> 0")
+    dots = left.join(right, [group, "gene_symbol"]).groupBy(group, "q", "o").agg(F.sum(F.col("zp") * F.col("zt")).alias("r"))
+    ids = pairs.select(group, "condition_id").distinct()
+    both = ids.select(group, F.col("condition_id").alias("q")).join(ids.select(group, F.col("condition_id").alias("o")), group)
+    full = both.join(dots, [group, "q", "o"], "left").withColumn("r", F.round(F.coalesce("r", F.lit(0.0)), places))
+    own = full.filter("q = o").select("q", F.col("r").alias("own"))
+    scored = full.join(own, "q").groupBy("q").agg(F.count_if((F.col("o") != F.col("q")) & (F.col("r") > F.col("own"))).alias("closer"), F.count_if((F.col("o") != F.col("q")) & (F.col("r") == F.col("own"))).alias("ties"), (F.count(F.lit(1)) - 1).alias("n"))
+    rank = F.when(F.col("n") > 0, (F.col("closer") + F.col("ties") * 0.5) / F.col("n"))
+    return scored.select(F.col("q").alias("condition_id"), rank.alias("disc_rank"), F.when(F.col("n") > 0, ((F.col("closer") == 0) & (F.col("ties") == 0)).cast("double")).alias("disc_top1"))
+
+
+def farthest(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The condition whose truth lies farthest from the prediction over its DE genes (Euclidean; ties: smaller id); conditions without a DE set count as -1."""
+    de = pairs.join(sets.select("condition_id", "gene_symbol"), ["condition_id", "gene_symbol"]).groupBy("condition_id").agg(F.sqrt(F.sum(F.pow(F.col("predicted") - F.col("y"), 2))).alias("d"))
+    every = pairs.select("condition_id").distinct().join(de, "condition_id", "left").select("condition_id", F.round(F.coalesce("d", F.lit(-1.0)), 9).alias("distance"))
+    return every.orderBy(F.col("distance").desc(), "condition_id").limit(1)

@@ -1,0 +1,242 @@
+"""Baseline predictors over long targets (condition_id, gene_symbol, y).
+
+A predictor is fitted on training conditions and gives (condition_id, gene_symbol, predicted) for others. Means and nearest-drug responses are joins and
+aggregations; the ridge path factors its small feature matrix once and works on blocks of genes in tasks.
+"""
+
+from __future__ import annotations
+
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from platewise.operators.contracts import ContractError
+
+KEYS = ["condition_id", "cell_line", "drug", "dose"]
+
+
+class Predictor(ABC):
+    """Interface of all predictors. ``train`` has KEYS, part and feature columns; ``targets`` the long values of the training conditions."""
+
+    @abstractmethod
+    def fit(self, train: DataFrame, targets: DataFrame) -> Predictor: ...
+
+    @abstractmethod
+    def predict(self, conditions: DataFrame, genes: DataFrame) -> DataFrame:
+        """(condition_id, gene_symbol, predicted, is_fallback) for every condition and gene of ``genes`` (gene_symbol)."""
+
+    def info(self) -> dict:
+        return {}
+
+
+REGISTRY: dict[str, Callable[..., Predictor]] = {}
+
+
+def register(name: str):
+    def add(cls):
+        REGISTRY[name] = cls
+        return cls
+
+    return add
+
+
+def _grid(conditions: DataFrame, genes: DataFrame) -> DataFrame:
+    """Every condition with every gene of a stated gene list: the dense answer that a predictor owes."""
+    packed = genes.agg(F.collect_set("gene_symbol").alias("all_genes"))
+    return conditions.select(*KEYS).join(F.broadcast(packed)).select(*KEYS, F.explode("all_genes").alias("gene_symbol"))
+
+
+@register("dummy")
+class Dummy(Predictor):
+    """Zero everywhere."""
+
+    def fit(self, train: DataFrame, targets: DataFrame) -> Dummy:
+        return self
+
+    def predict(self, conditions: DataFrame, genes: DataFrame) -> DataFrame:
+        return _grid(conditions, genes).select("condition_id", "gene_symbol", F.lit(0.0).cast("float").alias("predicted"), F.lit(False).alias("is_fallback"))
+
+
+class KeyMean(Predictor):
+    """Mean of the training values at (key, dose); a pair without training rows falls back to the mean at the dose. A dose that was never trained raises."""
+
+    key: str | None = None
+
+    def fit(self, train: DataFrame, targets: DataFrame) -> KeyMean:
+        rows = targets.join(train.select(*KEYS), "condition_id")
+        mean = F.avg(F.col("y").cast("double")).cast("float")
+        self.at_dose = rows.groupBy("dose", "gene_symbol").agg(mean.alias("dose_mean"))
+        self.doses = train.select("dose").distinct()
+        self.at_key = rows.groupBy(self.key, "dose", "gene_symbol").agg(mean.alias("key_mean")) if self.key else None
+        self.known = train.select(self.key, "dose").distinct().withColumn("known", F.lit(True)) if self.key else None
+        return self
+
+    def predict(self, conditions: DataFrame, genes: DataFrame) -> DataFrame:
+        unknown = conditions.select("dose").distinct().join(self.doses, "dose", "left_anti").limit(3).collect()
+        if unknown:
+            raise ContractError(f"no training condition at dose {[r['dose'] for r in unknown]}")
+        grid = _grid(conditions, genes).join(self.at_dose, ["dose", "gene_symbol"], "left")
+        if self.key is None:
+            return grid.select("condition_id", "gene_symbol", F.coalesce("dose_mean", F.lit(0.0).cast("float")).alias("predicted"), F.lit(False).alias("is_fallback"))
+        joined = grid.join(self.at_key, [self.key, "dose", "gene_symbol"], "left").join(self.known, [self.key, "dose"], "left")
+        zero = F.lit(0.0).cast("float")
+        value = F.when(F.col("known"), F.coalesce("key_mean", zero)).otherwise(F.coalesce("dose_mean", zero))
+        return joined.select("condition_id", "gene_symbol", value.alias("predicted"), F.col("known").isNull().alias("is_fallback"))
+
+
+@register("global_mean")
+class GlobalMean(KeyMean):
+    key = None
+
+
+@register("drug_mean")
+class DrugMean(KeyMean):
+    key = "drug"
+
+
+@register("cell_mean")
+class CellMean(KeyMean):
+    key = "cell_line"
+
+
+def fallback_rate(predicted: DataFrame) -> DataFrame:
+    """One row: share of conditions answered by the fallback."""
+    return predicted.groupBy("condition_id").agg(F.max(F.col("is_fallback").cast("int")).alias("f")).agg(F.round(F.avg("f"), 9).alias("fallback_rate"))
+
+
+@register("nearest_chemical")
+class NearestChemical(Predictor):
+    """Response of the most similar training drug in the same cell line and dose, ties averaged; else the nearest drug's mean over lines at the dose (a fallback).
+
+    ``similarity`` (drug, other, similarity) holds the pairs of drugs, itself included."""
+
+    def __init__(self, similarity: DataFrame):
+        self.similarity = similarity
+
+    def fit(self, train: DataFrame, targets: DataFrame) -> NearestChemical:
+        rows = targets.join(train.select(*KEYS), "condition_id")
+        mean = F.avg(F.col("y").cast("double"))
+        self.in_line = rows.groupBy("cell_line", "dose", F.col("drug").alias("other"), "gene_symbol").agg(mean.alias("m"))
+        self.across = rows.groupBy("dose", F.col("drug").alias("other"), "gene_symbol").agg(mean.alias("m"))
+        self.drugs_in_line = train.select("cell_line", "dose", F.col("drug").alias("other")).distinct()
+        self.drugs_across = train.select("dose", F.col("drug").alias("other")).distinct()
+        return self
+
+    def _nearest(self, conditions: DataFrame, drugs: DataFrame, on: list[str]) -> DataFrame:
+        best = Window.partitionBy("condition_id")
+        pairs = conditions.select(*KEYS).join(drugs, on).join(self.similarity, ["drug", "other"])
+        return pairs.withColumn("top", F.max("similarity").over(best)).filter("similarity = top").select(*KEYS, "other")
+
+    def predict(self, conditions: DataFrame, genes: DataFrame) -> DataFrame:
+        near = self._nearest(conditions, self.drugs_in_line, ["cell_line", "dose"])
+        rest = conditions.join(near.select("condition_id"), "condition_id", "left_anti")
+        far = self._nearest(rest, self.drugs_across, ["dose"])
+        one = near.join(self.in_line, ["cell_line", "dose", "other"]).groupBy("condition_id", "gene_symbol").agg(F.avg("m").alias("v"))
+        two = far.join(self.across, ["dose", "other"]).groupBy("condition_id", "gene_symbol").agg(F.avg("m").alias("v"))
+        flags = near.select("condition_id", F.lit(False).alias("is_fallback")).union(far.select("condition_id", F.lit(True))).distinct()
+        grid = _grid(conditions, genes).join(one.union(two), ["condition_id", "gene_symbol"], "left").join(flags, "condition_id", "left")
+        return grid.select("condition_id", "gene_symbol", F.coalesce("v", F.lit(0.0)).cast("float").alias("predicted"), F.coalesce("is_fallback", F.lit(True)).alias("is_fallback"))
+
+
+class RidgePath:
+    """Ridge regression of many targets on few features, all penalties from one factorisation."""
+
+    def __init__(self, x: np.ndarray, alphas: Sequence[float]):
+        x = np.asarray(x, dtype=float)
+        self.mean, sd = x.mean(axis=0), x.std(axis=0)
+        self.kept = sd > 1e-12
+        self.sd = sd[self.kept]
+        z = (x[:, self.kept] - self.mean[self.kept]) / self.sd
+        self.u, self.s, self.vt = np.linalg.svd(z, full_matrices=False)
+        self.alphas = list(alphas)
+
+    def coefficients(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(penalties x features x targets) on the standardised features, and the targets' means."""
+        centre = y.mean(axis=0)
+        uty = self.u.T @ (y - centre)
+        return np.stack([self.vt.T @ ((self.s / (self.s**2 + a))[:, None] * uty) for a in self.alphas]), centre
+
+    def standardise(self, x: np.ndarray) -> np.ndarray:
+        return (np.asarray(x, dtype=float)[:, self.kept] - self.mean[self.kept]) / self.sd
+
+
+def alpha_grid(start: float = -4.0, stop: float = 6.0, step: float = 0.5) -> list[float]:
+    """Powers of ten from ``start`` to ``stop``, both included."""
+    return [float(10 ** (start + i * step)) for i in range(int(round((stop - start) / step)) + 1)]
+
+
+def ridge_by_gene_block(features: DataFrame, targets: DataFrame, alphas: Sequence[float], most_rows: int = 20_000, block: int = 64) -> DataFrame:
+    """(gene_symbol, alpha, val_error, weights array<double>, intercept): for every gene the penalty that errs least on the validation rows (ties: the larger penalty).
+
+    ``features`` (row_id, part train|val, x array<double>) is small by nature (one row per condition, at most ``most_rows``) and goes to every task once; ``targets`` (row_id, gene_symbol, y)
+    is split into blocks of genes, and a task holds one block's matrix at a time. A missing target is 0. Genes are fitted apart from each other, so results do not depend on the blocks."""
+    n = features.limit(most_rows + 1).count()
+    if n > most_rows:
+        raise ValueError(f"more than {most_rows} feature rows")
+    table = features.orderBy("row_id").toPandas()
+    held = targets.sparkSession.sparkContext.broadcast((table["row_id"].tolist(), np.stack(table["x"].to_numpy()) if n else np.zeros((0, 1)), (table["part"] == "val").to_numpy()))
+    alphas = sorted(alphas)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, val = held.value
+        at = {r: i for i, r in enumerate(ids)}
+        genes = sorted(pdf["gene_symbol"].unique())
+        col = {g: j for j, g in enumerate(genes)}
+        y = np.zeros((len(ids), len(genes)))
+        for r, g, v in zip(pdf["row_id"], pdf["gene_symbol"], pdf["y"]):
+            if r in at:
+                y[at[r], col[g]] = v
+        path = RidgePath(x[~val], alphas)
+        w, centre = path.coefficients(y[~val])
+        zv = path.standardise(x[val])
+        errors = np.stack([((zv @ w[k] + centre - y[val]) ** 2).mean(axis=0) if val.any() else np.zeros(len(genes)) for k in range(len(alphas))])
+        best = len(alphas) - 1 - np.argmin(np.round(errors[::-1], 12), axis=0)
+        out = []
+        for j, g in enumerate(genes):
+            full = np.zeros(x.shape[1])
+            full[path.kept] = w[best[j], :, j] / path.sd
+            out.append((g, alphas[best[j]], float(errors[best[j], j]), full.tolist(), float(centre[j] - full @ path.mean)))
+        return pd.DataFrame(out, columns=["gene_symbol", "alpha", "val_error", "weights", "intercept"])
+
+    blocks = targets.withColumn("block", F.pmod(F.xxhash64("gene_symbol"), F.lit(block)))
+    return blocks.groupBy("block").applyInPandas(solve, "gene_symbol string, alpha double, val_error double, weights array<double>, intercept double")
+
+
+def ridge_predict(coefficients: DataFrame, features: DataFrame) -> DataFrame:
+    """(row_id, gene_symbol, predicted) by stored weights; all in the JVM."""
+    dot = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    packed = features.select("row_id", "x").withColumn("k", F.lit(1))
+    return coefficients.withColumn("k", F.lit(1)).join(F.broadcast(packed), "k").select("row_id", "gene_symbol", (dot + F.col("intercept")).alias("predicted"))
+
+
+def perceptron(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 200, rate: float = 1e-3, decay: float = 1e-4, patience: int = 5, seed: int = 0, val: np.ndarray | None = None):
+    """A two-layer perceptron with early stopping for one task's block of targets (numpy); gives a function of new feature rows."""
+    rng = np.random.default_rng(seed)
+    w = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), (hidden, y.shape[1])), np.zeros(y.shape[1])]
+    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
+    train = np.ones(len(x), bool) if val is None else ~val
+    forward = lambda q, p: np.maximum(q @ p[0] + p[1], 0) @ p[2] + p[3]
+    best, kept, waited, step = np.inf, [p.copy() for p in w], 0, 0
+    for _ in range(epochs):
+        for rows in np.array_split(rng.permutation(np.flatnonzero(train)), max(1, train.sum() // 256)):
+            h = np.maximum(x[rows] @ w[0] + w[1], 0)
+            d = 2 * (h @ w[2] + w[3] - y[rows]) / max(1, y[rows].size)
+            back = (d @ w[2].T) * (h > 0)
+            step += 1
+            for i, g in enumerate((x[rows].T @ back, back.sum(0), h.T @ d, d.sum(0))):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                w[i] -= rate * (m[i] / (1 - 0.9**step) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8) + decay * w[i])
+        error = float(((forward(x[~train], w) - y[~train]) ** 2).mean()) if (~train).any() else float(((forward(x, w) - y) ** 2).mean())
+        if error < best - 1e-12:
+            best, kept, waited = error, [p.copy() for p in w], 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return lambda q: forward(q, kept)
+
+
