@@ -63,6 +63,8 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, float], caps: Mapping[str, i
 
     Source weights come out exactly (as far as caps allow), language and topic weights as near to the pool's shares as the caps leave them."""
     cells = cells.reset_index(drop=True)
+    if cells.empty:
+        return cells.assign(weight=0.0, rate=0.0)
     have = cells["tokens"].to_numpy(float)
     cap = cells["source"].map(caps).to_numpy(float)
     pool = cells.groupby("source")["tokens"].sum()

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.session import materialize
+
 STATE = "n bigint, lo double, hi double, spread double, levels array<array<double>>"
 
 
@@ -132,9 +134,11 @@ def merge(states: DataFrame, names: Sequence[str], k: int = 1024, seed: int = 7,
     States of up to ``fan_in`` partitions are merged at a time, one after the other as they arrive ordered by group; the depth follows from the number of partitions, so no group is ever gathered whole.
     """
     fields = {f.name: f for f in states.schema.fields}
-    width = states.rdd.getNumPartitions()
     if "part" not in fields:
-        states = states.withColumn("part", F.spark_partition_id())
+        states = states.withColumn("part", F.pmod(F.xxhash64("n", "lo", "hi"), F.lit(fan_in)).cast("int"))
+    # states are few and small; written once, they are not made again for the levels above
+    states = materialize(states.select(*names, "n", "lo", "hi", "spread", "levels", "part"), "percentile-states")
+    width = (states.agg(F.max("part")).first()[0] or 0) + 1
     keys = [fields[n] for n in names]
     schema = T.StructType([*keys, *T._parse_datatype_string(STATE).fields, T.StructField("part", T.IntegerType())])
 
@@ -163,7 +167,7 @@ def merge(states: DataFrame, names: Sequence[str], k: int = 1024, seed: int = 7,
     def level(df: DataFrame) -> DataFrame:
         return df.repartition(*names, "part").sortWithinPartitions(*names, "part", F.desc("n"), "lo", "hi", "spread").mapInPandas(together, schema)
 
-    step = states.select(*names, "n", "lo", "hi", "spread", "levels", "part")
+    step = states
     while width > fan_in:
         step = level(step.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")))
         width = math.ceil(width / fan_in)
