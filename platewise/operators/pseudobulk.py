@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
@@ -31,25 +31,35 @@ def sums_per_well(cells: DataFrame, markers: Sequence[int] = MARKERS) -> DataFra
     return pairs.filter(F.col("gene").isNotNull() & F.col("amount").isNotNull() & ~F.col("gene").isin(list(markers))).groupBy(*WELL, "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
 
 
+def _profiles(totals: DataFrame, n_cells: DataFrame) -> DataFrame:
+    """(condition_id, gene, sum_counts, n_cells, library_size) from totals per (condition, gene) and cell numbers per condition.
+
+    Library sizes come from a second, tiny aggregation over the same exchange; with the cell numbers they form one small table per condition, so the long rows are
+    not shuffled again."""
+    counted = totals.select("condition_id", F.col("gene").cast("int").alias("gene"), S.whole_number(F.col("total"), F.concat_ws(" ", "condition_id", F.col("gene").cast("string"))).alias("sum_counts"))
+    sizes = counted.groupBy("condition_id").agg(F.sum("sum_counts").alias("library_size"))
+    per = sizes.join(n_cells, "condition_id")
+    return counted.join(per, "condition_id").select("condition_id", "gene", "sum_counts", "n_cells", "library_size")
+
+
 def pseudobulk(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     """(condition_id, gene, sum_counts, n_cells, library_size).
 
-    Sums are made per well before the lookup is joined, so the join sees one row per well and gene. A fractional sum raises. Cells of unlisted wells, or
-    without a full well key, belong to no condition. An empty table gives no rows."""
-    named = sums_per_well(cells).join(lookup, WELL).groupBy("condition_id", "gene").agg(F.sum("total").alias("total"))
-    counted = named.select("condition_id", F.col("gene").cast("int").alias("gene"), S.whole_number(F.col("total"), F.concat_ws(" ", "condition_id", F.col("gene").cast("string"))).alias("sum_counts"))
-    n_cells = cells_per_well(cells).join(lookup, WELL).groupBy("condition_id").agg(F.sum("n_cells").cast("int").alias("n_cells"))
-    sized = counted.withColumn("library_size", F.sum("sum_counts").over(Window.partitionBy("condition_id")))
-    return sized.join(n_cells, "condition_id").select("condition_id", "gene", "sum_counts", "n_cells", "library_size")
+    The lookup (one row per well) meets the cells before their arrays are unfolded, so unlisted cells never are, and one map-side combined shuffle by (condition, gene) makes the
+    sums. A fractional sum raises. Cells of unlisted wells, or without a full well key, belong to no condition. An empty table gives no rows."""
+    named = cells.join(lookup, WELL)
+    pairs = named.select("condition_id", F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount"))))
+    kept = pairs.filter(F.col("gene").isNotNull() & F.col("amount").isNotNull() & ~F.col("gene").isin(list(MARKERS)))
+    totals = kept.groupBy("condition_id", "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
+    n_cells = named.groupBy("condition_id").agg(F.count(F.lit(1)).cast("int").alias("n_cells"))
+    return _profiles(totals, n_cells)
 
 
 def merge_partials(partial_sums: DataFrame, partial_cells: DataFrame, lookup: DataFrame) -> DataFrame:
     """The same from stored partial sums and cell numbers of separate ingests; sums commute, so any order and number of partials will do."""
-    named = partial_sums.join(lookup, WELL).groupBy("condition_id", "gene").agg(F.sum("total").alias("total"))
-    counted = named.select("condition_id", F.col("gene").cast("int").alias("gene"), S.whole_number(F.col("total"), F.col("condition_id")).alias("sum_counts"))
+    totals = partial_sums.join(lookup, WELL).groupBy("condition_id", "gene").agg(F.sum("total").alias("total"))
     n_cells = partial_cells.join(lookup, WELL).groupBy("condition_id").agg(F.sum("n_cells").cast("int").alias("n_cells"))
-    sized = counted.withColumn("library_size", F.sum("sum_counts").over(Window.partitionBy("condition_id")))
-    return sized.join(n_cells, "condition_id").select("condition_id", "gene", "sum_counts", "n_cells", "library_size")
+    return _profiles(totals, n_cells)
 
 
 def cpm(bulk: DataFrame) -> DataFrame:

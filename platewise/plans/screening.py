@@ -159,7 +159,7 @@ def cpm(spark, sf):
     a AS (SELECT v.* FROM v SEMI JOIN pairs USING (condition_id)), b AS (SELECT pairs.condition_id, gene, cpm FROM pairs JOIN v ON v.condition_id = pairs.control_condition_id),
     j AS (SELECT coalesce(a.condition_id, b.condition_id) AS condition_id, coalesce(a.gene, b.gene) AS gene, ln(1 + coalesce(a.cpm, 0)) - ln(1 + coalesce(b.cpm, 0)) AS x
       FROM a FULL OUTER JOIN b ON a.condition_id = b.condition_id AND a.gene = b.gene)
-    SELECT condition_id, control_condition_id, gene, round(x, 4) AS logfc FROM j JOIN pairs USING (condition_id)""")
+    SELECT condition_id, control_condition_id, gene, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS logfc FROM j JOIN pairs USING (condition_id)""")
 def logfc(spark, sf):
     out = pseudobulk.log_fold_changes(_bulk(spark, sf), _checked(spark, sf))
     return out.withColumn("logfc", F.round(F.col("logfc").cast("double"), 4))
