@@ -46,7 +46,7 @@ class Forest:
 
 
 #: Nodes a task's forest may hold; a fuller one is sent on and a new one begun, which only leaves more to merge.
-HELD_NODES = 3_000_000
+HELD_NODES = 400_000
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,7 @@ def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from links(forest)
 
 
-def components(links: DataFrame, fan_in: int = 8, task_links: int = 2_000_000) -> DataFrame:
+def components(links: DataFrame, fan_in: int = 8, task_links: int = 500_000) -> DataFrame:
     """(``node``, ``component``) for every node of ``links`` (string columns ``a``, ``b``); the component's name is its smallest node.
 
     Forests are merged within tasks only while they average at most ``task_links`` links a task; beyond that star steps take over.
@@ -188,7 +188,7 @@ def torn_units(delivered: DataFrame, scope: list[str]) -> DataFrame:
     record links to nothing, repeated rows change nothing; an empty table gives no rows."""
     rows = delivered.filter("part is not null and unit is not null and rec is not null").select(*scope, "rec", "unit", "part")
     # the unit's node sorts before its records' nodes, so it names the component
-    head = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"})
+    head = F.concat_ws("~", *[F.coalesce(F.col(s).cast("string"), F.lit("\\N")) for s in scope])
     named = rows.withColumn("a", F.concat(F.lit("1|"), head, F.lit("|"), F.col("rec"))).withColumn("b", F.concat(F.lit("0|"), head, F.lit("|"), F.col("unit")))
     found = components(named.select("a", "b").distinct()).filter(F.col("node").startswith("1|"))
     parts = named.join(found, named["a"] == found["node"]).groupBy(*scope, "component").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("unit").alias("unit"))
