@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
 from platewise.functions.text import strip_blanks
+from platewise.operators.contracts import ContractError
 
 
 def gene_universe(dictionary: DataFrame, panel_symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,5 +127,18 @@ def dense_targets(values: DataFrame, conditions: DataFrame, genes: Sequence[str]
     return conditions.select("condition_id").distinct().join(packed, "condition_id", "left").select("condition_id", F.when(F.lit(len(order) > 0), filled).otherwise(F.array().cast("array<float>")).alias("y"))
 
 
-def unit_part(assigned: DataFrame, unit: Column) -> DataFrame:
-    return assigned.withColumn("unit", unit).filter("unit is not null")
+def de_candidates(view: DataFrame, lines: DataFrame, with_result: DataFrame) -> DataFrame:
+    """Conditions worth fetching differential expression for: treated, of an eligible line, features complete, with a result of their own."""
+    good = view.filter(~F.col("is_control") & F.coalesce(F.col("features_complete"), F.lit(False)))
+    return good.join(lines.select("cell_line"), "cell_line", "left_semi").join(with_result.select("condition_id"), "condition_id", "left_semi").select("condition_id", "cell_line")
+
+
+def slice_lines(screened: DataFrame, known: DataFrame, declared: Sequence[str] = ()) -> DataFrame:
+    """(cell_line, n_conditions, external_id): every screened line with its external id; a line without one must be declared, else :class:`ContractError`."""
+    counted = screened.filter("cell_line is not null").groupBy("cell_line").agg(F.count(F.lit(1)).alias("n_conditions"))
+    ids = known.filter("external_id is not null").groupBy("cell_line").agg(F.min("external_id").alias("external_id"))
+    out = counted.join(ids, "cell_line", "left")
+    missing = out.filter(F.col("external_id").isNull() & (~F.col("cell_line").isin(list(declared)) if declared else F.lit(True))).limit(3).collect()
+    if missing:
+        raise ContractError(f"lines without an external id that are not declared: {[r['cell_line'] for r in missing]}")
+    return out

@@ -89,5 +89,5 @@ def log_fold_changes(bulk: DataFrame, conditions: DataFrame) -> DataFrame:
 def zero_genes(bulk: DataFrame, vocabulary: DataFrame, first: int = 20) -> DataFrame:
     """One row: how many vocabulary genes no condition shows, and the first ones in order."""
     unseen = vocabulary.select("gene").distinct().join(bulk.select("gene").distinct(), "gene", "left_anti")
-    head = unseen.orderBy("gene").limit(first).agg(F.array_join(F.sort_array(F.collect_list("gene")).cast("array<string>"), ",").alias("first_genes"))
-    return unseen.agg(F.count(F.lit(1)).alias("n_zero_genes")).join(F.broadcast(head))
+    head = ",".join(str(r["gene"]) for r in unseen.orderBy("gene").limit(first).collect())
+    return unseen.agg(F.count(F.lit(1)).alias("n_zero_genes")).withColumn("first_genes", F.lit(head or None).cast("string"))

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.session import materialize
+
 #: Names of the working columns; input columns are renamed away from them, so tables may have columns of these names.
 _KEY, _ORDER = "__key", "__order"
 
@@ -64,11 +66,9 @@ def heavy_keys(df: DataFrame, fields: Mapping[str, Column], one_in: int, order:
         *[c.alias(f"o{i}") for i, c in enumerate(order)],
     )
     counted = count_by_key(long, F.col("kv"), [F.col(f"o{i}") for i in range(len(order))], partitions).select("key_value.field", "key_value.value", "n_rows")
+    # one row per value; written once, as it is read twice
+    counted = materialize(counted, "key-counts")
     # the number of rows is the sum of one field's groups, the null group included
-    total = counted.filter(F.col("field") == names[0]).agg(F.sum("n_rows").alias("total_rows"))
-    return (
-        counted.filter(F.col("value").isNotNull())
-        .join(F.broadcast(total))  # one row
-        .filter(F.col("n_rows") * one_in >= F.col("total_rows"))
-        .select(F.col("field").alias("key_field"), F.col("value").alias("key_value"), "n_rows", "total_rows")
-    )
+    total = counted.filter(F.col("field") == names[0]).agg(F.sum("n_rows")).first()[0] or 0
+    heavy = counted.filter(F.col("value").isNotNull() & (F.col("n_rows") * one_in >= total))
+    return heavy.select(F.col("field").alias("key_field"), F.col("value").alias("key_value"), "n_rows", F.lit(total).cast("long").alias("total_rows"))

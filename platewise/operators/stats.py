@@ -76,3 +76,20 @@ def model_table(summaries: DataFrame, splits: Sequence[str]) -> DataFrame:
     """Model x split table of ``estimate [low, high]`` texts; a missing pair is an empty text."""
     text = F.concat(F.format_number("estimate", 4), F.lit(" ["), F.format_number("ci_low", 4), F.lit(", "), F.format_number("ci_high", 4), F.lit("]"))
     return summaries.withColumn("t", text).groupBy("model").pivot("split", list(splits)).agg(F.first("t")).fillna("")
+
+
+def summary_documents(scores: DataFrame, metrics: Sequence[str], resamples: int = 200) -> DataFrame:
+    """(model, document): one JSON text per model with, for every metric, a list of {split, estimate, ci_low, ci_high, iqr_low, iqr_high, n_scored, n_nan, repeat_medians}."""
+    out = None
+    for metric in metrics:
+        value = F.when(S.finite(metric), F.col(metric))
+        medians = scores.groupBy("model", "split", "repeat").agg(F.median(value).alias("m")).groupBy("model", "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("repeat", "m"))), lambda r: r["m"]).alias("repeat_medians"))
+        counts = scores.groupBy("model", "split").agg(
+            F.percentile(value, F.lit(0.25)).alias("iqr_low"), F.percentile(value, F.lit(0.75)).alias("iqr_high"), F.count(value).alias("n_scored"), (F.count(F.lit(1)) - F.count(value)).alias("n_nan")
+        )
+        joined = counts.join(medians, ["model", "split"]).join(bootstrap_intervals(scores, ["model", "split"], metric, resamples), ["model", "split"], "left")
+        entry = F.struct("split", F.lit(metric).alias("metric"), "estimate", "ci_low", "ci_high", "iqr_low", "iqr_high", "repeat_medians", "n_scored", "n_nan")
+        one = joined.groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.union(one)
+    packed = out.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "entries")))).alias("summaries"))
+    return packed.select("model", F.to_json(F.struct("model", "summaries")).alias("document"))

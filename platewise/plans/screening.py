@@ -421,6 +421,22 @@ def forbidden_lines(spark, sf):
     return evaluation.forbidden_test_lines(_view(spark, sf), evaluation.eligible_lines(_conditions(spark, sf), _sets(spark, sf)))
 
 
+@query(f"WITH {_VIEW}, {_DE}, {_LINES} SELECT condition_id, cell_line FROM v SEMI JOIN el USING (cell_line) WHERE NOT is_control AND feature_gap IS NULL AND condition_id IN (SELECT condition_id FROM ds)")
+def de_candidates(spark, sf):
+    sets = _sets(spark, sf)
+    return evaluation.de_candidates(_view(spark, sf), evaluation.eligible_lines(_conditions(spark, sf), sets), sets)
+
+
+@query(f"""SELECT cell_line, n_conditions, external_id FROM (SELECT {_UP("cell_line")} AS cell_line, count(*) AS n_conditions FROM conditions WHERE cell_line IS NOT NULL GROUP BY 1)
+    LEFT JOIN (SELECT {_UP("cell_line")} AS cell_line, min(depmap_id) AS external_id FROM conditions WHERE depmap_id IS NOT NULL GROUP BY 1) USING (cell_line)""")
+def slice_lines(spark, sf):
+    c = _conditions(spark, sf)
+    known = c.select("cell_line", F.col("depmap_id").alias("external_id"))
+    # the delivered conditions state no list of declared gaps: lines without any id declare themselves
+    gaps = [r[0] for r in known.groupBy("cell_line").agg(F.max("external_id").alias("m")).filter("m is null and cell_line is not null").limit(1000).collect()]
+    return evaluation.slice_lines(c, known, gaps)
+
+
 def _draw_sql(unit: str, kind: str, name: str) -> str:
     return f"""{name}u AS (SELECT {unit} AS unit, repeat, md5(CAST(repeat AS VARCHAR) || '|{kind}|' || CAST({unit} AS VARCHAR)) AS h FROM (SELECT DISTINCT {unit} FROM tr WHERE {unit} IS NOT NULL),
         (SELECT CAST(unnest(range({REPEATS})) AS INTEGER) AS repeat)),
@@ -669,6 +685,21 @@ def tolerance_compare(spark, sf):
     return exports.compare_with_tolerance(m.filter("repeat = 0"), m.filter("repeat = 1"), ["split"], "m", 0.003)
 
 
+@query()
+def summary_documents(spark, sf):
+    return stats.summary_documents(_scores(spark, sf), ["de_pearson", "sign_accuracy"])
+
+
+@query(f"""WITH {_SC}, m AS (SELECT model, split, repeat, median(v) AS m FROM sc GROUP BY ALL), e AS (SELECT model, split, round(avg(m), 5) AS e FROM m GROUP BY ALL)
+    SELECT a.split, a.e AS neural, b.e AS ridge, CASE WHEN a.e - b.e > 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS verdict FROM e a JOIN e b ON a.split = b.split WHERE a.model = 'neural' AND b.model = 'ridge'""")
+def verdicts(spark, sf):
+    """Whether one model's median score beats another's, per split."""
+    per = _scores(spark, sf).groupBy("model", "split", "repeat").agg(F.median(F.when(S.finite("de_pearson"), F.col("de_pearson"))).alias("m")).groupBy("model", "split").agg(F.round(F.avg("m"), 5).alias("e"))
+    one = lambda m: per.filter(F.col("model") == m).select("split", F.col("e").alias(m))
+    both = one("neural").join(one("ridge"), "split").withColumns({"gain": F.col("neural") - F.col("ridge"), "loss": F.col("ridge") - F.col("neural")})
+    return both.select("split", "neural", "ridge", stats.verdict("gain", "loss").alias("verdict"))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Cross-check, lookup
 # ---------------------------------------------------------------------------------------------------------------------

@@ -96,6 +96,19 @@ def panel_symbols(columns: Sequence[str]) -> list[str]:
     return [c.rsplit(" (", 1)[0] for c in columns]
 
 
+SUMMARY = (
+    "model string, summaries map<string, array<struct<split:string, metric:string, estimate:double, ci_low:double, ci_high:double, iqr_low:double, iqr_high:double, "
+    "repeat_medians:array<double>, n_scored:bigint, n_nan:bigint>>>"
+)
+
+
+def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
+    """Summary documents (one JSON per model, any layout below ``pattern``) as rows (source_file, model, metric, split, estimate, ...)."""
+    docs = spark.read.schema(SUMMARY).option("multiLine", True).json(pattern).withColumn("source_file", F.input_file_name())
+    flat = docs.select("source_file", "model", F.explode("summaries").alias("metric", "entries"))
+    return flat.select("source_file", "model", "metric", F.explode("entries").alias("e")).select("source_file", "model", "metric", "e.split", "e.estimate", "e.ci_low", "e.ci_high", "e.iqr_low", "e.iqr_high", "e.repeat_medians", "e.n_scored", "e.n_nan")
+
+
 class ConfigError(ValueError):
     pass
 

@@ -165,3 +165,22 @@ def test_lookup_and_tolerance(spark):
     b = spark.createDataFrame([("x", 1.0001), ("y", 2.0), ("w", 1.0)], "k string, v double")
     assert sorted((r["k"], r["reason"]) for r in exports.compare_with_tolerance(a, b, ["k"], "v", 0.001).collect()) == [("w", "missing"), ("y", "differs"), ("z", "unexpected")]
     assert exports.markdown(b.limit(1)).startswith("| k | v |")
+
+
+def test_summary_documents_come_back(spark, tmp_path):
+    from platewise.sources import readers
+
+    s = spark.createDataFrame([(r, "s", f"c{i}", "m", float(i)) for r in (0, 1) for i in range(5)] + [(0, "s", "x", "m", math.nan)], "repeat int, split string, condition_id string, model string, v double")
+    stats.summary_documents(s, ["v"], 50).select("document").write.text(str(tmp_path / "out"))
+    row = readers.read_summaries(spark, str(tmp_path / "out")).first()
+    assert (row["model"], row["metric"], row["split"], row["estimate"], row["n_scored"], row["n_nan"], row["repeat_medians"]) == ("m", "v", "s", 2.0, 10, 1, [2.0, 2.0])
+
+
+def test_candidates_and_slice(spark):
+    view = spark.createDataFrame([("1", "L", False, True), ("2", "L", True, True), ("3", "L", False, False), ("4", "M", False, True), ("5", "L", False, True)], "condition_id string, cell_line string, is_control boolean, features_complete boolean")
+    have = spark.createDataFrame([("1",), ("4",)], "condition_id string")
+    assert rows(evaluation.de_candidates(view, spark.createDataFrame([("L",)], "cell_line string"), have)) == [("1", "L")]
+    known = spark.createDataFrame([("L", "x")], "cell_line string, external_id string")
+    with pytest.raises(ContractError):
+        evaluation.slice_lines(view, known)
+    assert rows(evaluation.slice_lines(view, known, ["M"])) == [("L", 4, "x"), ("M", 1, None)]
