@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.text import lower_key, split_key
@@ -54,8 +54,10 @@ def subject_topics(documents: DataFrame, topics: int = 8) -> tuple[list[str], Co
     found = F.array_distinct(F.filter(F.split(clean, r"[^\p{L}]+"), lambda w: F.length(w) > 3))
     top = documents.select(F.explode(found).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(topics)
     pivots = [r["w"] for r in top.collect()]
-    picked = F.element_at(F.filter(F.array(*map(F.lit, pivots)), lambda w: F.array_contains(found, w)), 1) if pivots else F.lit(None)
-    return pivots, F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, pivots)), lambda w: F.array_contains(found, w)), F.lit(1)) if pivots else picked, F.lit("other"))
+    if not pivots:
+        return [], F.lit("other")
+    first = F.try_element_at(F.filter(F.array(*map(F.lit, pivots)), lambda w: F.array_contains(found, w)), F.lit(1))
+    return pivots, F.coalesce(first, F.lit("other"))
 
 
 def rake(cells: pd.DataFrame, targets: Mapping[str, float], caps: Mapping[str, int], total: float | None = None, rounds: int = 200) -> pd.DataFrame:
@@ -143,10 +145,11 @@ def mix(
     )
     drawn = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_used"))
     there = pool.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
-    all_tokens = drawn.agg(F.sum("tokens").alias("all_tokens"))
+    every = Window.partitionBy(F.lit(1))  # the listed sources, MAX_CELLS at most
     zero = F.lit(0).cast("long")
     report = (
-        wanted.join(there, "source", "left").join(drawn, "source", "left").join(F.broadcast(all_tokens))
+        wanted.join(there, "source", "left").join(drawn, "source", "left")
+        .withColumn("all_tokens", F.sum("tokens").over(every))
         .select(
             "source", "target_share", "max_repeats", F.coalesce("tokens_available", zero).alias("tokens_available"), F.coalesce("tokens", zero).alias("tokens"),
             F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_used", F.lit(0)).alias("most_used"),
