@@ -2,7 +2,8 @@
 
 Grouping is a distributed union-find. Every partition of links builds its own forest and sends on one link per node that is not a root; forests of
 neighbouring partitions are merged, ``fan_in`` at a time, as long as a merged forest stays within ``task_links``. What is still apart then (only for graphs
-whose forests outgrow a task) is joined by alternating large-star and small-star steps, which are plain joins and aggregations. Nothing is gathered whole.
+whose forests outgrow a task) is joined by alternating large-star and small-star steps, which are plain joins and aggregations. Before
+that, every level contracts the graph to the roots that met in some node. Nothing is gathered whole.
 
 Parts are assigned greedily, largest group first, to the part furthest below its target. Groups of equal size are interchangeable, so
 the decision runs on the histogram of sizes (at most sqrt(2 * records) rows) in closed form, and groups draw their part by a hashed order within their size.
@@ -46,7 +47,7 @@ class Forest:
 
 
 #: Nodes a task's forest may hold; a fuller one is sent on and a new one begun, which only leaves more to merge.
-HELD_NODES = 400_000
+HELD_NODES = 600_000
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,17 +73,37 @@ def components(links: DataFrame, fan_in: int = 8, task_links: int = 500_000) ->
     Forests are merged within tasks only while they average at most ``task_links`` links a task; beyond that star steps take over.
 
     A link of a node to itself makes it a component of its own. Links with a null end are left out; repeated links change nothing."""
+    if task_links > HELD_NODES:
+        raise ValueError(f"task_links may be {HELD_NODES} at most")
     links = links.filter("a is not null and b is not null")
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     forest = materialize(links.filter("a <> b").mapInPandas(_local_forest, "a string, b string"), "forest")
+    stars = _merge(forest, fan_in, task_links)
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def _merge(forest: DataFrame, fan_in: int, task_links: int) -> DataFrame:
+    """Local forests (a, b: a's root in some task) merged into stars (a, b: the smallest node of a's component); one row per node that is not its component's root.
+
+    A forest that outgrows the tasks is contracted: nodes take their smallest root, and only the roots that met in some node go on, as a smaller graph, to the next level."""
     count, width = forest.count(), forest.rdd.getNumPartitions()
-    while width > 1 and count <= task_links * max(1, width // fan_in):
+    while count <= task_links * max(1, width // fan_in):
         width = max(1, width // fan_in)
         # each task merges its share of the forests of the level below
         forest = materialize(forest.coalesce(width).mapInPandas(_local_forest, "a string, b string"), "forest")
+        if width == 1:
+            return forest
         count = forest.count()
-    stars = forest if width == 1 else _stars(forest)
-    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    per = materialize(forest.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("n")), "forest-roots")
+    met = forest.join(per.filter("m <> n").select("a", "m"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    chained = per.join(forest.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", F.col("m").alias("b"))
+    rest = materialize(met.union(chained).distinct(), "forest-rest")
+    left = rest.count()
+    if left == 0:
+        return per.select("a", F.col("m").alias("b"))
+    top = _stars(rest) if left > 0.7 * count else _merge(materialize(rest.mapInPandas(_local_forest, "a string, b string"), "forest"), fan_in, task_links)
+    labelled = per.select("a", "m").join(top.select(F.col("a").alias("m"), F.col("b").alias("up")), "m", "left").select("a", F.coalesce("up", "m").alias("b"))
+    return labelled.union(top.select("a", "b")).groupBy("a").agg(F.min("b").alias("b"))
 
 
 def _stars(forest: DataFrame, rounds: int = 60) -> DataFrame:

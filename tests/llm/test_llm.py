@@ -83,12 +83,18 @@ def brute_components(links):
     return {x: find(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("task_links", [2_000_000, 0])
-def test_components_against_brute_force(spark, task_links):
-    rnd = random.Random(4)
+@pytest.mark.parametrize("task_links, packed, seed", [(500_000, False, 4), (500_000, True, 5), (0, False, 4), (0, False, 6), (100, False, 7), (0, True, 8)])
+def test_components_against_brute_force(spark, task_links, packed, seed):
+    rnd = random.Random(seed)
     links = [(f"n{rnd.randrange(300):03d}", f"n{rnd.randrange(300):03d}") for _ in range(170)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(80)] + [("hub", f"h{i:03d}") for i in range(60)] + [("self", "self")]
+    rnd.shuffle(links)
     df = spark.createDataFrame(links + links[:20] + [(None, "x")], "a string, b string").repartition(6)
-    assert dict(rows(related.components(df, fan_in=2, task_links=task_links))) == brute_components(links)
+    if packed:  # all files of a level read by one task
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        assert dict(rows(related.components(df, fan_in=2, task_links=task_links))) == brute_components(links)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
     assert related.components(df.limit(0)).count() == 0
 
 
