@@ -15,6 +15,12 @@ from platewise.operators.conditions import WELL
 MARKERS = (1,)
 
 
+def spread(cells: DataFrame) -> DataFrame:
+    """A table of few, large splits over all cores before its arrays are unfolded; one with enough splits is left as it is (no shuffle at scale)."""
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    return cells.repartition(cores) if cells.rdd.getNumPartitions() < cores else cells
+
+
 def clean_cells(cells: DataFrame) -> DataFrame:
     """Cells with even spelling of their well; only what later steps read."""
     return cells.select(lower_key("sample").alias("sample"), plate_key("plate").alias("plate"), upper_key("cell_line").alias("cell_line"), "genes", "expressions")

@@ -67,7 +67,7 @@ _BASE = f"WITH {_C}, {_SUMS}, {_W}, {_PB}, {_CQ}"
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return pseudobulk.clean_cells(table(spark, sf, "shard_cells"))
+    return pseudobulk.clean_cells(pseudobulk.spread(table(spark, sf, "shard_cells")))
 
 
 def _lookup(spark: SparkSession, sf: str) -> DataFrame:
