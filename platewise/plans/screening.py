@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platewise.functions import scalars as S
 from platewise.functions.text import lower_key, plate_key, split_key, sql_plate, sql_strip, strip_blanks, upper_key
 from platewise.operators import conditions as C
-from platewise.operators import contracts, crosscheck, evaluation, exports, features, metrics, models, pseudobulk, quality, stats
+from platewise.operators import contracts, crosscheck, evaluation, exports, features, harness, metrics, models, pseudobulk, quality, stats
 from platewise.session import materialize, shared_dir, table
 from platewise.sources import readers
 from platewise.streaming import ingest
@@ -636,6 +636,36 @@ def farthest_condition(spark, sf):
     return metrics.farthest(_pairs(spark, sf), _sets(spark, sf)).withColumn("distance", F.round("distance", 5))
 
 
+# ---------------------------------------------------------------------------------------------------------------------
+# All genes, repeats and splits
+# ---------------------------------------------------------------------------------------------------------------------
+
+
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
+    c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select(*models.KEYS)
+    runs = materialize(evaluation.make_splits(_treated(spark, sf), REPEATS).join(c, "condition_id"), "runs")
+    genes = materialize(gene_universe(spark, sf).select("gene_symbol"), "universe")
+    values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")
+    sets = evaluation.de_sets(table(spark, sf, "de_sets"), genes)
+    return runs, materialize(values, "values"), materialize(sets, "sets"), genes
+
+
+def _harness(model: str):
+    def scores(spark, sf):
+        runs, values, sets, genes = _runs(spark, sf)
+        told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
+        return harness.score(told, predicted, values, sets, genes)
+
+    scores.__name__ = f"harness_{model}"
+    scores.__doc__ = f"Scores of {model} for the test conditions of every repeat and split, over all genes."
+    return scores
+
+
+for _model in harness.MODELS:
+    query()(_harness(_model))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Scores
 # ---------------------------------------------------------------------------------------------------------------------
