@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
@@ -25,12 +25,14 @@ def score_summary(scores: DataFrame, metric: str, places: int = 6) -> DataFrame:
 def bootstrap_intervals(scores: DataFrame, keys: Sequence[str], metric: str, resamples: int = 2000, interval: float = 0.95, seed: int = 20260927, block: int = 50) -> DataFrame:
     """(keys..., estimate, ci_low, ci_high): interval of the mean over repeats of medians, conditions resampled within their repeat.
 
-    Resamples are drawn in ``block``-sized tasks (group, repeat, block), seeded by the group, so the result does not depend on the partitioning. A repeat's values must fit a task (one row
-    per condition)."""
-    value = F.col(metric)
-    rows = scores.filter(S.finite(metric)).select(*keys, "repeat", value.alias("v"))
-    packed = rows.groupBy(*keys, "repeat").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    tasks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block))))
+    Of a resample only its middle values matter, so their places are drawn: the k-th smallest of n uniform draws is Beta(k, n - k + 1), the next one the smallest of the n - k draws above it. That is the
+    distribution of drawing all n, at the same cost for any n. Draws are made in ``block``-sized tasks (group, repeat, block), seeded by the group, so the result does not depend on the
+    partitioning; the values stay rows, numbered within their repeat."""
+    group = [*keys, "repeat"]
+    rows = scores.filter(S.finite(metric)).select(*group, F.col(metric).cast("double").alias("v"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("v")).cast("long") - 1)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    tasks = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block))))
     fields = ", ".join(f"{k} {scores.schema[k].dataType.simpleString()}" for k in keys)
 
     def draw(batches):
@@ -38,20 +40,21 @@ def bootstrap_intervals(scores: DataFrame, keys: Sequence[str], metric: str, res
             out = []
             for row in pdf.itertuples(index=False):
                 r = row._asdict()
-                v = np.asarray(r["vs"], dtype=float)
-                name = "|".join(str(r[k]) for k in keys) + f"|{r['repeat']}|{r['block']}"
-                rng = np.random.default_rng([seed, *name.encode()])
-                n = min(block, resamples - r["block"] * block)
-                # medians from order statistics of the drawn places: values are sorted, so places sort like values
-                places = np.sort(rng.integers(0, len(v), size=(n, len(v))), axis=1)
-                mid = (v[places[:, (len(v) - 1) // 2]] + v[places[:, len(v) // 2]]) / 2
-                out.extend((*[r[k] for k in keys], int(r["repeat"]), int(r["block"] * block + i), float(m)) for i, m in enumerate(mid))
-            yield pd.DataFrame(out, columns=[*keys, "repeat", "draw", "m"])
-
-    draws = tasks.repartition(*keys, "repeat", "block").mapInPandas(draw, f"{fields}, repeat int, draw int, m double").groupBy(*keys, "draw").agg(F.avg("m").alias("m"))
+                n, first = int(r["n"]), int(r["block"]) * block
+                rng = np.random.default_rng([seed, *("|".join(str(r[k]) for k in keys) + f"|{r['repeat']}|{r['block']}").encode()])
+                many, k = min(block, resamples - first), (n + 1) // 2
+                low = rng.beta(k, n - k + 1, many)
+                high = low if n % 2 else 1 - (1 - low) * rng.random(many) ** (1 / (n - k))
+                for i, pair in enumerate(zip(*(np.minimum((u * n).astype(np.int64), n - 1) for u in (low, high)))):
+                    out.extend((*[r[x] for x in keys], int(r["repeat"]), first + i, int(p)) for p in pair)
+            yield pd.DataFrame(out, columns=[*group, "draw", "place"])
+
+    drawn = tasks.repartition(*group, "block").mapInPandas(draw, f"{fields}, repeat int, draw int, place long")
+    draws = drawn.join(placed, [*group, "place"]).groupBy(*group, "draw").agg(F.avg("v").alias("m")).groupBy(*keys, "draw").agg(F.avg("m").alias("m"))
     alpha = (1 - interval) / 2
     bounds = draws.groupBy(*keys).agg(F.percentile("m", F.lit(alpha)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha)).alias("ci_high"))
-    estimate = packed.select(*keys, "repeat", F.expr("(vs[int((size(vs) - 1) / 2)] + vs[int(size(vs) / 2)]) / 2").alias("m")).groupBy(*keys).agg(F.avg("m").alias("estimate"))
+    middle = placed.join(sizes, group).filter((F.col("place") == F.floor((F.col("n") - 1) / 2)) | (F.col("place") == F.floor(F.col("n") / 2)))
+    estimate = middle.groupBy(*group).agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.avg("m").alias("estimate"))
     return estimate.join(bounds, list(keys))
 
 
@@ -78,7 +81,7 @@ def model_table(summaries: DataFrame, splits: Sequence[str]) -> DataFrame:
     return summaries.withColumn("t", text).groupBy("model").pivot("split", list(splits)).agg(F.first("t")).fillna("")
 
 
-def summary_documents(scores: DataFrame, metrics: Sequence[str], resamples: int = 200) -> DataFrame:
+def summary_documents(scores: DataFrame, metrics: Sequence[str], resamples: int = 2000) -> DataFrame:
     """(model, document): one JSON text per model with, for every metric, a list of {split, estimate, ci_low, ci_high, iqr_low, iqr_high, n_scored, n_nan, repeat_medians}."""
     out = None
     for metric in metrics:

@@ -415,6 +415,14 @@ def scoring_exclusions(spark, sf):
     return reasons.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def scoring_exclusions_20(spark, sf):
+    """scoring_exclusions at the reference's least number of DE genes."""
+    sets = _sets(spark, sf)
+    reasons = evaluation.scoring_reasons(_view(spark, sf), evaluation.eligible_lines(_conditions(spark, sf), sets), sets)
+    return reasons.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {_VIEW}, {_DE}, {_LINES} SELECT DISTINCT cell_line FROM v WHERE cell_line IS NOT NULL AND (cell_line NOT IN (SELECT cell_line FROM el WHERE cell_line IS NOT NULL))
     UNION SELECT cell_line FROM v WHERE NOT is_control AND feature_gap IS NOT NULL""")
 def forbidden_lines(spark, sf):
@@ -692,7 +700,7 @@ def model_table(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_intervals(_scores(spark, sf), ["model", "split"], "de_pearson", resamples=200)
+    return stats.bootstrap_intervals(_scores(spark, sf), ["model", "split"], "de_pearson")
 
 
 @query(f"""WITH {_SC}, a AS (SELECT repeat, split, condition_id, min(v) AS a FROM sc WHERE model = 'neural' AND v IS NOT NULL GROUP BY ALL), b AS (SELECT repeat, split, condition_id, min(v) AS b FROM sc WHERE model = 'ridge' AND v IS NOT NULL GROUP BY ALL)
@@ -703,7 +711,7 @@ def paired_diff(spark, sf):
 
 @query()
 def paired_ci(spark, sf):
-    return stats.with_no_difference(stats.bootstrap_intervals(stats.paired_differences(_scores(spark, sf), "neural", "ridge", "de_pearson"), ["split"], "difference", resamples=200))
+    return stats.with_no_difference(stats.bootstrap_intervals(stats.paired_differences(_scores(spark, sf), "neural", "ridge", "de_pearson"), ["split"], "difference"))
 
 
 @query(f"""WITH {_SC}, m AS (SELECT split, repeat, median(v) AS m FROM sc GROUP BY 1, 2), a AS (SELECT split, m AS g FROM m WHERE repeat = 0), b AS (SELECT split, m AS w FROM m WHERE repeat = 1)
