@@ -731,13 +731,25 @@ def summary_documents(spark, sf):
 @query(f"""WITH {_SC}, m AS (SELECT model, split, repeat, median(v) AS m FROM sc GROUP BY ALL), e AS (SELECT model, split, round(avg(m), 5) AS e FROM m GROUP BY ALL)
     SELECT a.split, a.e AS neural, b.e AS ridge, CASE WHEN a.e - b.e > 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS verdict FROM e a JOIN e b ON a.split = b.split WHERE a.model = 'neural' AND b.model = 'ridge'""")
 def verdicts(spark, sf):
-    """Whether one model's median score beats another's, per split."""
+    """Whether one model's median score is above another's, per split, without an interval; claim_verdicts has the reference's rule."""
     per = _scores(spark, sf).groupBy("model", "split", "repeat").agg(F.median(F.when(S.finite("de_pearson"), F.col("de_pearson"))).alias("m")).groupBy("model", "split").agg(F.round(F.avg("m"), 5).alias("e"))
     one = lambda m: per.filter(F.col("model") == m).select("split", F.col("e").alias(m))
     both = one("neural").join(one("ridge"), "split").withColumns({"gain": F.col("neural") - F.col("ridge"), "loss": F.col("ridge") - F.col("neural")})
     return both.select("split", "neural", "ridge", stats.verdict("gain", "loss").alias("verdict"))
 
 
+@query()
+def claim_verdicts(spark, sf):
+    """Whether neural beats ridge, per split: the paired interval of de_pearson lies above 0 and the paired de_mse is lower.
+
+    per_condition has no discrimination rank, so de_mse is the second metric, lower being better as well."""
+    scores = _scores(spark, sf)
+    paired = lambda metric: stats.bootstrap_intervals(stats.paired_differences(scores, "neural", "ridge", metric), ["split"], "difference")
+    de = paired("de_pearson").select("split", F.col("estimate").alias("de_pearson"), F.col("ci_low").alias("de_low"), F.col("ci_high").alias("de_high"))
+    both = de.join(paired("de_mse").select("split", F.col("estimate").alias("de_mse"), F.col("ci_low").alias("mse_low"), F.col("ci_high").alias("mse_high")), "split", "left")
+    return both.withColumn("verdict", stats.verdict("de_low", "de_mse"))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Cross-check, lookup
 # ---------------------------------------------------------------------------------------------------------------------
