@@ -156,7 +156,7 @@ def _collect(header: str, body: str, parts: list[tuple[str, str]], depth: int) -
         return
     charset = m.group(1) if (m := _CHARSET.search(fields.get("content-type", ""))) else None
     shown = _mend(_decode_body(body, fields.get("content-transfer-encoding", "").lower(), charset)).replace("\r\n", "\n").replace("\r", "\n")
-    is_html = kind.startswith("text/html") or (not kind.startswith("text/plain") and _LOOKS_HTML.search(shown[:400]) is not None)
+    is_html = kind.startswith("text/html") or (not kind.startswith("text/plain") and _LOOKS_HTML.search(shown) is not None)
     parts.append(("html" if is_html else "plain", shown))
 
 

@@ -213,7 +213,7 @@ def read_documents(documents: DataFrame) -> DataFrame:
                 tokens, n, field, bare, seen = marks(raw if isinstance(raw, str) else None)
                 # for the n-grams a word counts once and very long mails by their vocabulary, so a row stays small whatever the text's length
                 host = sender.rpartition("@")[2].strip().lower() if isinstance(sender, str) else ""
-                title = re.findall(r"\w+", subject.casefold())[:40] if isinstance(subject, str) else []
+                title = re.findall(r"\w+", subject.casefold()) if isinstance(subject, str) else []
                 grams = list(dict.fromkeys(tokens)) + list(dict.fromkeys(f"{a} {b}" for a, b in zip(tokens, tokens[1:])))
                 rows.append((doc, host, grams, title, n, field, bare, seen))
             yield pd.DataFrame(rows, columns=["doc_id", "host", "tokens", "title", "n_words", "field", "bare", "seen"])
