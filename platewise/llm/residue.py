@@ -80,6 +80,11 @@ _PLACEHOLDER = re.compile(
     r"(?i)lorem ipsum|(?:your|votre|ihr|su) (?:text|texte|texto)\b.{0,12}(?:here|ici|hier|aquí)|click to edit|headline of the section|only a sample|dummy copy|body copy to follow|write something here|"
     r"add a description in|d'exemple à remplacer|de muestra|blindtext, bitte|überschrift einfügen|texto de relleno|insert (?:text|title) here"
 )
+#: Words of the standard filler paragraph.
+_LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip "
+    "ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _TOKEN = re.compile(r"[^\W_]+|[{}\[\]<>%@#*|«»`_]{2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -147,7 +152,8 @@ def read_own_part(raw: str | None) -> OwnPart:
                 continue
             if first:
                 first = False
-                if _GREETING.match(bare) or (len(bare) < 30 and bare[-1] in ",:") or (len(bare.split()) <= 3 and bare.istitle()) or bare == "Nightly report":
+                named = (len(bare) < 30 and bare[-1] in ",:") or (len(bare.split()) <= 3 and bare.istitle())
+                if _GREETING.match(bare) or (named and not _is_residue(bare)):
                     field = field or _unfilled(bare)
                     continue
             if signed and len(bare) < 60 and bare[-1] not in ".!?" and len(bare.split()) <= 6:
@@ -169,8 +175,20 @@ def read_own_part(raw: str | None) -> OwnPart:
     return OwnPart(sentences, field)
 
 
+def _is_latin(sentence: str) -> bool:
+    """Whether nearly all words are those of the standard filler paragraph."""
+    w = _LETTERS.findall(sentence.casefold())
+    return len(w) >= 4 and sum(x in _LATIN for x in w) >= 0.8 * len(w)
+
+
+def _is_repeated(sentences: list[str]) -> bool:
+    """One sentence over and over; two that alternate must come more often than alternative parts of one mail repeat them."""
+    distinct = {" ".join(_LETTERS.findall(s.casefold())) for s in sentences if not _NUMERIC_LINE.match(s)}
+    return (len(sentences) >= 4 and len(distinct) == 1) or (len(sentences) >= 8 and len(distinct) == 2)
+
+
 def _is_residue(sentence: str) -> bool:
-    return bool(_STATUS.search(sentence) or _ERROR.search(sentence) or _SCRIPT.search(sentence) or _CONTROL.match(sentence) or _PLACEHOLDER.search(sentence))
+    return _is_latin(sentence) or bool(_STATUS.search(sentence) or _ERROR.search(sentence) or _SCRIPT.search(sentence) or _CONTROL.match(sentence) or _PLACEHOLDER.search(sentence))
 
 
 def is_ordinary(sentence: str) -> bool:
@@ -185,17 +203,15 @@ def _is_filler(sentences: list[str]) -> bool:
 
 
 def marks(raw: str | None) -> tuple[list[str], int, bool, bool, bool]:
-    """(words, number of words, field left unfilled, no ordinary sentence, residue phrase or status or filler seen) of a mail's own part.
+    """(words, number of words, field left unfilled, no ordinary sentence or one repeated, residue phrase or status or filler seen) of a mail's own part.
 
-    The last is looked for only where there is no ordinary sentence."""
+    Phrases are looked for only where there is no ordinary sentence; repetition counts whatever is repeated."""
     own = read_own_part(raw)
     tokens = _TOKEN.findall(" ".join(own.sentences).casefold())
-    plain = bool(own.sentences) and not any(map(is_ordinary, own.sentences))
-    seen = False
-    if plain:
-        distinct = set(own.sentences)
-        repeated = len(own.sentences) >= 4 and len(distinct) <= 2 and len(tokens) <= 120
-        seen = repeated or any(map(_is_residue, own.sentences)) or _is_filler([s for s in own.sentences if not _NUMERIC_LINE.match(s)])
+    seen = _is_repeated(own.sentences)
+    plain = seen or (bool(own.sentences) and not any(map(is_ordinary, own.sentences)))
+    if plain and not seen:
+        seen = (len(own.sentences) >= 4 and len(set(own.sentences)) <= 2) or any(map(_is_residue, own.sentences)) or _is_filler([s for s in own.sentences if not _NUMERIC_LINE.match(s)])
     return tokens, len(tokens), own.field, plain, seen
 
 

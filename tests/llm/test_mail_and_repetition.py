@@ -13,3 +13,27 @@ def test_all_subject_words_are_read(spark):
     subject = " ".join(f"w{i}" for i in range(60))
     d = spark.createDataFrame([("1", "Subject: x\n\nHello", "a@b", subject)], "doc_id string, text string, from_addr string, subject string")
     assert residue.read_documents(d).first()["title"] == subject.split()
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris "
+    "nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. "
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+def found(body):
+    _, _, field, bare, seen = residue.marks("Content-Type: text/plain\n\n" + body)
+    return field or (bare and seen)
+
+
+def test_repetition_and_filler_count_with_function_words():
+    assert found("The quick brown fox jumps over the lazy dog. " * 20)
+    assert found(LOREM) and found(LOREM * 9)
+    assert not found("The lorem ipsum on page two is still there. Please replace it with the text that I sent you.")
+    assert not found("We met on Monday. The plan is fine with us. " * 3)
+
+
+def test_a_status_in_title_case_is_no_greeting():
+    assert all(map(found, ("403 Forbidden", "504 Gateway Timeout", "Loading...")))
+    assert not found("Anna Meier\n\nThe plan is fine with us.")
