@@ -2,9 +2,12 @@
 
 1. The two clustering keys (plate, sample) are mapped to coordinates of a 2^order x 2^order grid, and the grid cell to its place on the Hilbert
    curve, so that rows of one plate, and of one sample, lie close together.
-2. An exact histogram of the codes (bounded by 4^order rows) is accumulated along the curve; every code gets its stretch of the output files. A code with more rows
+2. An exact histogram of the codes (at most 4^MOST_ORDER rows) is accumulated along the curve; every code gets its stretch of the output files. A code with more rows
    than a file holds is cut by the hash of the row's identity, so copies of one cell always meet in one file.
-3. Rows are shuffled to their file number and written; source and destination are compared by row count and order-free row digests.
+3. Whole rows are shuffled once, straight to the file the histogram gives them (no sampled bounds); there each cell is kept once and the file is written in order.
+   Beside it stands, for every cell that came in several fragments, one row per fragment: where its copies were.
+4. Source and destination are compared by row count and order-free row digests. What the source ought to keep is worked out from keys and row hashes alone, by
+   another way than the files.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.text import lower_key, plate_key
-from platewise.session import materialize
+from platewise.session import materialize, scratch_path
+
+#: A finer grid has more codes than one ordered accumulation should hold; 4^10 are about a million.
+MOST_ORDER = 10
 
 
 def hilbert_index(x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:
@@ -50,6 +56,9 @@ class Cell:
         return Cell(plate_key(plate), lower_key(sample), lower_key(barcode))
 
 
+IDENTITY = ["plate", "sample", "barcode"]
+
+
 def _coordinate(value: Column, order: int) -> Column:
     """A grid coordinate: the trailing number of the key where there is one (keeps the order of plates and samples), else a hash; null is 0."""
     digits = F.regexp_extract(value, r"(\d{1,9})$", 1)
@@ -57,103 +66,144 @@ def _coordinate(value: Column, order: int) -> Column:
     return F.coalesce(F.when(digits != "", F.pmod(digits.cast("bigint"), F.lit(side))).otherwise(F.pmod(F.xxhash64(value), F.lit(side))), F.lit(0)).cast("int")
 
 
-def layout(keyed: DataFrame, rows_per_file: int, order: int = 8) -> tuple[DataFrame, int]:
-    """``keyed`` with ``__file``, and the number of files. Needs columns ``__plate``, ``__sample``, ``__cell_hash``.
-
-    The histogram of codes has at most 4^order rows (65,536 at the default, under 2 MB), which bounds the ordered accumulation and the broadcast."""
-    coded = keyed.withColumn("__x", _coordinate(F.col("__plate"), order)).withColumn("__y", _coordinate(F.col("__sample"), order))
+@dataclass(frozen=True)
+class Layout:
+    """Where every row goes: the stretch of each occupied code along the curve (``x, y, rows, before``), and the number of files."""
+
+    spans: DataFrame
+    files: int
+    rows_per_file: int
+    order: int
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with ``plate, sample, spread``) with ``file``. A code that fits into one file is not cut."""
+        fraction = F.pmod(F.col("spread"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        place = F.when(F.col("s.rows") > self.rows_per_file // 2, F.col("s.before") + F.floor(fraction * F.col("s.rows"))).otherwise(F.col("s.before"))
+        file = F.greatest(F.least(F.floor(place / F.lit(self.rows_per_file)), F.lit(self.files - 1)), F.lit(0)).cast("int")
+        coded = rows.withColumns({"x": _coordinate(F.col("plate"), self.order), "y": _coordinate(F.col("sample"), self.order)}).alias("r")
+        # the spans are bounded by 4^MOST_ORDER codes
+        joined = coded.join(F.broadcast(self.spans.alias("s")), (F.col("r.x") == F.col("s.x")) & (F.col("r.y") == F.col("s.y")))
+        return joined.select(*[F.col(f"r.{c}") for c in rows.columns], file.alias("file"))
+
+
+def layout(counts: DataFrame, rows_per_file: int) -> Layout:
+    """The layout of rows counted per (``plate``, ``sample``, ``n``). The grid is as fine as the number of different keys asks for, up to ``MOST_ORDER``."""
+    counts = materialize(counts.groupBy("plate", "sample").agg(F.sum("n").alias("n")), "layout-counts")
+    keys = counts.agg(F.countDistinct("plate"), F.countDistinct("sample"), F.sum("n")).first()
+    order = max(1, min(MOST_ORDER, math.ceil(math.log2(max(2, keys[0], keys[1])))))
+    files = max(1, math.ceil((keys[2] or 0) / rows_per_file))
 
     @F.pandas_udf("long")
     def code(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(x.to_numpy(), y.to_numpy(), order))
 
-    histogram = materialize(
-        coded.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("rows")).withColumn("code", code("__x", "__y")), "hilbert-histogram"
-    )
-    total = histogram.agg(F.sum("rows")).first()[0] or 0
-    files = max(1, math.ceil(total / rows_per_file))
-    along = Window.orderBy("code")
-    # exact cumulated rows before each code; at most 4^order rows in this one window
-    spans = histogram.withColumn("before", F.sum("rows").over(along) - F.col("rows")).select("__x", "__y", "rows", "before")
-    # a code's share of the curve [before, before + rows) is entered at a place given by the identity's hash: even cuts, and copies stay together.
-    # A code that fits into one file is not cut.
-    fraction = F.pmod(F.col("__cell_hash"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.when(F.col("rows") > rows_per_file // 2, F.col("before") + F.floor(fraction * F.col("rows"))).otherwise(F.col("before"))
-    placed = coded.join(F.broadcast(spans), ["__x", "__y"]).withColumn("__file", F.least(F.floor(place / F.lit(rows_per_file)), F.lit(files - 1)).cast("int"))
-    return placed.drop("__x", "__y", "rows", "before"), files
-
-
-def with_identity(df: DataFrame, cell: Cell) -> DataFrame:
-    """Adds ``__plate``, ``__sample``, ``__barcode`` and ``__cell_hash``; rows without a full identity get a hash of what they have."""
-    named = df.withColumns({"__plate": cell.plate, "__sample": cell.sample, "__barcode": cell.barcode})
-    return named.withColumn("__cell_hash", F.xxhash64("__plate", "__sample", "__barcode"))
-
-
-def shared_fragments(df: DataFrame, cell: Cell | None = None, fragment: str = "shard", rows_per_file: int = 200_000, order: int = 8) -> DataFrame:
-    """(``shard_a``, ``shard_b``), a < b: pairs of fragments that hold at least one cell in common.
-
-    The rows' identities (not their arrays) take the compaction's own layout: after it, all copies of a cell lie in one file, where they are found.
-    Cells with the same set of fragments are reduced to one before pairs are formed, by an order-free fingerprint of the set, so a
-    pair of fragments that shares very many cells costs one pair. Nulls: a row without plate, sample, barcode or fragment matches nothing.
-    """
-    cell = cell or Cell.of()
-    ids = with_identity(df.select(F.col(fragment).alias("shard"), cell.plate.alias("p"), cell.sample.alias("s"), cell.barcode.alias("b")), Cell(F.col("p"), F.col("s"), F.col("b"))).drop("p", "s", "b")
-    full = ids.filter(F.col("shard").isNotNull() & F.col("__plate").isNotNull() & F.col("__sample").isNotNull() & F.col("__barcode").isNotNull())
-    placed, _ = layout(full, rows_per_file, order)
-    identity = ["__file", "__plate", "__sample", "__barcode"]
-    once = placed.groupBy(*identity, "shard").agg(F.lit(1).alias("one"))
-    sets = once.groupBy(*identity).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.hash("shard").cast("bigint")).alias("f1"), F.expr("bit_xor(xxhash64(shard))").alias("f2"), F.min("shard").alias("lo"), F.max("shard").alias("hi")
-    )
-    several = sets.filter(F.col("n") > 1)
-    two = several.filter(F.col("n") == 2).select(F.col("lo").alias("shard_a"), F.col("hi").alias("shard_b"))
-    # cells in three or more fragments: one cell stands for all cells with the same set
-    leaders = several.filter(F.col("n") > 2).groupBy("n", "f1", "f2", "lo", "hi").agg(F.min(F.struct(*identity)).alias("leader")).select("leader.*")
-    members = once.join(leaders, identity, "left_semi").select(*identity, "shard")
-    more = (
-        members.withColumnRenamed("shard", "shard_a").join(members.withColumnRenamed("shard", "shard_b"), identity).filter(F.col("shard_a") < F.col("shard_b"))
-    ).select("shard_a", "shard_b")
-    return two.union(more).distinct()
+    histogram = counts.groupBy(_coordinate(F.col("plate"), order).alias("x"), _coordinate(F.col("sample"), order).alias("y")).agg(F.sum("n").alias("rows")).withColumn("code", code("x", "y"))
+    spans = histogram.withColumn("before", F.sum("rows").over(Window.orderBy("code")) - F.col("rows")).drop("code")
+    return Layout(materialize(spans, "layout-spans"), files, rows_per_file, order)
 
 
-def row_digest(columns: list[str]) -> list[Column]:
+def row_digest(content: str = "content", check: str = "check") -> list[Column]:
     """Order-free digest of a set of rows: how many, and two independent sums of row hashes (as exact decimals, so no overflow)."""
     return [
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest_a"),
-        F.sum(F.hash(*columns).cast("decimal(38,0)")).alias("digest_b"),
+        F.coalesce(F.sum(F.col(content).cast("decimal(38,0)")), F.lit(0)).alias("digest_a"),
+        F.coalesce(F.sum(F.col(check).cast("decimal(38,0)")), F.lit(0)).alias("digest_b"),
     ]
 
 
-def keep_once(df: DataFrame, cell: Cell, arrived: str = "ingested_at", fragment: str = "shard") -> DataFrame:
-    """Each cell once: of its copies the one that arrived first, then that of the smallest fragment, then by content. Rows without a full identity all stay."""
-    named = with_identity(df, cell)
-    whole = F.col("__plate").isNotNull() & F.col("__sample").isNotNull() & F.col("__barcode").isNotNull()
+def _keyed(df: DataFrame, cell: Cell, arrived: str, fragment: str) -> DataFrame:
+    """The row as one struct (so no column of ``df`` can clash) beside its identity, fragment, arrival, hashes and ``spread``, an even number that copies share."""
     content = F.xxhash64(*df.columns)
-    first = Window.partitionBy("__plate", "__sample", "__barcode").orderBy(F.col(arrived).asc_nulls_last(), F.col(fragment).asc_nulls_last(), "__content")
-    complete = named.filter(whole).withColumn("__content", content).withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth", "__content")
-    return complete.unionByName(named.filter(~whole))
+    keyed = df.select(
+        F.struct(*df.columns).alias("row"), cell.plate.alias("plate"), cell.sample.alias("sample"), cell.barcode.alias("barcode"), F.col(fragment).alias("shard"), F.col(arrived).alias("arrived"),
+        content.alias("content"), F.hash(*df.columns).alias("check"),
+    )
+    whole = F.col("plate").isNotNull() & F.col("sample").isNotNull() & F.col("barcode").isNotNull()
+    return keyed.withColumn("whole", whole).withColumn("spread", F.when(F.col("whole"), F.xxhash64(*IDENTITY)).otherwise(F.xxhash64("content", "shard")))
+
+
+def _arrival() -> list[Column]:
+    """The order in which copies of a cell are preferred, nulls last."""
+    return [F.col("arrived").isNull(), F.col("arrived"), F.col("shard").isNull(), F.col("shard"), F.col("content")]
 
 
-def compact(df: DataFrame, path: str, cell: Cell | None = None, rows_per_file: int = 200_000, order: int = 8) -> DataFrame:
-    """Write the cells of ``df``, each once, into few files of even size under ``path``; one row of figures comes back.
+def _kept_once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of the copies of a cell the one that arrived first, then that of the smallest fragment, then by content; rows without a full identity all stay."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*_arrival()))
+    return rows.withColumn("nth", nth).filter("nth = 1 or not whole").drop("nth")
 
-    Columns: ``rows_in, copies_left_out, files, rows_out, smallest_file, largest_file, digest_equal``. ``digest_equal`` compares the rows meant to be kept
-    with the rows read back from the files. An empty table writes no file and gives zeros and true."""
+
+def compact(df: DataFrame, path: str, cell: Cell | None = None, rows_per_file: int = 200_000, arrived: str = "ingested_at", fragment: str = "shard") -> DataFrame:
+    """Write the cells of ``df``, each once, into few files of even size under ``path``/cells; one row of figures comes back.
+
+    ``path``/copies gets (plate, sample, barcode, shard) for every fragment of each cell that came in more than one, in the same layout.
+    Columns of the figures: ``rows_in, copies_left_out, files, rows_out, smallest_file, largest_file, digest_equal``. ``digest_equal`` compares what the source ought to keep,
+    rows and copies alike, with what is read back from the files. An empty table gives zeros and true. Rows without a full identity are nobody's copy and all stay."""
     spark = df.sparkSession
-    cell = cell or Cell.of()
     columns = df.columns
-    rows_in = df.count()
-    kept = materialize(keep_once(df, cell), "compaction-kept")
-    placed, files = layout(kept, rows_per_file, order)
-    # one shuffle partition a file; the sort inside keeps each plate's and sample's cells together
-    arranged = placed.repartitionByRange(files, "__file").sortWithinPartitions("__file", "__plate", "__sample", "__barcode").select(*columns, F.col("__file").alias("file_no"))
-    arranged.write.mode("overwrite").partitionBy("file_no").parquet(path)
-    back = spark.read.schema(arranged.schema).parquet(path)
-    source = kept.agg(*row_digest(columns)).first()
-    sizes = back.groupBy("file_no").agg(*row_digest(columns))
-    there = sizes.agg(F.count(F.lit(1)), F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b"), F.min("n_rows"), F.max("n_rows")).first()
+    keyed = _keyed(df, cell or Cell.of(), arrived, fragment)
+    best = F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_arrival())], F.col("check").alias("check")))
+    # keys and hashes only: one row per cell and fragment, combined before the shuffle
+    seen = materialize(keyed.filter("whole").groupBy(*IDENTITY, "shard").agg(F.count(F.lit(1)).alias("n"), best.alias("best")), "sightings")
+    cells = seen.groupBy(*IDENTITY).agg(F.sum("n").alias("n"), F.count("shard").alias("fragments"), F.min("best").alias("best"))
+    cells = materialize(cells.select(*IDENTITY, "n", "fragments", F.col("best.k4").alias("content"), F.col("best.check").alias("check")), "cells-once")
+    lone = materialize(keyed.filter("not whole").groupBy("plate", "sample").agg(*row_digest()), "lone-rows")
+    plan = layout(cells.select("plate", "sample", F.lit(1).alias("n")).union(lone.select("plate", "sample", F.col("n_rows"))), rows_per_file)
+
+    # a cell with more copies than a file has rows would swell its file: such cells (fewer than files) are reduced first, with a limit before the shuffle
+    swollen = F.broadcast(cells.filter(F.col("n") > rows_per_file).select(*IDENTITY))
+    rows = keyed
+    if cells.filter(F.col("n") > rows_per_file).limit(1).count():
+        reduced = keyed.join(swollen, IDENTITY, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(*_arrival()))).filter("nth = 1").drop("nth")
+        rows = keyed.join(swollen, IDENTITY, "left_anti").unionByName(reduced)
+    arranged = plan.place(rows).repartitionById(plan.files, F.col("file"))
+    order = ["file", *IDENTITY]
+    _kept_once(arranged, order).sortWithinPartitions(*order).select("row.*").write.mode("overwrite").parquet(f"{path}/cells")
+
+    copies = seen.filter("shard is not null").join(cells.filter("fragments > 1").select(*IDENTITY), IDENTITY, "left_semi").select(*IDENTITY, "shard").withColumn("spread", F.xxhash64(*IDENTITY))
+    told = materialize(plan.place(copies).drop("spread"), "copies")
+    told.repartitionById(plan.files, F.col("file")).sortWithinPartitions(*order, "shard").select(*IDENTITY, "shard").write.mode("overwrite").parquet(f"{path}/copies")
+
+    back = spark.read.schema(df.schema).parquet(f"{path}/cells").select(F.input_file_name().alias("name"), F.xxhash64(*columns).alias("content"), F.hash(*columns).alias("check")).groupBy("name").agg(*row_digest())
+    there = back.agg(F.count(F.lit(1)), F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b"), F.min("n_rows"), F.max("n_rows")).first()
+    once, rest = cells.agg(F.sum("n"), *row_digest()).first(), lone.agg(F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b")).first()
+    zero = lambda v: int(v or 0)
+    due = tuple(zero(a) + zero(b) for a, b in zip(once[1:], rest))
+    digest = lambda t: t.select(F.xxhash64(*IDENTITY, "shard").alias("content"), F.hash(*IDENTITY, "shard").alias("check")).agg(*row_digest()).first()
+    equal = due == tuple(map(zero, there[1:4])) and digest(told) == digest(written_copies(spark, path, told))
+    rows_in = zero(once[0]) + zero(rest[0])
     return spark.createDataFrame(
-        [(rows_in, rows_in - source[0], there[0], there[1] or 0, there[4] or 0, there[5] or 0, (source[0], source[1], source[2]) == (there[1] or 0, there[2], there[3]))],
+        [(rows_in, rows_in - due[0], there[0], zero(there[1]), zero(there[4]), zero(there[5]), equal)],
         "rows_in long, copies_left_out long, files long, rows_out long, smallest_file long, largest_file long, digest_equal boolean",
     )
+
+
+def written_copies(spark, path: str, like: DataFrame) -> DataFrame:
+    """(plate, sample, barcode, shard, name) of the copies that :func:`compact` wrote, ``name`` being the file; ``like`` has the columns' types."""
+    return spark.read.schema(like.select(*IDENTITY, "shard").schema).parquet(f"{path}/copies").withColumn("name", F.input_file_name())
+
+
+def shared_fragments(df: DataFrame, cell: Cell | None = None, fragment: str = "shard", rows_per_file: int = 50_000) -> DataFrame:
+    """(``shard_a``, ``shard_b``), a < b: pairs of fragments that hold at least one cell in common.
+
+    The cells are compacted (:func:`compact`), and the pairs are read off the written files: all copies of a cell stand in one of them. Cells with the same set of fragments are
+    reduced to one by an order-free fingerprint of the set, so a pair of fragments that shares very many cells costs one pair; a cell in very many fragments is spread
+    over several join keys. Nulls: a row without plate, sample, barcode or fragment matches nothing. Raises where the files do not hold what they should."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "compacted")
+    if not compact(df, path, cell, rows_per_file, fragment=fragment).first()["digest_equal"]:
+        raise RuntimeError("the compacted files differ from their source")
+    key = ["name", *IDENTITY]
+    types = df.select(*[F.lit("").alias(c) for c in IDENTITY], F.col(fragment).alias("shard"))
+    copies = written_copies(spark, path, types)
+    sets = copies.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.hash("shard").cast("bigint")).alias("f1"), F.expr("bit_xor(xxhash64(shard))").alias("f2"), F.min("shard").alias("lo"), F.max("shard").alias("hi")
+    )
+    two = sets.filter("n = 2").select(F.col("lo").alias("shard_a"), F.col("hi").alias("shard_b"))
+    # cells in three or more fragments: one cell stands for all cells with the same set
+    leaders = sets.filter("n > 2").groupBy("n", "f1", "f2", "lo", "hi").agg(F.min(F.struct(*key)).alias("leader")).select("leader.*", F.ceil(F.col("n") / 256).alias("ways"))
+    members = copies.join(leaders, key).select(*key, "shard", "ways")
+    left = members.select(*key, F.col("shard").alias("shard_a"), F.pmod(F.xxhash64("shard"), F.col("ways")).alias("way"))
+    right = members.select(*key, F.col("shard").alias("shard_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("way"))
+    more = left.join(right, [*key, "way"]).filter("shard_a < shard_b").select("shard_a", "shard_b")
+    return two.union(more).distinct()

@@ -72,3 +72,18 @@ def heavy_keys(df: DataFrame, fields: Mapping[str, Column], one_in: int, order:
     total = counted.filter(F.col("field") == names[0]).agg(F.sum("n_rows")).first()[0] or 0
     heavy = counted.filter(F.col("value").isNotNull() & (F.col("n_rows") * one_in >= total))
     return heavy.select(F.col("field").alias("key_field"), F.col("value").alias("key_value"), "n_rows", F.lit(total).cast("long").alias("total_rows"))
+
+
+def join_heavy(rows: DataFrame, labels: DataFrame, key: str, counts: DataFrame | None = None, one_in: int = 512) -> DataFrame:
+    """Left join of ``rows`` with ``labels`` (one row per ``key``) that no heavy key can hold up.
+
+    A key with at least one in ``one_in`` of all rows is heavy: there are at most ``one_in`` of them, so their labels are broadcast and their rows stay where they are. All others meet
+    in a shuffle join, where no key is large. ``counts`` (``key``, ``n_rows``) saves a pass where the caller has it. A null key gets no label; both sides may be empty."""
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = materialize(counts.filter(F.col(key).isNotNull()).select(key, "n_rows"), "join-counts")
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    heavy = F.broadcast(counts.filter(F.col("n_rows") * one_in >= total).select(key))
+    near = rows.join(heavy, key, "left_semi").join(F.broadcast(labels.join(heavy, key, "left_semi")), key, "left")
+    rest = rows.join(heavy, key, "left_anti").join(labels, key, "left")
+    return near.unionByName(rest)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions.text import lower_key, sql_plate, sql_strip, upper_key
 from platewise.operators import compaction, skew
-from platewise.session import shared_dir, table
+from platewise.session import scratch_path, table
 
 #: The secondary order inside a key: any fine, even spread of its rows.
 def _spread() -> list:
@@ -22,7 +20,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_compaction(spark: SparkSession, sf: str) -> DataFrame:
     """The whole compaction, written into the shared folder and read back: one row of figures."""
-    return compaction.compact(table(spark, sf, "shard_cells"), f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", rows_per_file=50_000).select("rows_in", "copies_left_out", "rows_out", "digest_equal")
+    return compaction.compact(table(spark, sf, "shard_cells"), scratch_path(spark, "compacted"), rows_per_file=50_000).select("rows_in", "copies_left_out", "rows_out", "digest_equal")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_shared_fragments_against_brute_force(spark):
     rnd = random.Random(3)
     data = [(rnd.randrange(12), f"plate{rnd.randrange(2)}", f"smp_{rnd.choice([1, 1, 1, 7])}", f"b{rnd.randrange(40)}") for _ in range(300)]
     data += [(1, None, "smp_1", "b1"), (2, None, "smp_1", "b1"), (None, "plate0", "smp_1", "b1"), (3, "plate0", None, "b9")]
-    got = sorted(rows(compaction.shared_fragments(cells(spark, data), rows_per_file=20, order=4)))
+    got = sorted(rows(compaction.shared_fragments(cells(spark, data), rows_per_file=20)))
     assert got == brute_pairs(data)
     assert rows(compaction.shared_fragments(cells(spark, [(1, "PLATE01 ", " Smp_1", "B1"), (2, "plate1", "smp_1", "b1")]))) == [(1, 2)]
     assert compaction.shared_fragments(cells(spark, data).limit(0)).count() == 0
@@ -53,13 +53,40 @@ def test_compaction_keeps_every_cell_once_in_even_files(spark):
     data += data[:100] + [(1, None, "smp_1", "b1"), (1, None, "smp_1", "b1")]
     df = cells(spark, data).drop("__file", "rows")
     path = tempfile.mkdtemp() + "/out"
+    df = df.withColumn("file", F.lit(9)).withColumn("row", F.lit("x"))
     r = compaction.compact(df, path, rows_per_file=200).first()
     assert (r["rows_in"], r["copies_left_out"], r["rows_out"], r["digest_equal"]) == (2102, 100, 2002, True)
     assert r["largest_file"] <= 3 * 200 and 6 <= r["files"] <= 14
+    back = spark.read.parquet(path + "/cells")
+    assert back.columns == df.columns and back.filter("barcode_sub_lib_id is not null and plate is not null").groupBy("plate", "sample", "barcode_sub_lib_id").count().filter("count > 1").count() == 0
     empty = compaction.compact(df.limit(0), tempfile.mkdtemp() + "/out").first()
     assert (empty["rows_in"], empty["rows_out"], empty["digest_equal"]) == (0, 0, True)
 
 
+def test_a_cell_with_very_many_copies(spark):
+    data = [(i % 600, "plate1", "smp_1", "hot") for i in range(1500)] + [(i % 7, "plate2", "smp_2", f"b{i}") for i in range(60)]
+    df = cells(spark, data)
+    r = compaction.compact(df, tempfile.mkdtemp() + "/out", rows_per_file=100).first()
+    assert (r["rows_out"], r["copies_left_out"], r["digest_equal"]) == (61, 1499, True)
+    assert rows(compaction.shared_fragments(df, rows_per_file=100)) == sorted(brute_pairs(data), key=repr)
+
+
+def test_the_pairs_come_out_of_the_written_files(spark, monkeypatch):
+    df = cells(spark, [(1, "plate1", "smp_1", "b1"), (2, "plate1", "smp_1", "b1")])
+    assert rows(compaction.shared_fragments(df)) == [(1, 2)]
+    monkeypatch.setattr(compaction.Layout, "place", lambda self, rows: rows.withColumn("file", F.lit(0)).limit(0))
+    with pytest.raises(RuntimeError):
+        compaction.shared_fragments(df)
+
+
+def test_join_with_heavy_keys(spark):
+    left = spark.createDataFrame([("h", i) for i in range(900)] + [(f"k{i % 150}", i) for i in range(300)] + [(None, -1)], "key string, v int")
+    right = spark.createDataFrame([("h", 1), *[(f"k{i}", i) for i in range(0, 150, 2)]], "key string, label int")
+    want = sorted(((r[0], r[1], r[2]) for r in left.join(right, "key", "left").collect()), key=repr)
+    assert rows(skew.join_heavy(left, right, "key", one_in=10)) == want
+    assert skew.join_heavy(left.limit(0), right, "key").count() == 0
+
+
 def test_counts_and_sums_survive_a_heavy_key(spark):
     data = [("h" if i % 3 else f"k{i % 7}", i, [1, i % 5], [-2.0, 1.0]) for i in range(3000)] + [(None, 1, [1, 2], [-2.0, 3.0]), ("u", 2, [1, 2, 3], [-2.0, 1.0]), ("v", 3, None, None)]
     df = spark.createDataFrame(data, "key string, n long, genes array<long>, expressions array<float>")
