@@ -122,15 +122,9 @@ def _keyed(df: DataFrame, cell: Cell, arrived: str, fragment: str) -> DataFrame:
     return keyed.withColumn("whole", whole).withColumn("spread", F.when(F.col("whole"), F.xxhash64(*IDENTITY)).otherwise(F.xxhash64("content", "shard")))
 
 
-def _arrival() -> list[Column]:
+def _arrival(arrived: str = "arrived", shard: str = "shard") -> list[Column]:
     """The order in which copies of a cell are preferred, nulls last."""
-    return [F.col("arrived").isNull(), F.col("arrived"), F.col("shard").isNull(), F.col("shard"), F.col("content")]
-
-
-def _kept_once(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Of the copies of a cell the one that arrived first, then that of the smallest fragment, then by content; rows without a full identity all stay."""
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*_arrival()))
-    return rows.withColumn("nth", nth).filter("nth = 1 or not whole").drop("nth")
+    return [F.col(arrived).isNull(), F.col(arrived), F.col(shard).isNull(), F.col(shard), F.col("content")]
 
 
 def compact(df: DataFrame, path: str, cell: Cell | None = None, rows_per_file: int = 200_000, arrived: str = "ingested_at", fragment: str = "shard") -> DataFrame:
@@ -152,13 +146,15 @@ def compact(df: DataFrame, path: str, cell: Cell | None = None, rows_per_file: i
 
     # a cell with more copies than a file has rows would swell its file: such cells (fewer than files) are reduced first, with a limit before the shuffle
     swollen = F.broadcast(cells.filter(F.col("n") > rows_per_file).select(*IDENTITY))
-    rows = keyed
+    rows, preferred = keyed, _arrival(f"row.{arrived}", f"row.{fragment}")
     if cells.filter(F.col("n") > rows_per_file).limit(1).count():
-        reduced = keyed.join(swollen, IDENTITY, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(*_arrival()))).filter("nth = 1").drop("nth")
+        reduced = keyed.join(swollen, IDENTITY, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(*preferred))).filter("nth = 1").drop("nth")
         rows = keyed.join(swollen, IDENTITY, "left_anti").unionByName(reduced)
-    arranged = plan.place(rows).repartitionById(plan.files, F.col("file"))
     order = ["file", *IDENTITY]
-    _kept_once(arranged, order).sortWithinPartitions(*order).select("row.*").write.mode("overwrite").parquet(f"{path}/cells")
+    arranged = plan.place(rows.select("row", *IDENTITY, "content", "whole", "spread")).drop("spread").repartitionById(plan.files, F.col("file"))
+    # of the copies of a cell the one that arrived first, then that of the smallest fragment, then by content; rows without a full identity all stay
+    once = arranged.withColumn("nth", F.row_number().over(Window.partitionBy(*order).orderBy(*preferred))).filter("nth = 1 or not whole")
+    once.sortWithinPartitions(*order).select("row.*").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/cells")
 
     copies = seen.filter("shard is not null").join(cells.filter("fragments > 1").select(*IDENTITY), IDENTITY, "left_semi").select(*IDENTITY, "shard").withColumn("spread", F.xxhash64(*IDENTITY))
     told = materialize(plan.place(copies).drop("spread"), "copies")
@@ -166,12 +162,12 @@ def compact(df: DataFrame, path: str, cell: Cell | None = None, rows_per_file: i
 
     back = spark.read.schema(df.schema).parquet(f"{path}/cells").select(F.input_file_name().alias("name"), F.xxhash64(*columns).alias("content"), F.hash(*columns).alias("check")).groupBy("name").agg(*row_digest())
     there = back.agg(F.count(F.lit(1)), F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b"), F.min("n_rows"), F.max("n_rows")).first()
-    once, rest = cells.agg(F.sum("n"), *row_digest()).first(), lone.agg(F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b")).first()
+    mine, rest = cells.agg(F.sum("n"), *row_digest()).first(), lone.agg(F.sum("n_rows"), F.sum("digest_a"), F.sum("digest_b")).first()
     zero = lambda v: int(v or 0)
-    due = tuple(zero(a) + zero(b) for a, b in zip(once[1:], rest))
+    due = tuple(zero(a) + zero(b) for a, b in zip(mine[1:], rest))
     digest = lambda t: t.select(F.xxhash64(*IDENTITY, "shard").alias("content"), F.hash(*IDENTITY, "shard").alias("check")).agg(*row_digest()).first()
     equal = due == tuple(map(zero, there[1:4])) and digest(told) == digest(written_copies(spark, path, told))
-    rows_in = zero(once[0]) + zero(rest[0])
+    rows_in = zero(mine[0]) + zero(rest[0])
     return spark.createDataFrame(
         [(rows_in, rows_in - due[0], there[0], zero(there[1]), zero(there[4]), zero(there[5]), equal)],
         "rows_in long, copies_left_out long, files long, rows_out long, smallest_file long, largest_file long, digest_equal boolean",

@@ -74,5 +74,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage so that a lost executor costs a re-read, not a re-computation, and lets later steps prune columns."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
