@@ -21,8 +21,6 @@ from platewise.functions.text import lower_key, split_key
 from platewise.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Cells of the raked table at most; it is the only thing the driver sees.
-MAX_CELLS = 100_000
 BINS = 4096
 _encodings: dict[str, object] = {}
 
@@ -114,8 +112,11 @@ def mix(
     are not used. Without ``total_tokens`` the corpus is as large as the caps allow with all present sources at their share (missing sources' shares fall
     to the others in proportion). Copies of a text under other ids are separate documents."""
     spark = documents.sparkSession
-    wanted = targets.select(split_key("source").alias("source"), "target_share", "max_repeats").filter("source is not null").dropDuplicates(["source"])
-    goals = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in wanted.limit(MAX_CELLS).collect()}
+    # a source listed twice counts by its smallest entry
+    listed = targets.select(split_key("source").alias("source"), "target_share", "max_repeats").filter("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeats")).alias("t"))
+    wanted = listed.select("source", "t.*")
+    # the targets are a stated list; they and the raked table (its sources x languages x topics) are what the driver sees
+    goals = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in wanted.collect()}
     _, topic = subject_topics(documents, topics)
     pool = documents.select(
         "doc_id",
@@ -124,10 +125,9 @@ def mix(
         topic.alias("topic"),
         token_count(F.col("text"), vocabulary).alias("tokens"),
     )
-    pool = materialize(pool, "mixture-pool").filter(F.col("source").isin([s for s, (t, c) in goals.items() if t > 0 and c > 0]) & (F.col("tokens") > 0))
-    cells = pool.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).toPandas()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
+    usable = wanted.filter("target_share > 0 and max_repeats > 0").select("source")
+    pool = materialize(pool, "mixture-pool").filter("tokens > 0").join(F.broadcast(usable), "source", "left_semi")
+    cells = pool.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas()
     fitted = rake(cells, {s: t for s, (t, _) in goals.items()}, {s: c for s, (_, c) in goals.items()}, total_tokens)
     rates = spark.createDataFrame([(r.source, r.lang, r.topic, float(r.rate), goals[r.source][1]) for r in fitted.itertuples()], "source string, lang string, topic string, rate double, cap int")
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
@@ -145,7 +145,7 @@ def mix(
     )
     drawn = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_used"))
     there = pool.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
-    every = Window.partitionBy(F.lit(1))  # the listed sources, MAX_CELLS at most
+    every = Window.partitionBy(F.lit(1))  # the listed sources
     zero = F.lit(0).cast("long")
     report = (
         wanted.join(there, "source", "left").join(drawn, "source", "left")
@@ -159,25 +159,24 @@ def mix(
 
 
 def _cuts(copies: DataFrame, budget: Mapping[str, float]) -> dict[str, float]:
-    """Per source the mark up to which copies are taken so that their tokens come nearest to the budget: two passes of histograms of ``BINS`` bins a source."""
+    """Per source the mark up to which copies are taken so that their tokens come nearest to the budget: two passes of histograms of ``BINS`` bins a source.
+
+    The histograms are summed up along the marks in Spark; one bin a source comes to the driver."""
     spark = copies.sparkSession
     span = {s: (0.0, 4.0, 0.0) for s in budget}  # low, width, tokens below low
     for _ in range(2):
-        table = F.broadcast(spark.createDataFrame([(s, lo, w) for s, (lo, w, _) in span.items()], "source string, lo double, width double"))
-        inside = copies.join(table, "source").filter("mark >= lo and mark < lo + width")
+        told = F.broadcast(spark.createDataFrame([(s, lo, w, below, float(budget[s])) for s, (lo, w, below) in span.items()], "source string, lo double, width double, below double, budget double"))
+        inside = copies.join(told.select("source", "lo", "width"), "source").filter("mark >= lo and mark < lo + width")
         counted = inside.groupBy("source", F.floor((F.col("mark") - F.col("lo")) / F.col("width") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("tokens"))
+        upto = counted.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))).join(told.select("source", "below", "budget"), "source")
+        # the first bin that reaches the budget, else what all bins hold together
+        reached = F.min(F.when(F.col("below") + F.col("upto") >= F.col("budget") - 1e-6, F.struct("bin", (F.col("below") + F.col("upto") - F.col("tokens")).alias("before"))))
+        found = {r["source"]: r for r in upto.groupBy("source").agg(reached.alias("at"), F.max(F.col("below") + F.col("upto")).alias("all")).collect()}
         new = {}
-        for s, rows in counted.toPandas().groupby("source"):
-            lo, width, below = span[s]
-            rows = rows.sort_values("bin")
-            upto = below + rows["tokens"].cumsum()
-            past = rows[upto >= budget[s] - 1e-6]
-            step = width / BINS
-            if past.empty:
-                new[s] = (lo + width, step, float(upto.iloc[-1]))
-            else:
-                b = int(past["bin"].iloc[0])
-                new[s] = (lo + b * step, step, float(upto.loc[past.index[0]] - past["tokens"].iloc[0]))
+        for s, (lo, width, _) in span.items():
+            if s in found:
+                at, step = found[s]["at"], width / BINS
+                new[s] = (lo + width, step, float(found[s]["all"])) if at is None else (lo + at["bin"] * step, step, float(at["before"]))
         span = {s: new.get(s, span[s]) for s in span}
     # the last, very narrow bin goes in if that brings the sum nearer to the budget
     tail = F.broadcast(spark.createDataFrame([(s, lo, w) for s, (lo, w, _) in span.items()], "source string, lo double, width double"))

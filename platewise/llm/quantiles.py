@@ -5,7 +5,8 @@ one level; the rest is dropped. One compaction at level h shifts any rank by at
 compactions the rank error of any query is sub-Gaussian with variance S = sum(m_h * 4^h). Every state carries its own S; merging adds them. By Hoeffding's
 bound a rank is off by more than sqrt(2 * S * ln(2 / delta)) with probability below delta: this is the error stated with every answer.
 
-States are ordinary rows (keys, n, lo, hi, spread, levels), so those of separate days can be kept in a table and merged at any time.
+States are ordinary rows (keys, n, lo, hi, spread, levels), so those of separate days can be kept in a table and merged at any time. Coins of different states,
+merges and levels are independent, as the bound needs.
 """
 
 from __future__ import annotations
@@ -89,17 +90,19 @@ def sketch(df: DataFrame, keys: Sequence[Column], names: Sequence[str], value: C
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict[tuple, Compactors] = {}
-        part, room, waiting, rows = 0, 0, [], 0
+        part, room, waiting, rows, begun = 0, 0, [], 0, 0
 
         def fold() -> None:
-            nonlocal room, waiting, rows
+            nonlocal room, waiting, rows, begun
             block = pd.concat(waiting, ignore_index=True)
             waiting, rows = [], 0
             for key, values in block.groupby(list(names), dropna=False, sort=False)["__value"] if n_keys else [((), block["__value"])]:
                 key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
                 state = states.get(key)
                 if state is None:
-                    state = states[key] = Compactors(k, _seed(seed, part, key))
+                    # a running number, so that a state begun after an emission throws new coins
+                    begun += 1
+                    state = states[key] = Compactors(k, _seed(seed, "sketch", part, begun, key))
                 before = sum(map(len, state.levels))
                 state.add(values.to_numpy())
                 room += sum(map(len, state.levels)) - before
@@ -131,74 +134,70 @@ def sketch(df: DataFrame, keys: Sequence[Column], names: Sequence[str], value: C
 def merge(states: DataFrame, names: Sequence[str], k: int = 1024, seed: int = 7, fan_in: int = 64) -> DataFrame:
     """One state per group from any number of states (days, partitions, runs), merged level by level in a tree.
 
-    States of up to ``fan_in`` partitions are merged at a time, one after the other as they arrive ordered by group; the depth follows from the number of partitions, so no group is ever gathered whole.
-    """
+    Every state draws a branch from a hash of all it holds; about ``fan_in`` states of a group share one, are merged there one after the other, and go on to a branch of the level
+    above. The depth follows from the largest number of states of a group, so no group is ever gathered whole. Every merge throws coins of its own."""
     fields = {f.name: f for f in states.schema.fields}
-    if "part" not in fields:
-        states = states.withColumn("part", F.pmod(F.xxhash64("n", "lo", "hi"), F.lit(fan_in)).cast("int"))
+    # all columns that tell states apart, the day or partition they come from among them
+    branch = F.xxhash64(F.lit(seed), *[F.col(c) for c in states.columns])
     # states are few and small; written once, they are not made again for the levels above
-    states = materialize(states.select(*names, "n", "lo", "hi", "spread", "levels", "part"), "percentile-states")
-    width = (states.agg(F.max("part")).first()[0] or 0) + 1
-    keys = [fields[n] for n in names]
-    schema = T.StructType([*keys, *T._parse_datatype_string(STATE).fields, T.StructField("part", T.IntegerType())])
-
+    states = materialize(states.select(*names, "n", "lo", "hi", "spread", "levels", branch.alias("branch")), "percentile-states")
+    width = math.ceil((states.groupBy(*names).count().agg(F.max("count")).first()[0] or 1) / fan_in)
+    schema = T.StructType([*[fields[n] for n in names], *T._parse_datatype_string(STATE).fields, T.StructField("branch", T.LongType())])
     columns = [f.name for f in schema.fields]
 
-    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows come ordered by group, so one state is open at a time
-        at, state, done = None, None, []
-        for pdf in batches:
-            heads = list(zip(*[pdf[n] for n in (*names, "part")]))
-            for head, *row in zip(heads, pdf["n"], pdf["lo"], pdf["hi"], pdf["spread"], pdf["levels"]):
-                head = tuple(None if pd.isna(x) else x for x in head)
-                if head != at:
-                    if state is not None:
-                        done.append((*at[:-1], *state.row(), at[-1]))
-                    at, state = head, Compactors(k, _seed(seed, "merge", *map(str, head)))
-                state.merge(*row)
-            if len(done) >= 500:
+    def together(depth: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # rows come ordered by group, so one state is open at a time
+            at, state, done = None, None, []
+            for pdf in batches:
+                heads = list(zip(*[pdf[n] for n in (*names, "branch")]))
+                for head, *row in zip(heads, pdf["n"], pdf["lo"], pdf["hi"], pdf["spread"], pdf["levels"]):
+                    head = tuple(None if pd.isna(x) else x for x in head)
+                    if head != at:
+                        if state is not None:
+                            done.append((*at[:-1], *state.row(), at[-1]))
+                        at, state = head, Compactors(k, _seed(seed, "merge", depth, *names, *map(str, head)))
+                    state.merge(*row)
+                if len(done) >= 500:
+                    yield pd.DataFrame(done, columns=columns)
+                    done = []
+            if state is not None:
+                done.append((*at[:-1], *state.row(), at[-1]))
+            if done:
                 yield pd.DataFrame(done, columns=columns)
-                done = []
-        if state is not None:
-            done.append((*at[:-1], *state.row(), at[-1]))
-        if done:
-            yield pd.DataFrame(done, columns=columns)
 
-    def level(df: DataFrame) -> DataFrame:
-        return df.repartition(*names, "part").sortWithinPartitions(*names, "part", F.desc("n"), "lo", "hi", "spread").mapInPandas(together, schema)
+        return run
 
-    step = states
-    while width > fan_in:
-        step = level(step.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")))
-        width = math.ceil(width / fan_in)
-    return level(step.withColumn("part", F.lit(0))).drop("part")
+    step, depth = states.withColumn("branch", F.pmod("branch", F.lit(width))), 0
+    while True:
+        order = [*names, "branch", F.desc("n"), "lo", "hi", "spread"]
+        step = step.repartition(*names, "branch").sortWithinPartitions(*order).mapInPandas(together(depth), schema)
+        if width == 1:
+            return step.drop("branch")
+        width, depth = math.ceil(width / fan_in), depth + 1
+        step = step.withColumn("branch", F.pmod("branch", F.lit(width)))
 
 
 def percentiles(states: DataFrame, names: Sequence[str], at: Sequence[float], delta: float = 0.01) -> DataFrame:
-    """Per group of merged states: ``n_values``, ``min_value``, ``max_value``, one value per entry of ``at`` (``p50`` for 0.5) and the stated ``rank_error``.
+    """Per group of merged states one row per entry of ``at``: ``n_values, min_value, max_value, q, value, rank_error``.
 
-    ``rank_error`` is a share of n: with probability 1 - ``delta`` the rank of each value is within it (and within one position) of the asked rank.
-    """
-    labels = [f"p{round(q * 1000) / 10:g}".replace(".", "_") for q in at]
+    ``rank_error`` is a share of n: with probability 1 - ``delta`` the rank of the value is within it (and within one position) of the asked rank."""
     fields = {f.name: f for f in states.schema.fields}
-    schema = T.StructType(
-        [*[fields[n] for n in names], T.StructField("n_values", T.LongType()), T.StructField("min_value", T.DoubleType()), T.StructField("max_value", T.DoubleType())]
-        + [T.StructField(x, T.DoubleType()) for x in labels]
-        + [T.StructField("rank_error", T.DoubleType())]
-    )
+    told = "n_values bigint, min_value double, max_value double, q double, value double, rank_error double"
+    schema = T.StructType([*[fields[n] for n in names], *T._parse_datatype_string(told).fields])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                r = r._asdict()
-                items = np.concatenate([np.asarray(x, dtype=float) for x in r["levels"]])
-                weights = np.concatenate([np.full(len(x), 2**h, dtype=np.int64) for h, x in enumerate(r["levels"])])
+            for key, n, lo, hi, spread, levels in zip(zip(*[pdf[c] for c in names]) if names else [()] * len(pdf), pdf["n"], pdf["lo"], pdf["hi"], pdf["spread"], pdf["levels"]):
+                items = np.concatenate([np.asarray(x, dtype=float) for x in levels])
+                weights = np.concatenate([np.full(len(x), 2**h, dtype=np.int64) for h, x in enumerate(levels)])
                 order = np.argsort(items, kind="stable")
                 items, upto = items[order], np.cumsum(weights[order])
-                picked = [float(items[min(len(items) - 1, int(np.searchsorted(upto, max(1, math.ceil(q * r["n"])))))]) for q in at]
-                error = math.sqrt(2 * r["spread"] * math.log(2 / delta)) / r["n"]
-                rows.append((*[r[n] for n in names], r["n"], r["lo"], r["hi"], *picked, error))
+                error = math.sqrt(2 * spread * math.log(2 / delta)) / n
+                for q in at:
+                    place = min(len(items) - 1, int(np.searchsorted(upto, max(1, math.ceil(q * n)))))
+                    rows.append((*key, n, lo, hi, q, float(items[place]), error))
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     return states.select(*names, "n", "lo", "hi", "spread", "levels").mapInPandas(answer, schema)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.skew import join_heavy
 from platewise.session import materialize
 
 PARTS = {"train": 0.65, "val": 0.15, "test": 0.20}
@@ -102,26 +103,28 @@ def _merge(forest: DataFrame, fan_in: int, task_links: int) -> DataFrame:
     if left == 0:
         return per.select("a", F.col("m").alias("b"))
     top = _stars(rest) if left > 0.7 * count else _merge(materialize(rest.mapInPandas(_local_forest, "a string, b string"), "forest"), fan_in, task_links)
-    labelled = per.select("a", "m").join(top.select(F.col("a").alias("m"), F.col("b").alias("up")), "m", "left").select("a", F.coalesce("up", "m").alias("b"))
+    # a root may stand for a third of all nodes
+    labelled = join_heavy(per.select("a", "m"), top.select(F.col("a").alias("m"), F.col("b").alias("up")), "m").select("a", F.coalesce("up", "m").alias("b"))
     return labelled.union(top.select("a", "b")).groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _stars(forest: DataFrame, rounds: int = 60) -> DataFrame:
-    """Stars (node, root) by large-star and small-star steps until nothing changes; O(log^2) rounds."""
+def _stars(forest: DataFrame) -> DataFrame:
+    """Stars (node, root) by large-star and small-star steps until nothing changes, which takes O(log^2) rounds.
+
+    A node that very many others hang on is a heavy join key; :func:`join_heavy` keeps its links where they are."""
     edges, mark = forest, None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("b", "a"))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = join_heavy(both.filter("b > a"), lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).filter("a <> b").distinct()
+        small = join_heavy(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).filter("a <> b").distinct()
         edges = materialize(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -165,26 +168,22 @@ def assign_parts(groups: DataFrame, shares: Mapping[str, float] = PARTS, seed: s
     """(``component``, ``size``, ``part``) for ``groups`` (``component``, ``size``): greedy largest-first towards ``shares``.
 
     Equal sizes take their parts in the order of md5(seed | component). That order is found without one big sort: hash-prefix buckets of about ``bucket_rows``
-    groups are counted, and only within a bucket are groups numbered. The driver sees the histogram of sizes and the bucket counts, never the groups."""
+    groups are counted, and only within a bucket are groups numbered. The driver sees the histogram of sizes (at most sqrt(2 * records) rows), never groups or buckets."""
     number = groups.count()
     width = max(1, number // bucket_rows)
     hashed = groups.withColumn("h", F.md5(F.concat(F.lit(seed), F.lit("|"), F.col("component"))))
     hashed = hashed.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * width / F.lit(1 << 32)).cast("int"))
-    counts = hashed.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "bucket").collect()
-    sizes: dict[int, int] = {}
-    spans = []
-    for r in counts:
-        spans.append((r["size"], r["bucket"], sizes.get(r["size"], 0)))
-        sizes[r["size"]] = sizes.get(r["size"], 0) + r["n"]
+    counts = materialize(hashed.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")), "part-counts")
+    sizes = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     rows = []
     for size, given in allot(sizes, shares).items():
         upto = 0
         for part, n in given.items():
             rows.append((size, part, upto, upto + n))
             upto += n
-    spark = groups.sparkSession
-    starts = spark.createDataFrame(spans, "size long, bucket int, start long")
-    cuts = spark.createDataFrame(rows, "size long, part string, lo long, hi long")
+    # as many cuts as there are sizes and parts; the starts of the buckets stay in Spark
+    cuts = F.broadcast(groups.sparkSession.createDataFrame(rows, "size long, part string, lo long, hi long"))
+    starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).drop("n")
     placed = hashed.join(starts, ["size", "bucket"]).withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("size", "bucket").orderBy("h", "component")) - 1)
     return placed.join(cuts, "size").filter("place >= lo and place < hi").select("component", "size", "part")
 
@@ -192,14 +191,33 @@ def assign_parts(groups: DataFrame, shares: Mapping[str, float] = PARTS, seed: s
 def group_split(records: DataFrame, record: str, units: Mapping[str, Column], shares: Mapping[str, float] = PARTS, seed: str = "0") -> DataFrame:
     """(``record``, ``component``, ``part``): every record gets a part, and records that share a value of any of ``units`` share the part.
 
-    ``records`` has one row per record; a null unit links to nothing; without units every record stands alone. A record name must not be null."""
+    ``records`` has one row per record; a null unit links to nothing; without units every record stands alone. A record name must not be null. One component may hold all records:
+    its rows take their part where they are."""
     rec = F.concat(F.lit("r|"), F.col(record))
     ends = [F.when(u.isNotNull(), F.concat(F.lit(f"u{i}|"), u)) for i, u in enumerate(units.values())]
     links = records.select(rec.alias("a"), F.explode(F.array(rec, *ends)).alias("b")).filter("b is not null")
     found = materialize(components(links), "components").filter(F.col("node").startswith("r|"))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    parts = assign_parts(sizes, shares, seed)
-    return found.join(parts, "component").select(F.expr("substring(node, 3)").alias(record), "component", "part")
+    sizes = materialize(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component-sizes")
+    parts = assign_parts(sizes, shares, seed).select("component", "part")
+    return join_heavy(found, parts, "component", sizes.withColumnRenamed("size", "n_rows")).select(F.expr("substring(node, 3)").alias(record), "component", "part")
+
+
+def crossed_split(records: DataFrame, record: str, units: Mapping[str, Column], shares: Mapping[str, float] = PARTS, seed: str = "0") -> DataFrame:
+    """(``record``, one part column per unit, ``part``): every kind of unit is split on its own, and a record keeps a part only where all its units have it.
+
+    Units are split at the n-th roots of ``shares`` (scaled to 1), so that the records kept, those for which n independent draws agree, come out at ``shares``. A way out where units of several kinds chain nearly all records into one component, which :func:`group_split` can only give to one part. The price is stated, not hidden: a
+    record whose units fell apart has a null ``part``. A record without any unit of a kind is drawn alone in it. No unit has records in two parts."""
+    out = records.select(record)
+    roots = {p: s ** (1 / len(units)) for p, s in shares.items()}
+    each = {p: r / sum(roots.values()) for p, r in roots.items()}
+    for name, unit in units.items():
+        one = group_split(records, record, {name: unit}, each, f"{seed}|{name}").select(record, F.col("part").alias(f"{name}_part"))
+        out = out.join(one, record)
+    parts = [F.col(f"{n}_part") for n in units]
+    same = F.lit(True)
+    for p in parts[1:]:
+        same = same & (p == parts[0])
+    return out.withColumn("part", F.when(same, parts[0]))
 
 
 def torn_units(delivered: DataFrame, scope: list[str]) -> DataFrame:
@@ -212,5 +230,6 @@ def torn_units(delivered: DataFrame, scope: list[str]) -> DataFrame:
     head = F.concat_ws("~", *[F.coalesce(F.col(s).cast("string"), F.lit("\\N")) for s in scope])
     named = rows.withColumn("a", F.concat(F.lit("1|"), head, F.lit("|"), F.col("rec"))).withColumn("b", F.concat(F.lit("0|"), head, F.lit("|"), F.col("unit")))
     found = components(named.select("a", "b").distinct()).filter(F.col("node").startswith("1|"))
+    # a record's node is met once per unit and part it is listed with, so no key of this join is heavy
     parts = named.join(found, named["a"] == found["node"]).groupBy(*scope, "component").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("unit").alias("unit"))
     return parts.filter("p <> q").select(*scope, "unit")

@@ -1,22 +1,25 @@
 """Template residue, filler and error-page mail.
 
-The writer's own part of every mail (no quoted mail, greeting, signature or disclaimer) is read once into words and a few marks. A logistic regression with L2
-penalty over hashed word n-grams, length and title features is trained on weak labels (response statuses and phrases; ordinary mail is the other class), its
-cut is set on mail of hosts it has not seen, and every document is scored. What passes the cut is then checked exactly: an unfilled field outside
-code and quotation, or an own part without one ordinary sentence.
+The writer's own part of every mail (no quoted mail) is read once into the places of a feature space of hashed n-grams, title words and lengths, and into a weak label: the rule (a
+response status, a phrase, an open field, filler) that takes the part for residue, if any. A logistic regression with L2 penalty is trained on a bounded sample of labelled rows. Its cut is
+set on mail of hosts that its first fit has not seen; then it scores every document and decides. Rules are labels only: none of them, nor a mark made by them, is a feature.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.mail import mail_parts, own_lines
@@ -28,16 +31,16 @@ _CLOSING = re.compile(
     r"gruss|bien à vous|cordialement|merci|saludos(?: cordiales)?|un saludo|gracias|atentamente)\s*,?\s*$|^-- ?$"
 )
 _GREETING = re.compile(r"(?i)^\s*(?:dear|hi|hello|hey|good (?:morning|day|evening)|hallo|liebe[r]?|guten (?:tag|morgen)|sehr geehrte[r]?|hola|estimad[oa]s?|buenos días|cher|chère|bonjour)\b.{0,70}[,:!]?\s*$")
-#: Parts of disclaimers and footers, in lower case.
-_DISCLAIMERS = (
-    "addressee", "views in this mail", "think about the forest", "registered office", "excuse the brevity", "nur für den empfänger", "réservé à son destinataire", "solo para su destinatario",
-    "sent from", "enviado desde", "envoyé depuis", "gesendet", "archived copy",
-)
+#: Parts of disclaimers and footers.
+_DISCLAIMER = re.compile(
+    r"(?i)\b(?:addressee|intended recipient|views (?:expressed )?in this (?:mail|message)|(?:consider|think about|think of) the (?:environment|forests?|trees?)|registered office|(?:excuse|pardon) (?:the|my) (?:brevity|typos)|"
+    r"nur für den empfänger|réservé à son destinataire|solo para su destinatario|sent from|enviado desde|envoyé depuis|gesendet|archived copy)"
+)
 #: How disclaimers and footers begin; such a line starts a paragraph of its own even where the blank line before it was lost.
-_DISCLAIMER_STARTS = (
-    "this message and its attachments", "the views in this mail", "please think about", "our registered office", "sent from", "diese nachricht ist nur", "ce message est réservé",
-    "este mensaje es solo", "enviado desde", "envoyé depuis", "gesendet", "-- archived", "archived copy",
-)
+_DISCLAIMER_START = re.compile(
+    r"(?i)(?:this message and its attachments|the views (?:expressed )?in this|please (?:consider|think)|our registered office|sent from|diese nachricht ist nur|ce message est réservé|este mensaje es solo|"
+    r"enviado desde|envoyé depuis|gesendet|-- archived|archived copy)"
+)
 _FUNCTION_WORDS = frozenset(
     "the a an and or of to in on for with is was are be it this that you your i we our my he she they as at by from not but if so can could would please have has had will there who what when which "
     "der die das und oder ist war sind ein eine einen zu im in den dem mit von für nicht auf wir ich sie es hat haben wurde bitte dass weil wenn bei kannst noch aus "
@@ -66,7 +69,7 @@ _STATUS = re.compile(
     r"<h1>|<title>|^\w[\w-]*/\d+\.\d+$"
 )
 _ERROR = re.compile(
-    r"(?i)something went wrong|request id\b|incident number|too many (?:requests|connections)|query failed|database connection|link to the database|did not answer in time|down for maintenance|"
+    r"(?i)something went wrong|request id\b|incident number|too many (?:requests|connections)|query failed|(?:link|connection) to the database|database connection|did not answer in time|down for maintenance|"
     r"access denied|lack the rights|session has (?:run out|expired)|sign in again|no longer held|has moved or was deleted|page you asked for|could not be (?:served|found|opened) by|page introuvable|seite wurde nicht gefunden|"
     r"página no (?:existe|encontrada)|no se encontró|try again in a few|service unavailable|zugriff verweigert|accès refusé|acceso denegado|not be reached|server said"
 )
@@ -93,16 +96,9 @@ _NUMERIC_LINE = re.compile(r"^[\W\d_]*$")
 
 @dataclass
 class OwnPart:
-    """What is left of a mail's own part: sentences, words, and whether a field was left unfilled."""
-
-    sentences: list[str]
-    field: bool
-
-
-@dataclass
-class OwnPart:
-    """What is left of a mail's own part: sentences, words, and whether a field was left unfilled."""
+    """A mail's own part: all its lines (the greeting too), its sentences without greeting and disclaimers, and whether a field was left unfilled."""
 
+    lines: list[str]
     sentences: list[str]
     field: bool
 
@@ -122,18 +118,19 @@ def _unfilled(text: str) -> bool:
 
 
 def _disclaims(text: str) -> bool:
-    low = text.lower()
-    return any(x in low for x in _DISCLAIMERS)
+    return _DISCLAIMER.search(text) is not None
 
 
 def read_own_part(raw: str | None) -> OwnPart:
     """Own sentences of all shown parts (each different sentence of alternative parts once per part) and the field mark."""
+    shown: list[str] = []
     sentences: list[str] = []
     field = False
     for kind, text in mail_parts(raw):
         if kind == "html":
             text = re.sub(r"(?i)</?(?:code|tt|kbd|samp)\b[^>]*>", "`", text)
         lines = own_lines(kind, text)
+        shown.extend(line for line in lines if line.strip())
         paragraphs: list[str] = []
         block: list[str] = []
         first, signed = True, False
@@ -159,7 +156,7 @@ def read_own_part(raw: str | None) -> OwnPart:
             if signed and len(bare) < 60 and bare[-1] not in ".!?" and len(bare.split()) <= 6:
                 field = field or _unfilled(bare)
                 continue  # name, telephone, address below the closing
-            if block and bare.lower().startswith(_DISCLAIMER_STARTS):
+            if block and _DISCLAIMER_START.match(bare):
                 paragraphs.append(" ".join(block))
                 block = []
             block.append(bare)
@@ -172,7 +169,7 @@ def read_own_part(raw: str | None) -> OwnPart:
                 if sum(map(len, parts)) < 15:
                     continue
             sentences.extend(s for s in parts if s.strip())
-    return OwnPart(sentences, field)
+    return OwnPart(shown, sentences, field)
 
 
 def _is_latin(sentence: str) -> bool:
@@ -183,7 +180,14 @@ def _is_latin(sentence: str) -> bool:
 
 def _is_repeated(sentences: list[str]) -> bool:
     """One sentence over and over; two that alternate must come more often than alternative parts of one mail repeat them."""
-    distinct = {" ".join(_LETTERS.findall(s.casefold())) for s in sentences if not _NUMERIC_LINE.match(s)}
+    if len(sentences) < 4:
+        return False
+    distinct: set[str] = set()
+    for s in sentences:
+        if not _NUMERIC_LINE.match(s):
+            distinct.add(" ".join(_LETTERS.findall(s.casefold())))
+            if len(distinct) > 2:
+                return False
     return (len(sentences) >= 4 and len(distinct) == 1) or (len(sentences) >= 8 and len(distinct) == 2)
 
 
@@ -202,113 +206,253 @@ def _is_filler(sentences: list[str]) -> bool:
     return len(w) >= 4 and (not any(x in _FUNCTION_WORDS for x in w) or len(set(w)) <= max(4, len(w) // 4))
 
 
-def marks(raw: str | None) -> tuple[list[str], int, bool, bool, bool]:
-    """(words, number of words, field left unfilled, no ordinary sentence or one repeated, residue phrase or status or filler seen) of a mail's own part.
-
-    Phrases are looked for only where there is no ordinary sentence; repetition counts whatever is repeated."""
-    own = read_own_part(raw)
-    tokens = _TOKEN.findall(" ".join(own.sentences).casefold())
-    seen = _is_repeated(own.sentences)
-    plain = seen or (bool(own.sentences) and not any(map(is_ordinary, own.sentences)))
-    if plain and not seen:
-        seen = (len(own.sentences) >= 4 and len(set(own.sentences)) <= 2) or any(map(_is_residue, own.sentences)) or _is_filler([s for s in own.sentences if not _NUMERIC_LINE.match(s)])
-    return tokens, len(tokens), own.field, plain, seen
-
-
-_READ = "doc_id {0}, host string, tokens array<string>, title array<string>, n_words int, field boolean, bare boolean, seen boolean"
+def weak_family(own: OwnPart) -> str | None:
+    """The weak label: the family of the rule that takes the part for residue, or None. Body rules ask that no sentence is ordinary; repetition counts whatever is repeated."""
+    if own.field:
+        return "field"
+    if _is_repeated(own.sentences):
+        return "repeated"
+    if own.sentences and _no_prose(own):
+        return next((name for name, test in _FAMILIES.items() if any(map(test, own.sentences))), "filler")
+    if not own.sentences or any(map(is_ordinary, own.sentences)):
+        return None
+    for name, test in _FAMILIES.items():
+        if any(map(test, own.sentences)):
+            return name
+    if (len(own.sentences) >= 4 and len(set(own.sentences)) <= 2) or _is_filler([s for s in own.sentences if not _NUMERIC_LINE.match(s)]):
+        return "filler"
+    return None
+
+
+def _no_prose(own: OwnPart) -> bool:
+    """Many words, hardly a function word among them: filler may hold one by accident."""
+    return sum(len(_LETTERS.findall(s)) for s in own.sentences) >= 8 and prose_share(own) < 0.1
+
+
+#: Body rules by family, each of which can be held out of the weak labels.
+_FAMILIES = {
+    "status": lambda s: bool(_STATUS.search(s)),
+    "script": lambda s: bool(_SCRIPT.search(s)),
+    "error": lambda s: bool(_ERROR.search(s) or _CONTROL.match(s)),
+    "placeholder": lambda s: bool(_PLACEHOLDER.search(s) or _is_latin(s)),
+}
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Features: places in one space of hashed n-grams, title words and lengths
+# ---------------------------------------------------------------------------------------------------------------------
+
+GRAMS, TITLES, LENGTHS = 1 << 16, 1 << 10, 64
+SIZE = GRAMS + TITLES + LENGTHS
+_PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"\n]*\"|„[^“”\n]*[“”]|“[^”\n]*”")
+_QUOTE_HINT = re.compile(r"[`\"„“]")
+#: Something between marks of any kind: a gram of the shape alone, whatever stands inside.
+_ENCLOSED = re.compile(r"([^\w\s.,;:!?'\"()-]{1,3}) ?([^\W_][\w .|]*?) ?([^\w\s.,;:!?'\"()-]{1,3})|(?<![^\W_])(__)([^\W_][^\W_ ]*(?:[_ ][^\W_]+)*)(__)")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    """A number per token that is the same in every process; a run of digits counts by its length."""
+
+    def __missing__(self, token: str) -> int:
+        data = (f"#{len(token)}" if token.isdigit() else token).encode("utf-8", "replace")
+        self[token] = h = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _pieces(text: str) -> list[str]:
+    """Words, numbers, runs of marks and line ends; what stands in quotation or code is told apart by a prefix."""
+    if not _QUOTE_HINT.search(text):
+        return _PIECE.findall(text)
+    out: list[str] = []
+    at = 0
+    for m in _QUOTED.finditer(text):
+        out.extend(_PIECE.findall(text[at : m.start()]))
+        out.extend("q:" + x for x in _PIECE.findall(m.group()[1:-1]))
+        at = m.end()
+    out.extend(_PIECE.findall(text[at:]))
+    return out
+
+
+def _shapes(text: str) -> list[str]:
+    """Grams of what stands between marks outside quotation and code: by the marks, and by whether it is a number."""
+    if not _FIELD_HINT.search(text):
+        return []
+    out = []
+    for m in _ENCLOSED.finditer(_QUOTED.sub(" ", text.replace("\n", " "))):
+        left, inside, right = m.group(1, 2, 3) if m.group(1) else m.group(4, 5, 6)
+        kind = "#" if inside.isdigit() else "a"
+        out.extend((f"shape:{left}{kind}{right}", f"shape:{left[:1]}{kind}", f"shape:{len(left)}{kind}{len(right)}"))
+    return out
+
+
+def feature_places(own: OwnPart, subject: str | None) -> list[int]:
+    """Occupied places of the feature space: hashed n-grams (one and two pieces, line ends among them; shapes), title words, and lengths of the part. Each once."""
+    if len(_hashes) > 300_000:
+        _hashes.clear()
+    text = "\n".join(["", *own.lines, ""])
+    pieces = _pieces(text.casefold())
+    h = np.fromiter(map(_hashes.__getitem__, pieces), dtype=np.uint64, count=len(pieces))
+    shapes = np.array([_hashes[x] for x in _shapes(text)], dtype=np.uint64)
+    grams = np.unique(np.concatenate((h, h[:-1] * _MIX + h[1:], shapes)) % np.uint64(GRAMS)).astype(np.int64).tolist()
+    title = sorted({GRAMS + _hashes[w] % TITLES for w in _PIECE.findall(subject.casefold())}) if isinstance(subject, str) else []
+    base = GRAMS + TITLES
+    lengths = [base + min(31, int(2 * math.log2(1 + len(pieces)))), base + 32 + min(15, int(2 * math.log2(1 + len(own.lines)))), base + 48 + min(15, int(2 * math.log2(1 + len(title))))]
+    return [*grams, *title, *lengths]
+
+
+def prose_share(own: OwnPart) -> float:
+    """Share of function words of the four languages among the words of the sentences; 0 without words. Somebody's own words have a good third."""
+    w = [x for s in own.sentences for x in _LETTERS.findall(s.casefold())]
+    return sum(x in _FUNCTION_WORDS for x in w) / len(w) if w else 0.0
+
+
+_READ = "doc_id {0}, host string, places array<int>, family string, prose double, n_words int"
 
 
 def read_documents(documents: DataFrame) -> DataFrame:
-    """One row per document with the words and marks of its own part; whole texts, read once. Null and empty texts have no words and no marks."""
+    """One row per document with the feature places and the weak label of its own part; whole texts, read once. Null and empty texts have a length and no label."""
     schema = _READ.format(documents.schema["doc_id"].dataType.simpleString())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, raw, sender, subject in zip(pdf["doc_id"], pdf["text"], pdf["from_addr"], pdf["subject"]):
-                tokens, n, field, bare, seen = marks(raw if isinstance(raw, str) else None)
-                # for the n-grams a word counts once and very long mails by their vocabulary, so a row stays small whatever the text's length
+                own = read_own_part(raw if isinstance(raw, str) else None)
                 host = sender.rpartition("@")[2].strip().lower() if isinstance(sender, str) else ""
-                title = re.findall(r"\w+", subject.casefold()) if isinstance(subject, str) else []
-                grams = list(dict.fromkeys(tokens)) + list(dict.fromkeys(f"{a} {b}" for a, b in zip(tokens, tokens[1:])))
-                rows.append((doc, host, grams, title, n, field, bare, seen))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "tokens", "title", "n_words", "field", "bare", "seen"])
+                n = sum(len(_LETTERS.findall(x)) for x in own.sentences)
+                rows.append((doc, host, feature_places(own, subject), weak_family(own), prose_share(own), n))
+            yield pd.DataFrame(rows, columns=["doc_id", "host", "places", "family", "prose", "n_words"])
 
     return documents.select("doc_id", "text", "from_addr", "subject").mapInPandas(read, schema)
 
 
-def featurize(read: DataFrame, buckets: int = 1 << 15) -> DataFrame:
-    """Adds ``features``: hashed own-part n-grams, scaled by their number, hashed title words, and length and mark columns."""
-    bits = read.withColumns(
-        {
-            "label": ((F.col("seen") & F.col("bare")) | F.col("field")).cast("double"),
-            "extra": array_to_vector(
-                F.array(
-                    F.log1p(F.col("n_words").cast("double")) / 8,
-                    (F.col("n_words") < 12).cast("double"),
-                    ((F.col("n_words") >= 12) & (F.col("n_words") < 40)).cast("double"),
-                    F.col("field").cast("double"),
-                    F.col("bare").cast("double"),
-                    F.log1p(F.size("title").cast("double")) / 4,
-                )
-            ),
-        }
-    )
-    hashed = HashingTF(inputCol="tokens", outputCol="grams", numFeatures=buckets, binary=True).transform(bits)
-    titled = HashingTF(inputCol="title", outputCol="heads", numFeatures=256, binary=True).transform(hashed)
-    return VectorAssembler(inputCols=["grams", "heads", "extra"], outputCol="features").transform(titled)
+@F.udf(returnType=VectorUDT())
+def _vector(places):
+    return Vectors.sparse(SIZE, places, [1.0] * len(places))
+
+
+def probability(places: Column, weights: Broadcast, intercept: float) -> Column:
+    """The classifier's answer from the places alone: one gather and sum over an Arrow batch."""
+
+    @F.arrow_udf("double")
+    def score(batch: pa.Array) -> pa.Array:
+        sizes = np.diff(batch.offsets.to_numpy())
+        row = np.repeat(np.arange(len(batch)), sizes)
+        total = np.bincount(row, weights.value[batch.flatten().to_numpy(zero_copy_only=False)], len(batch)) + intercept
+        return pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))
+
+    return score(places)
 
 
 @dataclass
 class ResidueModel:
-    """The fitted classifier, its cut, and the figures on unseen hosts."""
+    """A weight per place, the intercept, the cut set on unseen hosts, and the scored mail of those hosts that it was set on."""
 
-    model: LogisticRegressionModel
+    weights: np.ndarray
+    intercept: float
     cut: float
-    figures: dict[str, float]
+    held: pd.DataFrame
+
+    def figures(self) -> dict[str, float]:
+        """Agreement with the weak labels on mail of unseen hosts, weighted to all documents."""
+        w, y, picked = self.held["weight"].to_numpy(), self.held["label"].to_numpy() > 0, self.held["p"].to_numpy() >= self.cut
+        div = lambda a, b: float(a / b) if b else 0.0
+        return {"held_rows": len(y), "weak_positives": int(y.sum()), "recall": div(w[y & picked].sum(), w[y].sum()), "precision": div(w[y & picked].sum(), w[picked].sum()), "cut": self.cut}
 
 
-def train(read: DataFrame, sample_rows: int = 6_000, buckets: int = 1 << 15, penalty: float = 0.003, recall: float = 0.995, seed: int = 5) -> ResidueModel:
-    """Fit on at most about ``sample_rows`` weakly labelled documents of each class (a documented bound for the fit alone), drawn by a hash of the id; hosts whose hash falls into a quarter are
-    held out to set the cut at the ``recall`` of weak positives, and for the figures."""
-    label = (F.col("seen") & F.col("bare")) | F.col("field")
+def _sample(read: DataFrame, sample_rows: int, seed: int) -> DataFrame:
+    """At most about ``sample_rows`` documents of each weak label, drawn by a hash of the id, with the weight that brings them back to all documents; the labelled rows of the fit."""
+    label = F.col("family").isNotNull()
     counts = {r["y"]: r["n"] for r in read.groupBy(label.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(True) or not counts.get(False):
-        raise ValueError("both weak labels must occur")
+    share = {y: min(1.0, sample_rows / counts[y]) if counts.get(y) else 1.0 for y in (True, False)}
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    share = F.when(label, F.lit(min(1.0, sample_rows / counts[True]))).otherwise(F.lit(min(1.0, sample_rows / counts[False])))
-    sample = materialize(read.filter(place < share), "residue-sample")
-    # the hold-out hosts: by hash; the smallest hash where no host falls into the quarter
-    order = F.pmod(F.xxhash64(F.lit(seed), F.col("host")), F.lit(4))
-    rows = featurize(sample, buckets).withColumn("held", order == 0)
-    if rows.filter("held and label = 1").limit(1).count() == 0 or rows.filter("not held and label = 1").limit(1).count() == 0:
-        rows = rows.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(4)) == 0)
-    fit = rows.filter(~F.col("held")).select("features", "label").coalesce(4).cache()
-    model = LogisticRegression(maxIter=25, regParam=penalty, elasticNetParam=0.0, standardization=False).fit(fit)
-    fit.unpersist()
-    held = model.transform(rows.filter("held")).select("label", vector_to_array("probability")[1].alias("p"))
-    low = held.filter("label = 1").agg(F.percentile("p", F.lit(1 - recall))).first()[0]
-    cut = min(0.5, 0.5 if low is None else low * 0.5)
-    f = held.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.sum((F.col("p") >= cut).cast("int")).alias("picked"), F.sum(((F.col("p") >= cut) & (F.col("label") == 1)).cast("int")).alias("hit"),
-        F.sum(((F.col("p") >= 0.5) & (F.col("label") == 1)).cast("int")).alias("hit_half"), F.sum((F.col("p") >= 0.5).cast("int")).alias("picked_half"),
-    ).first()
-    div = lambda a, b: float(a or 0) / b if b else 0.0
-    figures = {"held_rows": f["n"], "weak_positives": f["pos"] or 0, "recall_at_cut": div(f["hit"], f["pos"]), "precision_at_cut": div(f["hit"], f["picked"]), "recall_at_half": div(f["hit_half"], f["pos"]), "precision_at_half": div(f["hit_half"], f["picked_half"])}
-    return ResidueModel(model, cut, figures)
-
-
-def score(documents: DataFrame, buckets: int = 1 << 15, **options) -> tuple[DataFrame, ResidueModel | None]:
-    """(``doc_id, p, kept_out, field, n_words``) for every document: ``kept_out`` where the classifier's score passes its cut and the exact check agrees.
-
-    Without examples of both weak labels (empty or tiny tables) nothing can be trained: then the exact check alone decides and p is null."""
+    kept = F.when(label, F.lit(share[True])).otherwise(F.lit(share[False]))
+    drawn = materialize(read.withColumns({"weight": 1 / kept, "label": label.cast("double")}).filter(place < kept), "residue-sample")
+    # hosts in the order of a hash are held out until they have a quarter of the positive rows; one host at least stays for the fit
+    per = drawn.groupBy("host").agg(F.sum("label").alias("n")).orderBy(F.xxhash64(F.lit(seed), F.col("host"))).collect()
+    held, count, total = [], 0.0, sum(r["n"] for r in per)
+    for r in per[:-1]:
+        if count * 4 >= total:
+            break
+        held.append(r["host"])
+        count += r["n"]
+    return drawn.withColumn("held", F.col("host").isin(held) if held else F.lit(False))
+
+
+def _weights(rows: DataFrame, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression with L2 ``penalty``; where only one label occurs the answer is that label."""
+    at = rows.select(_vector("places").alias("features"), "label", "weight")
+    labels = {r["label"] for r in at.select("label").distinct().collect()}
+    if labels != {0.0, 1.0}:
+        return np.zeros(SIZE), 20.0 if labels == {1.0} else -20.0
+    model = LogisticRegression(maxIter=60, regParam=penalty, elasticNetParam=0.0, standardization=False, weightCol="weight").fit(at.coalesce(4))
+    return model.coefficients.toArray(), float(model.intercept)
+
+
+def _scored(rows: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
+    return rows.withColumn("p", probability(F.col("places"), rows.sparkSession.sparkContext.broadcast(weights), intercept))
+
+
+def validate(sample: DataFrame, penalty: float, without: str | None = None) -> ResidueModel:
+    """Fit on the sampled rows of all hosts but those held out, and set the cut on these; ``without`` leaves one family of weak labels out of the fit and of the setting of the cut.
+
+    The cut is where precision and recall balance best; without positive rows among the held-out ones it is 0.5."""
+    rows = sample.filter(F.col("family").isNull() | (F.col("family") != F.lit(without))) if without else sample
+    weights, intercept = _weights(rows.filter(~F.col("held")), penalty)
+    held = _scored(sample.filter("held"), weights, intercept).select("family", "label", "weight", "p").toPandas()
+    mine = held[held["family"].isna() | (held["family"] != without)] if without else held
+    return ResidueModel(weights, intercept, _best_cut(mine) if (mine["label"] > 0).any() else 0.5, held)
+
+
+def _best_cut(held: pd.DataFrame) -> float:
+    """The score with the largest weighted F1, halfway (in odds) to the next lower one."""
+    order = held.sort_values("p", ascending=False)
+    w, y, p = order["weight"].to_numpy(), order["label"].to_numpy(), np.clip(order["p"].to_numpy(), 1e-9, 1 - 1e-9)
+    hit, picked = np.cumsum(w * y), np.cumsum(w)
+    f1 = 2 * hit / (picked + hit[-1])
+    f1[:-1][p[:-1] == p[1:]] = -1  # equal scores fall together
+    best = int(np.argmax(f1))
+    odds = np.log(p / (1 - p))
+    middle = (odds[best] + odds[min(best + 1, len(p) - 1)]) / 2
+    return float(1 / (1 + np.exp(-middle)))
+
+
+def train(read: DataFrame, sample_rows: int = 6_000, penalty: float = 1e-4, seed: int = 5) -> ResidueModel:
+    """The cut from unseen hosts, the weights from all sampled rows."""
+    sample = _sample(read, sample_rows, seed)
+    checked = validate(sample, penalty)
+    weights, intercept = _weights(sample, penalty)
+    return ResidueModel(weights, intercept, checked.cut, checked.held)
+
+
+def unseen_families(read: DataFrame, sample_rows: int = 6_000, penalty: float = 1e-4, seed: int = 5) -> dict[str, tuple[int, float]]:
+    """Per family of weak labels: how many rows of unseen hosts it has, and the share that a classifier finds which never saw the family (nor those hosts)."""
+    sample = _sample(read, sample_rows, seed)
+    out = {}
+    for name in ["field", "repeated", *_FAMILIES, "filler"]:
+        fitted = validate(sample, penalty, name)
+        p = fitted.held.loc[fitted.held["family"] == name, "p"]
+        out[name] = (len(p), float((p >= fitted.cut).mean()) if len(p) else 0.0)
+    return out
+
+
+#: Own parts with fewer function words than this are nobody's sentences.
+PROSE = 0.2
+#: An error page or a notice with its surroundings has no more words than this.
+SHORT = 60
+
+
+def score(documents: DataFrame, sample_rows: int = 6_000, penalty: float = 1e-4, seed: int = 5) -> tuple[DataFrame, ResidueModel]:
+    """(``doc_id, p, kept_out, family``) for every document. The classifier decides: ``kept_out`` needs a score at its cut or above.
+
+    A check follows: what no weak rule has named may only go if it is no prose (few function words), or short and scored without doubt. So a weak label alone never keeps a document out, and the classifier finds residue that the
+    rules miss. Null and empty texts are never kept out; without weak labels of both kinds (empty or tiny tables) the fit is that of the one label."""
     read = materialize(read_documents(documents), "residue-read")
-    # a short own part of unknown wording counts as bare when the classifier is sure of it
-    exact = F.col("field") | (F.col("bare") & F.col("seen"))
-    try:
-        fitted = train(read, buckets=buckets, **options)
-    except ValueError:
-        return read.select("doc_id", F.lit(None).cast("double").alias("p"), exact.alias("kept_out"), "field", "n_words"), None
-    scored = fitted.model.transform(featurize(read, buckets)).withColumn("p", vector_to_array("probability")[1])
-    sure = F.col("bare") & (F.col("n_words") >= 3) & (F.col("p") >= 0.9)
-    return scored.select("doc_id", "p", ((F.col("p") >= fitted.cut) & (exact | sure)).alias("kept_out"), "field", "n_words"), fitted
+    fitted = train(read, sample_rows, penalty, seed)
+    doubtless = (F.col("p") >= 0.9) & (F.col("n_words") <= SHORT)
+    sound = F.col("family").isNotNull() | ((F.col("prose") < PROSE) & (F.col("n_words") >= 4)) | doubtless
+    return _scored(read, fitted.weights, fitted.intercept).select("doc_id", "p", ((F.col("p") >= fitted.cut) & sound).alias("kept_out"), "family", "prose", "n_words"), fitted

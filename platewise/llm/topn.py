@@ -3,8 +3,8 @@
 A histogram of the scores per group, made in one map-side combined pass, gives a threshold that leaves at least N different items; rows beyond it are dropped where
 they are read, and only the few survivors are ranked exactly with the full tie rule.
 
-Different items (not rows) must survive, so every bin keeps a 64-bit map of item hashes instead of a count: the set bits of the union over the best
-bins never exceed the number of different items in them, which makes the threshold safe even when items repeat.
+Different items (not rows) must survive, so every bin keeps maps of 64 bits of item hashes instead of a count: the set bits of the union over the best
+bins never exceed the number of different items in them, which makes the threshold safe even when items repeat. A larger N takes more maps.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.skew import join_heavy
 from platewise.session import materialize
 
-#: Up to 64 words of bits would allow larger N; one word is enough for N up to this.
-MAX_N = 32
+#: A map of 64 bits tells this many items apart without filling up.
+ITEMS_PER_MAP = 32
 
 
 def score_bin(primary: Column, secondary: Column) -> Column:
@@ -32,12 +33,18 @@ def score_bin(primary: Column, secondary: Column) -> Column:
 
 
 def thresholds(rows: DataFrame, n: int) -> DataFrame:
-    """(``g``, ``last``): the worst bin that has to be kept for group ``g``; groups with too few items keep everything."""
-    bits = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(item), 64) as int)))")
-    histogram = rows.groupBy("g", "bin").agg(bits.alias("seen"))
-    # a group has at most some thousand bins, whatever its number of rows
-    enough = histogram.withColumn("known", F.expr("bit_count(bit_or(seen) over (partition by g order by bin rows between unbounded preceding and current row))"))
-    return enough.groupBy("g").agg(F.coalesce(F.min(F.when(F.col("known") >= n, F.col("bin"))), F.lit(2**31 - 1)).alias("last"))
+    """(``g``, ``last``, ``n_rows``): the worst bin that has to be kept for group ``g``, and its rows; groups with too few items keep everything."""
+    maps = -(-n // ITEMS_PER_MAP)
+    at = F.pmod(F.xxhash64("item"), F.lit(64 * maps))
+    bits = F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))")
+    histogram = rows.select("g", "bin", at.alias("at")).groupBy("g", "bin", F.floor(F.col("at") / 64).cast("int").alias("map")).agg(bits.alias("seen"), F.count(F.lit(1)).alias("rows"))
+    # a group has at most some thousand bins per map, whatever its number of rows; from here on everything stays with its group
+    upto = Window.partitionBy("g", "map").orderBy("bin")
+    union = F.expr("bit_count(bit_or(seen) over (partition by g, map order by bin rows between unbounded preceding and current row))")
+    known = histogram.repartition("g").withColumn("upto", union).withColumn("new", F.col("upto") - F.coalesce(F.lag("upto").over(upto), F.lit(0)))
+    bins = known.groupBy("g", "bin").agg(F.sum("new").alias("new"), F.sum("rows").alias("rows"))
+    enough = bins.withColumn("items", F.sum("new").over(Window.partitionBy("g").orderBy("bin")))
+    return enough.groupBy("g").agg(F.coalesce(F.min(F.when(F.col("items") >= n, F.col("bin"))), F.lit(2**31 - 1)).alias("last"), F.sum("rows").alias("n_rows"))
 
 
 def top_items(
@@ -46,18 +53,19 @@ def top_items(
     """(``g``, ``item``, ``primary``, ``secondary``, carry..., ``nth``): per group the ``n`` first items by smaller primary, larger secondary, item ascending (byte order).
 
     An item counts once per group, by its best row. Rows with a null group or item, or a null or NaN score, do not compete. Carried columns come from the
-    best row (smallest value among exact ties). Thresholds are broadcast up to ``broadcast_groups`` groups (some MB); with more groups the filter is a shuffle join.
-    Groups with fewer than ``n`` items come back whole; an empty table gives no rows.
+    best row (smallest value among exact ties). Thresholds are broadcast up to ``broadcast_groups`` groups (some MB); with more groups only those of heavy groups are, and the
+    rows of all others meet theirs in a shuffle join. Groups with fewer than ``n`` items come back whole; an empty table gives no rows.
     """
-    if n > MAX_N:
-        raise ValueError(f"n may be {MAX_N} at most")
     rows = df.select(
         group.alias("g"), item.alias("item"), primary.cast("double").alias("primary"), secondary.cast("double").alias("secondary"), *[F.col(c).alias(f"c_{c}") for c in carry]
     ).filter("g is not null and item is not null and primary is not null and secondary is not null and not isnan(primary) and not isnan(secondary)")
     binned = rows.withColumn("bin", score_bin(F.col("primary"), F.col("secondary")))
     limits = materialize(thresholds(binned.select("g", "bin", "item"), n), "topn-thresholds")
-    few = limits.limit(broadcast_groups + 1).count() <= broadcast_groups
-    survivors = binned.join(F.broadcast(limits) if few else limits, "g").filter("bin <= last")
+    if limits.limit(broadcast_groups + 1).count() <= broadcast_groups:
+        limited = binned.join(F.broadcast(limits.select("g", "last")), "g")
+    else:
+        limited = join_heavy(binned, limits.select("g", "last"), "g", limits.select("g", "n_rows"))
+    survivors = limited.filter("bin <= last")
     extra = [f"c_{c}" for c in carry]
     best = survivors.groupBy("g", "item").agg(F.min(F.struct(F.col("primary"), (-F.col("secondary")).alias("less"), *extra)).alias("best"))
     flat = best.select("g", "item", F.col("best.primary").alias("primary"), (-F.col("best.less")).alias("secondary"), *[F.col(f"best.{e}").alias(c) for e, c in zip(extra, carry)])

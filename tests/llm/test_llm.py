@@ -44,15 +44,19 @@ def test_days_add_up(spark):
     df, data = scores(spark)
     keys = ["split", "repeat"]
     daily = quantiles.merge(quantiles.sketch(df, [F.col(k) for k in (*keys, "day")], [*keys, "day"], F.col("v"), 256), [*keys, "day"], 256)
-    got = {(r["split"], r["repeat"]): r for r in quantiles.percentiles(quantiles.merge(daily, keys, 256, fan_in=2), keys, [0.25, 0.5, 0.95]).collect()}
+    got = {}
+    for r in quantiles.percentiles(quantiles.merge(daily, keys, 256, fan_in=2), keys, [0.25, 0.5, 0.95]).collect():
+        got.setdefault((r["split"], r["repeat"]), []).append(r)
     assert set(got) == {("s", 0), ("s", 1), (None, 0)}
-    for (s, r), row in got.items():
+    for (s, r), answers in got.items():
         v = np.sort([x[3] for x in data if x[0] == s and x[1] == r and x[3] is not None and math.isfinite(x[3])])
-        assert row["n_values"] == len(v) and row["min_value"] == v[0] and row["max_value"] == v[-1]
-        assert row["rank_error"] < 0.1
-        for q, name in ((0.25, "p25"), (0.5, "p50"), (0.95, "p95")):
-            lo, hi = np.searchsorted(v, row[name], "left"), np.searchsorted(v, row[name], "right")
-            assert lo - row["rank_error"] * len(v) - 1 <= q * len(v) <= hi + row["rank_error"] * len(v) + 1
+        assert [x["q"] for x in answers] == [0.25, 0.5, 0.95]
+        for row in answers:
+            assert row["n_values"] == len(v) and row["min_value"] == v[0] and row["max_value"] == v[-1]
+            assert 0 < row["rank_error"] < 0.15
+            lo, hi = np.searchsorted(v, row["value"], "left"), np.searchsorted(v, row["value"], "right")
+            wide = row["rank_error"] * len(v) + 1
+            assert lo - wide <= row["q"] * len(v) <= hi + wide
     empty = quantiles.sketch(df.limit(0), [F.col("split")], ["split"], F.col("v"))
     assert quantiles.percentiles(quantiles.merge(empty, ["split"]), ["split"], [0.5]).count() == 0
 
@@ -62,7 +66,22 @@ def test_small_groups_are_exact_and_memory_is_bounded(spark):
     states = quantiles.sketch(df, [F.col("k")], ["k"], F.col("v"), 64, held=50)
     got = quantiles.percentiles(quantiles.merge(states, ["k"], 64), ["k"], [0.5])
     assert got.count() == 300 and got.filter("rank_error > 0").count() == 0
-    assert got.filter("k = 'k7'").first()["p50"] == 1207.0
+    assert got.filter("k = 'k7'").first()["value"] == 1207.0
+
+
+def test_very_many_states_of_one_group_are_merged_in_a_tree(spark):
+    # 5,000 states of one group at a fan-in of 8: four levels, the widest of 625 branches
+    days = spark.range(5000).select(F.lit("g").alias("g"), F.lit(4).cast("long").alias("n"), F.col("id").cast("double").alias("lo"), (F.col("id") + 3).cast("double").alias("hi"), F.lit(0.0).alias("spread"), F.array(F.array(*[(F.col("id") + i).cast("double") for i in range(4)])).alias("levels"), "id")
+    merged = quantiles.merge(days, ["g"], 64, fan_in=8)
+    row = merged.first()
+    assert row["n"] == 20_000 == sum(len(x) << h for h, x in enumerate(row["levels"])) and (row["lo"], row["hi"]) == (0.0, 5002.0)
+    exact = np.sort(np.concatenate([np.arange(5000.0) + i for i in range(4)]))
+    for a in quantiles.percentiles(merged, ["g"], [0.1, 0.5, 0.9]).collect():
+        assert 0 < a["rank_error"] and abs(np.searchsorted(exact, a["value"]) - a["q"] * 20_000) <= a["rank_error"] * 20_000 + 8
+
+
+def test_coins_of_later_states_differ():
+    assert len({quantiles._seed(7, "sketch", 0, i, ("k",)) for i in range(1, 200)}) == 199
 
 
 # --- groups and splits -------------------------------------------------------------------------------------------------
@@ -98,23 +117,22 @@ def test_components_against_brute_force(spark, task_links, packed, seed):
     assert related.components(df.limit(0)).count() == 0
 
 
-def test_allotment_equals_one_by_one():
-    rnd = random.Random(5)
-    sizes = {1: 700, 2: 150, 3: 90, 17: 5, 40: 2}
+@pytest.mark.parametrize("sizes", [{1: 700, 2: 150, 3: 90, 17: 5, 40: 2}, {5: 65}, {5: 66, 1: 1}, {1: 3}, {1000: 1, 1: 90}, {7: 64, 3: 129, 1: 1000}])
+def test_allotment_equals_one_by_one(sizes):
+    """The closed form gives what single greedy steps give; where parts stand equally far below target either may come first, so the deficits are compared."""
     shares = {"train": 0.65, "val": 0.15, "test": 0.20}
     total = sum(s * n for s, n in sizes.items())
-    want = {s: dict.fromkeys(shares, 0) for s in sizes}
     deficit = {p: x * total for p, x in shares.items()}
+    got = related.allot(sizes, shares)
+    left = dict(deficit)
     for size in sorted(sizes, reverse=True):
         for _ in range(sizes[size]):
             p = max(shares, key=lambda x: deficit[x])
-            want[size][p] += 1
             deficit[p] -= size
-    got = related.allot(sizes, shares)
-    for s in sizes:
-        assert sum(got[s].values()) == sizes[s]
-    assert all(abs(got[s][p] - want[s][p]) <= 1 for s in sizes for p in shares), (got, want)
-    del rnd
+        for p in shares:
+            left[p] -= size * got[size][p]
+        assert sum(got[size].values()) == sizes[size]
+        assert np.allclose(sorted(left.values()), sorted(deficit.values())), (size, left, deficit)
 
 
 def test_groups_stay_whole_and_shares_are_met(spark):
@@ -130,6 +148,24 @@ def test_groups_stay_whole_and_shares_are_met(spark):
     assert rows(out) == rows(related.group_split(df.repartition(3), "rec", {"author": F.col("author")}))
 
 
+def test_one_giant_component_and_the_crossed_split(spark):
+    rnd = random.Random(11)
+    # lines and clusters meet at random: together they are one component
+    data = [(f"r{i:04d}", f"l{rnd.randrange(40)}" if i % 50 else None, f"c{rnd.randrange(60)}" if i % 33 else None) for i in range(1500)]
+    df = spark.createDataFrame(data, "rec string, line string, cluster string")
+    units = {"line": F.col("line"), "cluster": F.col("cluster")}
+    assert related.group_split(df, "rec", units).groupBy("component").count().agg(F.max("count")).first()[0] > 1400
+    got = {r["rec"]: r["part"] for r in related.crossed_split(df, "rec", units).collect()}
+    assert len(got) == 1500
+    for at in (1, 2):
+        for u in {x[at] for x in data if x[at]}:
+            assert len({got[x[0]] for x in data if x[at] == u} - {None}) <= 1
+    kept = pd.Series([p for p in got.values() if p])
+    share = kept.value_counts(normalize=True)
+    assert 400 < len(kept) < 700 and abs(share["train"] - 0.65) < 0.1 and set(kept) == {"train", "val", "test"}
+    assert related.crossed_split(df.limit(0), "rec", units).count() == 0
+
+
 def test_torn_units(spark):
     d = spark.createDataFrame([(0, "a", "u", "train"), (0, "b", "u", "test"), (0, "a", "u", "train"), (1, "a", "u", "train"), (1, "b", "u", None), (0, "c", None, "val"), (None, "x", "w", "val"), (None, "y", "w", "test")], "repeat int, rec string, unit string, part string")
     assert rows(related.torn_units(d, ["repeat"])) == [(0, "u"), (None, "w")]
@@ -162,6 +198,8 @@ def test_top_items_against_brute_force(spark, limit):
     df = spark.createDataFrame([(*r, 1) for r in data], "g string, item string, primary double, secondary double, bin int")
     got = topn.top_items(df, F.col("g"), F.col("item"), F.col("primary"), F.col("secondary"), 10, broadcast_groups=limit)
     assert {(r["g"], r["item"], r["nth"]) for r in got.collect()} == brute_top(data, 10)
+    many = topn.top_items(df, F.col("g"), F.col("item"), F.col("primary"), F.col("secondary"), 100, broadcast_groups=limit)
+    assert {(r["g"], r["item"], r["nth"]) for r in many.collect()} == brute_top(data, 100)
     assert topn.top_items(df.limit(0), F.col("g"), F.col("item"), F.col("primary"), F.col("secondary")).count() == 0
 
 
@@ -178,7 +216,7 @@ def test_reading_mail():
     both = 'Content-Type: multipart/mixed; boundary="=_1"\n\n--=_1\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\nSGVsbG8gd29ybGQgb2YgbWFpbA==\n--=_1\nContent-Type: application/octet-stream; name="x"\nContent-Disposition: attachment\n\nAAAA\n'
     assert mail.visible_words(both) == [["hello", "world", "of", "mail"]]
     for odd in (None, "", "\r\r\n", "From: x", "--=_1", "=" * 999, "<" * 999, 'Content-Type: multipart/mixed; boundary="a"\n\n--a\n' * 9):
-        mail.visible_words(odd), residue.marks(odd)
+        mail.visible_words(odd), residue.weak_family(residue.read_own_part(odd)), residue.feature_places(residue.read_own_part(odd), odd)
 
 
 def test_own_lines_leave_quotes_out():
@@ -225,7 +263,7 @@ def archive(spark, n=600):
 
 
 def test_shares_are_reached_under_the_caps(spark):
-    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.35, 3), ("c_d", 0.2, 4), ("gone", 0.05, 2)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.35, 3), ("c_d", 0.2, 4), ("gone", 0.05, 2), ("A ", 0.9, 1)], "source string, target_share double, max_repeats int")
     used, report = mixture.mix(archive(spark), targets)
     got = {r["source"]: r for r in report.collect()}
     assert set(got) == {"a", "b", "c_d", "gone"} and got["gone"]["tokens"] == 0
@@ -277,9 +315,18 @@ OTHERS = {
 
 
 @pytest.mark.parametrize("name", [*CASES, *OTHERS])
-def test_exact_check(name):
-    _, _, field, bare, seen = residue.marks(HEAD + {**CASES, **OTHERS}[name])
-    assert (field or (bare and seen)) == (name in CASES)
+def test_weak_labels(name):
+    assert (residue.weak_family(residue.read_own_part(HEAD + {**CASES, **OTHERS}[name])) is not None) == (name in CASES)
+
+
+def test_features_tell_quotation_and_shapes_apart():
+    at = lambda body: set(residue.feature_places(residue.read_own_part(HEAD + body), None))
+    gram = lambda x: residue._hashes[x] % residue.GRAMS
+    assert gram("shape:{{a}}") in at("Take {{order_no}} now") and gram("shape:__a__") in at("Take __ORDER_NO__ now")
+    assert gram("shape:{{a}}") not in at("Take `{{order_no}}` now") and gram("q:{{") in at("Take `{{order_no}}` now")
+    assert gram("null") in at("Dear null,\n\nx") and gram("null") not in at('We saw "null" there')
+    long = at("word " * 200_000)
+    assert len(long) < 20 and max(long) < residue.SIZE
 
 
 def test_classifier_end_to_end(spark):
@@ -295,6 +342,28 @@ def test_classifier_end_to_end(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, from_addr string, subject string, p double")
     scored, fitted = residue.score(df)
     got = {r["doc_id"] for r in scored.filter("kept_out").collect()}
-    assert scored.count() == 401 and fitted.figures["recall_at_cut"] > 0.95
+    figures = fitted.figures()
+    assert scored.count() == 401 and figures["recall"] > 0.9 and figures["precision"] > 0.9
     assert got <= want and len(got) >= 0.98 * len(want)
-    assert residue.score(df.limit(0))[0].count() == 0
+    assert rows(scored.select("doc_id", "kept_out")) == rows(residue.score(df.repartition(3))[0].select("doc_id", "kept_out"))
+    empty = residue.score(df.limit(0))[0]
+    assert empty.count() == 0
+    ordinary = residue.score(df.filter(~F.col("doc_id").isin(list(want))))[0]
+    assert ordinary.filter("kept_out").count() == 0
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    """Without its weights nothing is found, and it finds residue in words that no rule knows."""
+    known = ["The page you asked for could not be found by the server.", "Something went wrong while the server handled the request.", "The service is unavailable, try again in a few minutes.", "Access denied: the server could not handle the request."]
+    new = "The server could not handle the request for the page."
+    assert residue.weak_family(residue.read_own_part(HEAD + new)) is None
+    talk = [f"I moved the {a} to the {b} and Ann will look at it on Monday, so please keep the {c} until then." for a in ("box", "table", "lamp") for b in ("lab", "room", "hall") for c in ("list", "key", "form")]
+    data = [(i, HEAD + known[i % 4], f"a@h{i % 4}.test", "s") for i in range(60)] + [(100 + i, HEAD + talk[i % len(talk)], f"a@h{i % 4}.test", "s") for i in range(120)] + [(500, HEAD + new, "a@h9.test", "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, from_addr string, subject string")
+    read = residue.read_documents(df)
+    fitted = residue.train(read.filter("doc_id < 500"))
+    p = {r["doc_id"]: r["p"] for r in residue._scored(read, fitted.weights, fitted.intercept).collect()}
+    assert {k for k, v in p.items() if v >= fitted.cut} == {*range(60), 500}
+    monkeypatch.setattr(residue, "_weights", lambda rows, penalty: (np.zeros(residue.SIZE), -20.0))
+    monkeypatch.setattr(residue, "_best_cut", lambda held: 0.5)
+    assert residue.score(df)[0].filter("kept_out").count() == 0
