@@ -41,8 +41,25 @@ def is_control(drug: Column | str, names: Sequence[str] = CONTROL_NAMES) -> Colu
     return F.coalesce(lower_key(drug).isin([n.lower() for n in names]), F.lit(False))
 
 
+def number_text(c: Column | str) -> Column:
+    """A double as its shortest decimal text: plain from 1e-4 up to 1e16 (``0.0005``, ``10000000.0``), else with a two-digit exponent (``1e-05``, ``2.5e+16``), as ids of conditions were made from. Null stays null."""
+    c = _col(c).cast("double")
+    size, text = F.abs(c), c.cast("string")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_extract(text, r"^-?(\d+\.\d+)E", 1)
+    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.translate(mantissa, ".", ""), r"0+$", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = exponent + 1
+    large = F.when(F.length(digits) <= whole, F.concat(F.rpad(digits, whole, "0"), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), F.substring(digits, whole + 1, F.length(digits))))
+    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    scientific = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), power)
+    plain = (size >= 1e-4) & (size < 1e16)
+    return F.when(exponent.isNull(), text).when(plain & (size < 1), F.concat(sign, small)).when(plain, F.concat(sign, large)).otherwise(F.concat(sign, scientific))
+
+
 def condition_id(*parts: Column | str) -> Column:
-    """First 16 hex digits of the sha1 of the parts joined by ``|``; a null part reads ``None``."""
+    """First 16 hex digits of the sha1 of the parts joined by ``|``; a null part reads ``None``. Doubles go in by :func:`number_text`."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(_col(p).cast("string"), F.lit("None")) for p in parts])), 1, 16)
 
 

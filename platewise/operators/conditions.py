@@ -25,7 +25,7 @@ def parsed_wells(wells: DataFrame) -> DataFrame:
     """Adds drug_name, dose, unit, is_control and condition_id. The id uses the name as parsed."""
     t = F.col("drugname_drugconc")
     named = wells.withColumns({"drug_name": S.drug_of(t), "dose": S.dose_of(t), "unit": S.unit_of(t)})
-    return named.withColumns({"is_control": S.is_control("drug_name"), "condition_id": S.condition_id("cell_line", "drug_name", "dose", "plate")})
+    return named.withColumns({"is_control": S.is_control("drug_name"), "condition_id": S.condition_id("cell_line", "drug_name", S.number_text("dose"), "plate")})
 
 
 def condition_table(wells: DataFrame, lines: Sequence[str] | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
+from platewise.operators.contracts import ContractError
 
 
 def sample_conditions(pool: DataFrame, n: int, seed: str) -> DataFrame:
@@ -21,6 +24,33 @@ def name_match(names: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return exact.join(loose, F.trim(F.col(name)) == F.col("t"), "left").select(name, F.coalesce("exact", "loose").alias("matched"))
 
 
+def match_slices(own: DataFrame, theirs: DataFrame, at: Sequence[str] = ("cell_line", "plate", "drug"), relative: float = 1e-6) -> DataFrame:
+    """(condition_id, other_id, n_matches): the slice of ``theirs`` (other_id, ``at``, dose, unit) that each condition of ``own`` (condition_id, ``at``, dose, unit) stands for.
+
+    Doses are compared in micromolar, within ``relative``; an unknown unit raises. A condition without a match, or with more than one, is listed without ``other_id`` and with their number, never
+    dropped. Null keys and doses match nothing."""
+    o = own.select("condition_id", *at, S.to_micromolar("dose", "unit").alias("own_dose"))
+    t = theirs.select("other_id", *at, S.to_micromolar("dose", "unit").alias("their_dose")).distinct()
+    # equal keys bring few doses together; the tolerance is tried among those
+    close = o.join(t, list(at)).filter(S.close_to(F.col("own_dose"), F.col("their_dose"), relative))
+    found = close.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n"), F.min("other_id").alias("other"))
+    joined = own.select("condition_id").distinct().join(found, "condition_id", "left")
+    return joined.select("condition_id", F.when(F.col("n") == 1, F.col("other")).alias("other_id"), F.coalesce("n", F.lit(0)).alias("n_matches"))
+
+
+def check_one_row_per_gene(theirs: DataFrame) -> None:
+    """Raises where a condition of ``theirs`` (condition_id, gene_symbol) has two rows of one gene, which would mix two measurements."""
+    twice = theirs.groupBy("condition_id", "gene_symbol").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ContractError(f"more than one row per gene: {[(r['condition_id'], r['gene_symbol']) for r in twice]}")
+
+
+def own_changes(logfc: DataFrame, dictionary: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(condition_id, gene_symbol, logfc): the own fold-changes of ``conditions``, genes named by the ``dictionary`` (gene, gene_symbol)."""
+    wanted = logfc.join(conditions.select("condition_id"), "condition_id", "left_semi")
+    return wanted.join(dictionary.select("gene", "gene_symbol"), "gene").select("condition_id", "gene_symbol", "logfc")
+
+
 def compare(ours: DataFrame, theirs: DataFrame, below: float = 0.05, places: int = 9) -> DataFrame:
     """Per condition of ``theirs`` (condition_id, gene_symbol, log2foldchange, padj) against ``ours`` (condition_id, gene_symbol, logfc): n_compared, n_ambiguous, sign_agreement, spearman.
 

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,6 @@ from platewise.session import materialize
 # ---------------------------------------------------------------------------------------------------------------------
 
 
-def clip_counts(counts: Column, most: int = 255) -> Column:
-    """Counts clipped into 0..most."""
-    return F.transform(counts, lambda x: F.greatest(F.least(x, F.lit(most)), F.lit(0)).cast("smallint"))
-
-
 def nearest_fingerprints(queries: DataFrame, rows: DataFrame, name: str, counts: str, block: int = 512) -> DataFrame:
     """(query, ``name``, similarity): for each query the most similar other row by count-Tanimoto; ties go to the smaller name.
 
@@ -97,18 +94,34 @@ def similar_pairs(rows: DataFrame, name: str, counts: str, threshold: float) ->
     return full.select("a", "b", S.count_tanimoto(F.col("ca"), F.col("cb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def butina_groups(names: DataFrame, name: str, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def text_similarity(texts: DataFrame, name: str, text: str, lengths: Sequence[int] = (1, 2)) -> DataFrame:
+    """(``name``, other, similarity) of all pairs of ``texts`` that share a piece, each with itself: count-Tanimoto of the counts of all pieces of ``lengths`` characters.
+
+    Pairs meet in the pieces they share, so texts without a common piece (similarity 0) give no row. Null and empty texts have no pieces; names must be unique."""
+
+    def pieces(k: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
+        return F.filter(cut, lambda x: F.length(x) == k)
+
+    held = texts.filter(F.length(text) > 0).select(name, F.explode(F.concat(*map(pieces, lengths))).alias("gram"))
+    grams = materialize(held.groupBy(name, "gram").agg(F.count(F.lit(1)).alias("n")), "text-pieces")
+    sizes = grams.groupBy(name).agg(F.sum("n").alias("total"))
+    shared = grams.join(grams.select(F.col(name).alias("other"), "gram", F.col("n").alias("m")), "gram").groupBy(name, "other").agg(F.sum(F.least("n", "m")).alias("low"))
+    both = shared.join(sizes, name).join(sizes.select(F.col(name).alias("other"), F.col("total").alias("total_other")), "other")
+    return both.select(name, "other", (F.col("low") / (F.col("total") + F.col("total_other") - F.col("low"))).alias("similarity"))
+
+
+def butina_groups(names: DataFrame, name: str, pairs: DataFrame) -> DataFrame:
     """(``name``, ``centre``): greedy grouping by the most unassigned neighbours (ties: smaller name), as Spark rounds.
 
     The sequential greedy choice only ever depends on names within two steps, so all names that are best within two steps are centres at once; the result is
-    the same as taking them one by one. Each round is two aggregations over the remaining pairs, written to the shared folder."""
+    the same as taking them one by one. Each round is two aggregations over the remaining pairs, written to the shared folder; the best of all names left is always a centre, so every round
+    takes some away, and rounds go on until no pair is left."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     left = materialize(names.select(F.col(name).alias("n")).distinct(), "butina-left")
     edges = materialize(both, "butina-edges")
     done: DataFrame | None = None
-    for _ in range(rounds):
-        if edges.limit(1).count() == 0:
-            break
+    while edges.limit(1).count():
         degree = left.join(edges.groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("d")), "n", "left").select("n", F.coalesce("d", F.lit(0)).alias("d"))
         score = degree.select("n", F.struct((-F.col("d")).alias("d"), F.col("n").alias("who")).alias("s"))
         near = edges.join(score.withColumnRenamed("n", "b"), "b").groupBy("a").agg(F.min("s").alias("m"))
@@ -123,8 +136,6 @@ def butina_groups(names: DataFrame, name: str, pairs: DataFrame, rounds: int = 2
         gone = members.select("n")
         left = materialize(left.join(gone, "n", "left_anti"), "butina-left")
         edges = materialize(edges.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(gone.withColumnRenamed("n", "b"), "b", "left_anti"), "butina-edges")
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     single = left.select("n", F.col("n").alias("centre"))
     return (single if done is None else done.union(single)).withColumnRenamed("n", name)
 
@@ -156,55 +167,35 @@ def driver_genes(table: DataFrame, gene: str, line: str, least: int) -> DataFram
 
 
 def pca_fit(panel: DataFrame, k: int) -> DataFrame:
-    """(gene, mean, std, loading array<double>, explained array<double>) of a long panel (row_id, gene, value), z-scored per gene (population deviation; constant genes get 1).
-
-    The correlation-like Gram of the genes is made in Spark: rows are packed into vectors, every task adds its own outer products, and one
-    genes x genes matrix is summed. The factorisation sees that matrix only. The number of genes is limited to 4,096."""
-    stats = panel.groupBy("gene").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).select("gene", "mean", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)).alias("std"))
-    genes = [r for r in stats.orderBy("gene").limit(4097).collect()]
-    if len(genes) > 4096:
-        raise ValueError("more than 4,096 genes: choose the genes first")
-    at = {r["gene"]: i for i, r in enumerate(genes)}
-    mean, std = np.array([r["mean"] for r in genes]), np.array([r["std"] for r in genes])
-    size = len(genes)
-    packed = panel.filter("value is not null").groupBy("row_id").agg(F.collect_list("gene").alias("g"), F.collect_list("value").alias("v"))
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, n = np.zeros((size, size)), 0
-        for pdf in batches:
-            block = np.tile(mean, (len(pdf), 1))
-            for i, (g, v) in enumerate(zip(pdf["g"], pdf["v"])):
-                block[i, [at[x] for x in g]] = v
-            z = (block - mean) / std
-            gram += z.T @ z
-            n += len(pdf)
-        yield pd.DataFrame({"slot": np.arange(size), "line": list(gram), "n": n})
-
-    partial = packed.mapInPandas(add, "slot int, line array<double>, n long")
-    summed = partial.groupBy("slot").agg(F.array(*[F.sum(F.col("line")[i]) for i in range(size)]).alias("line")) if size <= 256 else _sum_lines(partial)
-    gram = np.zeros((size, size))
-    for r in summed.toLocalIterator():
-        gram[r["slot"]] = r["line"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    loadings = vectors[:, order]
-    # sign: the largest loading by size is positive
-    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    explained = (values[order] / max(values.sum(), 1e-300)).tolist()
+    """(gene, mean, std, loading array, explained array): the ``k`` first principal components of a long panel (row_id, gene, value), standardised per gene; a missing value counts as the mean.
+
+    Rows become sparse vectors of their standardised values, and Spark's distributed singular value decomposition finds the components, for any number of genes and rows. Only the loadings (genes x k)
+    come to the driver. Of a component the largest loading by size is positive; constant genes have loading 0; fewer components come back where the panel has no more."""
     spark = panel.sparkSession
-    rows = [(r["gene"], float(r["mean"]), float(r["std"]), [float(x) for x in loadings[i]], explained) for i, r in enumerate(genes)]
     kind = panel.schema["gene"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"gene {kind}, mean double, std double, loading array<double>, explained array<double>")
-
-
-def _sum_lines(partial: DataFrame) -> DataFrame:
-    flat = partial.select("slot", F.posexplode("line").alias("j", "x")).groupBy("slot", "j").agg(F.sum("x").alias("x"))
-    return flat.groupBy("slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("line"))
+    out = f"gene {kind}, mean double, std double, loading array<double>, explained array<double>"
+    per = panel.groupBy("gene").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).filter("mean is not null")
+    per = per.select("gene", "mean", F.when(F.col("std") > 0, F.col("std")).otherwise(F.lit(1.0)).alias("std"))
+    # one number per gene, in order: as many rows as a panel has columns
+    slots = materialize(per.withColumn("slot", F.row_number().over(Window.orderBy("gene")) - 1), "pca-genes")
+    genes = slots.orderBy("slot").collect()
+    z = panel.join(slots, "gene").select("row_id", "slot", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z")).filter("z <> 0")
+    packed = materialize(z.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("slot", "z"))).alias("e")), "pca-rows")
+    total = packed.select(F.explode("e").alias("e")).agg(F.sum(F.col("e.z") * F.col("e.z"))).first()[0]
+    if not total:
+        return spark.createDataFrame([(r["gene"], r["mean"], r["std"], [], []) for r in genes], out)
+    size = len(genes)
+    vectors = packed.select("e").rdd.map(lambda r: Vectors.sparse(size, [x["slot"] for x in r["e"]], [x["z"] for x in r["e"]]))
+    svd = RowMatrix(vectors, packed.count(), size).computeSVD(min(k, size))
+    loadings, explained = svd.V.toArray(), (np.asarray(svd.s) ** 2 / total).tolist()
+    top = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
+    loadings = loadings * np.where(top < 0, -1.0, 1.0)
+    return spark.createDataFrame([(r["gene"], float(r["mean"]), float(r["std"]), [float(x) for x in loadings[i]], explained) for i, r in enumerate(genes)], out)
 
 
 def pca_project(panel: DataFrame, loadings: DataFrame) -> DataFrame:
     """(row_id, component, score) of a long panel by stored means, deviations and loadings; genes outside the loadings are ignored."""
-    parts = panel.join(F.broadcast(loadings), "gene").select("row_id", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z"), F.posexplode("loading").alias("component", "w"))
+    parts = panel.join(loadings, "gene").select("row_id", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z"), F.posexplode("loading").alias("component", "w"))
     return parts.groupBy("row_id", "component").agg(F.sum(F.col("z") * F.col("w")).alias("score"))
 
 
@@ -264,31 +255,3 @@ def condition_features(conditions: DataFrame, drugs: DataFrame, groups: DataFram
         .when(no("expression_available"), "no_expression")
     )
     return joined.withColumn("feature_gap", gap).withColumn("features_complete", F.col("feature_gap").isNull())
-
-
-def drug_features(drugs: DataFrame, smiles: str = "smiles") -> DataFrame:
-    """Cleaned molecules, fingerprints and descriptors by the chemistry library, where it is installed; exclusion reasons for the rest.
-
-    Adapter: without ``rdkit`` the call raises ImportError; fingerprints delivered as columns need no chemistry."""
-    from rdkit import Chem  # noqa: PLC0415
-    from rdkit.Chem import Descriptors, rdFingerprintGenerator
-    from rdkit.Chem.MolStandardize import rdMolStandardize
-
-    schema = "drug string, parent string, featurizable boolean, exclusion_reason string, counts array<smallint>, descriptors map<string,double>"
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = rdFingerprintGenerator.GetMorganGenerator(radius=2, fpSize=2048)
-        for pdf in batches:
-            rows = []
-            for drug, text in zip(pdf["drug"], pdf["smiles"]):
-                mol = Chem.MolFromSmiles(text) if text else None
-                why = "no_input" if not text else "parse_failed" if mol is None else None
-                if mol is not None:
-                    mol = rdMolStandardize.FragmentParent(rdMolStandardize.Cleanup(mol))
-                    if not any(a.GetAtomicNum() == 6 for a in mol.GetAtoms()):
-                        why = "inorganic"
-                counts = np.minimum(maker.GetCountFingerprintAsNumPy(mol), 255).tolist() if mol is not None and why is None else None
-                rows.append((drug, Chem.MolToSmiles(mol) if mol is not None else None, why is None, why, counts, Descriptors.CalcMolDescriptors(mol) if counts else None))
-            yield pd.DataFrame(rows, columns=["drug", "parent", "featurizable", "exclusion_reason", "counts", "descriptors"])
-
-    return drugs.select(F.trim("drug").alias("drug"), F.col(smiles).alias("smiles")).mapInPandas(build, schema)

@@ -105,6 +105,19 @@ def _centred(squares, total, n):
     return F.when(left > squares * 1e-12, left).otherwise(F.lit(0.0))
 
 
+def set_scores(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame) -> DataFrame:
+    """One row per (RUN, condition_id) of ``told`` over its DE genes: n_de_genes, de_pearson (needs two genes), de_mse, sign_accuracy (0 agrees only with 0), de_distance; null without DE genes."""
+    truth = sets.select("condition_id", "gene_symbol").join(values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")), ["condition_id", "gene_symbol"], "left")
+    rows = told.select(*RUN, "condition_id", "source").join(truth, "condition_id", "left").join(predicted, [*RUN, "source", "gene_symbol"], "left")
+    there = F.col("gene_symbol").isNotNull()
+    p, y = F.when(there, F.coalesce(F.col("predicted").cast("double"), F.lit(0.0))), F.when(there, F.coalesce("y", F.lit(0.0)))
+    n = F.count("gene_symbol")
+    return rows.groupBy(*RUN, "condition_id").agg(
+        n.cast("int").alias("n_de_genes"), F.when(n > 1, S.pearson(p, y)).alias("de_pearson"), F.avg((p - y) * (p - y)).alias("de_mse"),
+        F.avg((F.signum(p) == F.signum(y)).cast("double")).alias("sign_accuracy"), F.sqrt(F.sum((p - y) * (p - y))).alias("de_distance"),
+    )
+
+
 def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame, genes: DataFrame, topk: Sequence[int] = (50, 100), places: int = 9) -> DataFrame:
     """One row per (repeat, split, condition_id) of ``told``: n_de_genes, de_pearson, de_mse, sign_accuracy, all_gene_pearson, topk_overlap_k, disc_rank and disc_top1 (global, within_line), de_distance.
 

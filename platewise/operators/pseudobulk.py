@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from platewise.functions import scalars as S
 from platewise.functions.text import lower_key, plate_key, upper_key
 from platewise.operators.conditions import WELL
+from platewise.session import materialize
 
 #: Marker entries at the head of every cell; not genes.
 MARKERS = (1,)
@@ -31,41 +32,59 @@ def cells_per_well(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*WELL).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def _pairs(cells: DataFrame, keys: Sequence[str], markers: Sequence[int]) -> DataFrame:
+    """``keys`` with (gene, amount) of every entry: parallel arrays unfolded together (the shorter padded with nulls), markers and incomplete pairs dropped."""
+    pairs = cells.select(*keys, F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount"))))
+    return pairs.filter(F.col("gene").isNotNull() & F.col("amount").isNotNull() & ~F.col("gene").isin(list(markers)))
+
+
 def sums_per_well(cells: DataFrame, markers: Sequence[int] = MARKERS) -> DataFrame:
-    """(sample, plate, cell_line, gene, total): parallel arrays unfolded together (the shorter padded with nulls), markers and incomplete pairs dropped, in double."""
-    pairs = cells.select(*WELL, F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount"))))
-    return pairs.filter(F.col("gene").isNotNull() & F.col("amount").isNotNull() & ~F.col("gene").isin(list(markers))).groupBy(*WELL, "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
+    """(sample, plate, cell_line, gene, total), in double."""
+    return _pairs(cells, WELL, markers).groupBy(*WELL, "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
+
+
+def totals(cells: DataFrame, keys: Sequence[str], markers: Sequence[int] = MARKERS) -> DataFrame:
+    """(keys..., gene, total) in one pass: the sums per gene, and the number of cells as the row without a gene.
+
+    Every cell brings one entry of its own beside those of its arrays, so sums and counts come out of one scan and one map-side combined shuffle."""
+    zipped = F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount"))
+    kept = F.filter(zipped, lambda e: e["gene"].isNotNull() & e["amount"].isNotNull() & ~e["gene"].isin(list(markers)))
+    entry = F.struct(F.lit(None).cast("bigint").alias("gene"), F.lit(1.0).cast("float").alias("amount"))
+    entries = F.concat(F.array(entry), F.coalesce(kept, F.array().cast("array<struct<gene:bigint,amount:float>>")))
+    return cells.select(*keys, F.inline(entries)).groupBy(*keys, "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
+
 
+def profiles(summed: DataFrame) -> DataFrame:
+    """(condition_id, gene, sum_counts, n_cells, library_size) from stored :func:`totals` per condition; a fractional sum raises.
 
-def _profiles(totals: DataFrame, n_cells: DataFrame) -> DataFrame:
-    """(condition_id, gene, sum_counts, n_cells, library_size) from totals per (condition, gene) and cell numbers per condition.
+    Numbers of cells and library sizes form one small table per condition, which meets the long rows without shuffling them again where it fits a broadcast."""
+    what = F.concat_ws(" ", "condition_id", F.col("gene").cast("string"))
+    counted = summed.filter("gene is not null").select("condition_id", F.col("gene").cast("int").alias("gene"), S.whole_number(F.col("total"), what).alias("sum_counts"))
+    sizes = summed.groupBy("condition_id").agg(F.sum(F.when(F.col("gene").isNull(), F.col("total"))).cast("int").alias("n_cells"), F.sum(F.when(F.col("gene").isNotNull(), F.col("total"))).cast("bigint").alias("library_size"))
+    return counted.join(sizes, "condition_id").select("condition_id", "gene", "sum_counts", "n_cells", "library_size")
 
-    Library sizes come from a second, tiny aggregation over the same exchange; with the cell numbers they form one small table per condition, so the long rows are
-    not shuffled again."""
-    counted = totals.select("condition_id", F.col("gene").cast("int").alias("gene"), S.whole_number(F.col("total"), F.concat_ws(" ", "condition_id", F.col("gene").cast("string"))).alias("sum_counts"))
-    sizes = counted.groupBy("condition_id").agg(F.sum("sum_counts").alias("library_size"))
-    per = sizes.join(n_cells, "condition_id")
-    return counted.join(per, "condition_id").select("condition_id", "gene", "sum_counts", "n_cells", "library_size")
+
+def condition_totals(cells: DataFrame, lookup: DataFrame) -> DataFrame:
+    """:func:`totals` per condition, written once: profiles, cell numbers and library sizes are read off it.
+
+    The lookup (one row per well) meets the cells before their arrays are unfolded, so unlisted cells never are. Cells of unlisted wells, or without a full well key, belong to no condition."""
+    return materialize(totals(cells.join(lookup, WELL), ["condition_id"]), "condition-totals")
+
+
+def cell_numbers(summed: DataFrame) -> DataFrame:
+    """(condition_id, n_cells) from stored :func:`totals` per condition."""
+    return summed.filter("gene is null").select("condition_id", F.col("total").cast("int").alias("n_cells"))
 
 
 def pseudobulk(cells: DataFrame, lookup: DataFrame) -> DataFrame:
-    """(condition_id, gene, sum_counts, n_cells, library_size).
-
-    The lookup (one row per well) meets the cells before their arrays are unfolded, so unlisted cells never are, and one map-side combined shuffle by (condition, gene) makes the
-    sums. A fractional sum raises. Cells of unlisted wells, or without a full well key, belong to no condition. An empty table gives no rows."""
-    named = cells.join(lookup, WELL)
-    pairs = named.select("condition_id", F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount"))))
-    kept = pairs.filter(F.col("gene").isNotNull() & F.col("amount").isNotNull() & ~F.col("gene").isin(list(MARKERS)))
-    totals = kept.groupBy("condition_id", "gene").agg(F.sum(F.col("amount").cast("double")).alias("total"))
-    n_cells = named.groupBy("condition_id").agg(F.count(F.lit(1)).cast("int").alias("n_cells"))
-    return _profiles(totals, n_cells)
-
-
-def merge_partials(partial_sums: DataFrame, partial_cells: DataFrame, lookup: DataFrame) -> DataFrame:
-    """The same from stored partial sums and cell numbers of separate ingests; sums commute, so any order and number of partials will do."""
-    totals = partial_sums.join(lookup, WELL).groupBy("condition_id", "gene").agg(F.sum("total").alias("total"))
-    n_cells = partial_cells.join(lookup, WELL).groupBy("condition_id").agg(F.sum("n_cells").cast("int").alias("n_cells"))
-    return _profiles(totals, n_cells)
+    """(condition_id, gene, sum_counts, n_cells, library_size); an empty table gives no rows."""
+    return profiles(condition_totals(cells, lookup))
+
+
+def merge_partials(partials: DataFrame, lookup: DataFrame) -> DataFrame:
+    """The same from stored :func:`totals` per well of separate ingests; sums commute, so any order and number of partials will do, and they are added up once."""
+    summed = partials.join(lookup, WELL).groupBy("condition_id", "gene").agg(F.sum("total").alias("total"))
+    return profiles(materialize(summed, "condition-totals"))
 
 
 def cpm(bulk: DataFrame) -> DataFrame:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
 from platewise.functions.text import lower_key, plate_key, split_key, sql_plate, sql_strip, strip_blanks, upper_key
 from platewise.operators import conditions as C
-from platewise.operators import contracts, crosscheck, evaluation, exports, features, harness, metrics, models, pseudobulk, quality, stats
-from platewise.session import materialize, shared_dir, table
+from platewise.operators import contracts, crosscheck, evaluation, exports, features, harness, pseudobulk, quality, ridge, stats
+from platewise.session import materialize, scratch_path, table
 from platewise.sources import readers
 from platewise.streaming import ingest
 
 MIN_CELLS, MIN_CONTROL = 3, 5
-GENES = 40
 REPEATS = 5
 
 QUERIES: dict = {}
@@ -40,23 +37,23 @@ def query(sql: str | None = None):
 _RE = S.DOSE_PATTERN.replace("'", "''")
 _KEY = lambda c: f"lower({sql_strip(c)})"
 _UP = lambda c: f"upper({sql_strip(c)})"
-_C = f"c AS (SELECT {_KEY('sample')} AS sample, {sql_plate('plate')} AS plate, {_UP('cell_line')} AS cell_line, genes, expressions FROM shard_cells)"
-_SUMS = """sums AS (SELECT sample, plate, cell_line, gene, sum(CAST(amount AS DOUBLE)) AS total FROM (SELECT sample, plate, cell_line, unnest(genes) AS gene, unnest(expressions) AS amount FROM c)
+_C = f"c AS MATERIALIZED (SELECT {_KEY('sample')} AS sample, {sql_plate('plate')} AS plate, {_UP('cell_line')} AS cell_line, genes, expressions FROM shard_cells)"
+_SUMS = """sums AS MATERIALIZED (SELECT sample, plate, cell_line, gene, sum(CAST(amount AS DOUBLE)) AS total FROM (SELECT sample, plate, cell_line, unnest(genes) AS gene, unnest(expressions) AS amount FROM c)
     WHERE gene IS NOT NULL AND amount IS NOT NULL AND gene <> 1 GROUP BY ALL)"""
 _W = f"""w AS (SELECT DISTINCT {_KEY("sample")} AS sample, {sql_plate("plate")} AS plate, {_UP("cell_line")} AS cell_line, {_KEY("drug")} AS drug, drugname_drugconc AS t, n_cells
       FROM wells WHERE cell_line IS NOT NULL AND drugname_drugconc IS NOT NULL),
     p AS (SELECT *, CASE WHEN regexp_matches(t, '{_RE}') THEN regexp_extract(t, '{_RE}', 1) WHEN t <> '' THEN t END AS drug_name,
       CASE WHEN regexp_matches(t, '{_RE}') THEN CAST(regexp_extract(t, '{_RE}', 2) AS DOUBLE) END AS dose, CASE WHEN regexp_matches(t, '{_RE}') THEN regexp_extract(t, '{_RE}', 3) END AS unit FROM w),
-    q AS (SELECT *, coalesce({_KEY("drug_name")} = 'dmso_tf', false) AS is_control,
+    q AS MATERIALIZED (SELECT *, coalesce({_KEY("drug_name")} = 'dmso_tf', false) AS is_control,
       substr(sha1(cell_line || '|' || coalesce(drug_name, 'None') || '|' || coalesce(CAST(dose AS VARCHAR), 'None') || '|' || coalesce(plate, 'None')), 1, 16) AS condition_id FROM p),
-    cond AS (SELECT condition_id, cell_line, drug, drug_name, dose, unit, is_control, plate, CAST(sum(n_cells) AS BIGINT) AS n_cells_atlas FROM q GROUP BY ALL),
-    lk AS (SELECT sample, plate, cell_line, min(condition_id) AS condition_id FROM q GROUP BY ALL)"""
+    cond AS MATERIALIZED (SELECT condition_id, cell_line, drug, drug_name, dose, unit, is_control, plate, CAST(sum(n_cells) AS BIGINT) AS n_cells_atlas FROM q GROUP BY ALL),
+    lk AS MATERIALIZED (SELECT sample, plate, cell_line, min(condition_id) AS condition_id FROM q GROUP BY ALL)"""
 _PB = """pb0 AS (SELECT condition_id, gene, sum(total) AS total FROM sums JOIN lk USING (sample, plate, cell_line) GROUP BY ALL),
-    nc AS (SELECT condition_id, CAST(count(*) AS INTEGER) AS n_cells FROM c JOIN lk USING (sample, plate, cell_line) GROUP BY 1),
-    pb AS (SELECT condition_id, CAST(gene AS INTEGER) AS gene, CAST(total AS INTEGER) AS sum_counts, n_cells, CAST(sum(total) OVER (PARTITION BY condition_id) AS BIGINT) AS library_size
+    nc AS MATERIALIZED (SELECT condition_id, CAST(count(*) AS INTEGER) AS n_cells FROM c JOIN lk USING (sample, plate, cell_line) GROUP BY 1),
+    pb AS MATERIALIZED (SELECT condition_id, CAST(gene AS INTEGER) AS gene, CAST(total AS INTEGER) AS sum_counts, n_cells, CAST(sum(total) OVER (PARTITION BY condition_id) AS BIGINT) AS library_size
       FROM pb0 JOIN nc USING (condition_id))"""
 _CQ = f"""ct AS (SELECT cell_line, plate, condition_id AS control_condition_id FROM cond WHERE is_control),
-    cq AS (SELECT cond.*, coalesce(n_cells, 0) AS n_cells, control_condition_id, coalesce(n_cells, 0) >= CASE WHEN is_control THEN {MIN_CONTROL} ELSE {MIN_CELLS} END AS qc_pass
+    cq AS MATERIALIZED (SELECT cond.*, coalesce(n_cells, 0) AS n_cells, control_condition_id, coalesce(n_cells, 0) >= CASE WHEN is_control THEN {MIN_CONTROL} ELSE {MIN_CELLS} END AS qc_pass
       FROM cond LEFT JOIN ct USING (cell_line, plate) LEFT JOIN nc USING (condition_id))"""
 _BASE = f"WITH {_C}, {_SUMS}, {_W}, {_PB}, {_CQ}"
 
@@ -74,16 +71,27 @@ def _lookup(spark: SparkSession, sf: str) -> DataFrame:
     return C.condition_lookup(table(spark, sf, "wells"))
 
 
+def _totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums and cell numbers per condition, from one scan of the cells, written once."""
+    return pseudobulk.condition_totals(_cells(spark, sf), _lookup(spark, sf))
+
+
 def _bulk(spark: SparkSession, sf: str) -> DataFrame:
-    return pseudobulk.pseudobulk(_cells(spark, sf), _lookup(spark, sf))
+    return pseudobulk.profiles(_totals(spark, sf))
 
 
-def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    n_cells = pseudobulk.cells_per_well(_cells(spark, sf)).join(_lookup(spark, sf), C.WELL).groupBy("condition_id").agg(F.sum("n_cells").cast("int").alias("n_cells"))
+def _conditions_of(spark: SparkSession, sf: str, n_cells: DataFrame) -> DataFrame:
+    """Conditions with their control, processed cells and quality flag."""
     named = quality.with_processed_cells(C.assign_controls(C.condition_table(table(spark, sf, "wells"))), n_cells)
     return quality.qc_flags(named, MIN_CELLS, MIN_CONTROL)
 
 
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the cells' keys alone, where no sums are needed."""
+    n_cells = pseudobulk.cells_per_well(_cells(spark, sf)).join(_lookup(spark, sf), C.WELL).groupBy("condition_id").agg(F.sum("n_cells").cast("int").alias("n_cells"))
+    return _conditions_of(spark, sf, n_cells)
+
+
 @query(f"WITH {_C}, {_SUMS} SELECT * FROM sums")
 def sparse_unnest_sum(spark, sf):
     return pseudobulk.sums_per_well(_cells(spark, sf))
@@ -128,7 +136,8 @@ def qc_flags(spark, sf):
     SELECT cell_line, count(*) AS n_conditions, CAST(sum(CAST(qc_pass AS INTEGER)) AS BIGINT) AS n_kept, median(CAST(n_cells AS DOUBLE)) AS median_cells,
       median(CASE WHEN qc_pass THEN CAST(library_size AS DOUBLE) END) AS median_library FROM cq LEFT JOIN l USING (condition_id) GROUP BY 1""")
 def qc_per_line(spark, sf):
-    return quality.per_line(_checked(spark, sf), _bulk(spark, sf).select("condition_id", "library_size").distinct())
+    summed = _totals(spark, sf)
+    return quality.per_line(_conditions_of(spark, sf, pseudobulk.cell_numbers(summed)), pseudobulk.profiles(summed).select("condition_id", "library_size").distinct())
 
 
 @query(f"""{_BASE} SELECT condition_id, CASE WHEN is_control THEN 'control' ELSE 'treated' END || ' condition with ' || CAST(n_cells AS VARCHAR) || ' cells, '
@@ -154,14 +163,24 @@ def cpm(spark, sf):
     return pseudobulk.cpm(_bulk(spark, sf)).withColumn("cpm", F.round("cpm", 4))
 
 
-@query(f"""{_BASE}, pairs AS (SELECT t.condition_id, t.control_condition_id FROM cq t JOIN cq k ON t.control_condition_id = k.condition_id WHERE t.qc_pass AND k.qc_pass AND NOT t.is_control),
-    v AS (SELECT condition_id, gene, CAST(sum_counts AS DOUBLE) / CAST(library_size AS DOUBLE) * 1e6 AS cpm FROM pb),
+_LOGFC = f"""{_BASE}, pairs AS MATERIALIZED (SELECT t.condition_id, t.control_condition_id FROM cq t JOIN cq k ON t.control_condition_id = k.condition_id WHERE t.qc_pass AND k.qc_pass AND NOT t.is_control),
+    v AS MATERIALIZED (SELECT condition_id, gene, CAST(sum_counts AS DOUBLE) / CAST(library_size AS DOUBLE) * 1e6 AS cpm FROM pb),
     a AS (SELECT v.* FROM v SEMI JOIN pairs USING (condition_id)), b AS (SELECT pairs.condition_id, gene, cpm FROM pairs JOIN v ON v.condition_id = pairs.control_condition_id),
     j AS (SELECT coalesce(a.condition_id, b.condition_id) AS condition_id, coalesce(a.gene, b.gene) AS gene, ln(1 + coalesce(a.cpm, 0)) - ln(1 + coalesce(b.cpm, 0)) AS x
-      FROM a FULL OUTER JOIN b ON a.condition_id = b.condition_id AND a.gene = b.gene)
-    SELECT condition_id, control_condition_id, gene, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS logfc FROM j JOIN pairs USING (condition_id)""")
+      FROM a FULL OUTER JOIN b ON a.condition_id = b.condition_id AND a.gene = b.gene),
+    lf AS MATERIALIZED (SELECT condition_id, control_condition_id, gene, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS logfc FROM j JOIN pairs USING (condition_id))"""
+
+
+def _changes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(fold-changes, checked conditions), from one scan of the cells."""
+    summed = _totals(spark, sf)
+    checked = materialize(_conditions_of(spark, sf, pseudobulk.cell_numbers(summed)), "checked")
+    return pseudobulk.log_fold_changes(pseudobulk.profiles(summed), checked), checked
+
+
+@query(f"{_LOGFC} SELECT * FROM lf")
 def logfc(spark, sf):
-    out = pseudobulk.log_fold_changes(_bulk(spark, sf), _checked(spark, sf))
+    out = _changes(spark, sf)[0]
     return out.withColumn("logfc", F.round(F.col("logfc").cast("double"), 4))
 
 
@@ -184,10 +203,9 @@ def zero_genes(spark, sf):
 def stream_ingest(spark, sf):
     """pseudobulk_profiles by way of incremental ingest and merged partials."""
     schema = table(spark, sf, "shard_cells").schema
-    out = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "ingest")
     ingest.ingest(spark, f"{sf}/shard_cells.parquet", schema, out, f"{out}/checkpoint").awaitTermination()
-    sums, cells = ingest.partials(spark, out)
-    return pseudobulk.merge_partials(sums, cells, _lookup(spark, sf))
+    return pseudobulk.merge_partials(ingest.partials(spark, out), _lookup(spark, sf))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -225,13 +243,6 @@ def stale_manifest(spark, sf):
     return f.join(r, "shard", "left").select("shard", "stated", F.coalesce("n", F.lit(0)).alias("found")).filter(~F.col("stated").eqNullSafe(F.col("found")))
 
 
-@query()
-def footer_index(spark, sf):
-    """Row groups of the cell files with the bounds of plate and cell_line, from footers only."""
-    files = table(spark, sf, "shard_cells").inputFiles()
-    return readers.footer_index(spark, [f.removeprefix("file://") for f in files], ["plate", "cell_line"])
-
-
 @query(f"SELECT {_KEY('drug')} AS drug, count(*) AS n_cells FROM shard_cells GROUP BY 1 ORDER BY n_cells DESC, drug LIMIT 10")
 def topn_groups(spark, sf):
     return table(spark, sf, "shard_cells").groupBy(lower_key("drug").alias("drug")).agg(F.count(F.lit(1)).alias("n_cells")).orderBy(F.desc("n_cells"), "drug").limit(10)
@@ -475,195 +486,275 @@ def split_sizes(spark, sf):
     return evaluation.split_sizes(evaluation.make_splits(t, REPEATS), t)
 
 
-_TOPG = f"tg AS (SELECT gene_symbol FROM ds GROUP BY 1 ORDER BY count(*) DESC, gene_symbol LIMIT {GENES})"
 _Y = f"""y0 AS (SELECT condition_id, {sql_strip("gene_symbol")} AS gene_symbol, log2foldchange AS y, CASE WHEN padj IS NOT NULL AND NOT isnan(padj) THEN padj ELSE 2 END AS p FROM de_sets WHERE {_OKDE} AND NOT isinf(log2foldchange)),
     yv AS (SELECT condition_id, gene_symbol, y FROM y0 QUALIFY row_number() OVER (PARTITION BY condition_id, gene_symbol ORDER BY p, abs(y) DESC, y) = 1)"""
 
 
-def _genes(spark: SparkSession, sf: str) -> DataFrame:
-    """The report's genes: those in the most DE sets."""
-    return _sets(spark, sf).groupBy("gene_symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gene_symbol").limit(GENES).select("gene_symbol")
+#: The evaluated genes: the universe, whole.
+_UNIVERSE = f"""gd AS (SELECT rank AS gene, {sql_strip("gene_symbol")} AS gene_symbol FROM de_sets WHERE gene_symbol IS NOT NULL AND rank IS NOT NULL), gp AS (SELECT DISTINCT {sql_strip("gene_symbol")} AS gene_symbol FROM de_sets WHERE NOT contains(gene_symbol, '.')),
+    gu AS MATERIALIZED (SELECT DISTINCT gene_symbol FROM gd SEMI JOIN gp USING (gene_symbol))"""
+
 
+def _universe(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(gene_universe(spark, sf).select("gene_symbol"), "universe")
 
-@query(f"""WITH {_VIEW}, {_DE}, {_TOPG}, {_Y}, z AS (SELECT condition_id, y FROM yv SEMI JOIN tg USING (gene_symbol))
-    SELECT condition_id, CAST((SELECT count(*) FROM tg) AS INTEGER) AS n_genes, count(y) FILTER (y <> 0) AS n_nonzero, round(coalesce(sum(CAST(CAST(y AS FLOAT) AS DOUBLE)), CAST(0 AS DOUBLE)), 6) AS total FROM (SELECT DISTINCT condition_id FROM v WHERE NOT is_control) LEFT JOIN z USING (condition_id) GROUP BY 1""")
+
+@query(f"""WITH {_VIEW}, {_UNIVERSE}, {_Y}, z AS (SELECT condition_id, y FROM yv SEMI JOIN gu USING (gene_symbol))
+    SELECT condition_id, CAST((SELECT count(*) FROM gu) AS INTEGER) AS n_genes, count(y) FILTER (y <> 0) AS n_nonzero, round(coalesce(sum(CAST(CAST(y AS FLOAT) AS DOUBLE)), CAST(0 AS DOUBLE)), 6) AS total FROM (SELECT DISTINCT condition_id FROM v WHERE NOT is_control) LEFT JOIN z USING (condition_id) GROUP BY 1""")
 def dense_targets(spark, sf):
-    genes = [r[0] for r in _genes(spark, sf).orderBy("gene_symbol").collect()]
+    """Dense target vectors over the whole gene universe, summed up per condition."""
+    genes = [r[0] for r in _universe(spark, sf).orderBy("gene_symbol").collect()]
     dense = evaluation.dense_targets(evaluation.best_values(table(spark, sf, "de_sets")), _treated(spark, sf), genes)
     total = F.aggregate("y", F.lit(0.0), lambda s, v: s + v.cast("double"))
     return dense.select("condition_id", F.size("y").alias("n_genes"), F.size(F.filter("y", lambda v: v != 0)).cast("long").alias("n_nonzero"), F.round(total, 6).alias("total"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
-# Models and metrics
+# Models and metrics: all genes, repeats and splits
 # ---------------------------------------------------------------------------------------------------------------------
 
+RUN = harness.RUN
 
-def _world(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(train and validation conditions, test conditions, targets, genes) of the first random split; conditions without drug or dose take no part."""
-    c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select(*models.KEYS)
-    drawn = evaluation.draw_units(_treated(spark, sf).select("condition_id"), "condition_id", 1, "condition").select("condition_id", "part")
-    both = c.join(drawn, "condition_id")
-    both, genes = materialize(both, "drawn"), materialize(_genes(spark, sf), "genes")
-    # GENES names: the one list whose size is fixed here
-    targets = evaluation.best_values(table(spark, sf, "de_sets").withColumn("gene_symbol", strip_blanks("gene_symbol")).join(F.broadcast(genes), "gene_symbol", "left_semi"))
-    return both.filter("part <> 'test'"), both.filter("part = 'test'"), targets, genes
+
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
+    c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select("condition_id", "cell_line", "drug", "dose")
+    runs = materialize(evaluation.make_splits(_treated(spark, sf), REPEATS).join(c, "condition_id"), "runs")
+    genes = _universe(spark, sf)
+    values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")
+    sets = evaluation.de_sets(table(spark, sf, "de_sets"), genes)
+    return runs, materialize(values, "values"), materialize(sets, "sets"), genes
+
+
+def _similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """(drug, other, similarity) of all drugs with a structure text, by counts of its pieces."""
+    texts = table(spark, sf, "shard_cells").groupBy(lower_key("drug").alias("drug")).agg(F.min("canonical_smiles").alias("text")).filter("drug is not null and text is not null")
+    return features.text_similarity(materialize(texts, "drug-texts"), "drug", "text")
 
 
-_WORLD = f"""{_VIEW}, {_DE}, {_TOPG}, {_Y}, {_SPLITS}, ty AS (SELECT * FROM yv SEMI JOIN tg USING (gene_symbol)),
-    kc AS (SELECT condition_id, {_UP("cell_line")} AS cell_line, {_KEY("drug")} AS drug, dose FROM conditions WHERE NOT is_control AND drug IS NOT NULL AND dose IS NOT NULL),
-    wt AS (SELECT kc.*, part FROM kc JOIN (SELECT unit AS condition_id, part FROM dr WHERE repeat = 0) USING (condition_id)), tn AS (SELECT * FROM wt WHERE part <> 'test'), te AS (SELECT * FROM wt WHERE part = 'test'),
-    ro AS (SELECT ty.gene_symbol, y, tn.* FROM ty JOIN tn USING (condition_id)), dm AS (SELECT dose, gene_symbol, CAST(avg(y) AS FLOAT) AS dose_mean FROM ro GROUP BY 1, 2), gr AS (SELECT te.*, gene_symbol FROM te, tg)"""
+def _answers(spark: SparkSession, sf: str, model: str):
+    """(told, predicted, values, sets, genes) of a model for every repeat and split."""
+    runs, values, sets, genes = _runs(spark, sf)
+    told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
+    return told, predicted, values, sets, genes
 
 
-def _mean_sql(key: str) -> str:
-    return f"""km AS (SELECT {key}, dose, gene_symbol, CAST(avg(y) AS FLOAT) AS key_mean FROM ro GROUP BY 1, 2, 3), kn AS (SELECT DISTINCT {key}, dose, true AS known FROM tn),
-    pr AS (SELECT condition_id, cell_line, gene_symbol, CASE WHEN known THEN coalesce(key_mean, 0::FLOAT) ELSE coalesce(dose_mean, 0::FLOAT) END AS predicted, known IS NULL AS is_fallback
-      FROM gr LEFT JOIN dm USING (dose, gene_symbol) LEFT JOIN km USING ({key}, dose, gene_symbol) LEFT JOIN kn USING ({key}, dose))"""
+_SETS_U = f"""u0 AS (SELECT condition_id, {sql_strip("gene_symbol")} AS gene_symbol, log2foldchange, padj FROM de_sets WHERE {_OKDE} AND padj IS NOT NULL AND NOT isnan(padj) AND padj < 0.05),
+    u1 AS (SELECT * FROM u0 SEMI JOIN gu USING (gene_symbol) QUALIFY row_number() OVER (PARTITION BY condition_id, gene_symbol ORDER BY padj, abs(log2foldchange) DESC, log2foldchange) = 1),
+    du AS MATERIALIZED (SELECT condition_id, gene_symbol, CAST(row_number() OVER (PARTITION BY condition_id ORDER BY padj, abs(log2foldchange) DESC, gene_symbol) AS INTEGER) AS rank FROM u1 QUALIFY rank <= 200)"""
+_RUNS = f"""{_VIEW}, {_SPLITS}, {_UNIVERSE}, {_Y}, {_SETS_U}, yu AS MATERIALIZED (SELECT * FROM yv SEMI JOIN gu USING (gene_symbol)),
+    kc AS (SELECT condition_id, {_UP("cell_line")} AS cell_line, {_KEY("drug")} AS drug, round(dose, 6) AS dose FROM conditions WHERE NOT is_control AND drug IS NOT NULL AND dose IS NOT NULL),
+    rn AS MATERIALIZED (SELECT repeat, split, part, kc.* FROM sp JOIN kc USING (condition_id)), tn AS MATERIALIZED (SELECT * FROM rn WHERE part <> 'test'),
+    te AS MATERIALIZED (SELECT * FROM rn SEMI JOIN tn USING (repeat, split, dose) WHERE part = 'test'),
+    dn AS (SELECT repeat, split, dose, count(*) AS n FROM tn GROUP BY ALL),
+    dm AS (SELECT repeat, split, dose, gene_symbol, CAST(sum(y) / any_value(n) AS FLOAT) AS p FROM tn JOIN yu USING (condition_id) JOIN dn USING (repeat, split, dose) WHERE y <> 0 GROUP BY ALL)"""
 
 
-def _answers(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    train, test, targets, genes = _world(spark, sf)
-    known = train.select("dose").distinct()
-    return models.REGISTRY[name]().fit(train, targets).predict(test.join(known, "dose", "left_semi"), genes)
+def _means_sql(key: str) -> str:
+    """told (condition, its source) and pr (source, gene, prediction that is not 0) of the mean by ``key`` and dose."""
+    name = f"'{key}|' || coalesce({key}, '') || '|' || CAST(dose AS VARCHAR)"
+    return f"""kn AS (SELECT repeat, split, {key}, dose, count(*) AS n FROM tn WHERE {key} IS NOT NULL GROUP BY ALL),
+    km AS (SELECT repeat, split, {key}, dose, gene_symbol, CAST(sum(y) / any_value(n) AS FLOAT) AS p FROM tn JOIN yu USING (condition_id) JOIN kn USING (repeat, split, {key}, dose) WHERE y <> 0 GROUP BY ALL),
+    told AS MATERIALIZED (SELECT repeat, split, condition_id, cell_line, n IS NULL AS is_fallback, CASE WHEN n IS NULL THEN 'dose||' || CAST(dose AS VARCHAR) ELSE {name} END AS source FROM te LEFT JOIN kn USING (repeat, split, {key}, dose)),
+    p0 AS (SELECT repeat, split, '{key}' AS kind, {key} AS name, dose, {name} AS source, gene_symbol, p FROM km UNION ALL SELECT repeat, split, 'dose', NULL, dose, 'dose||' || CAST(dose AS VARCHAR), gene_symbol, p FROM dm),
+    pr AS MATERIALIZED (SELECT * FROM p0 SEMI JOIN told USING (repeat, split, source) WHERE p <> 0)"""
 
 
-_OUT = "SELECT condition_id, gene_symbol, round(CAST(predicted AS DOUBLE), 5) AS predicted, is_fallback FROM pr"
+def _opened(predicted: DataFrame, key: str) -> DataFrame:
+    """Predictions that are not 0, by what they come from: a drug or cell line at a dose, or the dose alone."""
+    s = F.from_json("source", "kind string, drug string, cell_line string, dose double")
+    opened = predicted.withColumn("s", s)
+    return opened.select(*RUN, "s.kind", F.col(f"s.{key}").alias("name"), "s.dose", "gene_symbol", F.round(F.col("predicted").cast("double"), 5).alias("predicted"))
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("condition_id", "gene_symbol", F.round(F.col("predicted").cast("double"), 5).alias("predicted"), "is_fallback")
+_OPENED = "SELECT repeat, split, kind, name, dose, gene_symbol, round(CAST(p AS DOUBLE), 5) AS predicted FROM pr"
 
 
-@query(f"WITH {_WORLD}, {_mean_sql('drug')} {_OUT}")
+@query(f"WITH {_RUNS}, {_means_sql('drug')} {_OPENED}")
 def drug_mean(spark, sf):
-    return _rounded(_answers(spark, sf, "drug_mean"))
+    return _opened(_answers(spark, sf, "drug_mean")[1], "drug")
 
 
-@query(f"WITH {_WORLD}, {_mean_sql('cell_line')} {_OUT}")
+@query(f"WITH {_RUNS}, {_means_sql('cell_line')} {_OPENED}")
 def cell_mean(spark, sf):
-    return _rounded(_answers(spark, sf, "cell_mean"))
+    return _opened(_answers(spark, sf, "cell_mean")[1], "cell_line")
 
 
-@query(f"WITH {_WORLD} SELECT condition_id, gene_symbol, round(CAST(coalesce(dose_mean, 0::FLOAT) AS DOUBLE), 5) AS predicted, false AS is_fallback FROM gr LEFT JOIN dm USING (dose, gene_symbol)")
+@query(f"WITH {_RUNS} SELECT repeat, split, 'dose' AS kind, CAST(NULL AS VARCHAR) AS name, dose, gene_symbol, round(CAST(p AS DOUBLE), 5) AS predicted FROM dm SEMI JOIN te USING (repeat, split, dose) WHERE p <> 0")
 def global_mean(spark, sf):
-    return _rounded(_answers(spark, sf, "global_mean"))
+    return _opened(_answers(spark, sf, "global_mean")[1], "drug")
 
 
-@query(f"WITH {_WORLD} SELECT condition_id, gene_symbol, CAST(0 AS DOUBLE) AS predicted, false AS is_fallback FROM gr")
-def dummy_model(spark, sf):
-    return _rounded(_answers(spark, sf, "dummy"))
+@query(f"WITH {_RUNS}, {_means_sql('drug')} SELECT repeat, split, count(*) AS n_conditions, round(avg(CAST(is_fallback AS INTEGER)), 9) AS fallback_rate FROM told GROUP BY 1, 2")
+def fallback_rate(spark, sf):
+    told = _answers(spark, sf, "drug_mean")[0]
+    return told.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_conditions"), F.round(F.avg(F.col("is_fallback").cast("int")), 9).alias("fallback_rate"))
 
 
-@query(f"WITH {_WORLD}, {_mean_sql('drug')} SELECT round(avg(f), 9) AS fallback_rate FROM (SELECT condition_id, max(CAST(is_fallback AS DOUBLE)) AS f FROM pr GROUP BY 1)")
-def fallback_rate(spark, sf):
-    return models.fallback_rate(_answers(spark, sf, "drug_mean"))
+_QGRAMS = f"""dt AS (SELECT {_KEY("drug")} AS drug, min(canonical_smiles) AS t FROM shard_cells WHERE drug IS NOT NULL GROUP BY 1 HAVING t IS NOT NULL),
+    qg AS (SELECT drug, substr(t, CAST(i AS INTEGER), k) AS gram, count(*) AS n FROM (SELECT drug, t, k, unnest(generate_series(1, length(t) - k + 1)) AS i FROM dt, (SELECT unnest([1, 2]) AS k)) GROUP BY ALL),
+    qs AS (SELECT drug, sum(n) AS total FROM qg GROUP BY 1), ql AS (SELECT a.drug, b.drug AS other, sum(least(a.n, b.n)) AS lo FROM qg a JOIN qg b USING (gram) GROUP BY ALL),
+    si AS MATERIALIZED (SELECT ql.drug, other, CAST(lo AS DOUBLE) / CAST(x.total + y.total - lo AS DOUBLE) AS similarity FROM ql JOIN qs x ON x.drug = ql.drug JOIN qs y ON y.drug = ql.other)"""
 
 
-_SIM = f"""si AS (SELECT drug, other, max(similarity) AS similarity FROM (SELECT {_KEY("drug")} AS drug, {_KEY("nearest_drug")} AS other, nearest_tanimoto AS similarity FROM drug_groups
-      UNION ALL SELECT {_KEY("nearest_drug")}, {_KEY("drug")}, nearest_tanimoto FROM drug_groups UNION ALL SELECT DISTINCT {_KEY("drug")}, {_KEY("drug")}, CAST(1 AS DOUBLE) FROM conditions) WHERE drug IS NOT NULL AND other IS NOT NULL AND similarity IS NOT NULL GROUP BY 1, 2)"""
+_TRIPLE = "repeat, split, cell_line, drug, dose"
 
 
-def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "drug_groups").select(lower_key("drug").alias("drug"), lower_key("nearest_drug").alias("other"), F.col("nearest_tanimoto").alias("similarity"))
-    own = _conditions(spark, sf).select("drug", F.col("drug").alias("other"), F.lit(1.0).alias("similarity")).distinct()
-    both = g.union(g.select("other", "drug", "similarity")).union(own)
-    return both.filter("drug is not null and other is not null and similarity is not null").groupBy("drug", "other").agg(F.max("similarity").alias("similarity"))
-
-
-@query(f"""WITH {_WORLD}, {_SIM}, n1 AS (SELECT te.condition_id, te.cell_line, te.dose, si.other, similarity FROM te JOIN (SELECT DISTINCT cell_line, dose, drug AS other FROM tn) d USING (cell_line, dose) JOIN si ON si.drug = te.drug AND si.other = d.other
-      QUALIFY similarity = max(similarity) OVER (PARTITION BY condition_id)),
-    n2 AS (SELECT te.condition_id, te.dose, si.other, similarity FROM (SELECT * FROM te ANTI JOIN n1 USING (condition_id)) te JOIN (SELECT DISTINCT dose, drug AS other FROM tn) d USING (dose) JOIN si ON si.drug = te.drug AND si.other = d.other
-      QUALIFY similarity = max(similarity) OVER (PARTITION BY condition_id)),
-    v1 AS (SELECT condition_id, gene_symbol, avg(m) AS v FROM n1 JOIN (SELECT cell_line, dose, drug AS other, gene_symbol, avg(y) AS m FROM ro GROUP BY ALL) USING (cell_line, dose, other) GROUP BY 1, 2
-      UNION ALL SELECT condition_id, gene_symbol, avg(m) FROM n2 JOIN (SELECT dose, drug AS other, gene_symbol, avg(y) AS m FROM ro GROUP BY ALL) USING (dose, other) GROUP BY 1, 2)
-    SELECT condition_id, gene_symbol, round(CAST(CAST(coalesce(v, 0) AS FLOAT) AS DOUBLE), 5) AS predicted, condition_id NOT IN (SELECT condition_id FROM n1) AS is_fallback FROM gr LEFT JOIN v1 USING (condition_id, gene_symbol)""")
+def _closest_sql(name: str, asked: str, at: str, sizes: str) -> str:
+    """The most similar training drugs of every asked (line, drug, dose), ties together."""
+    on = " AND ".join(f"t.{c} = w.{c}" for c in ("repeat", "split", *at.split(", ")))
+    return f"""{name} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {_TRIPLE}) AS tied FROM (SELECT w.*, t.other, t.n, similarity FROM {asked} w JOIN {sizes} t ON {on} JOIN si ON si.drug = w.drug AND si.other = t.other)
+      QUALIFY similarity = max(similarity) OVER (PARTITION BY {_TRIPLE}))"""
+
+
+@query(f"""WITH {_RUNS}, {_QGRAMS}, wn AS (SELECT DISTINCT {_TRIPLE} FROM te), ln AS (SELECT repeat, split, cell_line, dose, drug AS other, count(*) AS n FROM tn GROUP BY ALL), an AS (SELECT repeat, split, dose, drug AS other, count(*) AS n FROM tn GROUP BY ALL),
+    {_closest_sql("m1", "wn", "cell_line, dose", "ln")}, n1 AS (SELECT * REPLACE (count(*) OVER (PARTITION BY {_TRIPLE}) AS tied) FROM m1), wr AS (SELECT * FROM wn ANTI JOIN n1 USING ({_TRIPLE})), {_closest_sql("m2", "wr", "dose", "an")}, n2 AS (SELECT * REPLACE (count(*) OVER (PARTITION BY {_TRIPLE}) AS tied) FROM m2),
+    lm AS (SELECT repeat, split, cell_line, dose, drug AS other, gene_symbol, sum(y) AS s FROM tn JOIN yu USING (condition_id) WHERE y <> 0 GROUP BY ALL), am AS (SELECT repeat, split, dose, drug AS other, gene_symbol, sum(y) AS s FROM tn JOIN yu USING (condition_id) WHERE y <> 0 GROUP BY ALL),
+    f AS (SELECT {_TRIPLE}, 'line' AS kind, gene_symbol, CAST(sum(s / n) / any_value(tied) AS FLOAT) AS p FROM n1 JOIN lm USING (repeat, split, cell_line, dose, other) GROUP BY ALL
+      UNION ALL SELECT {_TRIPLE}, 'dose', gene_symbol, CAST(sum(s / n) / any_value(tied) AS FLOAT) FROM n2 JOIN am USING (repeat, split, dose, other) GROUP BY ALL)
+    SELECT repeat, split, kind, cell_line, drug, dose, gene_symbol, round(CAST(p AS DOUBLE), 5) AS predicted FROM f WHERE p <> 0""")
 def nearest_chemical(spark, sf):
-    train, test, targets, genes = _world(spark, sf)
-    return _rounded(models.NearestChemical(_similarity(spark, sf)).fit(train, targets).predict(test, genes))
+    s = F.from_json("source", "kind string, cell_line string, drug string, dose double")
+    opened = _answers(spark, sf, "nearest_chemical")[1].withColumn("s", s)
+    return opened.select(*RUN, "s.kind", "s.cell_line", "s.drug", "s.dose", "gene_symbol", F.round(F.col("predicted").cast("double"), 5).alias("predicted"))
 
 
-@query()
-def ridge_scores(spark, sf):
-    """Slots 16 to 63 of the panel from slots 0 to 15, a penalty per slot chosen on held-out rows."""
-    panel = _panel(spark, sf)
-    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("part"), F.slice("embedding", 1, 16).cast("array<double>").alias("x"))
-    targets = panel.filter("gene >= 16").select("row_id", F.col("gene").cast("string").alias("gene_symbol"), F.col("value").alias("y"))
-    return models.ridge_by_gene_block(x, targets, models.alpha_grid()).select("gene_symbol", "alpha", F.round("val_error", 6).alias("val_error"))
+SLOTS, BUCKETS = 24, 16
 
 
-_PAIRS = f"{_mean_sql('drug')}, pq AS (SELECT condition_id, cell_line, gene_symbol, CAST(predicted AS DOUBLE) AS x, CAST(coalesce(y, 0) AS DOUBLE) AS y FROM pr LEFT JOIN ty USING (condition_id, gene_symbol))"
+def _design(spark: SparkSession, sf: str) -> DataFrame:
+    """(condition_id, x): log1p counts of the pieces of the drug's structure text in ``SLOTS`` slots, log10 of the dose, and log1p CPM of the line's vehicle cells in ``BUCKETS`` buckets of genes.
 
+    Conditions of a drug without a text, of a line without vehicle cells, or without a positive dose have no features."""
+    cells = table(spark, sf, "shard_cells")
+    texts = cells.filter("canonical_smiles <> ''").groupBy(lower_key("drug").alias("drug")).agg(F.min("canonical_smiles").alias("text"))
+    pieces = texts.select("drug", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"), "text").select("drug", F.pmod(F.xxhash64(F.substring(F.col("text"), F.col("i"), F.lit(2))), F.lit(SLOTS)).alias("slot"))
+    prints = pieces.groupBy("drug").agg(F.array(*[F.count_if(F.col("slot") == j) for j in range(SLOTS)]).alias("counts"))
+    vehicle = cells.filter(S.is_control("drug")).select(upper_key("cell_line").alias("cell_line"), F.inline(F.arrays_zip(F.col("genes").alias("gene"), F.col("expressions").alias("amount")))).filter("gene is not null and amount is not null and gene <> 1")
+    bucket = F.pmod(F.xxhash64("gene"), F.lit(BUCKETS))
+    sums = vehicle.groupBy("cell_line").agg(F.sum("amount").alias("all"), *[F.sum(F.when(bucket == j, F.col("amount")).otherwise(0.0)).alias(f"b{j}") for j in range(BUCKETS)])
+    lines = sums.filter("all > 0").select("cell_line", *[F.log1p(F.col(f"b{j}") / F.col("all") * 1e6).alias(f"b{j}") for j in range(BUCKETS)])
+    c = _conditions(spark, sf).filter("not is_control and dose > 0").join(prints, "drug").join(lines, "cell_line")
+    return c.select("condition_id", ridge.design(F.col("counts"), [F.log10("dose"), *[F.col(f"b{j}") for j in range(BUCKETS)]]).alias("x"))
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    train, test, targets, genes = _world(spark, sf)
-    predicted = models.DrugMean().fit(train, targets).predict(test.join(train.select("dose").distinct(), "dose", "left_semi"), genes)
-    named = predicted.join(test.select("condition_id", "cell_line"), "condition_id").join(targets, ["condition_id", "gene_symbol"], "left")
-    return materialize(named.select("condition_id", "cell_line", "gene_symbol", F.col("predicted").cast("double").alias("predicted"), F.coalesce("y", F.lit(0.0)).alias("y")), "pairs")
 
+def _ridge(spark: SparkSession, sf: str):
+    runs, values, sets, _ = _runs(spark, sf)
+    x = materialize(_design(spark, sf), "design")
+    fitted, chosen = ridge.train(runs, x, values, sets)
+    return runs, values, sets, x, fitted, chosen
 
+
+@query()
+def ridge_penalties(spark, sf):
+    """The penalty of every repeat and split, by the validation rows' median correlation."""
+    return _ridge(spark, sf)[-1]
+
+
+@query()
+def ridge_scores(spark, sf):
+    """Ridge scored over the DE genes of every test condition with features, of all repeats and splits."""
+    runs, values, sets, x, fitted, chosen = _ridge(spark, sf)
+    told = runs.filter("part = 'test'").join(x.select("condition_id"), "condition_id", "left_semi").select(*RUN, "condition_id", F.col("condition_id").alias("source"))
+    asked = told.select(*RUN, "condition_id").join(sets.select("condition_id", "gene_symbol"), "condition_id")
+    predicted = ridge.predict(fitted, chosen, asked, runs, x).withColumnRenamed("condition_id", "source")
+    return harness.set_scores(told, predicted, values, sets)
+
+
+_SCORED = f"""{_RUNS}, {_means_sql('drug')},
+    tv AS MATERIALIZED (SELECT coalesce(yu.condition_id, du.condition_id) AS condition_id, coalesce(yu.gene_symbol, du.gene_symbol) AS gene_symbol, coalesce(y, CAST(0 AS DOUBLE)) AS y, rank FROM yu FULL OUTER JOIN du ON yu.condition_id = du.condition_id AND yu.gene_symbol = du.gene_symbol),
+    rw AS MATERIALIZED (SELECT told.repeat, told.split, told.condition_id, told.cell_line, told.source, tv.gene_symbol, y, rank, coalesce(CAST(p AS DOUBLE), CAST(0 AS DOUBLE)) AS x
+      FROM told JOIN tv USING (condition_id) LEFT JOIN pr ON pr.repeat = told.repeat AND pr.split = told.split AND pr.source = told.source AND pr.gene_symbol = tv.gene_symbol)"""
 _CORR = "CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE CAST(0 AS DOUBLE) END"
+_G = "(SELECT count(*) FROM gu)"
+_CENTRED = lambda q, t, n: f"CASE WHEN {q} - {t} * {t} / {n} > {q} * 1e-12 THEN {q} - {t} * {t} / {n} ELSE 0 END"
 
 
-@query(f"""WITH {_WORLD}, {_PAIRS} SELECT condition_id, count(*) AS n_de_genes, round(CASE WHEN count(*) > 1 THEN {_CORR} END, 5) AS de_pearson, round(avg((x - y) * (x - y)), 8) AS de_mse,
-    round(avg(CASE WHEN sign(x) = sign(y) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS sign_accuracy FROM pq SEMI JOIN ds USING (condition_id, gene_symbol) GROUP BY 1""")
+@query(f"""WITH {_SCORED}, m AS (SELECT repeat, split, condition_id, count(*) AS n, round(CASE WHEN count(*) > 1 THEN {_CORR} END, 5) AS de_pearson, round(avg((x - y) * (x - y)) + 1e-11, 8) AS de_mse,
+      round(avg(CASE WHEN sign(x) = sign(y) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS sign_accuracy FROM rw WHERE rank IS NOT NULL GROUP BY ALL)
+    SELECT repeat, split, condition_id, CAST(coalesce(n, 0) AS INTEGER) AS n_de_genes, de_pearson, de_mse, sign_accuracy FROM told LEFT JOIN m USING (repeat, split, condition_id)""")
 def mse_sign(spark, sf):
-    m = metrics.set_metrics(_pairs(spark, sf), _sets(spark, sf))
-    return m.select("condition_id", "n_de_genes", F.round("de_pearson", 5).alias("de_pearson"), F.round("de_mse", 8).alias("de_mse"), F.round("sign_accuracy", 9).alias("sign_accuracy"))
+    """drug_mean scored over the DE genes of every test condition of all repeats and splits."""
+    told, predicted, values, sets, _ = _answers(spark, sf, "drug_mean")
+    m = harness.set_scores(told, predicted, values, sets)
+    return m.select(*RUN, "condition_id", "n_de_genes", F.round("de_pearson", 5).alias("de_pearson"), F.round(F.col("de_mse") + 1e-11, 8).alias("de_mse"), F.round("sign_accuracy", 9).alias("sign_accuracy"))
+
 
+def _scored(spark: SparkSession, sf: str, *columns) -> DataFrame:
+    return harness.score(*_answers(spark, sf, "drug_mean"), places=7).select(*RUN, "condition_id", *columns)
 
-@query(f"WITH {_WORLD}, {_PAIRS} SELECT condition_id, round({_CORR}, 5) AS all_gene_pearson FROM pq GROUP BY 1")
+
+@query(f"""WITH {_SCORED}, a AS (SELECT repeat, split, condition_id, sum(x * y) AS py, sum(y) AS ty, sum(y * y) AS tyy FROM rw GROUP BY ALL), b AS (SELECT repeat, split, source, sum(CAST(p AS DOUBLE)) AS tp, sum(CAST(p AS DOUBLE) * p) AS tpp FROM pr GROUP BY ALL),
+    t AS (SELECT repeat, split, condition_id, coalesce(py, 0) AS py, coalesce(ty, 0) AS ty, coalesce(tyy, 0) AS tyy, coalesce(tp, 0) AS tp, coalesce(tpp, 0) AS tpp, CAST({_G} AS DOUBLE) AS g FROM told LEFT JOIN a USING (repeat, split, condition_id) LEFT JOIN b USING (repeat, split, source)),
+    c AS (SELECT *, py - tp * ty / g AS cov, {_CENTRED("tpp", "tp", "g")} AS va, {_CENTRED("tyy", "ty", "g")} AS vb FROM t)
+    SELECT repeat, split, condition_id, round(CASE WHEN va > 0 AND vb > 0 THEN cov / sqrt(va * vb) ELSE CAST(0 AS DOUBLE) END, 5) AS all_gene_pearson FROM c""")
 def pearson_by_group(spark, sf):
-    return metrics.all_gene_pearson(_pairs(spark, sf)).withColumn("all_gene_pearson", F.round("all_gene_pearson", 5))
+    return _scored(spark, sf, F.round("all_gene_pearson", 5).alias("all_gene_pearson"))
+
 
+_OVERLAP = lambda k: f"""CASE WHEN n_de = 0 THEN NULL WHEN spread = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(both_{k} AS DOUBLE) / (2 * least(n_de, {k}) - both_{k}), 9) END AS topk_overlap_{k}"""
 
-@query(f"""WITH {_WORLD}, {_PAIRS}, dt AS (SELECT ds.* FROM ds SEMI JOIN tg USING (gene_symbol)), ms AS (SELECT condition_id, least(count(*), 10) AS m FROM dt GROUP BY 1),
-    a AS (SELECT condition_id, gene_symbol FROM (SELECT *, row_number() OVER (PARTITION BY condition_id ORDER BY rank, gene_symbol) AS k FROM dt) JOIN ms USING (condition_id) WHERE k <= m),
-    b AS (SELECT condition_id, gene_symbol FROM (SELECT *, row_number() OVER (PARTITION BY condition_id ORDER BY abs(x) DESC, gene_symbol) AS k FROM pq) JOIN ms USING (condition_id) WHERE k <= m),
-    o AS (SELECT coalesce(a.condition_id, b.condition_id) AS condition_id, count(*) FILTER (a.gene_symbol IS NOT NULL AND b.gene_symbol IS NOT NULL) AS both_n, count(*) AS any_n
-      FROM a FULL OUTER JOIN b ON a.condition_id = b.condition_id AND a.gene_symbol = b.gene_symbol GROUP BY 1)
-    SELECT condition_id, round(CASE WHEN spread > 0 THEN CAST(both_n AS DOUBLE) / any_n ELSE CAST(0 AS DOUBLE) END, 9) AS topk_overlap_10 FROM o JOIN (SELECT condition_id, max(abs(x)) - min(abs(x)) AS spread FROM pq GROUP BY 1) USING (condition_id)""")
+
+@query(f"""WITH {_SCORED}, sr AS (SELECT DISTINCT repeat, split, source FROM told), full_p AS (SELECT sr.*, gu.gene_symbol, coalesce(abs(CAST(p AS DOUBLE)), 0) AS size FROM sr CROSS JOIN gu LEFT JOIN pr USING (repeat, split, source, gene_symbol)),
+    nt AS (SELECT *, row_number() OVER (PARTITION BY repeat, split, source ORDER BY size DESC, gene_symbol) AS nth FROM full_p), top AS (SELECT * FROM nt WHERE nth <= 100), sd AS (SELECT repeat, split, source, max(size) - min(size) AS spread FROM full_p GROUP BY ALL),
+    nd AS (SELECT condition_id, count(*) AS n_de FROM du GROUP BY 1), bo AS (SELECT told.repeat, told.split, told.condition_id, count(*) FILTER (greatest(rank, nth) <= least(n_de, 50)) AS both_50, count(*) FILTER (greatest(rank, nth) <= least(n_de, 100)) AS both_100
+      FROM told JOIN nd USING (condition_id) JOIN du USING (condition_id) JOIN top ON top.repeat = told.repeat AND top.split = told.split AND top.source = told.source AND top.gene_symbol = du.gene_symbol GROUP BY ALL),
+    j AS (SELECT repeat, split, condition_id, coalesce(n_de, 0) AS n_de, spread, coalesce(both_50, 0) AS both_50, coalesce(both_100, 0) AS both_100 FROM told JOIN sd USING (repeat, split, source) LEFT JOIN nd USING (condition_id) LEFT JOIN bo USING (repeat, split, condition_id))
+    SELECT repeat, split, condition_id, {_OVERLAP(50)}, {_OVERLAP(100)} FROM j""")
 def topk_overlap(spark, sf):
-    sets = _sets(spark, sf).join(F.broadcast(_genes(spark, sf)), "gene_symbol", "left_semi")
-    return metrics.topk_overlap(_pairs(spark, sf), sets, 10).withColumn("topk_overlap_10", F.round("topk_overlap_10", 9))
+    """The SQL ranks all genes of the universe for every prediction, zeros among them; the query needs only those that are not 0."""
+    return _scored(spark, sf, *[F.round(f"topk_overlap_{k}", 9).alias(f"topk_overlap_{k}") for k in (50, 100)])
 
 
-@query(f"""WITH {_WORLD}, {_PAIRS}, mz AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy FROM pq WINDOW w AS (PARTITION BY condition_id)),
-    nz AS (SELECT *, sqrt(sum(cx * cx) OVER w) AS nx, sqrt(sum(cy * cy) OVER w) AS ny FROM mz WINDOW w AS (PARTITION BY condition_id)),
-    zz AS (SELECT cell_line, condition_id, gene_symbol, CASE WHEN nx > 0 THEN cx / nx ELSE 0 END AS zp, CASE WHEN ny > 0 THEN cy / ny ELSE 0 END AS zt FROM nz),
-    rr AS (SELECT a.condition_id AS q, b.condition_id AS o, round(sum(a.zp * b.zt), 7) AS r FROM zz a JOIN zz b ON a.cell_line = b.cell_line AND a.gene_symbol = b.gene_symbol GROUP BY 1, 2),
-    ow AS (SELECT q, r AS own FROM rr WHERE q = o), sc AS (SELECT q, count(*) FILTER (o <> q AND r > own) AS closer, count(*) FILTER (o <> q AND r = own) AS ties, count(*) - 1 AS n FROM rr JOIN ow USING (q) GROUP BY 1)
-    SELECT q AS condition_id, round(CASE WHEN n > 0 THEN (closer + ties * 0.5::DOUBLE) / n END, 9) AS disc_rank, CASE WHEN n > 0 THEN CASE WHEN closer = 0 AND ties = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END END AS disc_top1 FROM sc""")
-def discrimination_rank(spark, sf):
-    return metrics.discrimination(_pairs(spark, sf), "cell_line", 7).withColumn("disc_rank", F.round("disc_rank", 9))
+def _disc_sql(name: str, line: str) -> str:
+    return f"""{name} AS (SELECT o.repeat, o.split, o.q AS condition_id, count(*) FILTER (c <> o.q AND r > own) AS closer, count(*) FILTER (c <> o.q AND r = own) AS ties, count(*) - 1 AS n
+      FROM (SELECT told.repeat, told.split, told.condition_id AS q, told.cell_line, told.source, r AS own FROM told JOIN rr ON rr.repeat = told.repeat AND rr.split = told.split AND rr.source = told.source AND rr.c = told.condition_id) o
+      JOIN rr ON rr.repeat = o.repeat AND rr.split = o.split AND rr.source = o.source {line} GROUP BY ALL)"""
 
 
-@query(f"""WITH {_WORLD}, {_PAIRS}, d AS (SELECT condition_id, sqrt(sum(power(x - y, 2))) AS d FROM pq SEMI JOIN ds USING (condition_id, gene_symbol) GROUP BY 1)
-    SELECT condition_id, round(coalesce(d, -1), 5) AS distance FROM (SELECT DISTINCT condition_id FROM pq) LEFT JOIN d USING (condition_id) ORDER BY round(coalesce(d, -1), 9) DESC, condition_id LIMIT 1""")
-def farthest_condition(spark, sf):
-    return metrics.farthest(_pairs(spark, sf), _sets(spark, sf)).withColumn("distance", F.round("distance", 5))
+_DISC = lambda t, n: f"""round(CASE WHEN {t}.n > 0 THEN ({t}.closer + {t}.ties * 0.5::DOUBLE) / {t}.n END, 9) AS disc_rank_{n}, CASE WHEN {t}.n > 0 THEN CASE WHEN {t}.closer = 0 AND {t}.ties = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END END AS disc_top1_{n}"""
 
 
-# ---------------------------------------------------------------------------------------------------------------------
-# All genes, repeats and splits
-# ---------------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {_SCORED}, un AS MATERIALIZED (SELECT DISTINCT repeat, split, gene_symbol FROM rw WHERE rank IS NOT NULL), us AS (SELECT repeat, split, CAST(count(*) AS DOUBLE) AS g FROM un GROUP BY 1, 2),
+    pp AS MATERIALIZED (SELECT repeat, split, source, gene_symbol, CAST(p AS DOUBLE) AS p FROM pr SEMI JOIN un USING (repeat, split, gene_symbol)), tt AS MATERIALIZED (SELECT repeat, split, condition_id, gene_symbol, y FROM rw SEMI JOIN un USING (repeat, split, gene_symbol) WHERE y <> 0),
+    ps AS (SELECT repeat, split, source, sum(p) AS tp, sum(p * p) AS tpp FROM pp GROUP BY ALL), ts AS (SELECT repeat, split, condition_id, sum(y) AS ty, sum(y * y) AS tyy FROM tt GROUP BY ALL),
+    dt AS (SELECT repeat, split, source, condition_id AS c, sum(p * y) AS d FROM pp JOIN tt USING (repeat, split, gene_symbol) GROUP BY ALL), sr AS (SELECT DISTINCT repeat, split, source FROM told),
+    pa AS (SELECT repeat, split, source, t.condition_id AS c, t.cell_line, coalesce(tp, 0) AS tp, coalesce(tpp, 0) AS tpp, coalesce(ty, 0) AS ty, coalesce(tyy, 0) AS tyy, coalesce(d, 0) AS d, coalesce(g, 1) AS g
+      FROM sr JOIN (SELECT repeat, split, condition_id, cell_line FROM told) t USING (repeat, split) LEFT JOIN ps USING (repeat, split, source) LEFT JOIN ts USING (repeat, split, condition_id) LEFT JOIN us USING (repeat, split)
+      LEFT JOIN dt ON dt.repeat = sr.repeat AND dt.split = sr.split AND dt.source = sr.source AND dt.c = t.condition_id),
+    va AS (SELECT *, d - tp * ty / g AS cov, {_CENTRED("tpp", "tp", "g")} AS a, {_CENTRED("tyy", "ty", "g")} AS b FROM pa),
+    rr AS MATERIALIZED (SELECT repeat, split, source, c, cell_line, round(CASE WHEN a > 0 AND b > 0 THEN cov / sqrt(a * b) ELSE 0 END, 7) + 0.0 AS r FROM va), {_disc_sql("qa", "")}, {_disc_sql("qb", "AND rr.cell_line IS NOT DISTINCT FROM o.cell_line")}
+    SELECT qa.repeat, qa.split, qa.condition_id, {_DISC("qa", "global")}, {_DISC("qb", "within_line")} FROM qa JOIN qb USING (repeat, split, condition_id)""")
+def discrimination_rank(spark, sf):
+    """Global and within the cell line, over the union of the DE genes of a run's test conditions."""
+    return _scored(spark, sf, *[(F.round(c, 9) if "rank" in c else F.col(c)).alias(c) for c in ("disc_rank_global", "disc_top1_global", "disc_rank_within_line", "disc_top1_within_line")])
 
 
-def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
-    c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select(*models.KEYS)
-    runs = materialize(evaluation.make_splits(_treated(spark, sf), REPEATS).join(c, "condition_id"), "runs")
-    genes = materialize(gene_universe(spark, sf).select("gene_symbol"), "universe")
-    values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")
-    sets = evaluation.de_sets(table(spark, sf, "de_sets"), genes)
-    return runs, materialize(values, "values"), materialize(sets, "sets"), genes
+@query(f"""WITH {_SCORED}, d AS (SELECT repeat, split, condition_id, sqrt(sum(power(x - y, 2))) AS d FROM rw WHERE rank IS NOT NULL GROUP BY ALL)
+    SELECT repeat, split, condition_id, round(coalesce(d, -1), 5) AS distance FROM told LEFT JOIN d USING (repeat, split, condition_id) QUALIFY row_number() OVER (PARTITION BY repeat, split ORDER BY round(coalesce(d, -1), 7) DESC, condition_id) = 1""")
+def farthest_condition(spark, sf):
+    """Of every repeat and split the test condition whose truth lies farthest from the prediction over its DE genes; without DE genes the distance is -1."""
+    told, predicted, values, sets, _ = _answers(spark, sf, "drug_mean")
+    d = harness.set_scores(told, predicted, values, sets).withColumn("d", F.round(F.coalesce("de_distance", F.lit(-1.0)), 7))
+    first = F.min(F.struct((-F.col("d")).alias("less"), "condition_id"))
+    return d.groupBy(*RUN).agg(first.alias("f")).select(*RUN, "f.condition_id", F.round(-F.col("f.less"), 5).alias("distance"))
+
+
+@query()
+def harness_scores(spark, sf):
+    """Every model's scores for every test condition of all repeats and splits, from one assembly of the evaluation data."""
+    runs, values, sets, genes = _runs(spark, sf)
+    out = None
+    for model in harness.MODELS:
+        told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
+        one = harness.score(told, predicted, values, sets, genes).withColumn("model", F.lit(model))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _harness(model: str):
     def scores(spark, sf):
-        runs, values, sets, genes = _runs(spark, sf)
-        told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
-        return harness.score(told, predicted, values, sets, genes)
+        return harness.score(*_answers(spark, sf, model))
 
     scores.__name__ = f"harness_{model}"
     scores.__doc__ = f"Scores of {model} for the test conditions of every repeat and split, over all genes."
@@ -785,6 +876,69 @@ def crosscheck_distribution(spark, sf):
     return crosscheck.distribution(_compared(spark, sf), 0.9).withColumn("spearman_median", F.round("spearman_median", 4))
 
 
+_OWN = f"""{_LOGFC}, gd AS (SELECT rank AS gene, {sql_strip("gene_symbol")} AS gene_symbol FROM de_sets WHERE gene_symbol IS NOT NULL AND rank IS NOT NULL), dy AS (SELECT gene_symbol, min(gene) AS gene FROM gd GROUP BY 1),
+    sm AS (SELECT condition_id FROM (SELECT DISTINCT condition_id FROM lf) ORDER BY md5('20260926|' || condition_id), condition_id LIMIT 200),
+    ou AS (SELECT condition_id, gene_symbol, logfc FROM lf SEMI JOIN sm USING (condition_id) JOIN dy USING (gene)),
+    th AS (SELECT condition_id, {sql_strip("gene_symbol")} AS gene_symbol, log2foldchange FROM de_sets SEMI JOIN sm USING (condition_id) WHERE {_OKDE} AND NOT isinf(log2foldchange) AND padj IS NOT NULL AND NOT isnan(padj) AND padj < 0.05),
+    tw AS (SELECT *, count(*) OVER (PARTITION BY condition_id, gene_symbol) AS nt FROM th), cl AS (SELECT condition_id, log2foldchange AS b, logfc AS a FROM tw JOIN ou USING (condition_id, gene_symbol) WHERE nt = 1),
+    rk AS (SELECT condition_id, a, b, rank() OVER (PARTITION BY condition_id ORDER BY a) + (count(*) OVER (PARTITION BY condition_id, a) - 1) / 2::DOUBLE AS x, rank() OVER (PARTITION BY condition_id ORDER BY b) + (count(*) OVER (PARTITION BY condition_id, b) - 1) / 2::DOUBLE AS y FROM cl),
+    sr AS (SELECT condition_id, count(*) AS n_compared, round(avg(CASE WHEN sign(a) = sign(b) THEN 1::DOUBLE ELSE 0::DOUBLE END), 9) AS sign_agreement, round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN {_CORR} END, 6) AS spearman FROM rk GROUP BY 1),
+    cp AS (SELECT condition_id, coalesce(n_compared, 0) AS n_compared, coalesce(n_ambiguous, 0) AS n_ambiguous, sign_agreement, spearman FROM sm LEFT JOIN (SELECT condition_id, count(DISTINCT CASE WHEN nt > 1 THEN gene_symbol END) AS n_ambiguous FROM tw GROUP BY 1) USING (condition_id) LEFT JOIN sr USING (condition_id))"""
+
+
+def _own_compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(comparison per sampled condition, checked conditions): up to 200 conditions with own fold-changes against the delivered significant changes; one without a counterpart is listed with 0.
+
+    The tables hold no gene dictionary; the smallest rank delivered with a symbol stands for its gene number."""
+    changes, checked = _changes(spark, sf)
+    changes = materialize(changes.withColumn("logfc", F.round(F.col("logfc").cast("double"), 4)), "own-changes")
+    sample = materialize(crosscheck.sample_conditions(changes.select("condition_id"), 200, "20260926"), "sample")
+    de = table(spark, sf, "de_sets").filter("gene_symbol is not null").withColumn("gene_symbol", strip_blanks("gene_symbol"))
+    dictionary = de.filter("rank is not null").groupBy("gene_symbol").agg(F.min("rank").alias("gene"))
+    theirs = de.join(sample, "condition_id", "left_semi")
+    compared = crosscheck.compare(crosscheck.own_changes(changes, dictionary, sample), theirs)
+    zero = F.lit(0).cast("long")
+    every = sample.join(compared, "condition_id", "left").select("condition_id", F.coalesce("n_compared", zero).alias("n_compared"), F.coalesce("n_ambiguous", zero).alias("n_ambiguous"), "sign_agreement", "spearman")
+    return every, checked
+
+
+@query(f"{_OWN} SELECT * FROM cp")
+def own_crosscheck(spark, sf):
+    """The own fold-changes against the delivered table, per sampled condition."""
+    return _own_compared(spark, sf)[0].withColumn("spearman", F.round("spearman", 6))
+
+
+@query(f"""{_OWN}, eq AS (SELECT count(*) AS n_sampled, count(*) FILTER (n_compared > 0) AS n_matched, count(*) FILTER (cq.n_cells = k.n_cells) AS n_equal_cells FROM cp JOIN cq USING (condition_id) LEFT JOIN conditions k USING (condition_id))
+    SELECT n_sampled, n_matched, n_equal_cells, round(min(sign_agreement), 6) AS sign_min, round(median(sign_agreement), 6) AS sign_median, round(max(sign_agreement), 6) AS sign_max, round(median(spearman), 4) AS spearman_median,
+      CASE WHEN round(median(sign_agreement), 6) >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS status FROM cp, eq GROUP BY ALL""")
+def own_crosscheck_report(spark, sf):
+    """One row: conditions sampled, with genes in common, with the same number of cells on both sides, and the distribution of agreement."""
+    compared, checked = _own_compared(spark, sf)
+    theirs = table(spark, sf, "conditions").select("condition_id", F.col("n_cells").alias("their_cells"))
+    n = compared.join(checked.select("condition_id", "n_cells"), "condition_id").join(theirs, "condition_id", "left")
+    n = n.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("n_compared") > 0).alias("n_matched"), F.count_if(F.col("n_cells") == F.col("their_cells")).alias("n_equal_cells"))
+    d = crosscheck.distribution(compared, 0.9).select("sign_min", "sign_median", "sign_max", F.round("spearman_median", 4).alias("spearman_median"), "status")
+    return n.join(d)  # one row each
+
+
+@query(f"""WITH {_W}, uo AS (SELECT condition_id, cell_line, plate, {_KEY("drug_name")} AS drug, dose * CASE unit WHEN 'nM' THEN 0.001::DOUBLE WHEN 'mM' THEN 1000::DOUBLE ELSE 1 END AS d FROM cond),
+    ut AS (SELECT DISTINCT condition_id AS other_id, {_UP("cell_line")} AS cell_line, {sql_plate("plate")} AS plate, {_KEY("drug_name")} AS drug, CASE WHEN unit IS NOT NULL THEN dose * CASE unit WHEN 'nM' THEN 0.001::DOUBLE WHEN 'mM' THEN 1000::DOUBLE ELSE 1 END END AS d FROM conditions),
+    mt AS (SELECT condition_id, count(*) AS n, min(other_id) AS o FROM uo JOIN ut USING (cell_line, plate, drug) WHERE abs(uo.d - ut.d) <= 1e-6 * abs(ut.d) GROUP BY 1)
+    SELECT condition_id, CASE WHEN n = 1 THEN o END AS other_id, coalesce(n, 0) AS n_matches FROM (SELECT DISTINCT condition_id FROM cond) LEFT JOIN mt USING (condition_id)""")
+def condition_match(spark, sf):
+    """Conditions of the wells against the delivered ones, by line, plate, drug and dose in micromolar."""
+    own = C.condition_table(table(spark, sf, "wells")).select("condition_id", "cell_line", "plate", lower_key("drug_name").alias("drug"), "dose", "unit")
+    t = table(spark, sf, "conditions").select(F.col("condition_id").alias("other_id"), upper_key("cell_line").alias("cell_line"), plate_key("plate").alias("plate"), lower_key("drug_name").alias("drug"), "dose", "unit")
+    return crosscheck.match_slices(own, t)
+
+
+@query("""SELECT replace(lower(trim(split, ' ')), '-', '_') AS split, condition_id, min(repeat) AS first_repeat FROM splits WHERE split IS NOT NULL AND part = 'test' GROUP BY 1, 2""".replace("lower(trim(split, ' '))", _KEY("split")))
+def first_test_repeat(spark, sf):
+    """The first repeat in which a condition is tested, per split."""
+    s = table(spark, sf, "splits").filter("split is not null and part = 'test'")
+    return s.groupBy(split_key("split").alias("split"), "condition_id").agg(F.min("repeat").alias("first_repeat"))
+
+
 @query("SELECT condition_id FROM conditions WHERE NOT is_control AND qc_pass ORDER BY md5('20260926|' || condition_id), condition_id LIMIT 200")
 def sample_conditions(spark, sf):
     return crosscheck.sample_conditions(table(spark, sf, "conditions").filter("not is_control and qc_pass"), 200, "20260926")

@@ -1,19 +1,14 @@
-"""Readers: file lists and partitioned folders, footers, metadata with a CSV fallback, wide panels, configuration."""
+"""Readers: file lists and partitioned folders, shard pruning, metadata with a CSV fallback, wide panels, summary documents."""
 
 from __future__ import annotations
 
-import hashlib
-import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from pathlib import Path
-from typing import Any
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.session import shared_dir
+from platewise.session import materialize
 
 
 def read_shards(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -30,58 +25,24 @@ def read_partitioned(spark: SparkSession, folder: str) -> DataFrame:
 def prune_shards(index: DataFrame, plates: DataFrame) -> DataFrame:
     """Shards of ``index`` (shard, plate_min, plate_max) whose range holds one of ``plates`` (plate). Bounds compare as strings, so the answer may be too wide, never too narrow.
 
-    The list of plates is a few dozen names: the range semi join runs against a broadcast of it."""
+    Plates are met by the range of their text; Spark broadcasts the smaller side by its size."""
     wanted = plates.select("plate").filter("plate is not null").distinct()
-    return index.join(F.broadcast(wanted), (F.col("plate_min") <= F.col("plate")) & (F.col("plate_max") >= F.col("plate")), "left_semi").select("shard").distinct()
-
-
-def footer_index(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(path, row_group, num_rows, column, min_value, max_value) from Parquet footers only; tasks read the footers of their share of the files."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-
-        for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
-                meta = pq.ParquetFile(path.removeprefix("file:")).metadata
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        column = group.column(c)
-                        if column.path_in_schema in columns:
-                            s = column.statistics
-                            known = s is not None and s.has_min_max
-                            rows.append((path, g, group.num_rows, column.path_in_schema, str(s.min) if known else None, str(s.max) if known else None))
-            yield pd.DataFrame(rows, columns=["path", "row_group", "num_rows", "column", "min_value", "max_value"])
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    return files.repartition(max(1, min(len(paths), 64))).mapInPandas(read, "path string, row_group int, num_rows long, column string, min_value string, max_value string")
-
-
-def pivot_footer(index: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per row group with the smallest value of each probed column."""
-    return index.groupBy("path", "row_group", "num_rows").pivot("column", list(columns)).agg(F.first("min_value"))
+    return index.join(wanted, (F.col("plate_min") <= F.col("plate")) & (F.col("plate_max") >= F.col("plate")), "left_semi").select("shard").distinct()
 
 
 def read_metadata(spark: SparkSession, parquet: str | None, csv: str | None, keys: Sequence[str], keep: str = "full") -> DataFrame:
     """Per-cell metadata reduced to counts per ``keys``; Parquet where given, else CSV with a header. A ``pass_filter`` column is applied where there is one.
 
-    The counts are kept in the shared folder under a hash of their inputs and read from there the next time."""
-    stamp = hashlib.sha1("|".join(map(str, (parquet, csv, *keys, keep))).encode()).hexdigest()[:12]
-    path = f"{shared_dir(spark)}/metadata-{stamp}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        cells = spark.read.parquet(parquet) if parquet else spark.read.option("header", True).option("inferSchema", True).csv(csv)
-        if "pass_filter" in cells.columns:
-            cells = cells.filter(F.col("pass_filter") == keep)
-        cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    The counts are written once into the shared folder, so later steps read them instead of the cells; a CSV is read as text, its columns typed by use."""
+    cells = spark.read.parquet(parquet) if parquet else spark.read.option("header", True).csv(csv)
+    if "pass_filter" in cells.columns:
+        cells = cells.filter(F.col("pass_filter") == keep)
+    return materialize(cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells")), "metadata")
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
     """A wide matrix (first column the row's id, then one column per ``SYMBOL (number)``) as long rows (row_id, gene, value)."""
-    wide = spark.read.option("header", True).option("inferSchema", True).option("maxColumns", 65536).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    wide = spark.read.option("header", True).option("maxColumns", 65536).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
     return melt_panel(wide)
 
 
@@ -107,45 +68,3 @@ def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     docs = spark.read.schema(SUMMARY).option("multiLine", True).json(pattern).withColumn("source_file", F.input_file_name())
     flat = docs.select("source_file", "model", F.explode("summaries").alias("metric", "entries"))
     return flat.select("source_file", "model", "metric", F.explode("entries").alias("e")).select("source_file", "model", "metric", "e.split", "e.estimate", "e.ci_low", "e.ci_high", "e.iqr_low", "e.iqr_high", "e.repeat_medians", "e.n_scored", "e.n_nan")
-
-
-class ConfigError(ValueError):
-    pass
-
-
-def load_config(path: str, required: Sequence[str], optional: Mapping[str, Any] | None = None) -> dict:
-    """A YAML mapping with all ``required`` keys; missing ``optional`` ones take their default."""
-    import yaml
-
-    data = yaml.safe_load(Path(path).read_text())
-    if not isinstance(data, dict):
-        raise ConfigError(f"{path}: a mapping is expected")
-    if missing := [k for k in required if k not in data]:
-        raise ConfigError(f"{path}: missing {missing}")
-    return {**(optional or {}), **data}
-
-
-class Budget:
-    """Bytes that may still be fetched; a safety margin ends a scan before the cap is passed."""
-
-    def __init__(self, cap: int, margin: int = 120_000_000):
-        self.cap, self.margin, self.spent = cap, margin, 0
-
-    def add(self, n: int) -> None:
-        self.spent += n
-
-    @property
-    def open(self) -> bool:
-        return self.spent + self.margin < self.cap
-
-
-def fetch(get: Callable[[str], bytes], url: str, attempts: int = 5, wait: float = 30.0, most: float = 300.0, pause: Callable[[float], None] = time.sleep, busy: type[Exception] = ConnectionError) -> bytes:
-    """``get(url)`` with doubling waits while the other side is busy. The transport is passed in; this library opens no connection itself."""
-    for i in range(attempts):
-        try:
-            return get(url)
-        except busy:
-            if i == attempts - 1:
-                raise
-            pause(min(wait * 2**i, most))
-    raise AssertionError

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from platewise.operators import contracts, crosscheck, evaluation, exports, metrics, models, stats
+from platewise.operators import contracts, crosscheck, evaluation, exports, features, harness, ridge, stats
 from platewise.operators.contracts import ContractError
 from tests.conftest import rows
 
@@ -54,69 +54,90 @@ def test_dense_targets_are_zero_where_nothing_is_known(spark):
     assert rows(evaluation.dense_targets(v, c, ["f", "g"])) == [("a", [0.0, 1.5]), ("b", [0.0, 0.0])]
 
 
+RUNS = "repeat int, split string, condition_id string, cell_line string, drug string, dose double, part string"
+
+
 def world(spark):
-    data = [(f"{line}{drug}{dose}", line, drug, float(dose)) for line in "LM" for drug in "AB" for dose in (1, 2)]
-    train = spark.createDataFrame(data[:-1], "condition_id string, cell_line string, drug string, dose double")
-    test = spark.createDataFrame([("t1", "L", "A", 1.0), ("t2", "M", "Z", 2.0)], train.schema)
-    targets = spark.createDataFrame([(c, "g", 100.0 * (line == "M") + 10.0 * (drug == "B") + dose) for c, line, drug, dose in data[:-1]], "condition_id string, gene_symbol string, y double")
-    return train, test, targets, spark.createDataFrame([("g",), ("h",)], "gene_symbol string")
+    train = [(f"{line}{drug}{dose}", line, drug, float(dose)) for line in "LM" for drug in "AB" for dose in (1, 2)][:-1]
+    test = [("t1", "L", "A", 1.0), ("t2", "M", "Z", 2.0), ("t3", "L", "A", 9.0)]
+    runs = spark.createDataFrame([(0, "s", *x, "train") for x in train] + [(0, "s", *x, "test") for x in test], RUNS)
+    return runs, spark.createDataFrame([(c, "g", 100.0 * (line == "M") + 10.0 * (drug == "B") + dose) for c, line, drug, dose in train], "condition_id string, gene_symbol string, y double")
 
 
 def test_means_and_fallback(spark):
-    train, test, targets, genes = world(spark)
-    got = {(r["condition_id"], r["gene_symbol"]): (r["predicted"], r["is_fallback"]) for r in models.DrugMean().fit(train, targets).predict(test, genes).collect()}
-    assert got["t1", "g"] == (51.0, False) and got["t1", "h"] == (0.0, False)
-    assert got["t2", "g"] == (pytest.approx((2 + 12 + 102) / 3), True)
-    assert models.fallback_rate(models.DrugMean().fit(train, targets).predict(test, genes)).first()[0] == 0.5
-    assert models.CellMean().fit(train, targets).predict(test, genes).filter("condition_id = 't2' and gene_symbol = 'g'").first()["predicted"] == 102.0
-    assert models.GlobalMean().fit(train, targets).predict(test, genes).filter("condition_id = 't1' and gene_symbol = 'g'").first()["predicted"] == 56.0
-    with pytest.raises(ContractError):
-        models.GlobalMean().fit(train, targets).predict(spark.createDataFrame([("t", "L", "A", 9.0)], train.schema), genes)
-    contracts.check_predictions(models.Dummy().fit(train, targets).predict(test, genes), models.Dummy().fit(train, targets).predict(test, genes))
-    assert set(models.REGISTRY) >= {"dummy", "global_mean", "drug_mean", "cell_mean", "nearest_chemical"}
-
-
-def test_nearest_drug_in_line_then_across(spark):
-    train, _, targets, genes = world(spark)
-    test = spark.createDataFrame([("t1", "L", "Z", 1.0), ("t2", "N", "Z", 1.0), ("t3", "L", "T", 1.0)], train.schema)
-    sim = spark.createDataFrame([("Z", "A", 0.2), ("Z", "B", 0.9), ("T", "A", 0.5), ("T", "B", 0.5)], "drug string, other string, similarity double")
-    got = {r["condition_id"]: (r["predicted"], r["is_fallback"]) for r in models.NearestChemical(sim).fit(train, targets).predict(test, genes).filter("gene_symbol = 'g'").collect()}
-    assert got == {"t1": (11.0, False), "t2": (61.0, True), "t3": (6.0, False)}
-
-
-def test_ridge_recovers_a_linear_map(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(60, 3))
-    w = np.array([[1.0, -2.0], [0.5, 0.0], [0.0, 3.0]])
-    y = x @ w + 4
-    features = spark.createDataFrame([(i, "val" if i % 4 == 0 else "train", x[i].tolist()) for i in range(60)], "row_id int, part string, x array<double>")
-    targets = spark.createDataFrame([(i, f"g{j}", float(y[i, j])) for i in range(60) for j in range(2)], "row_id int, gene_symbol string, y double")
-    fitted = models.ridge_by_gene_block(features, targets, models.alpha_grid())
-    got = {r["gene_symbol"]: r["weights"] for r in fitted.collect()}
-    assert np.allclose([got["g0"], got["g1"]], w.T, atol=1e-2)
-    predicted = {(r["row_id"], r["gene_symbol"]): r["predicted"] for r in models.ridge_predict(fitted, features).collect()}
-    assert max(abs(predicted[i, f"g{j}"] - y[i, j]) for i in range(60) for j in range(2)) < 0.05
-    assert len(models.alpha_grid()) == 21
-    forward = models.perceptron(x, y, hidden=16, epochs=400, rate=1e-2, patience=50, seed=1)
-    assert ((forward(x) - y) ** 2).mean() < 0.5 * y.var()
-
-
-PAIRS = "condition_id string, cell_line string, gene_symbol string, predicted double, y double"
-
-
-def test_metric_anchors(spark):
-    truth = {"a": [1.0, -2.0, 3.0], "b": [2.0, 1.0, -1.0], "z": [1.0, 5.0, 2.0]}
-    line = {"a": "L", "b": "L", "z": "M"}
-    sets = spark.createDataFrame([(c, g, r) for c in truth for r, g in enumerate("gh", 1)], "condition_id string, gene_symbol string, rank int")
-    perfect = spark.createDataFrame([(c, line[c], g, v, v) for c in truth for g, v in zip("ghi", truth[c])], PAIRS)
-    assert rows(metrics.set_metrics(perfect, sets).selectExpr("condition_id", "n_de_genes", "round(de_pearson, 9)", "de_mse", "sign_accuracy")) == [(c, 2, 1.0, 0.0, 1.0) for c in "abz"]
-    assert rows(metrics.discrimination(perfect, "cell_line")) == [("a", 0.0, 1.0), ("b", 0.0, 1.0), ("z", None, None)]
-    zero = spark.createDataFrame([(c, line[c], g, 0.0, v) for c in truth for g, v in zip("ghi", truth[c])], PAIRS)
-    assert rows(metrics.discrimination(zero, "cell_line")) == [("a", 0.5, 0.0), ("b", 0.5, 0.0), ("z", None, None)]
-    assert rows(metrics.topk_overlap(zero, sets, 2)) == [("a", 0.0), ("b", 0.0), ("z", 0.0)]
-    assert rows(metrics.all_gene_pearson(zero)) == [("a", 0.0), ("b", 0.0), ("z", 0.0)]
-    assert {c: round(v, 9) for c, v in rows(metrics.topk_overlap(perfect, sets, 1))} == {"a": 0.0, "b": 1.0, "z": 0.0}
-    assert rows(metrics.farthest(zero, sets)) == [("z", round(math.sqrt(26), 9))]
+    runs, values = world(spark)
+
+    def told(model):
+        t, p = harness.predict(model, runs, values)
+        return {r["condition_id"]: (r["gene_symbol"], r["predicted"], r["is_fallback"]) for r in t.join(p, [*harness.RUN, "source"], "left").collect()}
+
+    # a dose that was never trained (t3) has no answer
+    assert told("drug_mean") == {"t1": ("g", 51.0, False), "t2": ("g", pytest.approx((2 + 12 + 102) / 3), True)}
+    assert told("cell_mean")["t2"] == ("g", 102.0, False)
+    assert told("global_mean")["t1"] == ("g", 56.0, False)
+    assert told("dummy") == {"t1": (None, None, False), "t2": (None, None, False)}
+    none = harness.predict("drug_mean", runs.limit(0), values)
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_text_similarity_against_brute_force(spark):
+    from collections import Counter
+
+    texts = {"a": "CCO", "b": "CCN=O", "c": "cc1", "d": "", "e": None, "f": "CCO"}
+    grams = {k: Counter(t[i : i + n] for n in (1, 2) for i in range(len(t) - n + 1)) for k, t in texts.items() if t}
+    want = {(x, y): sum((grams[x] & grams[y]).values()) / sum((grams[x] | grams[y]).values()) for x in grams for y in grams}
+    df = spark.createDataFrame(list(texts.items()), "drug string, text string")
+    got = {(r["drug"], r["other"]): r["similarity"] for r in features.text_similarity(df, "drug", "text").collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v}
+
+
+def brute_ridge(x, y, dose, part, sets, alphas):
+    """Dense: standardise, one SVD, residual on the dose's mean, penalty by the validation rows' median correlation (ties: larger), refit."""
+
+    def fitted(rows):
+        mu, sd = x[rows].mean(axis=0), x[rows].std(axis=0)
+        keep = sd > 1e-12
+        base = {d: y[rows][dose[rows] == d].mean(axis=0) for d in set(dose[rows])}
+        u, s, vt = np.linalg.svd((x[rows][:, keep] - mu[keep]) / sd[keep], full_matrices=False)
+        uty = u.T @ (y[rows] - np.array([base[d] for d in dose[rows]]))
+        return lambda at, a: np.array([base[d] for d in dose[at]]) + ((x[at][:, keep] - mu[keep]) / sd[keep]) @ vt.T @ ((s / (s**2 + a))[:, None] * uty)
+
+    first, val = fitted(part == "train"), part == "val"
+    scores = [np.nanmedian([np.corrcoef(p[sets[i]], y[i][sets[i]])[0, 1] for p, i in zip(first(val, a), np.flatnonzero(val))]) for a in alphas]
+    best = max(range(len(alphas)), key=lambda k: (round(scores[k], 12), k))
+    return alphas[best], fitted(part != "test")(part == "test", alphas[best])
+
+
+def test_ridge_against_dense_svd(spark):
+    rng = np.random.default_rng(4)
+    n, genes = 80, [f"g{j}" for j in range(12)]
+    x = np.hstack([rng.normal(size=(n, 5)), np.full((n, 1), 3.0), rng.integers(0, 3, (n, 1))])
+    dose = rng.integers(0, 2, n).astype(float)
+    y = np.where(rng.random((n, 12)) < 0.8, x[:, :5] @ rng.normal(size=(5, 12)) + dose[:, None] * 2 + rng.normal(size=(n, 12)), 0.0)
+    ids = [f"c{i:02d}" for i in range(n)]
+    runs, want = [], {}
+    sets = {i: np.sort(rng.permutation(12)[:8]) for i in range(n)}
+    alphas = ridge.alpha_grid(-2, 4, 1)
+    for repeat in (0, 1):
+        part = np.array(["train", "train", "val", "test"])[rng.integers(0, 4, n)]
+        runs += [(repeat, "s", ids[i], "L", "D", float(dose[i]), str(part[i])) for i in range(n)]
+        alpha, p = brute_ridge(x, y, dose, part, sets, alphas)
+        want[repeat] = alpha, {(ids[i], genes[j]): p[k, j] for k, i in enumerate(np.flatnonzero(part == "test")) for j in sets[i]}
+    r = spark.createDataFrame(runs + [(0, "s", "no features", "L", "D", 1.0, "train")], RUNS).repartition(5)
+    feats = spark.createDataFrame([(ids[i], x[i].tolist()) for i in range(n)], "condition_id string, x array<double>")
+    values = spark.createDataFrame([(ids[i], genes[j], float(y[i, j])) for i in range(n) for j in range(12) if y[i, j]], "condition_id string, gene_symbol string, y double")
+    de = spark.createDataFrame([(ids[i], genes[j]) for i, js in sets.items() for j in js], "condition_id string, gene_symbol string")
+    fitted, chosen = ridge.train(r, feats, values, de, alphas)
+    assert {c["repeat"]: c["alpha"] for c in chosen.collect()} == {k: v[0] for k, v in want.items()}
+    asked = r.filter("part = 'test'").select(*harness.RUN, "condition_id").join(de, "condition_id").select(*harness.RUN, "condition_id", "gene_symbol")
+    got = {k: {} for k in want}
+    for a in ridge.predict(fitted, chosen, asked, r, feats).collect():
+        got[a["repeat"]][a["condition_id"], a["gene_symbol"]] = a["predicted"]
+    for k in want:
+        assert got[k] == {g: pytest.approx(v, abs=1e-4) for g, v in want[k][1].items()}
+    nothing = ridge.train(r.limit(0), feats, values, de, alphas)
+    assert nothing[1].count() == 0 and ridge.predict(*nothing, asked.limit(0), r.limit(0), feats).count() == 0
+    assert len(ridge.alpha_grid()) == 21
 
 
 def test_bootstrap_of_constants_is_exact_and_repeatable(spark):
@@ -152,6 +173,20 @@ def test_crosscheck(spark):
     assert rows(crosscheck.name_match(names, spark.createDataFrame([("A",), ("A ",), (" B",)], "drug string"), "drug")) == [("A", "A"), ("B", " B"), ("C", None)]
 
 
+def test_slices_are_matched_by_dose_and_conflicts_are_listed(spark):
+    schema = "condition_id string, cell_line string, plate string, drug string, dose double, unit string"
+    own = spark.createDataFrame([("a", "L", "p", "d", 0.05, "uM"), ("b", "L", "p", "d", 5.0, "uM"), ("c", "L", "p", "e", 1.0, "uM"), ("n", None, "p", "d", 0.05, "uM"), ("z", "L", "p", "d", None, None)], schema)
+    theirs = spark.createDataFrame([("x", "L", "p", "d", 50.00000001, "nM"), ("y", "L", "p", "e", 1.0, "uM"), ("w", "L", "p", "e", 0.001, "mM"), ("v", "L", "p", "d", 0.051, "uM")], schema).withColumnRenamed("condition_id", "other_id")
+    assert rows(crosscheck.match_slices(own, theirs)) == [("a", "x", 1), ("b", None, 0), ("c", None, 2), ("n", None, 0), ("z", None, 0)]
+    de = spark.createDataFrame([("c", "G"), ("c", "H"), ("d", "G")], "condition_id string, gene_symbol string")
+    crosscheck.check_one_row_per_gene(de)
+    with pytest.raises(ContractError):
+        crosscheck.check_one_row_per_gene(de.union(de.limit(1)))
+    dictionary = spark.createDataFrame([(1, "G"), (2, "H"), (2, "I")], "gene int, gene_symbol string")
+    logfc = spark.createDataFrame([("c", 1, 0.5), ("c", 2, -1.0), ("c", 9, 1.0), ("d", 1, 1.0)], "condition_id string, gene int, logfc double")
+    assert rows(crosscheck.own_changes(logfc, dictionary, spark.createDataFrame([("c",)], "condition_id string"))) == [("c", "G", 0.5), ("c", "H", -1.0), ("c", "I", -1.0)]
+
+
 def test_lookup_and_tolerance(spark):
     import json
 

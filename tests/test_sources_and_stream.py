@@ -1,7 +1,5 @@
 import tempfile
 
-import pytest
-
 from platewise.operators import pseudobulk
 from platewise.sources import readers
 from platewise.streaming import ingest
@@ -14,15 +12,6 @@ def test_pruning_compares_text(spark):
     assert rows(readers.prune_shards(index, plates)) == [(1,)]
 
 
-def test_footers(spark):
-    path = tempfile.mkdtemp() + "/t"
-    spark.createDataFrame([("a", 1), ("c", 2)], "plate string, x int").coalesce(1).write.parquet(path)
-    file = [f.removeprefix("file://") for f in spark.read.parquet(path).inputFiles()]
-    got = readers.footer_index(spark, file, ["plate"]).first()
-    assert (got["num_rows"], got["min_value"], got["max_value"]) == (2, "a", "c")
-    assert readers.pivot_footer(readers.footer_index(spark, file, ["plate"]), ["plate"]).first()["plate"] == "a"
-
-
 def test_metadata_with_and_without_the_filter(spark):
     base = tempfile.mkdtemp()
     spark.createDataFrame([("p", "full"), ("p", "minimal"), ("q", "full")], "plate string, pass_filter string").write.parquet(base + "/m")
@@ -37,28 +26,6 @@ def test_panel(spark):
     assert readers.panel_symbols(["G1 (12)", "A (B) (3)"]) == ["G1", "A (B)"]
 
 
-def test_config_budget_and_fetch(tmp_path):
-    f = tmp_path / "c.yaml"
-    f.write_text("a: 1\n")
-    assert readers.load_config(str(f), ["a"], {"b": {}}) == {"a": 1, "b": {}}
-    with pytest.raises(readers.ConfigError):
-        readers.load_config(str(f), ["z"])
-    budget = readers.Budget(200, margin=50)
-    budget.add(100)
-    assert budget.open
-    budget.add(60)
-    assert not budget.open
-    waits, calls = [], iter([ConnectionError(), ConnectionError(), b"x"])
-
-    def get(_):
-        v = next(calls)
-        if isinstance(v, Exception):
-            raise v
-        return v
-
-    assert readers.fetch(get, "u", pause=waits.append) == b"x" and waits == [30.0, 60.0]
-
-
 def test_stream_equals_batch_and_a_restart_adds_nothing(spark):
     base = tempfile.mkdtemp()
     schema = "sample string, plate string, cell_line string, genes array<long>, expressions array<float>"
@@ -70,6 +37,27 @@ def test_stream_equals_batch_and_a_restart_adds_nothing(spark):
     assert len(ingest.progress(q)) >= 3
     lookup = spark.createDataFrame([("s0", "plate1", "L", "c0"), ("s1", "plate1", "L", "c0"), ("s2", "plate1", "L", "c2")], "sample string, plate string, cell_line string, condition_id string")
     want = rows(pseudobulk.pseudobulk(pseudobulk.clean_cells(frame), lookup))
-    assert rows(pseudobulk.merge_partials(*ingest.partials(spark, base + "/out"), lookup)) == want
+    assert rows(pseudobulk.merge_partials(ingest.partials(spark, base + "/out"), lookup)) == want
     ingest.ingest(spark, base + "/in", frame.schema, base + "/out", base + "/check").awaitTermination()
-    assert rows(pseudobulk.merge_partials(*ingest.partials(spark, base + "/out"), lookup)) == want
+    assert rows(pseudobulk.merge_partials(ingest.partials(spark, base + "/out"), lookup)) == want
+    assert ingest.log(spark, base + "/out").agg({"cells_kept": "sum"}).first()[0] == 60
+
+
+def test_another_plate_or_choice_of_lines_touches_no_partial(spark):
+    base = tempfile.mkdtemp()
+    schema = "sample string, plate string, cell_line string, genes array<long>, expressions array<float>"
+    one = spark.createDataFrame([("s", "plate1", "L", [1, 2], [-2.0, 1.0]), ("s", "plate2", "L", [1, 2], [-2.0, 5.0]), ("s", "plate1", "M", [1, 2], [-2.0, 7.0])], schema)
+    one.coalesce(1).write.parquet(base + "/in")
+    run = lambda choice, lines: ingest.ingest(spark, base + "/in", one.schema, base + "/out", base + "/" + choice, lines=lines).awaitTermination()
+    run("all", [])
+    files = lambda: {f for f in spark.read.parquet(base + "/out/partials").inputFiles()}
+    before = files()
+    run("some", ["l ", "K"])
+    spark.createDataFrame([("s", "plate3", "L", [1, 2], [-2.0, 9.0])], schema).coalesce(1).write.mode("append").parquet(base + "/in")
+    run("all", [])
+    assert before < files()
+    # the fragment with two plates gave a partial of each
+    sums = lambda **k: sorted((r["plate"], r["cell_line"], r["total"]) for r in ingest.partials(spark, base + "/out", **k).filter("gene is not null").collect())
+    assert sums() == [("plate1", "L", 1.0), ("plate1", "M", 7.0), ("plate2", "L", 5.0), ("plate3", "L", 9.0)]
+    assert sums(lines=["K", "L"]) == [("plate1", "L", 1.0), ("plate2", "L", 5.0)]
+    assert sums(plates=["plate2"]) == [("plate2", "L", 5.0)]

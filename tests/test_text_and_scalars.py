@@ -90,3 +90,9 @@ def test_slug(spark):
     slug = one(spark, S.file_slug("v"), v="a b/c" * 20)
     assert len(slug) == 49 and " " not in slug and "/" not in slug
     assert rows(spark.range(1).select(S.close_to(F.lit(1.0), F.lit(1.0 + 1e-8)))) == [(True,)]
+
+
+def test_numbers_in_ids_read_as_their_shortest_text(spark):
+    values = [0.0, 0.05, 0.5, 5.0, 1e-3, 5e-4, 1.25e-4, 1e-4, 1e-5, 2.5e-7, 1e7, 12345678.5, 123456789012.25, 1e15, 1e16, 2.5e16, 1e100, 1e-100, -1e-5, -5e-4, -2e7, 999999.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert [r[0] for r in df.select(S.number_text("v")).collect()] == [*map(repr, values), None]
