@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +62,13 @@ def violations(df: DataFrame, rules: Mapping[str, Column]) -> dict[str, int]:
     return {n: row[n] for n in rules if row[n]}
 
 
+def report(df: DataFrame, table: str, rules: Mapping[str, Column]) -> DataFrame:
+    """(table_name, rule, n_rows, n_broken): how many rows break each rule, as a result instead of an error; one pass."""
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{i}") for i, c in enumerate(rules.values())])
+    entries = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("n_broken")) for i, n in enumerate(rules)])
+    return counted.select(F.lit(table).alias("table_name"), "n_rows", F.inline(entries)).select("table_name", "rule", "n_rows", "n_broken")
+
+
 def _raise(name: str, broken: dict[str, int]) -> None:
     if broken:
         raise ContractError(f"{name}: {broken}")
@@ -162,3 +169,17 @@ def check_output_size(spark, path: str, limit_bytes: int | None) -> int:
     if limit_bytes is not None and size > limit_bytes:
         raise ContractError(f"{path} holds {size} bytes; the limit is {limit_bytes}")
     return size
+
+
+def write_checked(df: DataFrame, path: str, check: Callable[[DataFrame], None]) -> DataFrame:
+    """Write ``df`` as Parquet, hold what was written against its contract, and give it back; a broken contract takes the files away again and raises."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    try:
+        check(written)
+    except ContractError:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        raise
+    return written

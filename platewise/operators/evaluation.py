@@ -133,12 +133,17 @@ def de_candidates(view: DataFrame, lines: DataFrame, with_result: DataFrame) ->
     return good.join(lines.select("cell_line"), "cell_line", "left_semi").join(with_result.select("condition_id"), "condition_id", "left_semi").select("condition_id", "cell_line")
 
 
-def slice_lines(screened: DataFrame, known: DataFrame, declared: Sequence[str] = ()) -> DataFrame:
-    """(cell_line, n_conditions, external_id): every screened line with its external id; a line without one must be declared, else :class:`ContractError`."""
+def slice_lines(screened: DataFrame, known: DataFrame, declared: DataFrame) -> DataFrame:
+    """(cell_line, n_conditions, external_id, declared, undeclared_gap): every screened line with its external id; a line without one that is not in ``declared`` (cell_line) is an undeclared gap."""
     counted = screened.filter("cell_line is not null").groupBy("cell_line").agg(F.count(F.lit(1)).alias("n_conditions"))
     ids = known.filter("external_id is not null").groupBy("cell_line").agg(F.min("external_id").alias("external_id"))
-    out = counted.join(ids, "cell_line", "left")
-    missing = out.filter(F.col("external_id").isNull() & (~F.col("cell_line").isin(list(declared)) if declared else F.lit(True))).limit(3).collect()
+    stated = declared.select("cell_line").distinct().withColumn("stated", F.lit(True))
+    joined = counted.join(ids, "cell_line", "left").join(stated, "cell_line", "left").withColumn("declared", F.coalesce("stated", F.lit(False)))
+    return joined.select("cell_line", "n_conditions", "external_id", "declared", (F.col("external_id").isNull() & ~F.col("declared")).alias("undeclared_gap"))
+
+
+def require_slice(lines: DataFrame) -> None:
+    """Raises where :func:`slice_lines` found an undeclared gap."""
+    missing = lines.filter("undeclared_gap").limit(3).collect()
     if missing:
         raise ContractError(f"lines without an external id that are not declared: {[r['cell_line'] for r in missing]}")
-    return out

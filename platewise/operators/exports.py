@@ -44,8 +44,10 @@ def compare_with_tolerance(got: DataFrame, want: DataFrame, keys: list[str], val
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown, at most ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown; one of more than ``most`` rows raises instead of being cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     text = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(text(v) for v in r) + " |" for r in rows)]) + "\n"
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.session import materialize
@@ -87,3 +87,34 @@ def join_heavy(rows: DataFrame, labels: DataFrame, key: str, counts: DataFrame |
     near = rows.join(heavy, key, "left_semi").join(F.broadcast(labels.join(heavy, key, "left_semi")), key, "left")
     rest = rows.join(heavy, key, "left_anti").join(labels, key, "left")
     return near.unionByName(rest)
+
+
+def places(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``place``, the number (from 0) of the row in the order of ``value`` within its ``keys``, and ``group_rows``; no group is ever in one task.
+
+    Rows are range-partitioned on (keys, value) and written with the partition they came to. Rows of a group are numbered within each partition, and what the group has in the partitions before is
+    added. Equal values take neighbouring places in any order. Null keys form groups; null values come first."""
+    cut = materialize(df.repartitionByRange(*keys, value).withColumn("__cut", F.spark_partition_id()), "places")
+    # as many rows as there are groups, and partitions that cut one
+    counts = cut.groupBy("__cut", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*keys)
+    before = counts.select(
+        F.col("__cut").alias("__c"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.sum("__n").over(group.orderBy("__cut")) - F.col("__n")).alias("__before"), F.sum("__n").over(group).alias("group_rows")
+    )
+    same = F.col("__cut") == F.col("__c")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    numbered = cut.withColumn("__nth", F.row_number().over(Window.partitionBy("__cut", *keys).orderBy(value)) - 1)
+    return numbered.join(before, same).withColumn("place", F.col("__before") + F.col("__nth")).select(*df.columns, "place", "group_rows")
+
+
+def exact_percentiles(placed: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
+    """(keys..., one column per entry of ``at``) of rows numbered by :func:`places`, interpolated between neighbours as in SQL's percentile_cont."""
+    out = placed.groupBy(*keys)
+    columns = []
+    for name, q in at.items():
+        rank = F.lit(q) * (F.col("group_rows") - 1)
+        low, share = F.floor(rank), rank - F.floor(rank)
+        weight = F.when(F.col("place") == low, 1 - share).when(F.col("place") == low + 1, share)
+        columns.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
+    return out.agg(*columns)

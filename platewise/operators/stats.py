@@ -6,20 +6,32 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
+from platewise.operators.skew import exact_percentiles, places
+from platewise.session import materialize
 
 
-def score_summary(scores: DataFrame, metric: str, places: int = 6) -> DataFrame:
-    """Per split: estimate (mean over repeats of medians), interquartile range, n_scored, n_nan. Null, NaN and infinite scores count as n_nan."""
+def score_summary(scores: DataFrame, metric: str, places_: int = 6) -> DataFrame:
+    """Per split: estimate (mean over repeats of medians), interquartile range, n_scored, n_nan. Null, NaN and infinite scores count as n_nan.
+
+    Percentiles are exact and come from numbered rows, so no split need fit a task."""
     value = F.when(S.finite(metric), F.col(metric))
-    per = scores.groupBy("split", "repeat").agg(F.median(value).alias("m")).groupBy("split").agg(F.round(F.avg("m"), places).alias("estimate"))
-    rest = scores.groupBy("split").agg(
-        F.round(F.percentile(value, F.lit(0.25)), places).alias("iqr_low"), F.round(F.percentile(value, F.lit(0.75)), places).alias("iqr_high"), F.count(value).alias("n_scored"), (F.count(F.lit(1)) - F.count(value)).alias("n_nan")
-    )
-    return rest.join(per, "split")
+    rows = scores.filter(S.finite(metric)).select("split", "repeat", F.col(metric).cast("double").alias("v"))
+    per = medians(scores, ["split", "repeat"], metric).groupBy("split").agg(F.round(F.avg("m"), places_).alias("estimate"))
+    quartiles = exact_percentiles(places(rows, ["split"], "v"), ["split"], "v", {"q1": 0.25, "q3": 0.75})
+    counts = scores.groupBy("split").agg(F.count(value).alias("n_scored"), (F.count(F.lit(1)) - F.count(value)).alias("n_nan"))
+    return counts.join(per, "split", "left").join(quartiles, "split", "left").select("split", F.round("q1", places_).alias("iqr_low"), F.round("q3", places_).alias("iqr_high"), "n_scored", "n_nan", "estimate")
+
+
+def medians(scores: DataFrame, keys: Sequence[str], metric: str, name: str = "m") -> DataFrame:
+    """(keys..., ``name``): the exact median of the finite values of every group, null where it has none; groups may be of any size."""
+    rows = scores.filter(S.finite(metric)).select(*keys, F.col(metric).cast("double").alias("v"))
+    found = exact_percentiles(places(rows, keys, "v"), keys, "v", {name: 0.5})
+    every = scores.select(*keys).distinct()
+    return every.alias("e").join(found.alias("f"), [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left").select(*[F.col(f"e.{k}") for k in keys], F.col(f"f.{name}"))
 
 
 def bootstrap_intervals(scores: DataFrame, keys: Sequence[str], metric: str, resamples: int = 2000, interval: float = 0.95, seed: int = 20260927, block: int = 50) -> DataFrame:
@@ -27,11 +39,11 @@ def bootstrap_intervals(scores: DataFrame, keys: Sequence[str], metric: str, res
 
     Of a resample only its middle values matter, so their places are drawn: the k-th smallest of n uniform draws is Beta(k, n - k + 1), the next one the smallest of the n - k draws above it. That is the
     distribution of drawing all n, at the same cost for any n. Draws are made in ``block``-sized tasks (group, repeat, block), seeded by the group, so the result does not depend on the
-    partitioning; the values stay rows, numbered within their repeat."""
+    partitioning; the values stay rows, numbered within their repeat by range partitions."""
     group = [*keys, "repeat"]
     rows = scores.filter(S.finite(metric)).select(*group, F.col(metric).cast("double").alias("v"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("v")).cast("long") - 1)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    placed = materialize(places(rows, group, "v"), "bootstrap-places")
+    sizes = placed.groupBy(*group).agg(F.max("group_rows").alias("n"))
     tasks = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // block))))
     fields = ", ".join(f"{k} {scores.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -53,8 +65,7 @@ def bootstrap_intervals(scores: DataFrame, keys: Sequence[str], metric: str, res
     draws = drawn.join(placed, [*group, "place"]).groupBy(*group, "draw").agg(F.avg("v").alias("m")).groupBy(*keys, "draw").agg(F.avg("m").alias("m"))
     alpha = (1 - interval) / 2
     bounds = draws.groupBy(*keys).agg(F.percentile("m", F.lit(alpha)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha)).alias("ci_high"))
-    middle = placed.join(sizes, group).filter((F.col("place") == F.floor((F.col("n") - 1) / 2)) | (F.col("place") == F.floor(F.col("n") / 2)))
-    estimate = middle.groupBy(*group).agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.avg("m").alias("estimate"))
+    estimate = exact_percentiles(placed, group, "v", {"m": 0.5}).groupBy(*keys).agg(F.avg("m").alias("estimate"))
     return estimate.join(bounds, list(keys))
 
 
@@ -86,11 +97,11 @@ def summary_documents(scores: DataFrame, metrics: Sequence[str], resamples: int
     out = None
     for metric in metrics:
         value = F.when(S.finite(metric), F.col(metric))
-        medians = scores.groupBy("model", "split", "repeat").agg(F.median(value).alias("m")).groupBy("model", "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("repeat", "m"))), lambda r: r["m"]).alias("repeat_medians"))
-        counts = scores.groupBy("model", "split").agg(
-            F.percentile(value, F.lit(0.25)).alias("iqr_low"), F.percentile(value, F.lit(0.75)).alias("iqr_high"), F.count(value).alias("n_scored"), (F.count(F.lit(1)) - F.count(value)).alias("n_nan")
-        )
-        joined = counts.join(medians, ["model", "split"]).join(bootstrap_intervals(scores, ["model", "split"], metric, resamples), ["model", "split"], "left")
+        per_repeat = medians(scores, ["model", "split", "repeat"], metric).groupBy("model", "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("repeat", "m"))), lambda r: r["m"]).alias("repeat_medians"))
+        counts = scores.groupBy("model", "split").agg(F.count(value).alias("n_scored"), (F.count(F.lit(1)) - F.count(value)).alias("n_nan"))
+        rows = scores.filter(S.finite(metric)).select("model", "split", F.col(metric).cast("double").alias("v"))
+        quartiles = exact_percentiles(places(rows, ["model", "split"], "v"), ["model", "split"], "v", {"iqr_low": 0.25, "iqr_high": 0.75})
+        joined = counts.join(per_repeat, ["model", "split"]).join(quartiles, ["model", "split"], "left").join(bootstrap_intervals(scores, ["model", "split"], metric, resamples), ["model", "split"], "left")
         entry = F.struct("split", F.lit(metric).alias("metric"), "estimate", "ci_low", "ci_high", "iqr_low", "iqr_high", "repeat_medians", "n_scored", "n_nan")
         one = joined.groupBy("model").agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("metric", F.lit(metric))
         out = one if out is None else out.union(one)

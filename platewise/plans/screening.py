@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as S
@@ -227,6 +227,29 @@ def null_profile(spark, sf):
     return contracts.null_profile(table(spark, sf, "per_condition"), ["repeat", "split", "de_pearson", "de_mse"])
 
 
+@query("""SELECT * FROM (
+    SELECT 'conditions' AS table_name, unnest(['null_key', 'external_id', 'negative_cells', 'without_control']) AS rule, count(*) AS n_rows, unnest([count(*) FILTER (condition_id IS NULL OR cell_line IS NULL OR plate IS NULL),
+      count(*) FILTER (depmap_id IS NULL), count(*) FILTER (n_cells < 0), count(*) FILTER (NOT is_control AND control_condition_id IS NULL)]) AS n_broken FROM conditions
+    UNION ALL SELECT 'splits', unnest(['no_part', 'unknown_condition', 'control_assigned', 'repeated']), count(*), unnest([count(*) FILTER (part IS NULL), count(*) FILTER (c.condition_id IS NULL), count(*) FILTER (c.is_control), count(*) FILTER (k > 1)])
+      FROM (SELECT *, row_number() OVER (PARTITION BY repeat, split, condition_id, part) AS k FROM splits) s LEFT JOIN conditions c USING (condition_id)
+    UNION ALL SELECT 'de_sets', unnest(['null_key', 'no_number', 'padj_range', 'no_rank']), count(*), unnest([count(*) FILTER (condition_id IS NULL OR gene_symbol IS NULL), count(*) FILTER (padj IS NULL OR isnan(padj) OR log2foldchange IS NULL OR isnan(log2foldchange)),
+      count(*) FILTER (NOT isnan(padj) AND (padj < 0 OR padj > 1)), count(*) FILTER (rank IS NULL)]) FROM de_sets)""")
+def contract_report(spark, sf):
+    """The delivered tables held against their contracts: rows that break each rule."""
+    conditions, null = table(spark, sf, "conditions"), lambda *c: F.greatest(*[F.col(x).isNull() for x in c]) if len(c) > 1 else F.col(c[0]).isNull()
+    one = contracts.report(conditions, "conditions", {
+        "null_key": null("condition_id", "cell_line", "plate"), "external_id": null("depmap_id"), "negative_cells": F.col("n_cells") < 0, "without_control": ~F.col("is_control") & null("control_condition_id"),
+    })
+    again = F.row_number().over(Window.partitionBy("repeat", "split", "condition_id", "part").orderBy(F.lit(0))) > 1
+    assigned = table(spark, sf, "splits").withColumn("again", again).join(conditions.select("condition_id", F.lit(True).alias("known"), "is_control"), "condition_id", "left")
+    two = contracts.report(assigned, "splits", {"no_part": null("part"), "unknown_condition": null("known"), "control_assigned": F.col("is_control"), "repeated": F.col("again")})
+    number = lambda c: F.col(c).isNull() | F.isnan(c)
+    three = contracts.report(table(spark, sf, "de_sets"), "de_sets", {
+        "null_key": null("condition_id", "gene_symbol"), "no_number": number("padj") | number("log2foldchange"), "padj_range": ~F.isnan("padj") & ((F.col("padj") < 0) | (F.col("padj") > 1)), "no_rank": null("rank"),
+    })
+    return one.union(two).union(three)
+
+
 @query("""SELECT DISTINCT shard FROM shard_files f WHERE EXISTS (SELECT 1 FROM conditions d WHERE d.is_control AND d.n_cells < 1000 AND f.plate_min <= d.plate AND f.plate_max >= d.plate)""")
 def shard_prune(spark, sf):
     """Fragments whose (string) plate range may hold a plate with a small control."""
@@ -446,14 +469,14 @@ def de_candidates(spark, sf):
     return evaluation.de_candidates(_view(spark, sf), evaluation.eligible_lines(_conditions(spark, sf), sets), sets)
 
 
-@query(f"""SELECT cell_line, n_conditions, external_id FROM (SELECT {_UP("cell_line")} AS cell_line, count(*) AS n_conditions FROM conditions WHERE cell_line IS NOT NULL GROUP BY 1)
-    LEFT JOIN (SELECT {_UP("cell_line")} AS cell_line, min(depmap_id) AS external_id FROM conditions WHERE depmap_id IS NOT NULL GROUP BY 1) USING (cell_line)""")
+@query(f"""WITH k AS (SELECT {_UP("cell_line")} AS cell_line, depmap_id, is_control, qc_pass FROM conditions WHERE cell_line IS NOT NULL)
+    SELECT cell_line, count(*) AS n_conditions, min(depmap_id) AS external_id, NOT coalesce(bool_or(NOT is_control AND qc_pass), false) AS declared, min(depmap_id) IS NULL AND coalesce(bool_or(NOT is_control AND qc_pass), false) AS undeclared_gap FROM k GROUP BY 1""")
 def slice_lines(spark, sf):
+    """Screened lines with their external id. Lines without a treated condition that passes are declared to need none; a line that needs one and has none is an undeclared gap."""
     c = _conditions(spark, sf)
-    known = c.select("cell_line", F.col("depmap_id").alias("external_id"))
-    # the delivered conditions state no list of declared gaps: lines without any id declare themselves
-    gaps = [r[0] for r in known.groupBy("cell_line").agg(F.max("external_id").alias("m")).filter("m is null and cell_line is not null").limit(1000).collect()]
-    return evaluation.slice_lines(c, known, gaps)
+    used = F.coalesce(F.bool_or(~F.col("is_control") & F.col("qc_pass")), F.lit(False))
+    declared = c.groupBy("cell_line").agg(used.alias("used")).filter("not used").select("cell_line")
+    return evaluation.slice_lines(c, c.select("cell_line", F.col("depmap_id").alias("external_id")), declared)
 
 
 def _draw_sql(unit: str, kind: str, name: str) -> str:
@@ -516,10 +539,18 @@ def dense_targets(spark, sf):
 RUN = harness.RUN
 
 
+def _no_leaks(assigned: DataFrame, treated: DataFrame) -> None:
+    """No unit that a split's name keeps together stands in two of its parts."""
+    for split, unit in (("unseen_drug", "cluster"), ("unseen_cell_line", "cell_line"), ("both_unseen", "cluster"), ("both_unseen", "cell_line")):
+        contracts.check_splits(assigned.filter(F.col("split") == split), treated.select("condition_id", unit), unit)
+
+
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
     c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select("condition_id", "cell_line", "drug", "dose")
-    runs = materialize(evaluation.make_splits(_treated(spark, sf), REPEATS).join(c, "condition_id"), "runs")
+    treated = _treated(spark, sf)
+    assigned = contracts.write_checked(evaluation.make_splits(treated, REPEATS), scratch_path(spark, "splits"), lambda written: _no_leaks(written, treated))
+    runs = materialize(assigned.join(c, "condition_id"), "runs")
     genes = _universe(spark, sf)
     values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")
     sets = evaluation.de_sets(table(spark, sf, "de_sets"), genes)
@@ -785,7 +816,7 @@ def score_summary(spark, sf):
 
 @query(f"""WITH {_SC}, m AS (SELECT split, repeat, model, median(v) AS m FROM sc GROUP BY ALL) PIVOT (SELECT model, split, round(avg(m), 5) AS e FROM m GROUP BY ALL) ON split IN ('random', 'unseen_drug', 'unseen_cell_line', 'both_unseen') USING first(e) GROUP BY model""")
 def model_table(spark, sf):
-    per = _scores(spark, sf).groupBy("model", "split", "repeat").agg(F.median(F.when(S.finite("de_pearson"), F.col("de_pearson"))).alias("m")).groupBy("model", "split").agg(F.round(F.avg("m"), 5).alias("e"))
+    per = stats.medians(_scores(spark, sf), ["model", "split", "repeat"], "de_pearson").groupBy("model", "split").agg(F.round(F.avg("m"), 5).alias("e"))
     return per.groupBy("model").pivot("split", ["random", "unseen_drug", "unseen_cell_line", "both_unseen"]).agg(F.first("e"))
 
 
@@ -810,7 +841,7 @@ def paired_ci(spark, sf):
     FROM a FULL OUTER JOIN b ON a.split = b.split WHERE a.split IS NULL OR b.split IS NULL OR (g IS NULL) <> (w IS NULL) OR abs(g - w) > 0.003""")
 def tolerance_compare(spark, sf):
     """Medians of repeat 0 against those of repeat 1."""
-    m = _scores(spark, sf).groupBy("split", "repeat").agg(F.median(F.when(S.finite("de_pearson"), F.col("de_pearson"))).alias("m"))
+    m = stats.medians(_scores(spark, sf), ["split", "repeat"], "de_pearson")
     return exports.compare_with_tolerance(m.filter("repeat = 0"), m.filter("repeat = 1"), ["split"], "m", 0.003)
 
 
@@ -819,14 +850,17 @@ def summary_documents(spark, sf):
     return stats.summary_documents(_scores(spark, sf), ["de_pearson", "sign_accuracy"])
 
 
-@query(f"""WITH {_SC}, m AS (SELECT model, split, repeat, median(v) AS m FROM sc GROUP BY ALL), e AS (SELECT model, split, round(avg(m), 5) AS e FROM m GROUP BY ALL)
-    SELECT a.split, a.e AS neural, b.e AS ridge, CASE WHEN a.e - b.e > 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS verdict FROM e a JOIN e b ON a.split = b.split WHERE a.model = 'neural' AND b.model = 'ridge'""")
+@query(f"""WITH sv AS (SELECT repeat, {_SPLIT} AS split, model, CASE WHEN NOT isnan(de_pearson) AND NOT isinf(de_pearson) THEN de_pearson END AS v, CASE WHEN NOT isnan(de_mse) AND NOT isinf(de_mse) THEN de_mse END AS w FROM per_condition WHERE split IS NOT NULL AND repeat IS NOT NULL),
+    m AS (SELECT model, split, repeat, median(v) AS v, median(w) AS w FROM sv GROUP BY ALL), e AS (SELECT model, split, round(avg(v), 5) AS v, round(avg(w), 5) AS w FROM m GROUP BY ALL)
+    SELECT a.split, a.v AS neural, b.v AS ridge, a.w AS neural_mse, b.w AS ridge_mse, CASE WHEN a.v - b.v > 0 AND a.w - b.w < 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS verdict FROM e a JOIN e b ON a.split = b.split WHERE a.model = 'neural' AND b.model = 'ridge'""")
 def verdicts(spark, sf):
-    """Whether one model's median score is above another's, per split, without an interval; claim_verdicts has the reference's rule."""
-    per = _scores(spark, sf).groupBy("model", "split", "repeat").agg(F.median(F.when(S.finite("de_pearson"), F.col("de_pearson"))).alias("m")).groupBy("model", "split").agg(F.round(F.avg("m"), 5).alias("e"))
-    one = lambda m: per.filter(F.col("model") == m).select("split", F.col("e").alias(m))
-    both = one("neural").join(one("ridge"), "split").withColumns({"gain": F.col("neural") - F.col("ridge"), "loss": F.col("ridge") - F.col("neural")})
-    return both.select("split", "neural", "ridge", stats.verdict("gain", "loss").alias("verdict"))
+    """Whether one model's median correlation is above and its median error below another's, per split, without an interval; claim_verdicts has the reference's rule."""
+    scores = _scores(spark, sf)
+    keys = ["model", "split", "repeat"]
+    both = stats.medians(scores, keys, "de_pearson", "v").join(stats.medians(scores, keys, "de_mse", "w"), keys).groupBy("model", "split").agg(F.round(F.avg("v"), 5).alias("v"), F.round(F.avg("w"), 5).alias("w"))
+    one = lambda m: both.filter(F.col("model") == m).select("split", F.col("v").alias(m), F.col("w").alias(f"{m}_mse"))
+    paired = one("neural").join(one("ridge"), "split").withColumns({"gain": F.col("neural") - F.col("ridge"), "loss": F.col("neural_mse") - F.col("ridge_mse")})
+    return paired.select("split", "neural", "ridge", "neural_mse", "ridge_mse", stats.verdict("gain", "loss").alias("verdict"))
 
 
 @query()

@@ -216,6 +216,21 @@ def test_candidates_and_slice(spark):
     have = spark.createDataFrame([("1",), ("4",)], "condition_id string")
     assert rows(evaluation.de_candidates(view, spark.createDataFrame([("L",)], "cell_line string"), have)) == [("1", "L")]
     known = spark.createDataFrame([("L", "x")], "cell_line string, external_id string")
+    none = spark.createDataFrame([], "cell_line string")
     with pytest.raises(ContractError):
-        evaluation.slice_lines(view, known)
-    assert rows(evaluation.slice_lines(view, known, ["M"])) == [("L", 4, "x"), ("M", 1, None)]
+        evaluation.require_slice(evaluation.slice_lines(view, known, none))
+    listed = evaluation.slice_lines(view, known, spark.createDataFrame([("M",)], "cell_line string"))
+    evaluation.require_slice(listed)
+    assert rows(listed) == [("L", 4, "x", False, False), ("M", 1, None, True, False)]
+
+
+def test_written_under_a_contract(spark, tmp_path):
+    import os
+
+    good, bad = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a",), ("a",)], "k string")
+    check = lambda t: contracts.require_unique(t, ["k"], "t")
+    assert contracts.write_checked(good, str(tmp_path / "good"), check).count() == 2
+    with pytest.raises(ContractError):
+        contracts.write_checked(bad, str(tmp_path / "bad"), check)
+    assert os.path.exists(tmp_path / "good") and not os.path.exists(tmp_path / "bad")
+    assert rows(contracts.report(bad, "t", {"is_a": bad["k"] == "a", "null": bad["k"].isNull()})) == [("t", "is_a", 2, 2), ("t", "null", 2, 0)]

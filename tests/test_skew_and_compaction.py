@@ -112,3 +112,19 @@ def test_heavy_keys_count_every_row(spark, n, found):
     df = spark.createDataFrame(data, "key string, n long")
     assert [r[:2] for r in rows(skew.heavy_keys(df, {"key": lower_key("key")}, n, [F.xxhash64("n")]))] == found
     assert skew.heavy_keys(df.limit(0), {"key": F.col("key")}, n, [F.xxhash64("n")]).count() == 0
+
+
+def test_places_and_percentiles_of_a_group_cut_by_partitions(spark):
+    rnd = random.Random(4)
+    data = [("h" if i % 3 else rnd.choice(["a", "b", None]), rnd.choice([rnd.random(), 0.5])) for i in range(3000)] + [("one", 7.0)]
+    df = spark.createDataFrame(data, "key string, v double")
+    placed = skew.places(df, ["key"], "v")
+    got = {}
+    for r in placed.collect():
+        got.setdefault(r["key"], []).append((r["place"], r["v"], r["group_rows"]))
+    want = {k: sorted(v for key, v in data if key == k) for k in {k for k, _ in data}}
+    assert {k: [v for _, v, _ in sorted(x)] for k, x in got.items()} == want
+    assert all([p for p, _, _ in sorted(x)] == list(range(len(x))) and {n for _, _, n in x} == {len(x)} for x in got.values())
+    found = {r["key"]: (r["q1"], r["m"], r["top"]) for r in skew.exact_percentiles(placed, ["key"], "v", {"q1": 0.25, "m": 0.5, "top": 1.0}).collect()}
+    assert found == {k: pytest.approx((np.quantile(v, 0.25), np.median(v), max(v))) for k, v in want.items()}
+    assert skew.places(df.limit(0), ["key"], "v").count() == 0
