@@ -442,17 +442,19 @@ def unseen_families(read: DataFrame, sample_rows: int = 6_000, penalty: float =
 
 #: Own parts with fewer function words than this are nobody's sentences.
 PROSE = 0.2
+#: The share of the cut that a document has to reach where a rule has named it: two pieces of evidence, each weaker alone.
+NAMED = 0.1
 #: An error page or a notice with its surroundings has no more words than this.
 SHORT = 60
 
 
 def score(documents: DataFrame, sample_rows: int = 6_000, penalty: float = 1e-4, seed: int = 5) -> tuple[DataFrame, ResidueModel]:
-    """(``doc_id, p, kept_out, family``) for every document. The classifier decides: ``kept_out`` needs a score at its cut or above.
+    """(``doc_id, p, kept_out, family``) for every document. The classifier decides: ``kept_out`` needs a score at its cut or above, and a ``NAMED`` part of that where a weak rule has named the document.
 
-    A check follows: what no weak rule has named may only go if it is no prose (few function words), or short and scored without doubt. So a weak label alone never keeps a document out, and the classifier finds residue that the
-    rules miss. Null and empty texts are never kept out; without weak labels of both kinds (empty or tiny tables) the fit is that of the one label."""
+    A check follows: what no rule has named may only go if it is no prose (few function words), or short and scored without doubt, and has a few words at all. So a weak label alone never keeps a
+    document out, and the classifier finds residue that the rules miss. Null and empty texts are never kept out; without weak labels of both kinds (empty or tiny tables) the fit is that of the one label."""
     read = materialize(read_documents(documents), "residue-read")
     fitted = train(read, sample_rows, penalty, seed)
-    doubtless = (F.col("p") >= 0.9) & (F.col("n_words") <= SHORT)
-    sound = F.col("family").isNotNull() | ((F.col("prose") < PROSE) & (F.col("n_words") >= 4)) | doubtless
-    return _scored(read, fitted.weights, fitted.intercept).select("doc_id", "p", ((F.col("p") >= fitted.cut) & sound).alias("kept_out"), "family", "prose", "n_words"), fitted
+    named = F.col("family").isNotNull() & (F.col("p") >= fitted.cut * NAMED)
+    sound = (F.col("n_words") >= 4) & ((F.col("prose") < PROSE) | ((F.col("p") >= 0.9) & (F.col("n_words") <= SHORT)))
+    return _scored(read, fitted.weights, fitted.intercept).select("doc_id", "p", (named | ((F.col("p") >= fitted.cut) & sound)).alias("kept_out"), "family", "prose", "n_words"), fitted

@@ -338,12 +338,12 @@ def test_classifier_end_to_end(spark):
         data.append((i, (HEAD + body) if i % 9 else HEAD.replace("\n", "\r\n") + body, f"a@{rnd.choice(hosts)}" if i % 50 else None, "s" if i % 7 else None, 0.5))
         if name in CASES:
             want.add(i)
-    data.append((400, None, None, None, None))
+    data += [(400, None, None, None, None), (401, HEAD, "a@x.test", "s", 0.5), (402, HEAD + "> 502 Bad Gateway", "a@x.test", "s", 0.5)]
     df = spark.createDataFrame(data, "doc_id long, text string, from_addr string, subject string, p double")
     scored, fitted = residue.score(df)
     got = {r["doc_id"] for r in scored.filter("kept_out").collect()}
     figures = fitted.figures()
-    assert scored.count() == 401 and figures["recall"] > 0.9 and figures["precision"] > 0.9
+    assert scored.count() == 403 and figures["recall"] > 0.9 and figures["precision"] > 0.9
     assert got <= want and len(got) >= 0.98 * len(want)
     assert rows(scored.select("doc_id", "kept_out")) == rows(residue.score(df.repartition(3))[0].select("doc_id", "kept_out"))
     empty = residue.score(df.limit(0))[0]
