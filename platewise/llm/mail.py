@@ -125,11 +125,19 @@ def mail_parts(raw: str | None) -> list[tuple[str, str]]:
     text = raw.replace("\r\n", "\n").replace("\r", "\n")
     header, body = _split_header(text)
     parts: list[tuple[str, str]] = []
-    _collect(header, body, parts, 0)
+    # parts still to read, the next one last; a null header marks text before the first part
+    left: list[tuple[str | None, str]] = [(header, body)]
+    while left:
+        header, body = left.pop()
+        if header is None:
+            parts.append(("plain", body))
+        else:
+            left.extend(reversed(_read_part(header, body, parts)))
     return parts
 
 
-def _collect(header: str, body: str, parts: list[tuple[str, str]], depth: int) -> None:
+def _read_part(header: str, body: str, parts: list[tuple[str, str]]) -> list[tuple[str | None, str]]:
+    """Add a single part to ``parts``, or give back the parts inside a multipart one, nested to any depth."""
     unfolded = re.sub(r"\n[ \t]+", " ", header)
     fields = {}
     for line in unfolded.split("\n"):
@@ -137,27 +145,23 @@ def _collect(header: str, body: str, parts: list[tuple[str, str]], depth: int) -
         if sep:
             fields.setdefault(name.strip().lower(), value.strip())
     kind = fields.get("content-type", "").lower()
-    bounds = []
+    bound = None
     if m := _BOUNDARY_PARAM.search(fields.get("content-type", "")):
-        bounds.append(m.group(1).strip())
+        bound = m.group(1).strip()
     elif not kind and (m := _BOUNDARY_LINE.search(body)) and re.match(r"\nContent-", body[m.end() :]):
-        bounds.append(m.group(1))
-    if bounds and depth < 8 and (f"--{bounds[0]}") in body:
-        for k, piece in enumerate(re.split(rf"(?m)^--{re.escape(bounds[0])}(?:--)?[ \t]*$", body)):
-            if k == 0:
-                if piece.strip():
-                    parts.append(("plain", piece))
-                continue
-            inner_header, inner = _split_header(piece.lstrip("\n"))
-            if piece.strip():
-                _collect(inner_header, inner, parts, depth + 1)
-        return
+        bound = m.group(1)
+    if bound is not None and f"--{bound}" in body:
+        first, *pieces = re.split(rf"(?m)^--{re.escape(bound)}(?:--)?[ \t]*$", body)
+        if pieces:
+            inside: list[tuple[str | None, str]] = [(None, first)] if first.strip() else []
+            return inside + [_split_header(x.lstrip("\n")) for x in pieces if x.strip()]
     if "attachment" in fields.get("content-disposition", "").lower() or re.match(r"(application|image|audio|video)/", kind):
-        return
+        return []
     charset = m.group(1) if (m := _CHARSET.search(fields.get("content-type", ""))) else None
     shown = _mend(_decode_body(body, fields.get("content-transfer-encoding", "").lower(), charset)).replace("\r\n", "\n").replace("\r", "\n")
     is_html = kind.startswith("text/html") or (not kind.startswith("text/plain") and _LOOKS_HTML.search(shown) is not None)
     parts.append(("html" if is_html else "plain", shown))
+    return []
 
 
 def strip_html(text: str) -> str:

@@ -9,12 +9,13 @@ The cut is found exactly from token histograms, so a source hits its share to ab
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Mapping
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.text import lower_key, split_key
@@ -25,22 +26,28 @@ BINS = 4096
 _encodings: dict[str, object] = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
-        import public_tokenizers
+def _encoding(name: str, table: bytes, pattern: str):
+    """The encoding of a vocabulary file's content, built once per Python worker."""
+    if name not in _encodings:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
-        _encodings[path] = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
+        _encodings[name] = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
-def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of the whole text in the public vocabulary at ``vocabulary``; 0 for null. Strings of special tokens are ordinary text."""
+def token_count(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """Tokens of the whole text in the public vocabulary at ``vocabulary``; 0 for null. Strings of special tokens are ordinary text.
+
+    The file is read where the job is started and sent to the tasks (some hundred KB to a few MB, as vocabularies are), so no worker needs the path."""
+    import public_tokenizers
+
+    content = Path(vocabulary).read_bytes()
+    held, pattern, name = spark.sparkContext.broadcast(content), public_tokenizers.PATTERN, hashlib.sha1(content).hexdigest()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(name, held.value, pattern).encode_ordinary
         return pd.Series([len(encode(t)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
 
     return count(text)
@@ -123,7 +130,7 @@ def mix(
         split_key("source").alias("source"),
         F.coalesce(F.regexp_replace(lower_key("lang"), "[-_].*$", ""), F.lit("?")).alias("lang"),
         topic.alias("topic"),
-        token_count(F.col("text"), vocabulary).alias("tokens"),
+        token_count(spark, F.col("text"), vocabulary).alias("tokens"),
     )
     usable = wanted.filter("target_share > 0 and max_repeats > 0").select("source")
     pool = materialize(pool, "mixture-pool").filter("tokens > 0").join(F.broadcast(usable), "source", "left_semi")

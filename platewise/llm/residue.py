@@ -48,8 +48,8 @@ _FUNCTION_WORDS = frozenset(
     "el los las una y o es son fue en con para por no nos su se lo al hasta porque si tenemos la está este esta".split()
 )
 _FIELD = re.compile(
-    r"\{\{[^{}]{1,60}\}\}|[$#]\{\w[^{}]{0,40}\}|<%=?[^%]{1,60}%>|%\([A-Za-z_][\w ]*\)s|%%\w[\w ]{0,40}%%|@@\w[\w ]{0,40}@@|(?<!\w)__[A-Za-z][A-Za-z_ ]{0,40}__(?!\w)|\*\|[^|]{1,40}\|\*|"
-    r"«\w[\w ]{0,40}»|<<\w[\w .]{0,40}>>|<insert [^<>]{1,40}>|\[\[\w[^\[\]]{0,40}\]\]|\[(?:your|insert|bitte|please|enter|votre|insérer|su|introduzca|ihr[e]?)\b[^\[\]]{1,50}\]|"
+    r"\{\{[^{}]+\}\}|[$#]\{\w[^{}]*\}|<%=?[^%]+%>|%\([A-Za-z_][\w ]*\)s|%%\w[\w ]*%%|@@\w[\w ]*@@|(?<!\w)__[A-Za-z][A-Za-z_ ]*__(?!\w)|\*\|[^|]+\|\*|"
+    r"«\w[\w ]*»|<<\w[\w .]*>>|<insert [^<>]+>|\[\[\w[^\[\]]*\]\]|\[(?:your|insert|bitte|please|enter|votre|insérer|su|introduzca|ihr[e]?)\b[^\[\]]+\]|"
     r"\[[A-Z][a-z]+(?:_[A-Z]?[a-z]+)*\]|\{\d\}",
     re.IGNORECASE,
 )
@@ -62,6 +62,7 @@ _EMPTY_FIELD = re.compile(
     r"^\s*(?:contact|kontakt|contacto)\s*:\s*(?:null|none|undefined|nan|n/a)?\s*$"
 )
 _PLAIN_GREETING = re.compile(r"(?i)^\s*(?:hi|hello|hallo|hola|bonjour|good morning|guten tag|buenos días)[,:!]\s*$")
+#: Code and quotation in running text; two marks further apart than a sentence are not taken for a pair, or a stray one would hide the text between.
 _CODE = re.compile(r"`[^`]{0,200}`|\"[^\"\n]{0,200}\"|„[^“”]{0,200}[“”]|“[^”]{0,200}”")
 _STATUS = re.compile(
     r"(?i)\b[45]\d\d\b[^.]{0,20}\b(?:not found|forbidden|bad gateway|gateway|internal|unavailable|timeout|error|unauthorized|gone)\b|\b(?:status|code|error|erreur|fehler)\s*:?\s*[45]\d\d\b|"
@@ -102,6 +103,11 @@ class OwnPart:
     sentences: list[str]
     field: bool
 
+    def __post_init__(self) -> None:
+        #: The letter words of every sentence, in folded case.
+        self.words = [_LETTERS.findall(s.casefold()) for s in self.sentences]
+        self.n_words = sum(map(len, self.words))
+
 
 def _unfilled(text: str) -> bool:
     """Whether a field was left open, or filled with an empty value, outside code and quotation."""
@@ -150,7 +156,7 @@ def read_own_part(raw: str | None) -> OwnPart:
             if first:
                 first = False
                 named = (len(bare) < 30 and bare[-1] in ",:") or (len(bare.split()) <= 3 and bare.istitle())
-                if _GREETING.match(bare) or (named and not _is_residue(bare)):
+                if _GREETING.match(bare) or (named and not _is_residue(bare, _LETTERS.findall(bare.casefold()))):
                     field = field or _unfilled(bare)
                     continue
             if signed and len(bare) < 60 and bare[-1] not in ".!?" and len(bare.split()) <= 6:
@@ -172,70 +178,101 @@ def read_own_part(raw: str | None) -> OwnPart:
     return OwnPart(shown, sentences, field)
 
 
-def _is_latin(sentence: str) -> bool:
+def _is_latin(words: list[str]) -> bool:
     """Whether nearly all words are those of the standard filler paragraph."""
-    w = _LETTERS.findall(sentence.casefold())
-    return len(w) >= 4 and sum(x in _LATIN for x in w) >= 0.8 * len(w)
+    return len(words) >= 4 and sum(x in _LATIN for x in words) >= 0.8 * len(words)
 
 
-def _is_repeated(sentences: list[str]) -> bool:
+def _is_repeated(own: OwnPart) -> bool:
     """One sentence over and over; two that alternate must come more often than alternative parts of one mail repeat them."""
-    if len(sentences) < 4:
+    n = len(own.sentences)
+    if n < 4:
         return False
     distinct: set[str] = set()
-    for s in sentences:
+    for s, w in zip(own.sentences, own.words):
         if not _NUMERIC_LINE.match(s):
-            distinct.add(" ".join(_LETTERS.findall(s.casefold())))
+            distinct.add(" ".join(w))
             if len(distinct) > 2:
                 return False
-    return (len(sentences) >= 4 and len(distinct) == 1) or (len(sentences) >= 8 and len(distinct) == 2)
+    return len(distinct) == 1 or (n >= 8 and len(distinct) == 2)
+
+
+# Every match of a rule holds one of its hints: looking for them first spares ordinary sentences the patterns.
+_STATUS_HINT = re.compile(r"[45]\d\d")
+_STATUS_HINTS = ("traceback", 'file "', "exception", "error", "<h1>", "<title>", "/", "(")
+_ERROR_HINTS = (
+    "went wrong", "request id", "incident number", "too many", "query failed", "database", "in time", "maintenance", "access denied", "the rights", "session has", "sign in", "no longer held", "was deleted",
+    "you asked", "could not be", "introuvable", "nicht gefunden", "no existe", "no encontrada", "se encontró", "try again", "unavailable", "verweigert", "refusé", "denegado", "not be reached", "server said",
+)
+_SCRIPT_HINTS = ("script", "skript", "turned off", "reload", "allow it")
+_PLACEHOLDER_HINTS = (
+    "lorem", "text", "click to edit", "headline of", "sample", "dummy copy", "body copy", "something here", "description in", "exemple", "muestra", "überschrift", "title here",
+)
+
+
+def _status(s: str, low: str) -> bool:
+    return (_STATUS_HINT.search(low) is not None or any(h in low for h in _STATUS_HINTS)) and _STATUS.search(s) is not None
+
+
+def _script(s: str, low: str) -> bool:
+    return any(h in low for h in _SCRIPT_HINTS) and _SCRIPT.search(s) is not None
+
+
+def _error(s: str, low: str) -> bool:
+    return (len(s) < 60 and _CONTROL.match(s) is not None) or (any(h in low for h in _ERROR_HINTS) and _ERROR.search(s) is not None)
 
 
-def _is_residue(sentence: str) -> bool:
-    return _is_latin(sentence) or bool(_STATUS.search(sentence) or _ERROR.search(sentence) or _SCRIPT.search(sentence) or _CONTROL.match(sentence) or _PLACEHOLDER.search(sentence))
+def _placeholder(s: str, low: str) -> bool:
+    return any(h in low for h in _PLACEHOLDER_HINTS) and _PLACEHOLDER.search(s) is not None
 
 
-def is_ordinary(sentence: str) -> bool:
+#: Body rules by family, each of which can be held out of the weak labels.
+_FAMILIES = {"status": _status, "script": _script, "error": _error, "placeholder": _placeholder}
+
+
+def _is_residue(sentence: str, words: list[str]) -> bool:
+    low = sentence.lower()
+    return _is_latin(words) or any(test(sentence, low) for test in _FAMILIES.values())
+
+
+def is_ordinary(sentence: str, words: list[str]) -> bool:
     """A sentence somebody wrote: some words, held together by function words, that is not itself residue."""
-    w = _LETTERS.findall(sentence.casefold())
-    return len(w) >= 3 and not _FUNCTION_WORDS.isdisjoint(w) and not _is_residue(sentence)
+    return len(words) >= 3 and not _FUNCTION_WORDS.isdisjoint(words) and not _is_residue(sentence, words)
 
 
-def _is_filler(sentences: list[str]) -> bool:
-    w = [x for s in sentences for x in _LETTERS.findall(s.casefold())]
+def _is_filler(own: OwnPart) -> bool:
+    w = [x for s, words in zip(own.sentences, own.words) if not _NUMERIC_LINE.match(s) for x in words]
     return len(w) >= 4 and (not any(x in _FUNCTION_WORDS for x in w) or len(set(w)) <= max(4, len(w) // 4))
 
 
-def weak_family(own: OwnPart) -> str | None:
-    """The weak label: the family of the rule that takes the part for residue, or None. Body rules ask that no sentence is ordinary; repetition counts whatever is repeated."""
-    if own.field:
-        return "field"
-    if _is_repeated(own.sentences):
-        return "repeated"
-    if own.sentences and _no_prose(own):
-        return next((name for name, test in _FAMILIES.items() if any(map(test, own.sentences))), "filler")
-    if not own.sentences or any(map(is_ordinary, own.sentences)):
-        return None
+def prose_share(own: OwnPart) -> float:
+    """Share of function words of the four languages among the words of the sentences; 0 without words. Somebody's own words have a good third."""
+    return sum(x in _FUNCTION_WORDS for w in own.words for x in w) / own.n_words if own.n_words else 0.0
+
+
+def _named_family(own: OwnPart) -> str | None:
+    """The first family with a rule that one of the sentences fits."""
     for name, test in _FAMILIES.items():
-        if any(map(test, own.sentences)):
+        if any(test(s, s.lower()) for s in own.sentences) or (name == "placeholder" and any(map(_is_latin, own.words))):
             return name
-    if (len(own.sentences) >= 4 and len(set(own.sentences)) <= 2) or _is_filler([s for s in own.sentences if not _NUMERIC_LINE.match(s)]):
-        return "filler"
     return None
 
 
-def _no_prose(own: OwnPart) -> bool:
-    """Many words, hardly a function word among them: filler may hold one by accident."""
-    return sum(len(_LETTERS.findall(s)) for s in own.sentences) >= 8 and prose_share(own) < 0.1
-
+def weak_family(own: OwnPart) -> str | None:
+    """The weak label: the family of the rule that takes the part for residue, or None. Body rules ask that no sentence is ordinary; repetition counts whatever is repeated, and
+    many words with hardly a function word among them are filler, which may hold one by accident."""
+    if own.field:
+        return "field"
+    if _is_repeated(own):
+        return "repeated"
+    if own.n_words >= 8 and prose_share(own) < 0.1:
+        return _named_family(own) or "filler"
+    if not own.sentences or any(map(is_ordinary, own.sentences, own.words)):
+        return None
+    if name := _named_family(own):
+        return name
+    return "filler" if (len(own.sentences) >= 4 and len(set(own.sentences)) <= 2) or _is_filler(own) else None
 
-#: Body rules by family, each of which can be held out of the weak labels.
-_FAMILIES = {
-    "status": lambda s: bool(_STATUS.search(s)),
-    "script": lambda s: bool(_SCRIPT.search(s)),
-    "error": lambda s: bool(_ERROR.search(s) or _CONTROL.match(s)),
-    "placeholder": lambda s: bool(_PLACEHOLDER.search(s) or _is_latin(s)),
-}
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Features: places in one space of hashed n-grams, title words and lengths
@@ -304,12 +341,6 @@ def feature_places(own: OwnPart, subject: str | None) -> list[int]:
     return [*grams, *title, *lengths]
 
 
-def prose_share(own: OwnPart) -> float:
-    """Share of function words of the four languages among the words of the sentences; 0 without words. Somebody's own words have a good third."""
-    w = [x for s in own.sentences for x in _LETTERS.findall(s.casefold())]
-    return sum(x in _FUNCTION_WORDS for x in w) / len(w) if w else 0.0
-
-
 _READ = "doc_id {0}, host string, places array<int>, family string, prose double, n_words int"
 
 
@@ -323,8 +354,7 @@ def read_documents(documents: DataFrame) -> DataFrame:
             for doc, raw, sender, subject in zip(pdf["doc_id"], pdf["text"], pdf["from_addr"], pdf["subject"]):
                 own = read_own_part(raw if isinstance(raw, str) else None)
                 host = sender.rpartition("@")[2].strip().lower() if isinstance(sender, str) else ""
-                n = sum(len(_LETTERS.findall(x)) for x in own.sentences)
-                rows.append((doc, host, feature_places(own, subject), weak_family(own), prose_share(own), n))
+                rows.append((doc, host, feature_places(own, subject), weak_family(own), prose_share(own), own.n_words))
             yield pd.DataFrame(rows, columns=["doc_id", "host", "places", "family", "prose", "n_words"])
 
     return documents.select("doc_id", "text", "from_addr", "subject").mapInPandas(read, schema)

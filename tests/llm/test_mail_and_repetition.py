@@ -37,3 +37,14 @@ def test_repetition_and_filler_count_with_function_words():
 def test_a_status_in_title_case_is_no_greeting():
     assert all(map(found, ("403 Forbidden", "504 Gateway Timeout", "Loading...")))
     assert not found("Anna Meier\n\nThe plan is fine with us.")
+
+
+def test_parts_nested_to_any_depth():
+    body = "Content-Type: text/plain\n\ninnermost words here\n"
+    for i in range(60):
+        body = f'Content-Type: multipart/mixed; boundary="=_b{i:03d}"\n\n--=_b{i:03d}\n{body}\n--=_b{i:03d}--\n'
+    assert mail.visible_words("Subject: x\n" + body) == [["innermost", "words", "here"]]
+
+
+def test_long_fields_are_fields():
+    assert found("Dear {{" + "a very long name of a field " * 9 + "}},\n\nThe plan is fine with us and we will meet on Monday.")
