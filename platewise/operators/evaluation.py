@@ -117,11 +117,11 @@ def best_values(de: DataFrame) -> DataFrame:
 def dense_targets(values: DataFrame, conditions: DataFrame, genes: Sequence[str]) -> DataFrame:
     """(condition_id, y array<float>) with one entry per gene of ``genes`` in that order; a gene without a value is exactly 0.
 
-    Only conditions of ``conditions`` come back, each once, also those without any value. The gene list is at most some ten thousand names long."""
+    Only conditions of ``conditions`` come back, each once, also those without any value. A dense row is as long as the gene list, so the list has to fit a row."""
     order = {g: i for i, g in enumerate(genes)}
     spark = values.sparkSession
     slots = spark.createDataFrame([(g, i) for g, i in order.items()], "gene_symbol string, slot int")
-    wanted = values.join(F.broadcast(slots), "gene_symbol").select("condition_id", "slot", F.col("y").cast("float").alias("y"))
+    wanted = values.join(slots, "gene_symbol").select("condition_id", "slot", F.col("y").cast("float").alias("y"))
     packed = wanted.groupBy("condition_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "y"))).alias("m"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(len(order) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0).cast("float")))
     return conditions.select("condition_id").distinct().join(packed, "condition_id", "left").select("condition_id", F.when(F.lit(len(order) > 0), filled).otherwise(F.array().cast("array<float>")).alias("y"))

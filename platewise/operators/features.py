@@ -88,8 +88,12 @@ def similar_pairs(rows: DataFrame, name: str, counts: str, threshold: float) ->
         .withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("id")))
     )
     prefix = ranked.filter(F.col("pos") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("id", "unit", "size")
-    a, b = prefix.toDF("a", "unit", "sa"), prefix.toDF("b", "unit", "sb")
-    close = a.join(b, "unit").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb"))).select("a", "b").distinct()
+    # a unit that very many rows have in their prefix is spread over several join keys, so no task compares all its rows
+    often = prefix.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / 2000).alias("ways"))
+    spread = prefix.join(often, "unit")
+    a = spread.select(F.col("id").alias("a"), "unit", F.col("size").alias("sa"), F.pmod(F.xxhash64("id"), F.col("ways")).alias("way"))
+    b = spread.select(F.col("id").alias("b"), "unit", F.col("size").alias("sb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("way"))
+    close = a.join(b, ["unit", "way"]).filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb"))).select("a", "b").distinct()
     full = close.join(base.toDF("a", "ca"), "a").join(base.toDF("b", "cb"), "b")
     return full.select("a", "b", S.count_tanimoto(F.col("ca"), F.col("cb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 

@@ -87,9 +87,11 @@ def verdict(de_low: str, disc_estimate: str):
 
 
 def model_table(summaries: DataFrame, splits: Sequence[str]) -> DataFrame:
-    """Model x split table of ``estimate [low, high]`` texts; a missing pair is an empty text."""
+    """Model x split table of ``estimate [low, high] coverage`` texts; a missing pair is ``n.d.``. ``summaries`` (model, split, estimate, ci_low, ci_high) may have a ``coverage`` (0 to 1)."""
     text = F.concat(F.format_number("estimate", 4), F.lit(" ["), F.format_number("ci_low", 4), F.lit(", "), F.format_number("ci_high", 4), F.lit("]"))
-    return summaries.withColumn("t", text).groupBy("model").pivot("split", list(splits)).agg(F.first("t")).fillna("")
+    if "coverage" in summaries.columns:
+        text = F.concat(text, F.lit(" "), F.format_number(F.col("coverage") * 100, 0), F.lit("%"))
+    return summaries.withColumn("t", text).groupBy("model").pivot("split", list(splits)).agg(F.first("t")).fillna("n.d.", list(splits))
 
 
 def summary_documents(scores: DataFrame, metrics: Sequence[str], resamples: int = 2000) -> DataFrame:

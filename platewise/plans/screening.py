@@ -427,6 +427,15 @@ def gene_universe(spark, sf):
     return evaluation.gene_universe(de.filter("rank is not null").select(F.col("rank").alias("gene"), "gene_symbol"), de.filter(~F.col("gene_symbol").contains(".")))[0]
 
 
+@query(f"""WITH d AS (SELECT {sql_strip("gene_symbol")} AS s FROM de_sets WHERE gene_symbol IS NOT NULL AND rank IS NOT NULL), o AS (SELECT s, count(*) AS n FROM d GROUP BY 1),
+    p AS (SELECT DISTINCT {sql_strip("gene_symbol")} AS s FROM de_sets WHERE NOT contains(gene_symbol, '.'))
+    SELECT count(*) AS n_panel, count(*) FILTER (n IS NULL) AS n_not_in_dictionary, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS n_duplicates FROM p LEFT JOIN o USING (s)""")
+def gene_universe_counters(spark, sf):
+    """Symbols of the panel, those the dictionary lacks, and dictionary entries beyond the first of a symbol."""
+    de = table(spark, sf, "de_sets").filter("gene_symbol is not null").withColumn("gene_symbol", strip_blanks("gene_symbol"))
+    return evaluation.gene_universe(de.filter("rank is not null").select(F.col("rank").alias("gene"), "gene_symbol"), de.filter(~F.col("gene_symbol").contains(".")))[1]
+
+
 _LINES = f"""k0 AS (SELECT condition_id, {_UP("cell_line")} AS cell_line, is_control FROM conditions),
     el AS (SELECT cell_line, round(avg(CASE WHEN h.condition_id IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END), 9) AS fraction
       FROM k0 LEFT JOIN (SELECT DISTINCT condition_id FROM ds) h USING (condition_id) WHERE NOT is_control GROUP BY 1 HAVING fraction >= 0.5)"""
@@ -820,6 +829,22 @@ def model_table(spark, sf):
     return per.groupBy("model").pivot("split", ["random", "unseen_drug", "unseen_cell_line", "both_unseen"]).agg(F.first("e"))
 
 
+@query(f"""WITH {_SC} SELECT condition_id, count(v) AS n_scores, round(avg(v), 6) AS mean_score FROM sc WHERE v IS NOT NULL GROUP BY 1 ORDER BY round(avg(v), 6), condition_id LIMIT 20""")
+def worst_conditions(spark, sf):
+    """The 20 conditions that all models together predict worst."""
+    v = _scores(spark, sf).filter(S.finite("de_pearson"))
+    return v.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n_scores"), F.round(F.avg("de_pearson"), 6).alias("mean_score")).orderBy("mean_score", "condition_id").limit(20)
+
+
+@query()
+def report_table(spark, sf):
+    """Model x split table of estimates with their intervals and the share of conditions scored; ``n.d.`` where a model has no score."""
+    scores = _scores(spark, sf)
+    covered = scores.groupBy("model", "split").agg(F.avg(S.finite("de_pearson").cast("double")).alias("coverage"))
+    intervals = stats.bootstrap_intervals(scores, ["model", "split"], "de_pearson")
+    return stats.model_table(intervals.join(covered, ["model", "split"]), ["random", "unseen_drug", "unseen_cell_line", "both_unseen"])
+
+
 @query()
 def bootstrap_ci(spark, sf):
     return stats.bootstrap_intervals(_scores(spark, sf), ["model", "split"], "de_pearson")

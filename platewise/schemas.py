@@ -9,14 +9,8 @@ def _schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
-CELLS = "genes array<bigint>, expressions array<float>, drug string, sample string, barcode_sub_lib_id string, cell_line string, moa_fine string, canonical_smiles string, pubchem_cid string, plate string"
 PSEUDOBULK = "condition_id string, gene int, sum_counts int, n_cells int, library_size bigint"
 LOGFC = "condition_id string, control_condition_id string, gene int, logfc float"
-CONDITIONS = "condition_id string, cell_line string, drug string, drug_name string, dose double, unit string, is_control boolean, plate string, n_cells_atlas bigint"
-PARTIAL_SUMS = "sample string, plate string, cell_line string, gene bigint, total double"
-PARTIAL_CELLS = "sample string, plate string, cell_line string, n_cells bigint"
-SPLITS = "repeat int, split string, condition_id string, part string"
-SCORES = "repeat int, split string, condition_id string, n_de_genes int"
 
 
 def struct(name: str) -> T.StructType:

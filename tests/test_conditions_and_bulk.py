@@ -72,6 +72,8 @@ def test_uneven_arrays_and_empty_tables(spark, wells):
     schema = "sample string, plate string, cell_line string, genes array<long>, expressions array<float>"
     odd = pseudobulk.clean_cells(spark.createDataFrame([("s1", "plate1", "L1", [1, 7, 8], [-2.0, 3.0]), ("s1", "plate1", "L1", None, None)], schema))
     assert rows(pseudobulk.sums_per_well(odd).select("gene", "total")) == [(7, 3.0)]
+    # sums and the number of cells (the row without a gene) in one pass; a cell without arrays is counted
+    assert rows(pseudobulk.totals(odd, ["sample"])) == [("s1", 7, 3.0), ("s1", None, 2.0)]
     assert pseudobulk.pseudobulk(odd.limit(0), C.condition_lookup(wells)).count() == 0
     assert rows(pseudobulk.zero_genes(odd.select(F.lit(7).cast("long").alias("gene")), spark.createDataFrame([(7,), (9,), (8,)], "gene long"))) == [(2, "8,9")]
 
