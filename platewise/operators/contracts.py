@@ -127,6 +127,16 @@ def check_splits(assigned: DataFrame, units: DataFrame, unit: str, forbidden_tes
         require_empty(both.filter("part = 'test'").join(forbidden_test, "cell_line", "left_semi").select("condition_id"), "splits: a forbidden line is tested")
 
 
+def check_named_splits(assigned: DataFrame, units: DataFrame, demands: Mapping[str, Sequence[str]]) -> None:
+    """:func:`check_splits` for all splits in one pass: no repeated record, and no unit in two parts of a split that ``demands`` it whole (split -> columns of ``units``, which has condition_id)."""
+    require_unique(assigned, ["repeat", "split", "condition_id"], "splits")
+    pairs = [(split, unit) for split, names in demands.items() for unit in names]
+    kinds = F.array(*[F.struct(F.lit(unit).alias("kind"), F.when(F.col("split") == split, F.col(unit).cast("string")).alias("unit")) for split, unit in pairs])
+    rows = assigned.join(units, "condition_id").select("repeat", "split", "part", F.inline(kinds)).filter("unit is not null")
+    torn = rows.groupBy("repeat", "split", "kind", "unit").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    require_empty(torn, "splits: a unit stands in more than one part")
+
+
 def check_de_sets(de_sets: DataFrame, scoring: DataFrame, least: int) -> None:
     require_known(de_sets, scoring, ["condition_id"], "DE sets outside the scoring set")
     require_empty(de_sets.groupBy("condition_id").count().filter(F.col("count") < least), f"DE sets with fewer than {least} genes")

@@ -548,17 +548,15 @@ def dense_targets(spark, sf):
 RUN = harness.RUN
 
 
-def _no_leaks(assigned: DataFrame, treated: DataFrame) -> None:
-    """No unit that a split's name keeps together stands in two of its parts."""
-    for split, unit in (("unseen_drug", "cluster"), ("unseen_cell_line", "cell_line"), ("both_unseen", "cluster"), ("both_unseen", "cell_line")):
-        contracts.check_splits(assigned.filter(F.col("split") == split), treated.select("condition_id", unit), unit)
+#: What each split keeps together.
+DEMANDS = {"unseen_drug": ["cluster"], "unseen_cell_line": ["cell_line"], "both_unseen": ["cluster", "cell_line"]}
 
 
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
     c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select("condition_id", "cell_line", "drug", "dose")
-    treated = _treated(spark, sf)
-    assigned = contracts.write_checked(evaluation.make_splits(treated, REPEATS), scratch_path(spark, "splits"), lambda written: _no_leaks(written, treated))
+    treated = materialize(_treated(spark, sf), "treated")
+    assigned = contracts.write_checked(evaluation.make_splits(treated, REPEATS), scratch_path(spark, "splits"), lambda written: contracts.check_named_splits(written, treated.select("condition_id", "cluster", "cell_line"), DEMANDS))
     runs = materialize(assigned.join(c, "condition_id"), "runs")
     genes = _universe(spark, sf)
     values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")

@@ -38,6 +38,12 @@ def test_splits_do_not_leak(spark):
     contracts.check_splits(s.filter("split in ('unseen_cell_line')"), c, "cell_line")
     contracts.check_splits(s.filter("split = 'both_unseen'"), c, "cluster")
     contracts.check_splits(s.filter("split = 'both_unseen'"), c, "cell_line")
+    demands = {"unseen_drug": ["cluster"], "unseen_cell_line": ["cell_line"], "both_unseen": ["cluster", "cell_line"]}
+    contracts.check_named_splits(s, c, demands)
+    with pytest.raises(ContractError):
+        contracts.check_named_splits(s, c, {**demands, "random": ["cell_line"]})
+    with pytest.raises(ContractError):
+        contracts.check_named_splits(s.union(s.limit(1)), c, demands)
     with pytest.raises(ContractError):
         contracts.check_splits(s.filter("split = 'random'"), c, "cell_line")
     with pytest.raises(ContractError):
