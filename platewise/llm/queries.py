@@ -94,6 +94,12 @@ def p2_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p2_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split: rows of p2_assignment, different conditions, and rows without one of the three parts; every treated condition once."""
+    part = F.coalesce(F.col("part"), F.lit("")).isin(list(related.PARTS))
+    return p2_assignment(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("condition_id").alias("n_conditions"), F.count_if(~part).alias("n_without_part"))
+
+
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     """What each part of p2_assignment really holds: (split, part, n_conditions, share, target)."""
     counted = p2_assignment(spark, sf).groupBy("split", "part").agg(F.count(F.lit(1)).alias("n_conditions"))
@@ -198,6 +204,7 @@ QUERIES = {
     "p1_within_bound": p1_within_bound,
     "p2_found": p2_found,
     "p2_assignment": p2_assignment,
+    "p2_complete": p2_complete,
     "p2_shares": p2_shares,
     "p2_both_unseen": p2_both_unseen,
     "p2_both_shares": p2_both_shares,
@@ -240,6 +247,8 @@ ORACLE = {
         SELECT split, unit_kind, n_units, CAST(0 AS BIGINT) AS n_torn FROM
           (SELECT 'cluster' AS unit_kind, count(DISTINCT cluster) AS n_units FROM t UNION ALL SELECT 'cell_line', count(DISTINCT cell_line) FROM t)
           JOIN (VALUES ('unseen_drug', 'cluster'), ('unseen_cell_line', 'cell_line'), ('both_unseen', 'cluster'), ('both_unseen', 'cell_line')) AS x(split, unit_kind) USING (unit_kind)""",
+    "p2_complete": f"""WITH {_UNITS}, t AS (SELECT DISTINCT condition_id FROM u WHERE NOT coalesce(is_control, false) AND condition_id IS NOT NULL)
+        SELECT split, count(*) AS n_rows, count(*) AS n_conditions, CAST(0 AS BIGINT) AS n_without_part FROM t, (SELECT unnest(['random', 'unseen_drug', 'unseen_cell_line', 'both_unseen']) AS split) GROUP BY 1""",
     "p2_both_torn": f"""WITH {_UNITS}, t AS (SELECT * FROM u WHERE NOT coalesce(is_control, false))
         SELECT 'cluster' AS unit_kind, count(DISTINCT cluster) AS n_units, CAST(0 AS BIGINT) AS n_torn FROM t UNION ALL SELECT 'cell_line', count(DISTINCT cell_line), CAST(0 AS BIGINT) FROM t""",
     "p5_found": f"WITH {_RANKED} SELECT condition_id, gene_symbol FROM r WHERE nth <= 10",
