@@ -458,7 +458,7 @@ def scoring_exclusions(spark, sf):
     return reasons.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {_VIEW}, {_DE}, {_LINES}, {_REASON.replace('n < 5', 'n < 20')} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM rs GROUP BY 1")
 def scoring_exclusions_20(spark, sf):
     """scoring_exclusions at the reference's least number of DE genes."""
     sets = _sets(spark, sf)
