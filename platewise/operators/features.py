@@ -98,16 +98,16 @@ def similar_pairs(rows: DataFrame, name: str, counts: str, threshold: float) ->
     return full.select("a", "b", S.count_tanimoto(F.col("ca"), F.col("cb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def _pieces(text: str, k: int) -> Column:
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
+    return F.filter(cut, lambda x: F.length(x) == k)
+
+
 def text_similarity(texts: DataFrame, name: str, text: str, lengths: Sequence[int] = (1, 2)) -> DataFrame:
     """(``name``, other, similarity) of all pairs of ``texts`` that share a piece, each with itself: count-Tanimoto of the counts of all pieces of ``lengths`` characters.
 
     Pairs meet in the pieces they share, so texts without a common piece (similarity 0) give no row. Null and empty texts have no pieces; names must be unique."""
-
-    def pieces(k: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
-        return F.filter(cut, lambda x: F.length(x) == k)
-
-    held = texts.filter(F.length(text) > 0).select(name, F.explode(F.concat(*map(pieces, lengths))).alias("gram"))
+    held = texts.filter(F.length(text) > 0).select(name, F.explode(F.concat(*[_pieces(text, k) for k in lengths])).alias("gram"))
     grams = materialize(held.groupBy(name, "gram").agg(F.count(F.lit(1)).alias("n")), "text-pieces")
     sizes = grams.groupBy(name).agg(F.sum("n").alias("total"))
     shared = grams.join(grams.select(F.col(name).alias("other"), "gram", F.col("n").alias("m")), "gram").groupBy(name, "other").agg(F.sum(F.least("n", "m")).alias("low"))
@@ -115,6 +115,15 @@ def text_similarity(texts: DataFrame, name: str, text: str, lengths: Sequence[in
     return both.select(name, "other", (F.col("low") / (F.col("total") + F.col("total_other") - F.col("low"))).alias("similarity"))
 
 
+def text_units(texts: DataFrame, name: str, text: str, lengths: Sequence[int] = (1, 2)) -> DataFrame:
+    """(``name``, units): the pieces of :func:`text_similarity`, each with the number of its occurrence, so that the count-Tanimoto of two texts is shared units over all different units.
+
+    Null and empty texts have no row; names must be unique."""
+    held = texts.filter(F.length(text) > 0).select(name, F.explode(F.concat(*[_pieces(text, k) for k in lengths])).alias("gram"))
+    counted = held.groupBy(name, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.col("gram"), F.lit("#"), i.cast("string")))).alias("unit")).groupBy(name).agg(F.collect_list("unit").alias("units"))
+
+
 def butina_groups(names: DataFrame, name: str, pairs: DataFrame) -> DataFrame:
     """(``name``, ``centre``): greedy grouping by the most unassigned neighbours (ties: smaller name), as Spark rounds.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,78 +33,146 @@ def _named(kind: str, keys: Sequence[str]):
     return F.to_json(F.struct(F.lit(kind).alias("kind"), *keys))
 
 
-def predict(model: str, runs: DataFrame, values: DataFrame, similarity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Answers of ``model`` for the test conditions: (RUN, condition_id, cell_line, source, is_fallback) and (RUN, source, gene_symbol, predicted), without zeros.
+def _averaged(members: DataFrame, values: DataFrame) -> DataFrame:
+    """(RUN, source, gene_symbol, predicted) of ``members`` (RUN, source, other, n, tied, condition_id): means over the ``n`` conditions of an other, averaged over the ``tied`` others of a source.
 
-    ``runs`` (repeat, split, condition_id, cell_line, drug, dose, part) has the conditions of every repeat and split, ``values`` (condition_id, gene_symbol, y) the truth that is not 0."""
+    Conditions travel once and whole to the source they belong to; all sums are made there."""
+    held = values.filter("y <> 0").groupBy("condition_id").agg(F.collect_list(F.struct("gene_symbol", F.col("y").cast("double").alias("y"))).alias("held"))
+    flat = members.join(held, "condition_id").repartition(*RUN, "source").select(*RUN, "source", "other", "n", "tied", F.inline("held"))
+    sums = flat.groupBy(*RUN, "source", "other", "n", "tied", "gene_symbol").agg(F.sum("y").alias("s"))
+    return sums.groupBy(*RUN, "source", "tied", "gene_symbol").agg(F.sum(F.col("s") / F.col("n")).alias("m")).select(*RUN, "source", "gene_symbol", (F.col("m") / F.col("tied")).cast("float").alias("predicted"))
+
+
+def _dose_means(asked: DataFrame, train: DataFrame, values: DataFrame) -> DataFrame:
+    """Like :func:`_averaged` for ``asked`` (RUN, source, dose): few sources of very many conditions, so sums are made before anything is sent."""
+    n = train.groupBy(*RUN, "dose").agg(F.count(F.lit(1)).alias("n"))
+    members = train.select(*RUN, "dose", "condition_id").join(asked.join(n, [*RUN, "dose"]), [*RUN, "dose"]).drop("dose")
+    sums = members.join(values.filter("y <> 0"), "condition_id").groupBy(*RUN, "source", "n", "gene_symbol").agg(F.sum(F.col("y").cast("double")).alias("s"))
+    return sums.select(*RUN, "source", "gene_symbol", (F.col("s") / F.col("n")).cast("float").alias("predicted"))
+
+
+def predict(model: str, runs: DataFrame, values: DataFrame, similarity: DataFrame | None = None, pack: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Answers of ``model`` for the test conditions: (RUN, condition_id, cell_line, source, is_fallback) and (RUN, source, gene_symbol, predicted), without zeros; with ``pack`` as :func:`packed`.
+
+    ``runs`` (repeat, split, condition_id, cell_line, drug, dose, part) has the conditions of every repeat and split, ``values`` (condition_id, gene_symbol, y) the truth that is not 0.
+    ``similarity`` is (drug, other, similarity) or :func:`features.text_units` of the drugs. Only sources that answer a test condition are computed."""
     runs = runs.withColumn("dose", F.round("dose", 6))
     train, test = runs.filter("part <> 'test'"), runs.filter("part = 'test'")
     answered = test.join(train.select(*RUN, "dose").distinct(), [*RUN, "dose"], "left_semi")
     shown = [*RUN, "condition_id", "cell_line", "source", "is_fallback"]
     if model == "dummy":
-        nothing = values.limit(0).select(F.lit(0).alias("repeat"), F.lit("").alias("split"), F.lit("").alias("source"), "gene_symbol", F.lit(0.0).cast("float").alias("predicted"))
-        return answered.withColumns({"source": F.lit("zero"), "is_fallback": F.lit(False)}).select(*shown), nothing
-    if model == "nearest_chemical":
-        return _nearest(answered, train, values, similarity, shown)
-    key = MEAN_KEYS[model]
-    _, by_dose = _means(train, values, ["dose"])
-    found = by_dose.select(*RUN, _named("dose", ["dose"]).alias("source"), "gene_symbol", "m")
-    told = answered.withColumns({"source": _named("dose", ["dose"]), "is_fallback": F.lit(False)})
-    if key:
-        known, by_key = _means(train, values, [key, "dose"])
-        found = found.union(by_key.select(*RUN, _named(key, [key, "dose"]).alias("source"), "gene_symbol", "m"))
-        told = answered.join(known.withColumn("known", F.lit(True)).drop("n"), [*RUN, key, "dose"], "left").withColumns(
-            {"source": F.when(F.col("known"), _named(key, [key, "dose"])).otherwise(_named("dose", ["dose"])), "is_fallback": F.col("known").isNull()}
-        )
-    told = told.select(*shown)
-    return told, _asked(found.withColumn("predicted", F.col("m").cast("float")), told)
-
-
-def _asked(found: DataFrame, told: DataFrame) -> DataFrame:
-    """Predictions of the sources that answer a test condition."""
-    return found.filter("predicted <> 0").join(told.select(*RUN, "source").distinct(), [*RUN, "source"], "left_semi").select(*RUN, "source", "gene_symbol", "predicted")
-
-
-def _nearest(answered: DataFrame, train: DataFrame, values: DataFrame, similarity: DataFrame, shown: list[str]) -> tuple[DataFrame, DataFrame]:
+        nothing = runs.limit(0).select(*RUN, F.lit("").alias("source"), "condition_id").join(values.select("condition_id", "gene_symbol"), "condition_id").select(*RUN, "source", "gene_symbol", F.lit(0.0).cast("float").alias("predicted"))
+        told, parts = answered.withColumns({"source": F.lit("zero"), "is_fallback": F.lit(False)}).select(*shown), [nothing]
+    elif model == "nearest_chemical":
+        told, parts = _nearest(answered, train, values, similarity, shown)
+    else:
+        key, by_dose = MEAN_KEYS[model], _named("dose", ["dose"])
+        if key:
+            known = train.groupBy(*RUN, key, "dose").agg(F.count(F.lit(1)).alias("n"))
+            told = answered.join(known, [*RUN, key, "dose"], "left").withColumns({"source": F.when(F.col("n").isNotNull(), _named(key, [key, "dose"])).otherwise(by_dose), "is_fallback": F.col("n").isNull()})
+            by_key = told.filter("not is_fallback").select(*RUN, key, "dose", "n", "source").distinct()
+            members = train.select(*RUN, key, "dose", "condition_id").join(by_key, [*RUN, key, "dose"]).withColumns({"other": F.lit(0), "tied": F.lit(1)})
+            parts = [_averaged(members, values)]
+        else:
+            told, parts = answered.withColumns({"source": by_dose, "is_fallback": F.lit(False)}), []
+        lone = told.filter("is_fallback") if key else told
+        parts.append(_dose_means(lone.select(*RUN, "dose", "source").distinct(), train, values))
+        told = told.select(*shown)
+    parts = [(packed if pack else lambda x: x)(x.filter("predicted <> 0").select(*RUN, "source", "gene_symbol", "predicted")) for x in parts]
+    return told, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _closest_of_pairs(asked: DataFrame, train: DataFrame, at: list[str], similarity: DataFrame) -> DataFrame:
+    """(RUN, at, drug, other, tied): the training drugs of the same ``at`` most similar to each asked one."""
+    pool = train.select(*RUN, *at, F.col("drug").alias("other")).distinct()
+    pairs = asked.join(pool, [*RUN, *at]).join(similarity, ["drug", "other"])
+    one = Window.partitionBy(*RUN, *at, "drug")
+    top = pairs.withColumn("top", F.max("similarity").over(one)).filter("similarity = top")
+    return top.select(*RUN, *at, "drug", "other", F.count(F.lit(1)).over(one).alias("tied"))
+
+
+#: Asked drugs that one task compares with all drugs of their dose, and pairs held at once.
+ASKED, PAIRS = 500, 1_000_000
+
+
+def _closest_of_units(asked: DataFrame, train: DataFrame, at: list[str], units: DataFrame) -> DataFrame:
+    """:func:`_closest_of_pairs` from ``units`` (drug, units): a drug and another are compared once for all runs, and only where they meet; pairs that are not the best never leave the task."""
+    kinds, run = dict(asked.dtypes), F.concat_ws("|", *RUN)
+    gathered = lambda df, name: df.groupBy(*at, "drug").agg(F.collect_set(run).alias(name)).join(units, "drug")
+    n = 1 if "cell_line" in at else max(2, -(-units.count() // ASKED))
+    block = F.pmod(F.xxhash64("drug"), F.lit(n)).cast("int").alias("block")
+    nothing = F.lit(None).cast("array<string>")
+    rows = gathered(asked, "asked").select(*at, "drug", "units", "asked", nothing.alias("pool"), block).unionByName(
+        gathered(train, "pool").select(*at, "drug", "units", nothing.alias("asked"), "pool", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    )
+    schema = ", ".join(f"{c} {kinds[c]}" for c in at) + ", run string, drug string, other string, tied long"
+    found = rows.groupBy(*at, "block").applyInPandas(_closest_task(at), schema)
+    cut = F.split("run", "[|]", 2)
+    return found.select(cut[0].cast(kinds["repeat"]).alias("repeat"), cut[1].alias("split"), *at, "drug", "other", "tied")
+
+
+def _closest_task(at: list[str]):
+    def matrix(units, codes):
+        m = np.zeros((len(units), len(codes)), dtype=np.float32)
+        for i, u in enumerate(units):
+            m[i, [codes[x] for x in u if x in codes]] = 1
+        return m, np.array([len(u) for u in units], dtype=np.float64)
+
+    def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, pool = pdf[pdf["asked"].notna()], pdf[pdf["pool"].notna()]
+        out = []
+        if len(asked) and len(pool):
+            codes = {u: i for i, u in enumerate(sorted({u for units in pool["units"] for u in units}))}
+            them, sizes = matrix(pool["units"], codes)
+            others, runs = pool["drug"].to_numpy(), {}
+            for i, held in enumerate(pool["pool"]):
+                for r in held:
+                    runs.setdefault(r, []).append(i)
+            runs = {r: np.array(i) for r, i in runs.items()}
+            step = max(1, PAIRS // len(pool))
+            for start in range(0, len(asked), step):
+                some = asked.iloc[start : start + step]
+                mine, own = matrix(some["units"], codes)
+                low = (mine @ them.T).astype(np.float64)
+                similar = low / (own[:, None] + sizes - low)
+                for drug, wanted, row in zip(some["drug"], some["asked"], similar):
+                    for r in wanted:
+                        have = runs.get(r)
+                        if have is None:
+                            continue
+                        s = row[have]
+                        top = s.max()
+                        if top > 0:
+                            best = have[s == top]
+                            out += [(*key[: len(at)], r, drug, others[i], len(best)) for i in best]
+        return pd.DataFrame(out, columns=[*at, "run", "drug", "other", "tied"])
+
+    return task
+
+
+def _nearest(answered: DataFrame, train: DataFrame, values: DataFrame, similarity: DataFrame, shown: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """The most similar training drugs of the same line and dose, ties averaged; else those at the dose over all lines. Without any similar drug the answer is 0."""
     triple = ["cell_line", "drug", "dose"]
     wanted = answered.select(*RUN, *triple).distinct()
-
-    def closest(asked: DataFrame, at: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
-        sizes, means = _means(train, values, [*at, "drug"])
-        pairs = asked.join(sizes.withColumnRenamed("drug", "other").drop("n"), [*RUN, *at]).join(similarity, ["drug", "other"])
-        top = pairs.withColumn("top", F.max("similarity").over(Window.partitionBy(*RUN, *triple))).filter("similarity = top").withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(*RUN, *triple)))
-        named = top.withColumn("source", _named(kind, triple))
-        found = named.select(*RUN, *at, "other", "source", "tied").join(means.withColumnRenamed("drug", "other"), [*RUN, *at, "other"]).groupBy(*RUN, "source", "gene_symbol").agg((F.sum("m") / F.first("tied")).cast("float").alias("predicted"))
-        return named.select(*RUN, *triple, "source").distinct(), found
-
-    near, one = closest(wanted, ["cell_line", "dose"], "line")
-    far, two = closest(wanted.join(near, [*RUN, *triple], "left_anti"), ["dose"], "dose")
-    sources = near.withColumn("is_fallback", F.lit(False)).union(far.withColumn("is_fallback", F.lit(True)))
-    told = answered.join(sources, [*RUN, *triple], "left").withColumns({"source": F.coalesce("source", F.lit("zero")), "is_fallback": F.coalesce("is_fallback", F.lit(True))}).select(*shown)
-    return told, _asked(one.union(two), told)
-
-
-def _ranked(predicted: DataFrame, told: DataFrame, genes: DataFrame, most: int) -> DataFrame:
-    """``predicted`` with ``nth``, the place by size (ties: gene order); zeros fill up a source with fewer than ``most`` genes, in gene order.
-
-    Of the zeros only genes among the first 2 ``most`` can be reached, since fewer than ``most`` are taken by others."""
-    support = predicted.groupBy(*RUN, "source").agg(F.count(F.lit(1)).alias("held"))
-    few = told.select(*RUN, "source").distinct().join(support, [*RUN, "source"], "left").filter(F.coalesce("held", F.lit(0)) < most).drop("held")
-    zeros = few.join(F.broadcast(genes.orderBy("gene_symbol").limit(2 * most))).join(predicted, [*RUN, "source", "gene_symbol"], "left_anti").withColumn("predicted", F.lit(0.0).cast("float"))
-    every = predicted.unionByName(zeros)
-    return every.withColumn("nth", F.row_number().over(Window.partitionBy(*RUN, "source").orderBy(F.abs("predicted").desc(), "gene_symbol")))
-
-
-def _safe(cov, a, b):
-    """Correlation from centred sums; 0 where either side is constant."""
-    return F.when((a > 0) & (b > 0), cov / F.sqrt(a * b)).otherwise(F.lit(0.0))
-
-
-def _centred(squares, total, n):
-    """Sum of squared deviations; what only rounding leaves of a constant is 0."""
-    left = squares - total * total / n
-    return F.when(left > squares * 1e-12, left).otherwise(F.lit(0.0))
+    closest = _closest_of_pairs if "other" in similarity.columns else _closest_of_units
+
+    def members(top: DataFrame, at: list[str]) -> DataFrame:
+        pools = train.groupBy(*RUN, *at, F.col("drug").alias("other")).agg(F.collect_list("condition_id").alias("ids"))
+        return top.join(pools, [*RUN, *at, "other"]).select(*RUN, "source", "other", F.size("ids").alias("n"), "tied", F.explode("ids").alias("condition_id"))
+
+    at = ["cell_line", "dose"]
+    line = materialize(closest(wanted.filter("cell_line is not null"), train.filter("cell_line is not null"), at, similarity).withColumn("source", _named("line", triple)), "nearest-line")
+    near = line.select(*RUN, *triple, "source").distinct()
+    left = wanted.join(near, [*RUN, *triple], "left_anti")
+    top = closest(left.select(*RUN, "drug", "dose").distinct(), train, ["dose"], similarity)
+    dose = materialize(left.join(top, [*RUN, "drug", "dose"]).withColumn("source", _named("dose", triple)), "nearest-dose")
+    far = dose.select(*RUN, *triple, "source").distinct()
+    sources = near.withColumn("is_fallback", F.lit(False)).unionByName(far.withColumn("is_fallback", F.lit(True)))
+    # lines of the answered are compared null-safe: a condition without a line has its answer at the dose
+    keys = [*RUN, "drug", "dose", F.coalesce("cell_line", F.lit("")).alias("l"), F.col("cell_line").isNull().alias("no_line")]
+    told = answered.select("*", *keys[-2:]).join(sources.select(*keys, "source", "is_fallback"), [*RUN, "drug", "dose", "l", "no_line"], "left")
+    told = told.withColumns({"source": F.coalesce("source", F.lit("zero")), "is_fallback": F.coalesce("is_fallback", F.lit(True))}).select(*shown)
+    return told, [_averaged(members(line, at).unionByName(members(dose, ["dose"])), values)]
 
 
 def set_scores(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame) -> DataFrame:
@@ -118,67 +188,184 @@ def set_scores(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: D
     )
 
 
-def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame, genes: DataFrame, topk: Sequence[int] = (50, 100), places: int = 9) -> DataFrame:
-    """One row per (repeat, split, condition_id) of ``told``: n_de_genes, de_pearson, de_mse, sign_accuracy, all_gene_pearson, topk_overlap_k, disc_rank and disc_top1 (global, within_line), de_distance.
+def coded(genes: DataFrame, *frames: DataFrame) -> list[DataFrame]:
+    """``genes`` and ``frames`` with numbers instead of gene symbols, in the order of the symbols; genes outside ``genes`` have no row left."""
+    names = materialize(genes.select("gene_symbol").distinct().orderBy("gene_symbol").withColumn("code", F.monotonically_increasing_id()), "harness-genes")
+    named = lambda df: df.join(names, "gene_symbol").withColumn("gene_symbol", F.col("code")).drop("code")
+    return [names.select(F.col("code").alias("gene_symbol")), *map(named, frames)]
+
+
+def packed(predicted: DataFrame) -> DataFrame:
+    """One row per (RUN, source) with its genes in order and their predictions."""
+    both = F.sort_array(F.collect_list(F.struct("gene_symbol", "predicted")))
+    return predicted.groupBy(*RUN, "source").agg(both.alias("b")).select(*RUN, "source", F.col("b.gene_symbol").alias("genes"), F.col("b.predicted").cast("array<double>").alias("v"))
+
+
+#: Sources and truths of a run that one task compares; blocks of sources beyond the first send the run's truths once more.
+SOURCES, TRUTHS = 4000, 20000
+DISC = ["closer_global", "ties_global", "others_global", "closer_line", "ties_line", "others_line"]
+
+
+def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame, genes: DataFrame, topk: Sequence[int] = (50, 100), places: int = 9, blocks: tuple[int, int] = (SOURCES, TRUTHS)) -> DataFrame:
+    """One row per (repeat, split, condition_id) of ``told``: n_de_genes, de_pearson, de_mse, sign_accuracy, all_gene_pearson, topk_overlap_k, de_distance, disc_rank and disc_top1 (global, within_line).
 
     ``values`` and ``sets`` (condition_id, gene_symbol, rank) hold genes of ``genes`` (gene_symbol) only. Without DE genes the scores over them are null; discrimination is over the genes that are DE in
-    a test condition of the same repeat and split, with correlations rounded to ``places`` so that equal ones tie."""
-    told, predicted = materialize(told, "harness-told"), materialize(predicted, "harness-predicted")
+    a test condition of the same repeat and split, with correlations rounded to ``places`` so that equal ones tie. It is null where there is no other candidate.
+
+    A source meets the truths of its run in blocks (``blocks``: sources and truths of a task) and leaves counts only, so no pair of a source and a condition is ever written."""
+    if dict(genes.dtypes)["gene_symbol"] == "string":
+        genes, values, sets, predicted = coded(genes, values, sets, predicted)  # predictions not packed yet
+    told, predicted = materialize(told, "harness-told"), materialize(predicted if "genes" in predicted.columns else packed(predicted), "harness-predicted")
     n_genes = genes.select(F.countDistinct("gene_symbol")).first()[0]
-    truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")).join(sets.select("condition_id", "gene_symbol", "rank"), ["condition_id", "gene_symbol"], "full_outer").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    ranked = _ranked(predicted, told, genes, max(topk))
-    rows = told.select(*RUN, "condition_id", "cell_line", "source").join(truth, "condition_id").join(ranked, [*RUN, "source", "gene_symbol"], "left")
-    rows = materialize(rows.withColumn("p", F.coalesce(F.col("predicted").cast("double"), F.lit(0.0))).drop("predicted"), "harness-rows")
-    condition = [*RUN, "condition_id"]
-    de = F.col("rank").isNotNull()
-    p, y = F.when(de, F.col("p")), F.when(de, F.col("y"))
-    n_de = F.count("rank")
-    # m is known once the rows are counted: of the set's ranks and the prediction's places the larger says from which m on a gene is in both
-    meets = F.sort_array(F.collect_list(F.when(de & F.col("nth").isNotNull(), F.greatest("rank", "nth"))))
-    per = rows.groupBy(*condition, "source").agg(
-        n_de.alias("n_de_genes"), F.when(n_de > 1, S.pearson(p, y)).alias("de_pearson"), F.avg((p - y) * (p - y)).alias("de_mse"), F.avg((F.signum(p) == F.signum(y)).cast("double")).alias("sign_accuracy"),
-        F.sqrt(F.sum((p - y) * (p - y))).alias("de_distance"), F.sum(F.col("p") * F.col("y")).alias("py"), F.sum("y").alias("ty"), F.sum(F.col("y") * F.col("y")).alias("tyy"),
-        F.filter(meets, lambda v: v <= max(topk)).alias("meets"),
-    )
-    whole = predicted.groupBy(*RUN, "source").agg(
-        F.sum(F.col("predicted").cast("double")).alias("tp"), F.sum(F.col("predicted").cast("double") * F.col("predicted")).alias("tpp"), F.count(F.lit(1)).alias("held"), F.max(F.abs("predicted")).alias("top"), F.min(F.abs("predicted")).alias("low")
-    )
-    # a condition without any value of its own has a truth of zeros
-    full = told.select(*condition, "cell_line", "source", "is_fallback").join(per, [*condition, "source"], "left").join(whole, [*RUN, "source"], "left")
-    full = full.fillna(0, ["n_de_genes", "py", "ty", "tyy", "tp", "tpp", "held"])
-    g = F.lit(float(n_genes))
-    r = _safe(F.col("py") - F.col("tp") * F.col("ty") / g, _centred(F.col("tpp"), F.col("tp"), g), _centred(F.col("tyy"), F.col("ty"), g))
-    constant = (F.col("held") == 0) | ((F.col("held") == n_genes) & (F.col("top") == F.col("low")))
-
-    def overlap(k: int):
-        size = F.least("n_de_genes", F.lit(k))
-        both = F.size(F.filter("meets", lambda v: v <= size))
-        return F.when(F.col("n_de_genes") == 0, F.lit(None).cast("double")).when(constant, F.lit(0.0)).otherwise(both / (2 * size - both)).alias(f"topk_overlap_{k}")
-
-    scored = full.select(*condition, "source", "is_fallback", F.col("n_de_genes").cast("int").alias("n_de_genes"), "de_pearson", "de_mse", "sign_accuracy", r.alias("all_gene_pearson"), *[overlap(k) for k in topk], "de_distance")
-    return scored.join(discrimination(told, predicted, rows, places), condition).drop("source")
-
-
-def discrimination(told: DataFrame, predicted: DataFrame, rows: DataFrame, places: int) -> DataFrame:
-    """(RUN, condition_id, disc_rank_global, disc_top1_global, disc_rank_within_line, disc_top1_within_line); null where there is no other candidate.
-
-    A source is compared with a truth once for all conditions it answers, and places come from sorting, not from pairs of conditions."""
-    union = materialize(rows.filter("rank is not null").select(*RUN, "gene_symbol").distinct(), "harness-union")
-    sizes = union.groupBy(*RUN).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = predicted.join(union, [*RUN, "gene_symbol"], "left_semi").withColumn("p", F.col("predicted").cast("double"))
-    t = rows.filter("y <> 0").join(union, [*RUN, "gene_symbol"], "left_semi").select(*RUN, "condition_id", "gene_symbol", "y")
-    ps = p.groupBy(*RUN, "source").agg(F.sum("p").alias("tp"), F.sum(F.col("p") * F.col("p")).alias("tpp"))
-    ts = t.groupBy(*RUN, "condition_id").agg(F.sum("y").alias("ty"), F.sum(F.col("y") * F.col("y")).alias("tyy"))
-    dots = p.select(*RUN, "source", "gene_symbol", "p").join(t, [*RUN, "gene_symbol"]).groupBy(*RUN, "source", "condition_id").agg(F.sum(F.col("p") * F.col("y")).alias("dot"))
-    sources = told.select(*RUN, "source").distinct().join(ps, [*RUN, "source"], "left")
-    truths = told.select(*RUN, "condition_id", "cell_line", F.col("source").alias("own_source")).join(ts, [*RUN, "condition_id"], "left")
-    pairs = sources.join(truths, RUN).join(dots, [*RUN, "source", "condition_id"], "left").join(sizes, RUN, "left").fillna(0, ["tp", "tpp", "ty", "tyy", "dot"])
-    n = F.coalesce("n", F.lit(1.0))
-    r = F.round(_safe(F.col("dot") - F.col("tp") * F.col("ty") / n, _centred(F.col("tpp"), F.col("tp"), n), _centred(F.col("tyy"), F.col("ty"), n)), places)
-    out = pairs.select(*RUN, "source", "condition_id", "cell_line", "own_source", (r + 0.0).alias("r"))
-    for name, by in (("global", [*RUN, "source"]), ("within_line", [*RUN, "source", "cell_line"])):
-        group, same = Window.partitionBy(*by), Window.partitionBy(*by, "r")
-        out = out.withColumns({"closer": F.rank().over(group.orderBy(F.col("r").desc())) - 1, "ties": F.count(F.lit(1)).over(same) - 1, "others": F.count(F.lit(1)).over(group) - 1})
-        some = F.col("others") > 0
-        out = out.withColumns({f"disc_rank_{name}": F.when(some, (F.col("closer") + F.col("ties") * 0.5) / F.col("others")), f"disc_top1_{name}": F.when(some, ((F.col("closer") == 0) & (F.col("ties") == 0)).cast("double"))}).drop("closer", "ties", "others")
-    return out.filter("source = own_source").select(*RUN, "condition_id", "disc_rank_global", "disc_top1_global", "disc_rank_within_line", "disc_top1_within_line")
+    first = [r[0] for r in genes.orderBy("gene_symbol").limit(2 * max(topk)).collect()]
+    most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("truths")).agg(F.max("sources"), F.max("truths"), F.count(F.lit(1))).first()
+    n_s, n_t = (max(1, -(-(most[i] or 0) // blocks[i])) for i in (0, 1))
+    truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")).join(sets.select("condition_id", "gene_symbol", "rank"), ["condition_id", "gene_symbol"], "full_outer")
+    both = F.sort_array(F.collect_list(F.struct("gene_symbol", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("rank", F.lit(0)).alias("rank"))))
+    truth = truth.groupBy("condition_id").agg(both.alias("b")).select("condition_id", F.col("b.gene_symbol").alias("genes"), F.col("b.y").alias("v"), F.col("b.rank").alias("rank"))
+    asked = materialize(told.join(truth, "condition_id", "left"), "harness-asked")
+    union = asked.select(*RUN, F.explode(F.filter(F.arrays_zip("genes", "rank"), lambda x: x["rank"] > 0)["genes"]).alias("g")).distinct().groupBy(*RUN).agg(F.sort_array(F.collect_list("g")).alias("genes"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def rows(kind: str, df: DataFrame, s, t) -> DataFrame:
+        have = lambda c, t: F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)
+        shown = [have(c, t) for c, t in (("source", "string"), ("condition_id", "string"), ("cell_line", "string"), ("is_fallback", "boolean"), ("genes", "array<long>"), ("v", "array<double>"), ("rank", "array<int>"))]
+        return df.select(*RUN, s.alias("s"), *shown).select("*", t.alias("t")).withColumn("kind", F.lit(kind))
+
+    own, none = block("source", n_s), F.lit(0)
+    sent = [rows("source", predicted, own, every(n_t)), rows("told", asked, own, every(n_t)), rows("truth", asked.drop("rank", "source", "is_fallback"), every(n_s), block("condition_id", n_t)), rows("union", union, every(n_s), every(n_t))]
+    tagged = sent[0]
+    for more in sent[1:]:
+        tagged = tagged.unionByName(more)
+    kinds = dict(told.dtypes)
+    numbers = ["de_pearson", "de_mse", "sign_accuracy", "all_gene_pearson", *[f"topk_overlap_{k}" for k in topk], "de_distance"]
+    schema = f"repeat {kinds['repeat']}, split string, condition_id string, source string, is_fallback boolean, n_de_genes int, " + ", ".join(f"{c} double" for c in numbers) + ", " + ", ".join(f"{c} long" for c in DISC)
+    tasks = max(1, (most[2] or 0) * n_s * n_t)
+    counted = tagged.repartition(tasks, *RUN, "s", "t").groupBy(*RUN, "s", "t").applyInPandas(_block_scores(list(topk), places, n_genes, first), schema)
+    if n_t > 1:
+        counted = counted.groupBy(*RUN, "condition_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("source", "is_fallback", "n_de_genes", *numbers)], *[F.sum(c).alias(c) for c in DISC])
+    for name, at in (("global", "global"), ("within_line", "line")):
+        some, closer, ties = F.col(f"others_{at}") > 0, F.col(f"closer_{at}"), F.col(f"ties_{at}")
+        counted = counted.withColumns({f"disc_rank_{name}": F.when(some, (closer + ties * 0.5) / F.col(f"others_{at}")), f"disc_top1_{name}": F.when(some, ((closer == 0) & (ties == 0)).cast("double"))})
+    return counted.drop("source", *DISC)
+
+
+def _centred(squares, total, n):
+    """Sum of squared deviations; what only rounding leaves of a constant is 0."""
+    left = squares - total * total / n
+    return np.where(left > squares * 1e-12, left, 0.0)
+
+
+def _at(have, asked):
+    """For every gene of ``asked`` its place in the ordered ``have``, and whether it is there."""
+    if not len(have):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    k = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+    return k, have[k] == asked
+
+
+def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequence[int]):
+    """The task of :func:`score`: sources of a block with the conditions they answer, against the truths of a block."""
+    most, g, first = max(topk), float(n_genes), np.asarray(first, dtype=np.int64)
+    empty = np.zeros(0)
+    ints = lambda x: np.asarray(x if x is not None else empty, dtype=np.int64)
+    floats = lambda x: np.asarray(x if x is not None else empty, dtype=np.float64)
+
+    def own_scores(genes, y, rank, sg, sv, whole, places_of):
+        """n_de_genes to de_distance of one condition; ``whole``: sums of its source, ``places_of``: its first genes by size, with their places."""
+        tp, tpp, constant = whole
+        k, there = _at(sg, genes)
+        p = np.where(there, sv[k], 0.0) if len(sg) else np.zeros(len(genes))
+        ty, spread, deviation = y.sum(), _centred(tpp, tp, g), _centred((y * y).sum(), y.sum(), g)
+        r = float(((p * y).sum() - tp * ty / g) / np.sqrt(spread * deviation)) if spread > 0 and deviation > 0 else 0.0
+        de = rank > 0
+        n = int(de.sum())
+        if not n:
+            return [0, None, None, None, r, *[None] * len(topk), None]
+        a, b, places_rank = p[de], y[de], rank[de]
+        off = ((a - b) ** 2).sum()
+        pearson = None
+        if n > 1:
+            x, z = a - a.mean(), b - b.mean()
+            pearson = 0.0 if a.min() == a.max() or b.min() == b.max() else float((x * z).sum() / np.sqrt((x * x).sum() * (z * z).sum()))
+        k, there = _at(places_of[0], genes[de])
+        meets = np.maximum(places_rank, places_of[1][k])[there]
+        overlaps = []
+        for size in (min(n, k) for k in topk):
+            both = int((meets <= size).sum())
+            overlaps.append(0.0 if constant else both / (2 * size - both))
+        return [n, pearson, float(off / n), float((np.sign(a) == np.sign(b)).mean()), r, *overlaps, float(np.sqrt(off))]
+
+    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        of = {kind: part for kind, part in pdf.groupby("kind", sort=False)}
+        union = ints(of["union"]["genes"].iloc[0]) if "union" in of else ints(None)
+        n = float(max(1, len(union)))
+
+        def within(genes, v):
+            k, there = _at(union, genes)
+            return k[there], v[there]
+
+        t = of.get("truth", pdf.iloc[:0])
+        lines, names = pd.factorize(t["cell_line"], use_na_sentinel=False)
+        order = np.argsort(lines, kind="stable")
+        t, lines, n_t = t.iloc[order], lines[order], len(t)
+        line_of = {None if pd.isna(x) else x: i for i, x in enumerate(names)}
+        edges = np.searchsorted(lines, np.arange(len(names) + 1))
+        cut = [within(ints(a), floats(b)) for a, b in zip(t["genes"], t["v"])]
+        k = np.concatenate([x[0] for x in cut] or [ints(None)])
+        y = np.concatenate([x[1] for x in cut] or [empty])
+        owner = np.repeat(np.arange(n_t), [len(x[0]) for x in cut])
+        ty, tyy = np.bincount(owner, y, n_t), np.bincount(owner, y * y, n_t)
+        b = _centred(tyy, ty, n)
+        order = np.argsort(k, kind="stable")
+        owner, y, start = owner[order], y[order], np.searchsorted(k[order], np.arange(len(union) + 1))
+        place = {c: i for i, c in enumerate(t["condition_id"])}
+
+        def rounded(dot, tp, ty, a, b):
+            ok = (a > 0) & (b > 0)
+            return np.rint(np.where(ok, (dot - tp * ty / n) / np.sqrt(np.where(ok, a * b, 1.0)), 0.0) * 10.0**places)
+
+        told = of.get("told", pdf.iloc[:0])
+        held = {s: (ints(a), floats(v)) for s, a, v in zip(*(of["source"][c] for c in ("source", "genes", "v")))} if "source" in of else {}
+        out = []
+        for source, rows in told.groupby("source", sort=False):
+            sg, sv = held.get(source, (ints(None), empty))
+            size = np.abs(sv)
+            constant = not len(sg) or (len(sg) == n_genes and size.max() == size.min())
+            top = sg[np.lexsort((sg, -size))[:most]]
+            if len(sg) < most:
+                top = np.concatenate([top, first[~_at(sg, first)[1]]])[:most]
+            by = np.argsort(top)
+            whole, places_of = (sv.sum(), (sv * sv).sum(), constant), (top[by], by + 1)
+            uk, w = within(sg, sv)
+            tp, tpp = w.sum(), (w * w).sum()
+            a = _centred(tpp, tp, n)
+            begin, many = start[uk], start[uk + 1] - start[uk]
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(many)[:-1]])[: len(many)], many).astype(np.int64) + np.arange(many.sum())
+            r = rounded(np.bincount(owner[at], y[at] * np.repeat(w, many), n_t), tp, ty, a, b)
+            ordered = np.sort(r) if len(rows) > 8 else None
+            for c, line, fallback, genes, v, rank in zip(*(rows[c] for c in ("condition_id", "cell_line", "is_fallback", "genes", "v", "rank"))):
+                genes, v = ints(genes), floats(v)
+                if c in place:
+                    here, own = 1, r[place[c]]
+                else:  # its own truth is in another block
+                    gk, gv = within(genes, v)
+                    j, there = _at(uk, gk)
+                    dot = (w[j] * gv)[there].sum() if len(uk) else 0.0
+                    here, own = 0, rounded(dot, tp, gv.sum(), a, _centred((gv * gv).sum(), gv.sum(), n))
+                if ordered is None:
+                    found = [int((r > own).sum()), int((r == own).sum()) - here, n_t - here]
+                else:
+                    low, high = np.searchsorted(ordered, own), np.searchsorted(ordered, own, "right")
+                    found = [int(n_t - high), int(high - low) - here, n_t - here]
+                i = line_of.get(None if pd.isna(line) else line)
+                same = r[edges[i] : edges[i + 1]] if i is not None else empty
+                found += [int((same > own).sum()), int((same == own).sum()) - here, len(same) - here]
+                scores = own_scores(genes, v, ints(rank), sg, sv, whole, places_of) if key[3] == 0 else [None] * (6 + len(topk))
+                out.append([key[0], key[1], c, source, fallback, *scores, *found])
+        named = ["repeat", "split", "condition_id", "source", "is_fallback", "n_de_genes", "de_pearson", "de_mse", "sign_accuracy", "all_gene_pearson", *[f"topk_overlap_{k}" for k in topk], "de_distance", *DISC]
+        made = pd.DataFrame(out, columns=named)
+        return made.astype({"n_de_genes": "Int32", **{c: "float64" for c in named[6:-6]}, **{c: "int64" for c in DISC}})
+
+    return block

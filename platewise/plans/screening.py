@@ -552,8 +552,8 @@ RUN = harness.RUN
 DEMANDS = {"unseen_drug": ["cluster"], "unseen_cell_line": ["cell_line"], "both_unseen": ["cluster", "cell_line"]}
 
 
-def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part."""
+def _runs(spark: SparkSession, sf: str, coded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(conditions of every repeat and split, values, DE sets, genes) over the whole gene universe; conditions without drug or dose take no part. ``coded``: genes are numbers in the order of their symbols."""
     c = _conditions(spark, sf).filter("not is_control and drug is not null and dose is not null").select("condition_id", "cell_line", "drug", "dose")
     treated = materialize(_treated(spark, sf), "treated")
     assigned = contracts.write_checked(evaluation.make_splits(treated, REPEATS), scratch_path(spark, "splits"), lambda written: contracts.check_named_splits(written, treated.select("condition_id", "cluster", "cell_line"), DEMANDS))
@@ -561,19 +561,21 @@ def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     genes = _universe(spark, sf)
     values = evaluation.best_values(table(spark, sf, "de_sets")).join(genes, "gene_symbol", "left_semi")
     sets = evaluation.de_sets(table(spark, sf, "de_sets"), genes)
+    if coded:
+        genes, values, sets = harness.coded(genes, values, sets)
     return runs, materialize(values, "values"), materialize(sets, "sets"), genes
 
 
 def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """(drug, other, similarity) of all drugs with a structure text, by counts of its pieces."""
+    """(drug, units) of all drugs with a structure text: the counted pieces by which drugs are compared."""
     texts = table(spark, sf, "shard_cells").groupBy(lower_key("drug").alias("drug")).agg(F.min("canonical_smiles").alias("text")).filter("drug is not null and text is not null")
-    return features.text_similarity(materialize(texts, "drug-texts"), "drug", "text")
+    return materialize(features.text_units(texts, "drug", "text"), "drug-units")
 
 
-def _answers(spark: SparkSession, sf: str, model: str):
-    """(told, predicted, values, sets, genes) of a model for every repeat and split."""
-    runs, values, sets, genes = _runs(spark, sf)
-    told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
+def _answers(spark: SparkSession, sf: str, model: str, coded: bool = False):
+    """(told, predicted, values, sets, genes) of a model for every repeat and split; ``coded``: genes as numbers, predictions packed."""
+    runs, values, sets, genes = _runs(spark, sf, coded)
+    told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None, pack=coded)
     return told, predicted, values, sets, genes
 
 
@@ -719,7 +721,7 @@ def mse_sign(spark, sf):
 
 
 def _scored(spark: SparkSession, sf: str, *columns) -> DataFrame:
-    return harness.score(*_answers(spark, sf, "drug_mean"), places=7).select(*RUN, "condition_id", *columns)
+    return harness.score(*_answers(spark, sf, "drug_mean", coded=True), places=7).select(*RUN, "condition_id", *columns)
 
 
 @query(f"""WITH {_SCORED}, a AS (SELECT repeat, split, condition_id, sum(x * y) AS py, sum(y) AS ty, sum(y * y) AS tyy FROM rw GROUP BY ALL), b AS (SELECT repeat, split, source, sum(CAST(p AS DOUBLE)) AS tp, sum(CAST(p AS DOUBLE) * p) AS tpp FROM pr GROUP BY ALL),
@@ -792,7 +794,7 @@ def harness_scores(spark, sf):
 
 def _harness(model: str):
     def scores(spark, sf):
-        return harness.score(*_answers(spark, sf, model))
+        return harness.score(*_answers(spark, sf, model, coded=True))
 
     scores.__name__ = f"harness_{model}"
     scores.__doc__ = f"Scores of {model} for the test conditions of every repeat and split, over all genes."
