@@ -212,19 +212,27 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
     ``values`` and ``sets`` (condition_id, gene_symbol, rank) hold genes of ``genes`` (gene_symbol) only. Without DE genes the scores over them are null; discrimination is over the genes that are DE in
     a test condition of the same repeat and split, with correlations rounded to ``places`` so that equal ones tie. It is null where there is no other candidate.
 
+    Where ``told`` and ``predicted`` have a column ``model`` all models are scored at once and the result has it too; the truths are sent once for all.
+
     A source meets the truths of its run in blocks (``blocks``: sources and truths of a task) and leaves counts only, so no pair of a source and a condition is ever written."""
     if dict(genes.dtypes)["gene_symbol"] == "string":
         genes, values, sets, predicted = coded(genes, values, sets, predicted)  # predictions not packed yet
+    by_model = "model" in told.columns
+    if by_model:  # from here on the model is a part of the source
+        name = F.concat_ws("|", "model", "source")
+        told, predicted = told.withColumn("source", name).drop("model"), predicted.withColumn("source", name).drop("model")
     told, predicted = materialize(told, "harness-told"), materialize(predicted if "genes" in predicted.columns else packed(predicted), "harness-predicted")
     n_genes = genes.select(F.countDistinct("gene_symbol")).first()[0]
     first = [r[0] for r in genes.orderBy("gene_symbol").limit(2 * max(topk)).collect()]
-    most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("truths")).agg(F.max("sources"), F.max("truths"), F.count(F.lit(1))).first()
+    most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.countDistinct("condition_id").alias("truths")).agg(F.max("sources"), F.max("truths"), F.count(F.lit(1))).first()
     n_s, n_t = (max(1, -(-(most[i] or 0) // blocks[i])) for i in (0, 1))
     truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")).join(sets.select("condition_id", "gene_symbol", "rank"), ["condition_id", "gene_symbol"], "full_outer")
     both = F.sort_array(F.collect_list(F.struct("gene_symbol", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("rank", F.lit(0)).alias("rank"))))
     truth = truth.groupBy("condition_id").agg(both.alias("b")).select("condition_id", F.col("b.gene_symbol").alias("genes"), F.col("b.y").alias("v"), F.col("b.rank").alias("rank"))
-    asked = materialize(told.join(truth, "condition_id", "left"), "harness-asked")
-    union = asked.select(*RUN, F.explode(F.filter(F.arrays_zip("genes", "rank"), lambda x: x["rank"] > 0)["genes"]).alias("g")).distinct().groupBy(*RUN).agg(F.sort_array(F.collect_list("g")).alias("genes"))
+    truth = materialize(truth, "harness-truth")
+    asked = told.join(truth, "condition_id", "left")
+    candidates = materialize(told.select(*RUN, "condition_id", "cell_line").distinct().join(truth, "condition_id", "left"), "harness-candidates")
+    union = candidates.select(*RUN, F.explode(F.filter(F.arrays_zip("genes", "rank"), lambda x: x["rank"] > 0)["genes"]).alias("g")).distinct().groupBy(*RUN).agg(F.sort_array(F.collect_list("g")).alias("genes"))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -234,7 +242,7 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
         return df.select(*RUN, s.alias("s"), *shown).select("*", t.alias("t")).withColumn("kind", F.lit(kind))
 
     own, none = block("source", n_s), F.lit(0)
-    sent = [rows("source", predicted, own, every(n_t)), rows("told", asked, own, every(n_t)), rows("truth", asked.drop("rank", "source", "is_fallback"), every(n_s), block("condition_id", n_t)), rows("union", union, every(n_s), every(n_t))]
+    sent = [rows("source", predicted, own, every(n_t)), rows("told", asked, own, every(n_t)), rows("truth", candidates.drop("rank"), every(n_s), block("condition_id", n_t)), rows("union", union, every(n_s), every(n_t))]
     tagged = sent[0]
     for more in sent[1:]:
         tagged = tagged.unionByName(more)
@@ -244,10 +252,12 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
     tasks = max(1, (most[2] or 0) * n_s * n_t)
     counted = tagged.repartition(tasks, *RUN, "s", "t").groupBy(*RUN, "s", "t").applyInPandas(_block_scores(list(topk), places, n_genes, first), schema)
     if n_t > 1:
-        counted = counted.groupBy(*RUN, "condition_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("source", "is_fallback", "n_de_genes", *numbers)], *[F.sum(c).alias(c) for c in DISC])
+        counted = counted.groupBy(*RUN, "condition_id", "source").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("is_fallback", "n_de_genes", *numbers)], *[F.sum(c).alias(c) for c in DISC])
     for name, at in (("global", "global"), ("within_line", "line")):
         some, closer, ties = F.col(f"others_{at}") > 0, F.col(f"closer_{at}"), F.col(f"ties_{at}")
         counted = counted.withColumns({f"disc_rank_{name}": F.when(some, (closer + ties * 0.5) / F.col(f"others_{at}")), f"disc_top1_{name}": F.when(some, ((closer == 0) & (ties == 0)).cast("double"))})
+    if by_model:
+        counted = counted.withColumn("model", F.substring_index("source", "|", 1))
     return counted.drop("source", *DISC)
 
 

@@ -783,13 +783,12 @@ def farthest_condition(spark, sf):
 @query()
 def harness_scores(spark, sf):
     """Every model's scores for every test condition of all repeats and splits, from one assembly of the evaluation data."""
-    runs, values, sets, genes = _runs(spark, sf)
-    out = None
+    runs, values, sets, genes = _runs(spark, sf, coded=True)
+    told = predicted = None
     for model in harness.MODELS:
-        told, predicted = harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None)
-        one = harness.score(told, predicted, values, sets, genes).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = [x.withColumn("model", F.lit(model)) for x in harness.predict(model, runs, values, _similarity(spark, sf) if model == "nearest_chemical" else None, pack=True)]
+        told, predicted = one if told is None else (told.unionByName(one[0]), predicted.unionByName(one[1]))
+    return harness.score(told, predicted, values, sets, genes)
 
 
 def _harness(model: str):
