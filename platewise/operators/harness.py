@@ -33,22 +33,88 @@ def _named(kind: str, keys: Sequence[str]):
     return F.to_json(F.struct(F.lit(kind).alias("kind"), *keys))
 
 
-def _averaged(members: DataFrame, values: DataFrame) -> DataFrame:
-    """(RUN, source, gene_symbol, predicted) of ``members`` (RUN, source, other, n, tied, condition_id): means over the ``n`` conditions of an other, averaged over the ``tied`` others of a source.
+#: Values and sources that one task averages.
+VALUES, ANSWERS = 1_000_000, 20_000
+#: Runs are bits of a condition's words, so a value travels once for all runs.
+BITS = 62
 
-    Conditions travel once and whole to the source they belong to; all sums are made there."""
-    held = values.filter("y <> 0").groupBy("condition_id").agg(F.collect_list(F.struct("gene_symbol", F.col("y").cast("double").alias("y"))).alias("held"))
-    flat = members.join(held, "condition_id").repartition(*RUN, "source").select(*RUN, "source", "other", "n", "tied", F.inline("held"))
-    sums = flat.groupBy(*RUN, "source", "other", "n", "tied", "gene_symbol").agg(F.sum("y").alias("s"))
-    return sums.groupBy(*RUN, "source", "tied", "gene_symbol").agg(F.sum(F.col("s") / F.col("n")).alias("m")).select(*RUN, "source", "gene_symbol", (F.col("m") / F.col("tied")).cast("float").alias("predicted"))
 
+def _listed(runs: DataFrame) -> list[tuple]:
+    """The repeats and splits; their places number them."""
+    return sorted((r[0], r[1]) for r in runs.select(*RUN).distinct().collect())
 
-def _dose_means(asked: DataFrame, train: DataFrame, values: DataFrame) -> DataFrame:
-    """Like :func:`_averaged` for ``asked`` (RUN, source, dose): few sources of very many conditions, so sums are made before anything is sent."""
-    n = train.groupBy(*RUN, "dose").agg(F.count(F.lit(1)).alias("n"))
-    members = train.select(*RUN, "dose", "condition_id").join(asked.join(n, [*RUN, "dose"]), [*RUN, "dose"]).drop("dose")
-    sums = members.join(values.filter("y <> 0"), "condition_id").groupBy(*RUN, "source", "n", "gene_symbol").agg(F.sum(F.col("y").cast("double")).alias("s"))
-    return sums.select(*RUN, "source", "gene_symbol", (F.col("s") / F.col("n")).cast("float").alias("predicted"))
+
+def _number(listed: Sequence[tuple]):
+    """The place of a row's run."""
+    return F.coalesce(*[F.when((F.col("repeat") == r) & (F.col("split") == s), F.lit(i)) for i, (r, s) in enumerate(listed)], F.lit(-1))
+
+
+def _words(listed: Sequence[tuple]):
+    """Aggregate: the runs of a group's rows as bits of an array of numbers."""
+    bit = lambda r, s, i: F.when((F.col("repeat") == r) & (F.col("split") == s), F.lit(1 << i % BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+    parts = [[bit(r, s, i) for i, (r, s) in enumerate(listed) if i // BITS == w] for w in range(max(1, -(-len(listed) // BITS)))]
+    one = lambda bits: F.bit_or(bits[0] if len(bits) == 1 else F.greatest(*bits)) if bits else F.max(F.lit(0).cast("long"))
+    return F.array(*map(one, parts)).alias("runs")
+
+
+def _matrix(words: pd.Series) -> np.ndarray:
+    return np.concatenate(words.to_numpy()).reshape(len(words), -1) if len(words) else np.zeros((0, 1), dtype=np.int64)
+
+
+def _in_run(words: np.ndarray, i: int) -> np.ndarray:
+    return (words[:, i // BITS] >> (i % BITS)) & 1 == 1 if len(words) else np.zeros(0, dtype=bool)
+
+
+def _averaged(asked: DataFrame, members: DataFrame, values: DataFrame, listed: Sequence[tuple], block: Sequence[str] | None = None) -> DataFrame:
+    """(RUN, source, genes, v) of ``asked`` (RUN, source, groups, n, columns of ``block``): the mean over the ``n`` conditions of each of its groups, averaged over the groups.
+
+    ``members`` (condition_id, group, runs, columns of ``block``) are the training conditions of the groups. A value travels once, with all its runs, and its sums never leave the task. Tasks are by the columns of ``block``;
+    without them by gene, every source going to each, so that no group need fit a task: a source then has a row for each."""
+    n_v, n_a = values.count(), asked.count()
+    n = max(8, -(-n_v // VALUES), -(-n_a // ANSWERS) if block else 1)
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    at = place(*block) if block else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = dict(values.dtypes)["gene_symbol"]
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    told = asked.select(at.alias("block"), _number(listed).alias("run"), "source", "groups", F.col("n").cast("array<long>").alias("n"), F.lit("").alias("group"), F.lit("0").cast(kind).alias("gene_symbol"), F.lit(0.0).alias("y"), none("long").alias("runs"))
+    held = members.join(values.filter("y <> 0"), "condition_id")
+    held = held.select((place(*block) if block else place("gene_symbol")).alias("block"), F.lit(-1).alias("run"), F.lit("").alias("source"), none("string").alias("groups"), none("long").alias("n"), "group", "gene_symbol", F.col("y").cast("double").alias("y"), "runs")
+    kinds = dict(asked.dtypes)
+    schema = f"repeat {kinds['repeat']}, split {kinds['split']}, source string, genes array<{kind}>, v array<float>"
+    return told.unionByName(held).repartition(n, "block").groupBy("block").applyInPandas(_means_task(list(listed)), schema)
+
+
+def _means_task(listed: Sequence[tuple]):
+    def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked, held = pdf[pdf["run"] >= 0], pdf[pdf["run"] < 0]
+        out = []
+        if len(asked) and len(held):
+            group, named = pd.factorize(held["group"])
+            gene, genes = pd.factorize(held["gene_symbol"], sort=True)
+            genes, y, words = np.asarray(genes), held["y"].to_numpy(), _matrix(held["runs"])
+            cell, where = np.unique(group.astype(np.int64) * len(genes) + gene, return_inverse=True)
+            owner, gene = cell // len(genes), cell % len(genes)
+            start = np.searchsorted(owner, np.arange(len(named) + 1))
+            place = {g: i for i, g in enumerate(named)}
+            for i, part in asked.groupby("run"):
+                own = _in_run(words, i)
+                sums = np.bincount(where[own], y[own], len(cell))
+                for source, groups, n in zip(part["source"], part["groups"], part["n"]):
+                    parts = [(slice(start[k], start[k + 1]), m) for k, m in ((place.get(g), m) for g, m in zip(groups, n)) if k is not None]
+                    if not parts:
+                        continue
+                    if len(parts) == 1:
+                        codes, p = gene[parts[0][0]], sums[parts[0][0]] / parts[0][1]
+                    else:
+                        codes, at = np.unique(np.concatenate([gene[x] for x, _ in parts]), return_inverse=True)
+                        p = np.bincount(at, np.concatenate([sums[x] / m for x, m in parts]), len(codes))
+                    p = (p / len(groups)).astype(np.float32)
+                    there = p != 0
+                    if there.any():
+                        out.append((*listed[i], source, genes[codes[there]], p[there]))
+        return pd.DataFrame(out, columns=[*RUN, "source", "genes", "v"])
+
+    return task
 
 
 def predict(model: str, runs: DataFrame, values: DataFrame, similarity: DataFrame | None = None, pack: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -57,28 +123,36 @@ def predict(model: str, runs: DataFrame, values: DataFrame, similarity: DataFram
     ``runs`` (repeat, split, condition_id, cell_line, drug, dose, part) has the conditions of every repeat and split, ``values`` (condition_id, gene_symbol, y) the truth that is not 0.
     ``similarity`` is (drug, other, similarity) or :func:`features.text_units` of the drugs. Only sources that answer a test condition are computed."""
     runs = runs.withColumn("dose", F.round("dose", 6))
+    listed = _listed(runs)
     train, test = runs.filter("part <> 'test'"), runs.filter("part = 'test'")
     answered = test.join(train.select(*RUN, "dose").distinct(), [*RUN, "dose"], "left_semi")
     shown = [*RUN, "condition_id", "cell_line", "source", "is_fallback"]
     if model == "dummy":
-        nothing = runs.limit(0).select(*RUN, F.lit("").alias("source"), "condition_id").join(values.select("condition_id", "gene_symbol"), "condition_id").select(*RUN, "source", "gene_symbol", F.lit(0.0).cast("float").alias("predicted"))
+        kinds = dict(runs.dtypes)
+        nothing = runs.sparkSession.createDataFrame([], f"repeat {kinds['repeat']}, split {kinds['split']}, source string, genes array<{dict(values.dtypes)['gene_symbol']}>, v array<float>")
         told, parts = answered.withColumns({"source": F.lit("zero"), "is_fallback": F.lit(False)}).select(*shown), [nothing]
     elif model == "nearest_chemical":
-        told, parts = _nearest(answered, train, values, similarity, shown)
+        told, parts = _nearest(answered, train, values, similarity, shown, listed)
     else:
-        key, by_dose = MEAN_KEYS[model], _named("dose", ["dose"])
+        key, by_dose, parts = MEAN_KEYS[model], _named("dose", ["dose"]), []
+        alone = lambda df: df.select(*RUN, "source", F.array("source").alias("groups"), F.array("n").alias("n")).distinct()
         if key:
             known = train.groupBy(*RUN, key, "dose").agg(F.count(F.lit(1)).alias("n"))
             told = answered.join(known, [*RUN, key, "dose"], "left").withColumns({"source": F.when(F.col("n").isNotNull(), _named(key, [key, "dose"])).otherwise(by_dose), "is_fallback": F.col("n").isNull()})
-            by_key = told.filter("not is_fallback").select(*RUN, key, "dose", "n", "source").distinct()
-            members = train.select(*RUN, key, "dose", "condition_id").join(by_key, [*RUN, key, "dose"]).withColumns({"other": F.lit(0), "tied": F.lit(1)})
-            parts = [_averaged(members, values)]
+            told = materialize(told, "answers")
+            by_key = told.filter("not is_fallback")
+            group = train.filter(F.col(key).isNotNull() & F.col("dose").isNotNull()).withColumn("group", _named(key, [key, "dose"])).groupBy("condition_id", "group").agg(_words(listed))
+            group = group.join(by_key.select(F.col("source").alias("group")).distinct(), "group", "left_semi")
+            parts = [_averaged(alone(by_key), group.withColumn("source", F.col("group")), values, listed, ["source"])]
         else:
-            told, parts = answered.withColumns({"source": by_dose, "is_fallback": F.lit(False)}), []
-        lone = told.filter("is_fallback") if key else told
-        parts.append(_dose_means(lone.select(*RUN, "dose", "source").distinct(), train, values))
+            told = answered.withColumns({"source": by_dose, "is_fallback": F.lit(False)})
+        lone = told.filter("is_fallback").drop("n") if key else told
+        n = train.groupBy(*RUN, "dose").agg(F.count(F.lit(1)).alias("n"))
+        doses = materialize(alone(lone.select(*RUN, "dose", "source").distinct().join(n, [*RUN, "dose"])), "dose-answers")
+        group = train.filter("dose is not null").withColumn("group", by_dose).groupBy("condition_id", "group").agg(_words(listed)).join(doses.select(F.col("source").alias("group")).distinct(), "group", "left_semi")
+        parts.append(_averaged(doses, group, values, listed))
         told = told.select(*shown)
-    parts = [(packed if pack else lambda x: x)(x.filter("predicted <> 0").select(*RUN, "source", "gene_symbol", "predicted")) for x in parts]
+    parts = parts if pack else [x.select(*RUN, "source", F.inline(F.arrays_zip(F.col("genes").alias("gene_symbol"), F.col("v").alias("predicted")))) for x in parts]
     return told, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -150,15 +224,20 @@ def _closest_task(at: list[str]):
     return task
 
 
-def _nearest(answered: DataFrame, train: DataFrame, values: DataFrame, similarity: DataFrame, shown: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+def _nearest(answered: DataFrame, train: DataFrame, values: DataFrame, similarity: DataFrame, shown: list[str], listed: Sequence[tuple]) -> tuple[DataFrame, list[DataFrame]]:
     """The most similar training drugs of the same line and dose, ties averaged; else those at the dose over all lines. Without any similar drug the answer is 0."""
     triple = ["cell_line", "drug", "dose"]
     wanted = answered.select(*RUN, *triple).distinct()
     closest = _closest_of_pairs if "other" in similarity.columns else _closest_of_units
 
-    def members(top: DataFrame, at: list[str]) -> DataFrame:
-        pools = train.groupBy(*RUN, *at, F.col("drug").alias("other")).agg(F.collect_list("condition_id").alias("ids"))
-        return top.join(pools, [*RUN, *at, "other"]).select(*RUN, "source", "other", F.size("ids").alias("n"), "tied", F.explode("ids").alias("condition_id"))
+    def means(top: DataFrame, at: list[str], block: list[str] | None) -> DataFrame:
+        group = lambda name: F.to_json(F.struct(*at, F.col(name).alias("drug")))
+        sizes = train.groupBy(*RUN, *at, F.col("drug").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+        asked = top.join(sizes, [*RUN, *at, "other"]).groupBy(*RUN, "source", *(block or [])).agg(F.collect_list(F.struct(group("other").alias("group"), "n")).alias("g"))
+        asked = materialize(asked.select(*RUN, "source", *(block or []), F.col("g.group").alias("groups"), F.col("g.n").alias("n")), "nearest-asked")
+        used = asked.select(F.explode("groups").alias("group")).distinct()
+        members = train.withColumn("group", group("drug")).groupBy("condition_id", "group", *(block or [])).agg(_words(listed)).join(used, "group", "left_semi")
+        return _averaged(asked, members, values, listed, block)
 
     at = ["cell_line", "dose"]
     line = materialize(closest(wanted.filter("cell_line is not null"), train.filter("cell_line is not null"), at, similarity).withColumn("source", _named("line", triple)), "nearest-line")
@@ -172,7 +251,7 @@ def _nearest(answered: DataFrame, train: DataFrame, values: DataFrame, similarit
     keys = [*RUN, "drug", "dose", F.coalesce("cell_line", F.lit("")).alias("l"), F.col("cell_line").isNull().alias("no_line")]
     told = answered.select("*", *keys[-2:]).join(sources.select(*keys, "source", "is_fallback"), [*RUN, "drug", "dose", "l", "no_line"], "left")
     told = told.withColumns({"source": F.coalesce("source", F.lit("zero")), "is_fallback": F.coalesce("is_fallback", F.lit(True))}).select(*shown)
-    return told, [_averaged(members(line, at).unionByName(members(dose, ["dose"])), values)]
+    return told, [means(line, at, at), means(dose, ["dose"], None)]
 
 
 def set_scores(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,6 +270,9 @@ def set_scores(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: D
 def coded(genes: DataFrame, *frames: DataFrame) -> list[DataFrame]:
     """``genes`` and ``frames`` with numbers instead of gene symbols, in the order of the symbols; genes outside ``genes`` have no row left."""
     names = materialize(genes.select("gene_symbol").distinct().orderBy("gene_symbol").withColumn("code", F.monotonically_increasing_id()), "harness-genes")
+    many = {r[0]: r[1] for r in names.groupBy(F.shiftright("code", 33)).count().collect()}
+    before = F.array(*[F.lit(sum(n for q, n in many.items() if q < p)) for p in range(max(many, default=0) + 1)])
+    names = names.withColumn("code", (before[F.shiftright("code", 33).cast("int")] + F.col("code").bitwiseAND(F.lit((1 << 33) - 1))).cast("int"))
     named = lambda df: df.join(names, "gene_symbol").withColumn("gene_symbol", F.col("code")).drop("code")
     return [names.select(F.col("code").alias("gene_symbol")), *map(named, frames)]
 
@@ -198,12 +280,14 @@ def coded(genes: DataFrame, *frames: DataFrame) -> list[DataFrame]:
 def packed(predicted: DataFrame) -> DataFrame:
     """One row per (RUN, source) with its genes in order and their predictions."""
     both = F.sort_array(F.collect_list(F.struct("gene_symbol", "predicted")))
-    return predicted.groupBy(*RUN, "source").agg(both.alias("b")).select(*RUN, "source", F.col("b.gene_symbol").alias("genes"), F.col("b.predicted").cast("array<double>").alias("v"))
+    return predicted.groupBy(*RUN, "source").agg(both.alias("b")).select(*RUN, "source", F.col("b.gene_symbol").alias("genes"), F.col("b.predicted").cast("array<float>").alias("v"))
 
 
-#: Sources and truths of a run that one task compares; blocks of sources beyond the first send the run's truths once more.
-SOURCES, TRUTHS = 4000, 20000
+#: Sources and truths of a run that one task compares; blocks of sources beyond the first send the run's truths once more, blocks of truths its sources.
+SOURCES, TRUTHS = 50_000, 50_000
 DISC = ["closer_global", "ties_global", "others_global", "closer_line", "ties_line", "others_line"]
+#: Genes of a run's union that travel in one row.
+GENES = 100_000
 
 
 def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFrame, genes: DataFrame, topk: Sequence[int] = (50, 100), places: int = 9, blocks: tuple[int, int] = (SOURCES, TRUTHS)) -> DataFrame:
@@ -214,7 +298,8 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
 
     Where ``told`` and ``predicted`` have a column ``model`` all models are scored at once and the result has it too; the truths are sent once for all.
 
-    A source meets the truths of its run in blocks (``blocks``: sources and truths of a task) and leaves counts only, so no pair of a source and a condition is ever written."""
+    A source meets the truths of its run in blocks (``blocks``: sources and truths of a task) and leaves counts only, so no pair of a source and a condition is ever written. A condition's own truth is looked up among
+    the truths it meets there and is sent with it to other blocks only."""
     if dict(genes.dtypes)["gene_symbol"] == "string":
         genes, values, sets, predicted = coded(genes, values, sets, predicted)  # predictions not packed yet
     by_model = "model" in told.columns
@@ -224,33 +309,39 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
     told, predicted = materialize(told, "harness-told"), materialize(predicted if "genes" in predicted.columns else packed(predicted), "harness-predicted")
     n_genes = genes.select(F.countDistinct("gene_symbol")).first()[0]
     first = [r[0] for r in genes.orderBy("gene_symbol").limit(2 * max(topk)).collect()]
-    most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.countDistinct("condition_id").alias("truths")).agg(F.max("sources"), F.max("truths"), F.count(F.lit(1))).first()
+    listed = _listed(told)
+    most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.countDistinct("condition_id").alias("truths")).agg(F.max("sources"), F.max("truths")).first()
     n_s, n_t = (max(1, -(-(most[i] or 0) // blocks[i])) for i in (0, 1))
     truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")).join(sets.select("condition_id", "gene_symbol", "rank"), ["condition_id", "gene_symbol"], "full_outer")
     both = F.sort_array(F.collect_list(F.struct("gene_symbol", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("rank", F.lit(0)).alias("rank"))))
     truth = truth.groupBy("condition_id").agg(both.alias("b")).select("condition_id", F.col("b.gene_symbol").alias("genes"), F.col("b.y").alias("v"), F.col("b.rank").alias("rank"))
-    truth = materialize(truth, "harness-truth")
-    asked = told.join(truth, "condition_id", "left")
-    candidates = materialize(told.select(*RUN, "condition_id", "cell_line").distinct().join(truth, "condition_id", "left"), "harness-candidates")
-    union = candidates.select(*RUN, F.explode(F.filter(F.arrays_zip("genes", "rank"), lambda x: x["rank"] > 0)["genes"]).alias("g")).distinct().groupBy(*RUN).agg(F.sort_array(F.collect_list("g")).alias("genes"))
+    candidates = materialize(told.groupBy("condition_id", "cell_line").agg(_words(listed)).join(truth, "condition_id", "left"), "harness-truth")
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def rows(kind: str, df: DataFrame, s, t) -> DataFrame:
-        have = lambda c, t: F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c)
-        shown = [have(c, t) for c, t in (("source", "string"), ("condition_id", "string"), ("cell_line", "string"), ("is_fallback", "boolean"), ("genes", "array<long>"), ("v", "array<double>"), ("rank", "array<int>"))]
-        return df.select(*RUN, s.alias("s"), *shown).select("*", t.alias("t")).withColumn("kind", F.lit(kind))
-
-    own, none = block("source", n_s), F.lit(0)
-    sent = [rows("source", predicted, own, every(n_t)), rows("told", asked, own, every(n_t)), rows("truth", candidates.drop("rank"), every(n_s), block("condition_id", n_t)), rows("union", union, every(n_s), every(n_t))]
+        have = lambda c, t: F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c)
+        kinds = {"source": "string", "condition_id": "string", "cell_line": "string", "is_fallback": "boolean", "genes": "array<int>", "p": "array<float>", "v": "array<double>", "rank": "array<int>"}
+        return df.select((F.col("run") if "run" in df.columns else number).alias("run"), s.alias("s"), *[have(c, t) for c, t in kinds.items()]).select("*", t.alias("t")).withColumn("kind", F.lit(kind))
+
+    own, home, number = block("source", n_s), block("condition_id", n_t), _number(listed)
+    of_run = lambda words: F.filter(F.array(*map(F.lit, range(len(listed)))).cast("array<int>"), lambda i: F.getbit(F.element_at(words, (F.floor(i / BITS) + 1).cast("int")), F.pmod(i, F.lit(BITS))) == 1)
+    each = candidates.select("*", F.explode(of_run(F.col("runs"))).alias("run"))
+    sent = [rows("source", predicted.withColumnRenamed("v", "p"), own, every(n_t)), rows("told", told, own, home), rows("truth", each, every(n_s), home)]
+    if n_t > 1:  # elsewhere a condition brings its own truth along, and the genes that are DE in a run are those of all blocks
+        away = told.join(candidates.select("condition_id", "genes", "v").distinct(), "condition_id", "left")
+        sent.append(rows("told", away, own, every(n_t)).filter(F.col("t") != home))
+        bits = [F.bit_or(F.col("runs")[w]) for w in range(max(1, -(-len(listed) // BITS)))]
+        union = candidates.select("runs", F.explode(F.filter(F.arrays_zip("genes", "rank"), lambda x: x["rank"] > 0)["genes"]).alias("g")).groupBy("g").agg(F.array(*bits).alias("runs"))
+        union = union.select("g", F.explode(of_run(F.col("runs"))).alias("run")).groupBy("run", F.floor(F.col("g") / GENES)).agg(F.collect_list("g").alias("genes"))
+        sent.append(rows("union", union, every(n_s), every(n_t)))
     tagged = sent[0]
     for more in sent[1:]:
         tagged = tagged.unionByName(more)
     kinds = dict(told.dtypes)
     numbers = ["de_pearson", "de_mse", "sign_accuracy", "all_gene_pearson", *[f"topk_overlap_{k}" for k in topk], "de_distance"]
     schema = f"repeat {kinds['repeat']}, split string, condition_id string, source string, is_fallback boolean, n_de_genes int, " + ", ".join(f"{c} double" for c in numbers) + ", " + ", ".join(f"{c} long" for c in DISC)
-    tasks = max(1, (most[2] or 0) * n_s * n_t)
-    counted = tagged.repartition(tasks, *RUN, "s", "t").groupBy(*RUN, "s", "t").applyInPandas(_block_scores(list(topk), places, n_genes, first), schema)
+    counted = tagged.repartition(max(1, len(listed)) * n_s * n_t, "run", "s", "t").groupBy("run", "s", "t").applyInPandas(_block_scores(list(topk), places, n_genes, first, listed, n_t > 1), schema)
     if n_t > 1:
         counted = counted.groupBy(*RUN, "condition_id", "source").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("is_fallback", "n_de_genes", *numbers)], *[F.sum(c).alias(c) for c in DISC])
     for name, at in (("global", "global"), ("within_line", "line")):
@@ -275,8 +366,8 @@ def _at(have, asked):
     return k, have[k] == asked
 
 
-def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequence[int]):
-    """The task of :func:`score`: sources of a block with the conditions they answer, against the truths of a block."""
+def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequence[int], listed: Sequence[tuple], several: bool):
+    """The task of :func:`score`: sources of a block with the conditions they answer, against the truths of a block. ``several``: there are more blocks of truths."""
     most, g, first = max(topk), float(n_genes), np.asarray(first, dtype=np.int64)
     empty = np.zeros(0)
     ints = lambda x: np.asarray(x if x is not None else empty, dtype=np.int64)
@@ -307,40 +398,49 @@ def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequenc
             overlaps.append(0.0 if constant else both / (2 * size - both))
         return [n, pearson, float(off / n), float((np.sign(a) == np.sign(b)).mean()), r, *overlaps, float(np.sqrt(off))]
 
+    def joined(parts, ints_or_floats):
+        return np.concatenate([ints_or_floats(x) for x in parts] or [ints_or_floats(None)])
+
     def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
         of = {kind: part for kind, part in pdf.groupby("kind", sort=False)}
-        union = ints(of["union"]["genes"].iloc[0]) if "union" in of else ints(None)
+        nothing = pdf.iloc[:0]
+        t, told, sources, unions = (of.get(kind, nothing) for kind in ("truth", "told", "source", "union"))
+        line, names = pd.factorize(t["cell_line"], use_na_sentinel=False)
+        line_of = {None if pd.isna(x) else x: i for i, x in enumerate(names)}
+        order = np.argsort(line, kind="stable")
+        t, line = t.iloc[order], line[order]
+        n_t, edges = len(t), np.searchsorted(line, np.arange(len(names) + 1))
+        place = {c: i for i, c in enumerate(t["condition_id"])}
+        many = np.array([0 if x is None else len(x) for x in t["genes"]], dtype=np.int64)
+        cuts = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
+        k_all, y_all, rank_all, owner = joined(t["genes"], ints), joined(t["v"], floats), joined(t["rank"], ints), np.repeat(np.arange(n_t), many)
+        union = np.sort(joined(unions["genes"], ints)) if several else np.unique(k_all[rank_all > 0])
         n = float(max(1, len(union)))
 
         def within(genes, v):
             k, there = _at(union, genes)
             return k[there], v[there]
 
-        t = of.get("truth", pdf.iloc[:0])
-        lines, names = pd.factorize(t["cell_line"], use_na_sentinel=False)
-        order = np.argsort(lines, kind="stable")
-        t, lines, n_t = t.iloc[order], lines[order], len(t)
-        line_of = {None if pd.isna(x) else x: i for i, x in enumerate(names)}
-        edges = np.searchsorted(lines, np.arange(len(names) + 1))
-        cut = [within(ints(a), floats(b)) for a, b in zip(t["genes"], t["v"])]
-        k = np.concatenate([x[0] for x in cut] or [ints(None)])
-        y = np.concatenate([x[1] for x in cut] or [empty])
-        owner = np.repeat(np.arange(n_t), [len(x[0]) for x in cut])
+        k, there = _at(union, k_all)
+        k, y, owner = k[there], y_all[there], owner[there]
         ty, tyy = np.bincount(owner, y, n_t), np.bincount(owner, y * y, n_t)
         b = _centred(tyy, ty, n)
         order = np.argsort(k, kind="stable")
         owner, y, start = owner[order], y[order], np.searchsorted(k[order], np.arange(len(union) + 1))
-        place = {c: i for i, c in enumerate(t["condition_id"])}
 
         def rounded(dot, tp, ty, a, b):
             ok = (a > 0) & (b > 0)
             return np.rint(np.where(ok, (dot - tp * ty / n) / np.sqrt(np.where(ok, a * b, 1.0)), 0.0) * 10.0**places)
 
-        told = of.get("told", pdf.iloc[:0])
-        held = {s: (ints(a), floats(v)) for s, a, v in zip(*(of["source"][c] for c in ("source", "genes", "v")))} if "source" in of else {}
-        out = []
+        held, out = {}, []
+        for source, part in zip(sources["source"], zip(sources["genes"], sources["p"])):
+            held.setdefault(source, []).append(part)
         for source, rows in told.groupby("source", sort=False):
-            sg, sv = held.get(source, (ints(None), empty))
+            parts = held.get(source, [])
+            sg, sv = joined([x for x, _ in parts], ints), joined([x for _, x in parts], floats)
+            if len(parts) > 1:
+                order = np.argsort(sg)
+                sg, sv = sg[order], sv[order]
             size = np.abs(sv)
             constant = not len(sg) or (len(sg) == n_genes and size.max() == size.min())
             top = sg[np.lexsort((sg, -size))[:most]]
@@ -355,12 +455,14 @@ def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequenc
             at = np.repeat(begin - np.concatenate([[0], np.cumsum(many)[:-1]])[: len(many)], many).astype(np.int64) + np.arange(many.sum())
             r = rounded(np.bincount(owner[at], y[at] * np.repeat(w, many), n_t), tp, ty, a, b)
             ordered = np.sort(r) if len(rows) > 8 else None
-            for c, line, fallback, genes, v, rank in zip(*(rows[c] for c in ("condition_id", "cell_line", "is_fallback", "genes", "v", "rank"))):
-                genes, v = ints(genes), floats(v)
-                if c in place:
-                    here, own = 1, r[place[c]]
+            for c, of_line, fallback, genes, v in zip(*(rows[c] for c in ("condition_id", "cell_line", "is_fallback", "genes", "v"))):
+                j = place.get(c)
+                scores = [None] * (6 + len(topk))
+                if j is not None:
+                    here, own, cut = 1, r[j], slice(cuts[j], cuts[j + 1])
+                    scores = own_scores(k_all[cut], y_all[cut], rank_all[cut], sg, sv, whole, places_of)
                 else:  # its own truth is in another block
-                    gk, gv = within(genes, v)
+                    gk, gv = within(ints(genes), floats(v))
                     j, there = _at(uk, gk)
                     dot = (w[j] * gv)[there].sum() if len(uk) else 0.0
                     here, own = 0, rounded(dot, tp, gv.sum(), a, _centred((gv * gv).sum(), gv.sum(), n))
@@ -369,11 +471,10 @@ def _block_scores(topk: Sequence[int], places: int, n_genes: int, first: Sequenc
                 else:
                     low, high = np.searchsorted(ordered, own), np.searchsorted(ordered, own, "right")
                     found = [int(n_t - high), int(high - low) - here, n_t - here]
-                i = line_of.get(None if pd.isna(line) else line)
+                i = line_of.get(None if pd.isna(of_line) else of_line)
                 same = r[edges[i] : edges[i + 1]] if i is not None else empty
                 found += [int((same > own).sum()), int((same == own).sum()) - here, len(same) - here]
-                scores = own_scores(genes, v, ints(rank), sg, sv, whole, places_of) if key[3] == 0 else [None] * (6 + len(topk))
-                out.append([key[0], key[1], c, source, fallback, *scores, *found])
+                out.append([*listed[int(key[0])], c, source, fallback, *scores, *found])
         named = ["repeat", "split", "condition_id", "source", "is_fallback", "n_de_genes", "de_pearson", "de_mse", "sign_accuracy", "all_gene_pearson", *[f"topk_overlap_{k}" for k in topk], "de_distance", *DISC]
         made = pd.DataFrame(out, columns=named)
         return made.astype({"n_de_genes": "Int32", **{c: "float64" for c in named[6:-6]}, **{c: "int64" for c in DISC}})
