@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.session import tidy
+
 
 class ContractError(ValueError):
     """A table does not keep its contract."""
@@ -184,10 +186,12 @@ def check_output_size(spark, path: str, limit_bytes: int | None) -> int:
 def write_checked(df: DataFrame, path: str, check: Callable[[DataFrame], None]) -> DataFrame:
     """Write ``df`` as Parquet, hold what was written against its contract, and give it back; a broken contract takes the files away again and raises."""
     spark = df.sparkSession
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     try:
-        check(written)
+        with tidy(spark):
+            check(written)
     except ContractError:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

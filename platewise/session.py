@@ -73,15 +73,22 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage so that a lost executor costs a re-read, not a re-computation, and lets later steps prune columns. What was shuffled for it is deleted as soon as it is written."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What queries shuffle inside the ``with`` block is deleted when each of them ends; none of their DataFrames may be collected twice."""
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage so that a lost executor costs a re-read, not a re-computation, and lets later steps prune columns. What was shuffled for it is deleted as soon as it is written."""
+    path = scratch_path(df.sparkSession, label)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
