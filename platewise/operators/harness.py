@@ -313,7 +313,8 @@ def score(told: DataFrame, predicted: DataFrame, values: DataFrame, sets: DataFr
     listed = _listed(told)
     most = told.groupBy(*RUN).agg(F.countDistinct("source").alias("sources"), F.countDistinct("condition_id").alias("truths")).agg(F.max("sources"), F.max("truths")).first()
     n_s, n_t = (max(1, -(-(most[i] or 0) // blocks[i])) for i in (0, 1))
-    truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y")).join(sets.select("condition_id", "gene_symbol", "rank"), ["condition_id", "gene_symbol"], "full_outer")
+    truth = values.select("condition_id", "gene_symbol", F.col("y").cast("double").alias("y"), F.lit(None).cast("int").alias("rank")).unionByName(sets.select("condition_id", "gene_symbol", F.lit(None).cast("double").alias("y"), F.col("rank").cast("int").alias("rank")))
+    truth = truth.repartition("condition_id").groupBy("condition_id", "gene_symbol").agg(F.max("y").alias("y"), F.max("rank").alias("rank"))  # one shuffle for all that follows
     both = F.sort_array(F.collect_list(F.struct("gene_symbol", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("rank", F.lit(0)).alias("rank"))))
     truth = truth.groupBy("condition_id").agg(both.alias("b")).select("condition_id", F.col("b.gene_symbol").alias("genes"), F.col("b.y").alias("v"), F.col("b.rank").alias("rank"))
     candidates = materialize(told.groupBy("condition_id", "cell_line").agg(_words(listed)).join(truth, "condition_id", "left"), "harness-truth")
